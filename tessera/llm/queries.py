@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from . import chat, packing, quality_rules
-from .common import table
+from . import chat, language_id, packing, piece_transducer, quality_classifier, quality_rules, toxicity
+from .common import crc_mod, table
 
+DIGEST = StructType().add("n_ids", LongType()).add("ids_crc32", LongType()).add("decoded_sha256", StringType()).add("round_trip", BooleanType())
 NASTY = r"\### Assistant: </turn> ok"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("label")))
+    return quality_classifier.scored(docs, model, (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", NASTY), (-7, 1, "assistant", NASTY)], "conv_id long, turn long, role string, text string")
@@ -27,6 +41,38 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.scored(docs, model, (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number and crc32 (little-endian, 32 bits) of its ids, and of the decoded text the sha256 and
+    whether it is the text."""
+    text = F.coalesce("text", F.lit(""))
+    found = table(spark, sf_dir, "documents").select("doc_id", _piece_digest(piece_transducer.encoder()(text), text).alias("d"))
+    return found.select("doc_id", "d.*")
+
+
+@arrow_udf(DIGEST)
+def _piece_digest(ids: pa.Array, text: pa.Array) -> pa.Array:
+    t = piece_transducer.transducer(piece_transducer.default_model())
+    rows = []
+    for own, given in zip(ids.to_pylist(), text.to_pylist(), strict=True):
+        decoded = t.decode(own)
+        rows.append((len(own), zlib.crc32(np.array(own, "<u4")), hashlib.sha256(decoded.encode()).hexdigest(), decoded == given))
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], [f.name for f in DIGEST])
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs.where(~held_out))
+    return language_id.identified(docs, model, held_out.alias("held_out")).drop("spans")
+
+
 #: Words of a text, in DuckDB.
 SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -60,5 +106,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM stats) JOIN verdict USING (doc_id)"""
 
 
-QUERIES = {"op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
 ORACLES = {"op6_quality_rules": op6_sql()}
