@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from . import chat, language_id, packing, piece_transducer, quality_classifier, quality_rules, toxicity
+from . import chat, language_id, packing, piece_transducer, quality_classifier, quality_rules, toxicity, winnowing
 from .common import crc_mod, table
 
 DIGEST = StructType().add("n_ids", LongType()).add("ids_crc32", LongType()).add("decoded_sha256", StringType()).add("round_trip", BooleanType())
@@ -25,6 +25,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, model, (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.compared(table(spark, sf_dir, "documents"))
+    rendered = lambda name: winnowing.rendered(F.col(name))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), rendered("keys").alias("fingerprint"), rendered("edited_keys").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", NASTY), (-7, 1, "assistant", NASTY)], "conv_id long, turn long, role string, text string")
@@ -106,5 +112,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM stats) JOIN verdict USING (doc_id)"""
 
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
 ORACLES = {"op6_quality_rules": op6_sql()}
