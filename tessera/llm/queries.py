@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from . import chat, language_id, packing, piece_transducer, quality_classifier, quality_rules, toxicity, winnowing
+from . import chat, language_id, line_dedup, packing, piece_transducer, quality_classifier, quality_rules, toxicity, winnowing
 from .common import crc_mod, table
 
 DIGEST = StructType().add("n_ids", LongType()).add("ids_crc32", LongType()).add("decoded_sha256", StringType()).add("round_trip", BooleanType())
@@ -47,6 +47,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the characters left and the sha256 of the text without later copies of repeated line runs."""
+    found = line_dedup.deduped(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label")))
@@ -112,5 +118,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM stats) JOIN verdict USING (doc_id)"""
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
-ORACLES = {"op6_quality_rules": op6_sql()}
+
+def op7_sql() -> str:
+    least = line_dedup.MIN_WORDS
+    return rf"""
+WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+counted AS (SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM l),
+own AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM counted WHERE words > 0),
+pairs AS (
+  SELECT a.doc_id, a.p AS start, min(b.p) AS stop FROM own a JOIN own b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.upto - a.upto + a.words >= {least} GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.p) AS start, b.p AS stop FROM own a JOIN own b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.upto - a.upto + a.words >= {least} GROUP BY b.doc_id, b.p),
+runs AS (SELECT r.doc_id, start, stop, list(line ORDER BY p) AS key FROM pairs r JOIN own ON own.doc_id = r.doc_id AND p BETWEEN start AND stop GROUP BY ALL),
+later AS (SELECT * FROM (SELECT *, min((doc_id, start)) OVER (PARTITION BY key) AS first FROM runs) WHERE (doc_id, start) > first),
+gone AS (SELECT DISTINCT own.doc_id, i FROM own JOIN later ON own.doc_id = later.doc_id AND p BETWEEN start AND stop),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN len(coalesce(k.text, '')) END AS n_chars_left, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS text_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+ORACLES = {"op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
