@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -155,7 +156,9 @@ def encoder(model: str | None = None):
     @arrow_udf(ArrayType(IntegerType()))
     def encode(text: pa.Array) -> pa.Array:
         t = transducer(path)
-        return pa.array([t.encode(x or "") for x in text.to_pylist()], pa.list_(pa.int32()))
+        own = [np.array(t.encode(x.as_py() or ""), np.int32) for x in text]  # 4 bytes an id, not an object
+        ends = np.cumsum([0] + [len(x) for x in own]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int32)))
 
     return encode
 
@@ -167,6 +170,6 @@ def decoder(model: str | None = None):
     @arrow_udf(StringType())
     def decode(ids: pa.Array) -> pa.Array:
         t = transducer(path)
-        return pa.array([t.decode(x or []) for x in ids.to_pylist()], pa.string())
+        return pa.array([t.decode(x.as_py() or []) for x in ids], pa.string())
 
     return decode

@@ -71,9 +71,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _piece_digest(ids: pa.Array, text: pa.Array) -> pa.Array:
     t = piece_transducer.transducer(piece_transducer.default_model())
     rows = []
-    for own, given in zip(ids.to_pylist(), text.to_pylist(), strict=True):
-        decoded = t.decode(own)
-        rows.append((len(own), zlib.crc32(np.array(own, "<u4")), hashlib.sha256(decoded.encode()).hexdigest(), decoded == given))
+    for one, given in zip(ids, text, strict=True):
+        own = one.values.to_numpy()
+        decoded = t.decode(own.tolist())
+        rows.append((len(own), zlib.crc32(own.astype("<u4")), hashlib.sha256(decoded.encode()).hexdigest(), decoded == given.as_py()))
     columns = zip(*rows, strict=True) if rows else [()] * 4
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], [f.name for f in DIGEST])
 
