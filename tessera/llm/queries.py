@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from . import chat, language_id, line_dedup, packing, piece_transducer, quality_classifier, quality_rules, toxicity, winnowing
+from . import chat, jaccard_join, language_id, line_dedup, packing, piece_transducer, quality_classifier, quality_rules, toxicity, winnowing
 from .common import crc_mod, table
 
 DIGEST = StructType().add("n_ids", LongType()).add("ids_crc32", LongType()).add("decoded_sha256", StringType()).add("round_trip", BooleanType())
@@ -25,6 +25,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, model, (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.compared(table(spark, sf_dir, "documents"))
     rendered = lambda name: winnowing.rendered(F.col(name))
@@ -137,5 +141,19 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN len(coalesce(k.text, '')) END
 FROM documents d LEFT JOIN kept k USING (doc_id)"""
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
-ORACLES = {"op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
+
+#: Recursion over links; shingles are compared as lists of words.
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, words AS g FROM w WHERE len(words) BETWEEN 1 AND 2
+  UNION ALL SELECT doc_id, list_slice(words, i, i + 2) AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+reach(doc_id, to_id) AS (SELECT a, b FROM links UNION SELECT r.doc_id, b FROM reach r JOIN links ON r.to_id = a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, min(to_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.doc_id = w.doc_id GROUP BY w.doc_id"""
+
+
+QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+ORACLES = {"op2_jaccard_join": OP2_SQL, "op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
