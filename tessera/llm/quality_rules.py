@@ -56,11 +56,11 @@ def repeat_words(word: Column) -> Column:
     return F.when(F.size(word) < WINDOW, 0).otherwise(let(windows, count))
 
 
-def base_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each whole text."""
+def base_stats(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, lang, source, further columns asked for, and the counts of each whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
-    text = F.col("text")
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *more, text.alias("text"))
+    given, text = [c for c in one.columns if c != "text"], F.col("text")
 
     def of_words(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))
@@ -70,7 +70,7 @@ def base_stats(docs: DataFrame) -> DataFrame:
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
     counted = one.select(
-        "doc_id", "lang", "source",
+        *given,
         _without(text, SPACE_CHARS).cast("long").alias("word_chars"),
         (F.length(text) - _without(text, "#*$%&|<>")).cast("long").alias("n_symbols"),
         (F.length(text) - _without(text, CAPITALS)).cast("long").alias("n_capitals"),
@@ -113,9 +113,9 @@ def thresholds(stats: DataFrame) -> DataFrame:
     return a.join(b, F.col("lang").eqNullSafe(F.col("lang1")), "left").crossJoin(F.broadcast(c)).select("lang", "source", F.coalesce(enough(0), enough(1), F.col("f2")).alias("fences"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Counts and verdict of each document."""
-    stats = stage(base_stats(docs), "stats")
+def judged(docs: DataFrame, *more: Column) -> DataFrame:
+    """Counts and verdict of each document, and further columns asked for."""
+    stats = stage(base_stats(docs, *more), "stats")
     limit = thresholds(stats).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fences")
     both = stats.join(limit, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
