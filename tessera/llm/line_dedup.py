@@ -16,7 +16,7 @@ run, stay, and don't part one.
 Rows of a frequent run are joined to one row of its interval, which Spark splits where it is hot. Null and empty
 texts stay as they are. Rows with equal doc_id and text count as one and get the same result each; of rows with
 equal doc_id and other texts, the one with the smaller hash comes first. Empty tables give empty results. All
-columns of the input are kept; internal names begin with `_td_`, so others can't clash.
+columns of the input are kept, inside one struct on the way, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -97,10 +97,11 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_td_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_td_tie": F.xxhash64("text")})
+    """_td_id and _td_tie, by which rows are told apart, and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_td_id"), F.xxhash64("text").alias("_td_tie"), "text", F.struct(*docs.columns).alias("_td_row"))
 
 
 def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated runs gone from `text`; all columns stay."""
     both = keyed(docs).join(repeated(docs, min_words), ["_td_id", "_td_tie"], "left")
-    return both.withColumn("text", _without(F.col("text"), F.col("_td_spans"))).select(*docs.columns)
+    return both.select(F.col("_td_row").withField("text", _without(F.col("text"), F.col("_td_spans"))).alias("_td_row")).select("_td_row.*")

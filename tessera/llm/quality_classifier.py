@@ -109,7 +109,7 @@ def _features_of(text: pa.Array) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on the texts of docs (doc_id, text) that labels (doc_id, label) has."""
-    known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
+    known = labels.select("doc_id", "label").where("doc_id IS NOT NULL AND label IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "label", _features_of("text").alias("x")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.x))
     return fit_arrays(np.array([r.x for r in rows]).reshape(-1, N_FEATURES), np.array([r.label for r in rows], int))

@@ -215,7 +215,7 @@ def _ids_of(text: pa.Array) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on the whole texts of docs (doc_id, text) that labels (doc_id, label) has."""
-    known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
+    known = labels.select("doc_id", "label").where("doc_id IS NOT NULL AND label IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "label", _ids_of("text").alias("ids")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.label))
     return fit_arrays([np.frombuffer(r.ids, np.int32) for r in rows], np.array([r.label for r in rows], float))
