@@ -24,7 +24,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality rules reject. Rows of one doc_id are judged by text."""
     tie = F.xxhash64("text")
     verdict = quality_rules.judged(docs, tie.alias("_qr_tie")).where("kept").select(F.col("doc_id").alias("_qr_id"), "_qr_tie").distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_qr_id")) & (tie == F.col("_qr_tie")), "left_semi")
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_qr_id"]) & (F.xxhash64(docs["text"]) == verdict["_qr_tie"]), "left_semi")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document that names its component, once where the row is repeated."""
     kept = jaccard_join.joined(docs).where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_nj_id")).distinct()
-    once = docs.withColumn("_nj_tie", F.xxhash64("text")).dropDuplicates(["doc_id", "_nj_tie"]).drop("_nj_tie")
-    return once.join(kept, F.col("doc_id").eqNullSafe(F.col("_nj_id")), "left_semi")
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("tie"))
+    once = row.dropDuplicates(["doc_id", "tie"])
+    return once.join(kept, once["doc_id"].eqNullSafe(kept["_nj_id"]), "left_semi").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
