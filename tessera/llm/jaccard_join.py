@@ -49,7 +49,7 @@ class Hashes(dict):
     """Hashes of words, remembered; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found

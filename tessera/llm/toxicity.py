@@ -47,7 +47,7 @@ class Buckets(dict):
     """Cache of words; emptied when large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = bucket(word)
         return found
