@@ -13,7 +13,8 @@ def _strings(*items: str) -> Column:
 
 def hotness(active_count: Column, updated_at: Column, now: Column, half_life_days: float = 7) -> Column:
     """sigmoid(ln(1 + n)) * 2^(-age / half-life); null times give 0, ages below 0 count as 0."""
-    age = F.greatest((F.unix_micros(now) - F.unix_micros(updated_at)) / 86_400e6, F.lit(0.0))
+    age = (F.unix_micros(now) - F.unix_micros(updated_at)) / 86_400e6
+    age = F.when(age < 0, 0.0).otherwise(age)  # greatest() would pass over a null
     return F.coalesce(1 / (1 + F.exp(-F.log1p(active_count))) * F.pow(F.lit(2.0), -age / half_life_days), F.lit(0.0))
 
 

@@ -202,7 +202,7 @@ PRIVACY = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
     "phone": r"(?<![\d\-])\+?\d{1,3}[ \-]?\(?\d{3}\)?[ \-]?\d{3}[ \-]?\d{4}(?![\d\-])",
     "secret": r"(?i)\b(?:api[_-]?key|token|password|secret)\s*[=:]\s*\"?[A-Za-z0-9_\-]{8,}\"?",
-    "card": r"(?<!\d)(?:\d[ \-]?){13,19}(?!\d)",
+    "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
 }
 
 

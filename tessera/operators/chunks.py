@@ -11,6 +11,16 @@ from .windows import pack_batches
 RANGES = "range_no long, start long, stop long, continued boolean, continues boolean, context string"
 
 
+def cut(text: str, start: int, most: int) -> tuple[int, bool]:
+    """Where the range from start ends, and whether that is inside a line."""
+    if len(text) - start <= most:
+        return len(text), False
+    limit, half = start + most, start + most // 2
+    options = [p for p in (text.rfind("\n#", half, limit) + 1, text.rfind("\n\n", half, limit - 1) + 2) if p > half]
+    line = text.rfind("\n", start + 1, limit) + 1
+    return (max(options) if options else line if line > start else limit), not options and line <= start
+
+
 def ranges(text: str, most: int) -> list[tuple[int, int, bool, bool, str]]:
     """Half-open ranges of at most `most` characters that make up a text: cut before a heading or after a blank line in
     the second half, else at a line end, else anywhere (then flagged as continued). Each carries the headings above it,
@@ -18,13 +28,7 @@ def ranges(text: str, most: int) -> list[tuple[int, int, bool, bool, str]]:
     out, start, cut_inside, heads = [], 0, False, []
     n = len(text)
     while True:
-        stop, inside = n, False
-        if n - start > most:
-            limit, half = start + most, start + most // 2
-            options = [p for p in (text.rfind("\n#", half, limit) + 1, text.rfind("\n\n", half, limit - 1) + 2) if p > half]
-            line = text.rfind("\n", start + 1, limit) + 1
-            stop = max(options) if options else line if line > start else limit
-            inside = not options and line <= start
+        stop, inside = cut(text, start, most)
         context = "\n".join(heads)
         out.append((start, stop, cut_inside, inside, context if len(context) <= most // 4 else ""))
         for line in text[start:stop].split("\n"):
@@ -50,13 +54,13 @@ def chunk_ranges(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
 def sections(text: str, most: int) -> list[str]:
     """Chunks of at most `most` characters at headings and paragraphs; table rows aren't divided, and a table's header is
     repeated in each chunk of it where it fits."""
-    out: list[str] = []
-    for start, stop, *_ in ranges(text, most):
-        part = text[start:stop]
-        lines = part.split("\n")
-        if out and lines[0].lstrip().startswith("|") and (head := table_head(text[:start])) and len(head) + len(part) <= most:
-            part = head + part
-        out.append(part)
+    out, at = [], 0
+    while at < len(text) or not out:
+        head = table_head(text[max(0, at - 20 * most) : at]) if text[at : at + 1] == "|" else ""
+        head = head if len(head) <= most // 2 else ""
+        stop, _ = cut(text, at, most - len(head))
+        out.append(head + text[at:stop])
+        at = stop
     return out
 
 

@@ -31,7 +31,7 @@ class CountOrAge(StatefulProcessor):
         if rows:
             yield pd.DataFrame({"key": [key], "items": [[r[0] for r in rows]], "why": [why]})
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = len([*self.items.get()])
         for pdf in rows:
             for item, ts in zip(pdf["item"], pdf["ts"]):
@@ -43,7 +43,7 @@ class CountOrAge(StatefulProcessor):
                     yield from self._flush(key[0], "count")
                     held = 0
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield from self._flush(key[0], "age")
 
     def close(self) -> None:
@@ -99,7 +99,7 @@ class Commit(StatefulProcessor):
     def _now(self) -> list[int]:
         return [*self.state.get()] if self.state.exists() else [0, 0, -(1 << 62)]
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         most_tokens, most_messages, idle, keep, interval = self.limits
         tokens, messages, last = self._now()
         out, newest = [], 0
@@ -116,9 +116,9 @@ class Commit(StatefulProcessor):
             self.handle.registerTimer(newest + idle)
         yield pd.DataFrame(out, columns=["session_id", "why", "tokens", "messages"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         tokens, messages, _ = self._now()
-        self.state.update((0, 0, expired.getExpiryTimeInMs()))
+        self.state.update((0, 0, expiredTimerInfo.getExpiryTimeInMs()))
         if messages:
             yield pd.DataFrame([(key[0], "idle", tokens, messages)], columns=["session_id", "why", "tokens", "messages"])
 
@@ -142,7 +142,7 @@ class Expiry(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for pdf in rows:
             for r in pdf.sort_values("ts").itertuples():
                 for t in [*self.handle.listTimers()]:
@@ -151,8 +151,8 @@ class Expiry(StatefulProcessor):
                     self.handle.registerTimer(int(r.due.timestamp() * 1000))
         yield pd.DataFrame({"key": pd.Series(dtype=str), "expired_at": pd.Series(dtype="int64")})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
-        yield pd.DataFrame({"key": [key[0]], "expired_at": [expired.getExpiryTimeInMs()]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield pd.DataFrame({"key": [key[0]], "expired_at": [expiredTimerInfo.getExpiryTimeInMs()]})
 
     def close(self) -> None:
         pass
