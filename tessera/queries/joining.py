@@ -239,3 +239,92 @@ def _(t):
 @query("u03_exclude_uris", f"{RECORDS} SELECT uri FROM records WHERE uri NOT IN ('ctx://resources/en/src1/1.md', 'ctx://resources/en/src2/2.md')")
 def _(t):
     return J.exclude_uris(t.records.select("uri"), [" ctx://resources/en/src1/1.md", "ctx://resources/en/src2/2.md "])
+
+
+def _tools(t):
+    """Events as tool messages: an even one calls, the odd one after it has the result."""
+    call = F.col("event_id") % 2 == 0
+    part = F.struct(
+        F.lit("tool").alias("type"), F.floor(F.col("event_id") / 2).cast("string").alias("tool_id"), F.lit("read").alias("tool_name"), F.when(call, F.concat(F.lit('{"uri":"ctx://r/'), (F.col("event_id") % 1000).cast("string"), F.lit('"}'))).alias("tool_input"),
+        F.when(~call, F.when(F.col("event_type") == "error", "ERROR").otherwise("text")).alias("tool_output"), F.when(F.col("event_type") == "click", "failed").otherwise("completed").alias("tool_status"),
+    )
+    return t.events.select((F.floor(F.col("event_id") / 2) % 150).alias("conv_id"), F.col("event_id").alias("pos"), F.array(part).alias("parts"))
+
+
+@query("j07_tool_calls", """SELECT event_id AS pos, '{"uri":"ctx://r/' || ((event_id - 1) % 1000) || '"}' AS tool_input FROM events WHERE event_id % 2 = 1""")
+def _(t):
+    return J.tool_calls(_tools(t)).select("pos", "tool_input")
+
+
+@query("j08_read_lineage", "SELECT event_id // 2 % 150 AS conv_id, 'ctx://r/' || ((event_id - 1) % 1000) AS uri, min(event_id) AS first_pos FROM events WHERE event_id % 2 = 1 AND event_type NOT IN ('error', 'click') GROUP BY ALL")
+def _(t):
+    return J.read_lineage(_tools(t), "me")
+
+
+@query("s04_read_turn_table", "SELECT id FROM (SELECT o_orderkey AS id, min((o_orderpriority <> '5-LOW')::INT) OVER (ORDER BY o_custkey, o_orderkey) AS ready FROM (SELECT * FROM orders WHERE (o_custkey, o_orderkey) > (10, 0) ORDER BY o_custkey, o_orderkey LIMIT 100)) WHERE ready = 1")
+def _(t):
+    rows = t.orders.select(F.col("o_custkey").alias("time_created"), F.col("o_orderkey").alias("id"), (F.col("o_orderpriority") != "5-LOW").alias("complete"))
+    return C.read_turn_table(rows, (10, 0)).select("id")
+
+
+@query("p05_sanitize_text", "SELECT doc_id, sha256(text || chr(65533)) AS value FROM documents")
+def _(t):
+    from ..operators.project import sanitize_text
+
+    return t.documents.withColumn("raw", F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")))).select("doc_id", F.sha2(sanitize_text("raw"), 256).alias("value"))
+
+
+@query("p08_skill_root", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ctx://user/u/skills/s' || user_id ELSE '' END AS root FROM events")
+def _(t):
+    from ..operators.project import skill_root
+
+    name = F.when(F.col("event_id") % 3 == 0, F.lit("skills/s")).when(F.col("event_id") % 3 == 1, F.lit("skills/.s")).otherwise(F.lit("notes/s"))
+    return t.events.select("event_id", skill_root(F.concat(F.lit("ctx://user/u/"), name, F.col("user_id").cast("string"), F.lit("/SKILL.md#a"))).alias("root"))
+
+
+@query("t06_pending_changes", "SELECT event_type AS parent, count(*) AS pending FROM events GROUP BY 1")
+def _(t):
+    from ..streaming.streams import pending_changes
+
+    return pending_changes(t.events.select(F.col("event_type").alias("parent")))
+
+
+@query("t11_stream_enrich", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def _(t):
+    from ..streaming.streams import stream_enrich
+
+    return stream_enrich(t.customer.withColumnRenamed("c_nationkey", "uri"), t.nation.select(F.col("n_nationkey").alias("uri"), "n_name")).select("c_custkey", "n_name")
+
+
+@query("g03_corpus_build", "SELECT doc_id::VARCHAR AS path, sha256(text) AS new_sha, CASE WHEN doc_id % 2 = 0 THEN 'unchanged' ELSE 'created' END AS action FROM documents")
+def _(t):
+    import pandas as pd
+
+    def draft(p):
+        return pd.DataFrame({"path": p.doc_id.astype(str), "content": [f"{n:09d}{x}" for n, x in zip(p.range_no, p.text)], "source": p.doc_id.astype(str)})
+
+    def merge(p):
+        return pd.DataFrame({"path": [p.path.iloc[0]], "content": ["".join(x[9:] for x in sorted(p.content))]})
+
+    target = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    read = t.spark.createDataFrame([], "path string, sha string")
+    return G.corpus_build(t.documents.select("doc_id", "text"), draft, merge, target, read)[0]
+
+
+@query("g06_score", "SELECT doc_id, length(text)::DOUBLE AS new_score FROM documents")
+def _(t):
+    return G.score(t.documents, ["text"], lambda s: s.str.len().astype(float)).select("doc_id", "new_score")
+
+
+@query("g07_reduce_groups", "SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    def merge(p):
+        return p.groupby("l_orderkey", as_index=False).agg(n=("l_quantity", "size"), quantity=("l_quantity", "sum"))
+
+    return G.reduce_groups(t.lineitem.select("l_orderkey", "l_quantity"), ["l_orderkey"], merge, "l_orderkey long, n long, quantity double").withColumn("quantity", F.round("quantity", 2))
+
+
+@query("g09_sql_functions", f"{RECORDS} SELECT doc_id FROM records WHERE lang = 'en'")
+def _(t):
+    G.register_sql(t.spark, tessera_records=t.records)
+    return t.spark.sql("SELECT doc_id FROM tessera_records WHERE in_subtree(uri, 'ctx://resources/en')")
