@@ -55,12 +55,12 @@ def _(t):
     return J.publish_plan(outputs, target, read).select("path", "action")
 
 
-@query("j05_resolve_links", """WITH p AS (SELECT c_custkey % 100 AS page, 'ctx://n' || (c_custkey % 3) || '/a/' || c_custkey AS uri, 'ctx://n' || (c_custkey % 3) || '/a' AS ns FROM customer WHERE c_custkey < 300),
- l AS (SELECT DISTINCT o_orderkey AS id, o_custkey % 100 AS f, o_orderkey % 100 AS g, o_orderpriority AS m FROM orders), b AS (SELECT id, x.uri AS from_uri, y.uri AS to_uri, m AS match_text, x.ns = y.ns AS same FROM l JOIN p x ON x.page = f JOIN p y ON y.page = g WHERE x.uri <> y.uri)
+@query("j05_resolve_links", """WITH p AS (SELECT c_custkey // 3 AS page, 'ctx://n' || (c_custkey % 3) || '/a/' || c_custkey AS uri, 'ctx://n' || (c_custkey % 3) || '/a' AS ns FROM customer),
+ l AS (SELECT DISTINCT o_orderkey AS id, o_custkey // 3 AS f, (o_custkey + 4) // 3 AS g, o_orderpriority AS m FROM orders), b AS (SELECT id, x.uri AS from_uri, y.uri AS to_uri, m AS match_text, x.ns = y.ns AS same FROM l JOIN p x ON x.page = f JOIN p y ON y.page = g WHERE x.uri <> y.uri)
  SELECT DISTINCT from_uri, to_uri, match_text FROM (SELECT *, max(same) OVER (PARTITION BY id) AS best FROM b) WHERE same = best""")
 def _(t):
-    links = t.orders.select(F.col("o_orderkey").alias("link_id"), (F.col("o_custkey") % 100).alias("from_page"), (F.col("o_orderkey") % 100).alias("to_page"), F.col("o_orderpriority").alias("match_text"))
-    pages = t.customer.where("c_custkey < 300").select((F.col("c_custkey") % 100).alias("page"), F.concat(F.lit("ctx://n"), (F.col("c_custkey") % 3).cast("string"), F.lit("/a/"), F.col("c_custkey").cast("string")).alias("uri"))
+    links = t.orders.select(F.col("o_orderkey").alias("link_id"), F.floor(F.col("o_custkey") / 3).alias("from_page"), F.floor((F.col("o_custkey") + 4) / 3).alias("to_page"), F.col("o_orderpriority").alias("match_text"))
+    pages = t.customer.select(F.floor(F.col("c_custkey") / 3).alias("page"), F.concat(F.lit("ctx://n"), (F.col("c_custkey") % 3).cast("string"), F.lit("/a/"), F.col("c_custkey").cast("string")).alias("uri"))
     return J.resolve_links(links, pages)
 
 
@@ -316,12 +316,12 @@ def _(t):
     return G.score(t.documents, ["text"], lambda s: s.str.len().astype(float)).select("doc_id", "new_score")
 
 
-@query("g07_reduce_groups", "SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_orderkey")
+@query("g07_reduce_groups", "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_suppkey")
 def _(t):
     def merge(p):
-        return p.groupby("l_orderkey", as_index=False).agg(n=("l_quantity", "size"), quantity=("l_quantity", "sum"))
+        return p.groupby("l_suppkey", as_index=False).agg(n=("l_quantity", "size"), quantity=("l_quantity", "sum"))
 
-    return G.reduce_groups(t.lineitem.select("l_orderkey", "l_quantity"), ["l_orderkey"], merge, "l_orderkey long, n long, quantity double").withColumn("quantity", F.round("quantity", 2))
+    return G.reduce_groups(t.lineitem.select("l_suppkey", "l_quantity"), ["l_suppkey"], merge, "l_suppkey long, n long, quantity double").withColumn("quantity", F.round("quantity", 2))
 
 
 @query("g09_sql_functions", f"{RECORDS} SELECT doc_id FROM records WHERE lang = 'en'")
