@@ -117,7 +117,7 @@ class Transducer:
             found = tuple(self.bytes_from + b for b in segment.encode("utf-8", "surrogatepass"))
         else:
             found = self.shortest(segment)
-        if len(self.known) > 250_000:
+        if len(self.known) > 800_000:
             self.known.clear()
         self.known[segment] = found
         return found
