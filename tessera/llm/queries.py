@@ -155,5 +155,14 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, min(
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.doc_id = w.doc_id GROUP BY w.doc_id"""
 
 
+
+OP4_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '{NASTY}' UNION ALL SELECT -7, 1, 'assistant', '{NASTY}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(len('### :  </turn>' || chr(10)) + len(regexp_replace(role, '[\\#<:\n]', 'xx', 'g')) + len(regexp_replace(text, '[\\#<]', 'xx', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
-ORACLES = {"op2_jaccard_join": OP2_SQL, "op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
+ORACLES = {"op4_chat_format": OP4_SQL, "op2_jaccard_join": OP2_SQL, "op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
