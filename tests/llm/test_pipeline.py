@@ -50,6 +50,27 @@ def test_stages_with_odd_rows(spark, sf, stage_no):
     assert step(spark, odd.limit(0), sf).collect() == []
 
 
+def test_near_copies_share_four_fifths_of_five_words(spark, sf):
+    text = table(spark, sf, "documents").first().text
+    rows = []
+    for k in range(45, 65):  # pairs of k own words, of which the second has one changed: near from 49 words on, with three words and 0.9 only from 59 on
+        one = [f"{k}w{i}" for i in range(k)]
+        rows += [one, [*one[:20], "x", *one[21:]]]
+    rows = [" ".join(w) for w in rows] + [text, text, "a b c", "a b d", ""]
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in rows]
+    head = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if grams[i] and grams[j] and 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j]):
+                a, b = head[i], head[j]
+                head = [min(a, b) if h in (a, b) else h for h in head]
+    expected = {i for i, h in enumerate(head) if h == i}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()} == expected
+    old = brute_components(rows)
+    assert len(expected) < len({c for _, c in old.values()})
+
+
 def test_queries_are_all_there():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
