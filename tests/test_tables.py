@@ -1,5 +1,6 @@
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,26 @@ def test_jobs(spark):
     assert (fold.n, fold.first, fold.last) == (3.0, "x", "q")
     ok, bad = W.canonical_records(spark.createDataFrame([("b", "u", 1), ("a", "u", 1)], "id string, uri string, level int"))
     assert ok.first().id == "a" and bad.first().id == "b"
+
+
+def test_similar_drafts_are_grouped_over_all_pairs(spark, sf, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    few = [(7, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (51, [0.0, 0.0, 1.0]), (3, [0.7, 0.7, 0.0]), (52, [0.0, 0.0, 1.0]), (9, None), (8, [0.0, 0.0, 0.0])]
+    spark.createDataFrame(few, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    expected = {7: 1, 1: 1, 3: 1, 51: 51, 52: 51, 8: 8, 9: 9}  # ids that 50 doesn't divide
+    for block in (2048, 1):
+        monkeypatch.setattr(J, "DRAFT_BLOCK", block)
+        assert dict(map(tuple, __spark_entry__.queries()["j13_similar_drafts"](spark, str(tmp_path)).collect())) == expected
+
+    d = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    v = np.array([*d.embedding], float)
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    head = d.vec_id.to_numpy().copy()
+    for i, j in zip(*np.nonzero(v @ v.T >= 0.42)):
+        if head[i] != head[j]:
+            head[np.isin(head, (head[i], head[j]))] = min(head[i], head[j])
+    assert len(set(head)) < len(head)
+    monkeypatch.setattr(J, "DRAFT_BLOCK", 200)
+    drafts = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    assert dict(map(tuple, J.similar_drafts(drafts, 0.42).collect())) == dict(zip(d.vec_id, map(int, head)))
