@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators.chunks import chunk_ranges
 from ..operators.joins import exclude_served, publish_plan, target_collisions, update_ledger
-from ..operators.retrieve import fused, keyword_search, knn, ranked, time_decay
+from ..operators.retrieve import fused, keyword_search, knn, time_decay
 from ..operators.windows import pack_batches, quota_select
 
 
@@ -31,41 +32,59 @@ def find(records: DataFrame, queries: DataFrame, k: int = 10, where: Column | No
 
 
 def _fill(budget: int, tiers: tuple[str, ...]):
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "uri"], ascending=[False, True]).reset_index(drop=True)
-        pdf = pdf[~pdf.body_hash.duplicated() | pdf.body_hash.isna()].reset_index(drop=True)
-        share = 2 * budget // max(len(pdf), 1)
-        used, place = 0, []
-        for r in pdf.itertuples():  # each at its start tier or the first below that fits its share and what is left
-            found = None
-            for tier in tiers[tiers.index(r.start_tier) :]:
-                cost = getattr(r, tier)
-                if not pd.isna(cost) and (cost <= share or tier == tiers[-1]) and used + cost + 1 <= budget:
-                    found, used = tier, used + int(cost) + 1
-                    break
-            place.append(found)
-        for better in (("overview", "abstract"), ("full", "overview"), ("full", "abstract"), ("abstract", "uri"), ("overview", "abstract")):  # what is left upgrades the best first
-            to, from_ = better
-            for i, r in enumerate(pdf.itertuples()):
-                cost = getattr(r, to)
-                if place[i] == from_ and not pd.isna(cost) and used - int(getattr(r, from_)) + cost <= budget:
-                    used += int(cost) - int(getattr(r, from_))
-                    place[i] = to
-        tokens = [int(getattr(r, t)) if t else 0 for r, t in zip(pdf.itertuples(), place)]
-        return pd.DataFrame({"qid": pdf.qid, "uri": pdf.uri, "tier": place, "tokens": tokens})
+    """Over rows sorted by request, best first. What isn't placed is sent on at once; a placed row costs a token at
+    least, so no more than `budget` rows are held for the upgrades."""
+    upgrades = (("overview", "abstract"), ("full", "overview"), ("full", "abstract"), ("abstract", "uri"), ("overview", "abstract"))  # what is left upgrades the best first
+
+    def upgraded(held: list[list], used: int) -> list[tuple]:
+        for to, from_ in upgrades:
+            for e in held:
+                cost = e[0][to]
+                if e[1] == from_ and cost is not None and used - e[0][from_] + cost <= budget:
+                    used += cost - e[0][from_]
+                    e[1] = to
+        return [(r["qid"], r["uri"], tier, r[tier]) for r, tier in held]
+
+    def fill(batches):
+        qid, held, used, started, schema = None, [], 0, False, None
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (schema.field("qid").type, pa.string(), pa.string(), pa.int64()))], names=["qid", "uri", "tier", "tokens"])
+        for batch in batches:
+            out, schema = [], batch.schema
+            for r in batch.to_pylist():
+                if not started or r["qid"] != qid:
+                    out += upgraded(held, used)
+                    qid, held, used, started = r["qid"], [], 0, True
+                share = 2 * budget // r["n"]
+                for tier in tiers[tiers.index(r["start_tier"]) :]:  # each at its start tier or the first below that fits its share and what is left
+                    cost = r[tier]
+                    if cost is not None and (cost <= share or tier == tiers[-1]) and used + cost + 1 <= budget:
+                        held.append([r, tier])
+                        used += cost + 1
+                        break
+                else:
+                    out.append((r["qid"], r["uri"], None, 0))
+            if out:
+                yield table(out)
+        if held:
+            yield table(upgraded(held, used))
 
     return fill
 
 
-def fill_budget(candidates: DataFrame, max_tokens: int, most: int = 1000) -> DataFrame:
-    """(qid, uri, tier, tokens) of the best candidates of a request (qid, uri, score, start_tier, body_hash, and the
+def fill_budget(candidates: DataFrame, max_tokens: int) -> DataFrame:
+    """(qid, uri, tier, tokens) of all candidates of a request (qid, uri, score, start_tier, body_hash, and the
     costs full, overview, abstract, uri_cost; null where a tier has no text): each is placed at its start tier or below,
-    a body once, then what is left upgrades; tier is null for what is dropped, a separator costs one token. A request
-    has at most `most` candidates here: the feature is a token budget, and each costs a token at least."""
-    kept = ranked(candidates, min(most, max_tokens), key="uri").select("qid", "uri", "score", "start_tier", "body_hash", "full", "overview", "abstract", F.col("uri_cost").alias("uri_"))
-    tiers = ("full", "overview", "abstract", "uri_")
+    a body once (its best row, the others are left out), then what is left upgrades; tier is null for what is dropped,
+    a separator costs one token. Rows are placed in one pass over the sorted candidates, of any number."""
+    cost = lambda c: F.col(c).cast("long")
+    late = F.col("score").isNull() | F.isnan("score")
+    row = F.struct(late.alias("late"), (-F.col("score")).alias("order"), "uri", "start_tier", cost("full").alias("full"), cost("overview").alias("overview"), cost("abstract").alias("abstract"), cost("uri_cost").alias("uri_")).alias("row")
+    rows = candidates.select("qid", "body_hash", row)
+    once = rows.where("body_hash IS NOT NULL").groupBy("qid", "body_hash").agg(F.min("row").alias("row")).select("qid", "row").unionByName(rows.where("body_hash IS NULL").select("qid", "row"))
+    counts = once.groupBy(F.col("qid").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    known = once.join(counts, F.col("qid").eqNullSafe(F.col("of"))).select("qid", "n", "row.*")
     kind = candidates.schema["qid"].dataType.simpleString()
-    out = kept.groupBy("qid").applyInPandas(_fill(max_tokens, tiers), f"qid {kind}, uri string, tier string, tokens long")
+    out = known.repartition("qid").sortWithinPartitions("qid", "late", "order", "uri").drop("late", "order").mapInArrow(_fill(max_tokens, ("full", "overview", "abstract", "uri_")), f"qid {kind}, uri string, tier string, tokens long")
     return out.withColumn("tier", F.when(F.col("tier") == "uri_", "uri").otherwise(F.col("tier")))
 
 

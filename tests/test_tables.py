@@ -176,3 +176,17 @@ def test_similar_drafts_are_grouped_over_all_pairs(spark, sf, tmp_path, monkeypa
     monkeypatch.setattr(J, "DRAFT_BLOCK", 200)
     drafts = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
     assert dict(map(tuple, J.similar_drafts(drafts, 0.42).collect())) == dict(zip(d.vec_id, map(int, head)))
+
+
+def test_fill_budget_takes_all_candidates(spark):
+    columns = "qid long, uri string, score double, start_tier string, body_hash long, full long, overview long, abstract long, uri_cost long"
+    copies = [(1, f"a{i:04}", 9.0, "overview", 7, 30, 5, 3, 1) for i in range(1500)]  # one body, before all others
+    dear = [(2, f"d{i:04}", 9.0, "overview", i, 900, 900, 900, 900) for i in range(1500)]
+    late = [(q, f"z{i}", 1.0 - i, "overview", 5000 + i, 30, 5, 3, 1) for q in (1, 2) for i in range(3)]
+    none = [(None, "n1", 1.0, "overview", None, 40, 5, 3, 1), (None, "n2", None, "overview", None, 40, 5, 3, 1)]
+    got = {(r.qid, r.uri): (r.tier, r.tokens) for r in G.fill_budget(spark.createDataFrame(copies + dear + late + none, columns), 100).collect()}
+    assert {k for k in got if k[0] == 1} == {(1, "a0000"), (1, "z0"), (1, "z1"), (1, "z2")}
+    assert [got[1, u] for u in ("a0000", "z0", "z1", "z2")] == [("full", 30), ("full", 30), ("full", 30), ("overview", 5)]
+    assert len([k for k in got if k[0] == 2]) == 1503 and all(got[2, f"d{i:04}"] == (None, 0) for i in range(1500))
+    assert all(got[2, f"z{i}"][0] for i in range(3))
+    assert got[None, "n1"] == got[None, "n2"] == ("full", 40)
