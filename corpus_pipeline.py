@@ -21,10 +21,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality rules reject. Rows of one doc_id are judged by text."""
-    tie = F.xxhash64("text")
-    verdict = quality_rules.judged(docs, tie.alias("_qr_tie")).where("kept").select(F.col("doc_id").alias("_qr_id"), "_qr_tie").distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_qr_id"]) & (F.xxhash64(docs["text"]) == verdict["_qr_tie"]), "left_semi")
+    """Drop what the quality rules reject."""
+    return quality_rules.kept(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +33,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document that names its component, once where the row is repeated. Near copies share 80 percent of
-    their five-word shingles; three words and 90 percent are the contract of op2 alone."""
-    kept = jaccard_join.joined(docs, n=5, percent=80).where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_nj_id")).distinct()
-    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("tie"))
-    once = row.dropDuplicates(["doc_id", "tie"])
-    return once.join(kept, once["doc_id"].eqNullSafe(kept["_nj_id"]), "left_semi").select("row.*")
+    """Keep the document that names its component. Near copies share 80 percent of their five-word shingles; three
+    words and 90 percent are the contract of op2 alone."""
+    return jaccard_join.representatives(docs, n=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

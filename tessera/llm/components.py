@@ -25,15 +25,16 @@ def _round(edges: DataFrame) -> DataFrame:
     return small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _open(edges: DataFrame) -> bool:
+    """Whether edges (a > b) aren't yet stars: an end a that has two, or that is an end b too."""
+    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    return not twice.unionByName(edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi")).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (a, b); the component is its least node. Rounds go on until
-    the edges, which then are stars, no longer change; each is written to the shared folder. Null ends are left out."""
+    the edges are stars; each is written to the shared folder. Null ends are left out."""
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    sign = None
-    while True:
-        known = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if known == sign:
-            break
-        sign = known
-        now = stage(_round(now), "edges") if known.n else now
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    while _open(now):
+        now = stage(_round(now), "edges")
+    return now.unionByName(now.select(F.col("b").alias("a"), "b").distinct()).toDF("node", "component")

@@ -5,16 +5,18 @@ shingle's rarest word is, so that two sets can only be similar if they share one
 members, their prefixes. Word counts come from a sketch of SKETCH cells over all documents, so what is sent to the
 tasks has a fixed size; any order gives the same result.
 
-1. Equal sets become one node. Nodes with the same prefix and size are one group: a prefix member that only one
-   group has is dropped, and the nodes of a group meet in one list instead of one for each prefix member.
-2. Lists are expanded to nodes. In each list the node with the earliest match is tied to the others: one pair a
-   node. Pairs that the bounds on size, position and bitmaps (below) leave are verified on their whole sets.
-3. Links found so far give components. Only lists whose nodes are in several components need more: there pairs of
-   nodes of different components pass the same bounds and are verified. Short lists are joined to themselves; long
-   ones are cut into blocks, and each pair of blocks is one task's work, so no list is gathered whole. So a family
-   of copies costs one link a copy, not one a pair, and no link between components is lost.
-
-Bounds: 100 |A and B| >= 90 |A or B| asks for overlap >= 9/19 of the sizes' sum. After a match at positions i and j
+1. Equal sets become one node. Nodes with the same prefix and size collapse into one group, for which one of its nodes
+   stands. Only groups are listed by prefix members; a member that a single group has makes no list.
+2. In each list a centre is paired with the other groups, in each group one node with the others. Pairs of groups that
+   the bounds on size and position leave are verified on the nodes that stand for them: bitmaps, then whole sets.
+3. Links found so far give components. Lists whose nodes are in several components need more: pairs of their groups are
+   filtered by size and position, then expanded to pairs of nodes of different components, and those that the bitmaps
+   leave are verified on their whole sets. Short lists are joined to themselves; long ones are cut into blocks, and a
+   pair of blocks is one unit of work, so no list is gathered whole, and there each pair is looked at in one list only,
+   that of the first prefix member both have. So a family of copies costs a few links a copy, not one a pair, and no
+   link between components is lost.
+
+Bounds: 100 |A and B| >= t |A or B| asks for overlap >= t / (100 + t) of the sizes' sum. After a match at positions i and j
 with none before, overlap <= min(|A| - i, |B| - j). A bitmap sets a bit for each member's hash, so the number of
 bits that two bitmaps differ in is at most the size of the sets' symmetric difference.
 
@@ -32,24 +34,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BinaryType, BooleanType, LongType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, MapType
+from pyspark.sql.window import Window
 
 from .common import stage
 from .components import components
-from .line_dedup import mix
 
 SKETCH = 1 << 16
-#: Lists up to this length are joined to themselves; longer ones are cut into blocks of about BLOCK nodes.
+#: Lists of up to SHORT nodes are joined to themselves; longer ones are cut into blocks of about BLOCK nodes.
 SHORT, BLOCK = 32, 128
-#: Nodes, of three longs each, whose texts are found by a broadcast join; more are shuffled.
+#: Different centres that lists with the same groups take.
+CENTRES = 4
+#: Nodes, of 32 bytes each, whose texts are found by a broadcast join; more are shuffled.
 MOST_BROADCAST = 500_000
+#: Stands for a null doc_id in keys.
+NO_ID = -(1 << 63)
 
 
 class Hashes(dict):
     """Hashes of words, remembered; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -58,6 +64,14 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in a row."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(30))
+
+
 def word_hashes(text: bytes | None) -> np.ndarray:
     words = (text or b"").lower().split()  # bytes: A-Z and the ASCII white space only
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -123,7 +137,8 @@ def _tied(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, tie (hash of the text), size n, node (hash of the set; null without words), group, prefix and bitmap of each document."""
+    """doc_id, tie (hash of the text), size n, node (hash of the set; null without words), grp (hash of prefix and
+    size), prefix and bitmap of each document. Both hashes have 128 bits."""
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
 
     def one(text: bytes | None):
@@ -138,96 +153,153 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
         found, at = np.unique(shingles(h, n), return_index=True)
         size = len(found)
         prefix = found[np.lexsort((found, weight[at]))[: size - -(-percent * size // 100) + 1]]
-        node = xxhash.xxh3_64_intdigest(found) - (1 << 63)
-        group = xxhash.xxh3_64_intdigest(prefix, seed=size) - (1 << 63)
-        return size, node, group, prefix.view(np.int64), bitmap(found).tobytes()
+        return size, xxhash.xxh3_128_digest(found), xxhash.xxh3_128_digest(prefix, seed=size), prefix.view(np.int64), bitmap(found).tobytes()
 
     def run(batches):
         for batch in batches:
             rows = [one(t.as_py()) for t in batch.column(1).cast(pa.binary())]
             size, node, group, prefix, bits = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "tie", "n", "node", "grp", "prefix", "bits"])
-
-    return _tied(docs).mapInArrow(run, "doc_id long, tie long, n long, node long, grp long, prefix array<long>, bits binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(group, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "tie", "n", "node", "grp", "prefix", "bits"])
 
+    return _tied(docs).mapInArrow(run, "doc_id long, tie long, n long, node binary, grp binary, prefix array<long>, bits binary")
 
-def lists(signed: DataFrame) -> DataFrame:
-    """(key, node, n, pos): the lists in which similar nodes must meet."""
-    rows = signed.where("n > 0").select("grp", "node", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = rows.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 < g1").select("key")
-    several = signed.where("n > 0").groupBy("grp").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).where("n0 < n1").select("grp")
-    own = signed.join(several, "grp").select(F.xxhash64("grp").alias("key"), "node", "n", F.lit(0).alias("pos"))
-    return rows.join(shared, "key").select("key", "node", "n", "pos").unionByName(own).distinct()
 
-
-def _may(a: str, b: str, percent: int) -> F.Column:
-    """Whether the bounds on size and position let two rows of a list be similar; their prefixes are as columns."""
-    n, p = (F.col(f"{a}n"), F.col(f"{b}n")), (F.col(f"{a}pos"), F.col(f"{b}pos"))
-    return F.least(n[0] - p[0], n[1] - p[1]) * (100 + percent) >= (n[0] + n[1]) * percent
+def distinct_nodes(signed: DataFrame) -> DataFrame:
+    """A row for each set: node, grp, n, prefix, bits, and one document that has it."""
+    same = (F.any_value(c).alias(c) for c in ("grp", "n", "prefix", "bits"))
+    return signed.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("one"), *same)
 
 
-def _side(df: DataFrame, name: str) -> DataFrame:
-    return df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "key"))
+def groups(nodes: DataFrame) -> DataFrame:
+    """A row for each group of nodes with the same prefix and size: one of its nodes stands for it; m is their number."""
+    return nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of a_node and b_node."""
-    return df.where("a_node <> b_node").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+def lists(grouped: DataFrame) -> DataFrame:
+    """(key, grp, node, m, n, pos): the lists in which similar groups must meet; keys that only one group has are dropped."""
+    rows = grouped.select("grp", "node", "m", "n", F.posexplode("prefix").alias("pos", "key"))
+    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key")
 
 
-def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """In each list, the node that matches earliest with each other node."""
-    center = rows.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("c")).select("key", F.col("c.node").alias("b_node"), F.col("c.n").alias("b_n"), F.col("c.pos").alias("b_pos"))
-    return _pairs(_side(rows, "a").join(center, "key").where(_may("a_", "b_", percent)))
-
-
-def rest_pairs(rows: DataFrame, bits: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components, in lists that have several."""
-    known = rows.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    open_ = known.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c > 2 AND c0 < c1").select("key", "c")
-    left = stage(known.join(open_, "key"), "open")
-    short = left.where(F.col("c") <= SHORT)
-    a, b = _side(short, "a"), _side(short, "b")
-    joined = a.join(b, (a["key"] == b["key"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & _may("a_", "b_", percent))
-    return _pairs(joined.select("a_node", "b_node")).unionByName(_block_pairs(left.where(F.col("c") > SHORT), bits, percent)).distinct()
+def _may(n: tuple, p: tuple, percent: int) -> F.Column:
+    """Whether the bounds on size and position let two groups of a list be similar."""
+    return F.least(n[0] - p[0], n[1] - p[1]) * (100 + percent) >= (n[0] + n[1]) * percent
 
 
-def _block_pairs(left: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """As rest_pairs for long lists: blocks by hash of the node, a task's unit being a pair of blocks."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(bits.select("node", "bits"), "node")
-    dealt = rows.select("key", "node", "n", "pos", "comp", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+def star_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Group pairs of each list's centre with its other groups, as pairs of the nodes that stand for them, and such
+    pairs within groups. Lists take one of CENTRES orders, so a family that shares many lists has several centres."""
+    turn = F.pmod("key", F.lit(CENTRES))
+    order = F.when(turn == 0, F.col("pos").cast("long")).otherwise(F.xxhash64("node", turn))
+    centre = rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n", "pos")).alias("c"))
+    across = rows.join(centre, "key").where(_may((F.col("n"), F.col("c.n")), (F.col("pos"), F.col("c.pos")), percent)).select("node", F.col("c.node").alias("other"))
+    several = nodes.groupBy("grp").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last").select("grp", "other").join(nodes, "grp").select("node", "other")
+    both = across.unionByName(several).where("node <> other")
+    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def rest_pairs(rows: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that the bounds leave, from lists with several components. A group is also
+    a list of its own."""
+    light = nodes.select("node", "grp").join(found, "node", "left").select("node", "grp", F.coalesce("component", "node").alias("comp"))
+    ends = light.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"))
+    ended = stage(rows.select("key", "grp", "n", "pos").join(ends, "grp"), "ended")
+    open_ = ended.groupBy("key").agg(F.sum("size").alias("total"), F.min("c0").alias("least"), F.max("c1").alias("most")).where("total > 2 AND least < most").select("key", "total")
+    left = stage(ended.join(open_, "key"), "open")
+    own = ends.where("size > 2 AND c0 < c1").select(F.xxhash64("grp").alias("key"), "grp", F.lit(-1).alias("pos"), F.col("size").alias("total"))
+    long = left.where(F.col("total") > SHORT).select("key", "grp", "pos", "total").unionByName(own)
+    short = _bounded(_short_pairs(left.where(F.col("total") <= SHORT), light, percent), nodes, percent)
+    return short.unionByName(_long_pairs(long, light, nodes, percent)).distinct()
+
+
+def _short_pairs(left: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups of short lists that the bounds on size and position leave, expanded to pairs of nodes; few, for
+    SHORT bounds the nodes of a list."""
+    side = lambda k: left.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("grp", "n", "pos", "c0", "c1")))
+    apart = (F.least("a_c0", "b_c0") < F.greatest("a_c1", "b_c1")) & (F.col("a_grp") < F.col("b_grp"))
+    groups_ = side("a").join(side("b"), "key").where(apart & _may((F.col("a_n"), F.col("b_n")), (F.col("a_pos"), F.col("b_pos")), percent)).select("a_grp", "b_grp").distinct()
+    member = lambda k: light.select(F.col("grp").alias(f"{k}_grp"), F.col("node").alias(f"{k}_node"), F.col("comp").alias(f"{k}_comp"))
+    both = groups_.join(member("a"), "a_grp").join(member("b"), "b_grp").where("a_comp <> b_comp")
+    return both.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
+def _long_pairs(left: DataFrame, light: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """As _short_pairs for long lists, which are cut into blocks of about BLOCK nodes. The unit of work is a pair of
+    blocks: pairs of groups are filtered by size and position first, then those left are expanded to pairs of nodes, which
+    bitmaps filter. A pair is kept only in the list of the first prefix member that both have."""
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    each = left.withColumn("blocks", blocks).join(light, "grp").join(nodes.select("node", "n", "prefix", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    before = F.slice("prefix", F.lit(1), F.greatest("pos", F.lit(0)))
+    dealt = each.select("key", (F.col("pos") < 0).cast("int").alias("alone"), "pos", "own", "node", "grp", "comp", "n", before.alias("before"), "bits", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
 
-    def run(t: pa.Table) -> pa.Table:
-        node, n, pos, comp, own = (t[c].to_numpy() for c in ("node", "n", "pos", "comp", "own"))
-        x, y = t["x"][0].as_py(), t["y"][0].as_py()
-        raw = [np.frombuffer(b, np.uint8) for b in t["bits"].to_pylist()]
-        sizes = np.array([len(b) for b in raw])
-        out = []
-        for p in np.unique(sizes):
-            for q in np.unique(sizes):
-                i, j = np.flatnonzero((own == x) & (sizes == p)), np.flatnonzero((own == y) & (sizes == q))
-                if not len(i) or not len(j):
-                    continue
-                left_n, right_n = n[i][:, None], n[j][None]
-                least = needed(left_n, right_n, percent)
-                ok = (comp[i][:, None] != comp[j][None]) & (np.minimum(left_n - pos[i][:, None], right_n - pos[j][None]) >= least)
-                if x == y:
-                    ok &= node[i][:, None] < node[j][None]
-                u, v = np.nonzero(ok)
-                size = min(p, q)
-                one = fold(np.stack([raw[k] for k in i]), size).view(np.uint64)
-                two = fold(np.stack([raw[k] for k in j]), size).view(np.uint64)
-                for s in range(0, len(u), 50_000):
-                    uu, vv = u[s : s + 50_000], v[s : s + 50_000]
-                    apart = np.bitwise_count(one[uu] ^ two[vv]).sum(1, dtype=np.int64)
-                    good = apart <= n[i][uu] + n[j][vv] - 2 * least[uu, vv]
-                    out.append((node[i][uu[good]], node[j][vv[good]]))
-        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a_node": a, "b_node": b})
-
-    return _pairs(dealt.groupBy("key", "x", "y").applyInArrow(run, "a_node long, b_node long"))
+    def run(batches):
+        for t in unit_tables(batches, ("key", "alone", "x", "y")):
+            a, b = unit_pairs(t, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return dealt.repartition("key", "alone", "x", "y").sortWithinPartitions("key", "alone", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def unit_tables(batches, keys):
+    """Tables of rows that are equal in all keys, from batches sorted by them; such runs are bounded by the blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cuts = [0, *starts.tolist(), batch.num_rows]
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = batch.slice(a, b - a)
+            if held and (i or any(held[-1].column(k)[0] != part.column(k)[0] for k in keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def unit_pairs(t: pa.Table, percent: int) -> tuple[list[bytes], list[bytes]]:
+    """Pairs of nodes of one pair of blocks: filter pairs of groups, expand them, filter pairs of nodes."""
+    node, grp = t["node"].to_pylist(), t["grp"].to_pylist()
+    code = lambda values: np.unique(np.array(values, dtype="S16"), return_inverse=True)[1]
+    name, comp, group = code(node), code(t["comp"].to_pylist()), code(grp)
+    n, pos, own = (t[c].to_numpy() for c in ("n", "pos", "own"))
+    x, y, alone = t["x"][0].as_py(), t["y"][0].as_py(), pos[0] < 0
+    of_group = np.unique(group, return_index=True)[1]
+    gn, gpos = n[of_group], pos[of_group]
+    least = needed(gn[:, None], gn[None], percent)
+    may = np.minimum(gn[:, None] - gpos[:, None], gn[None] - gpos[None]) >= least
+    may = np.eye(len(gn), dtype=bool) if alone else may & ~np.eye(len(gn), dtype=bool)  # pairs within a group belong to its own list
+    i, j = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    ok = may[group[i][:, None], group[j][None]] & (comp[i][:, None] != comp[j][None])
+    if x == y:
+        ok &= name[i][:, None] < name[j][None]
+    u, v = np.nonzero(ok)
+    if not len(u):
+        return [], []
+    raw = [np.frombuffer(b, np.uint8) for b in t["bits"].to_pylist()]
+    size = min(map(len, raw))
+    bits = np.stack([fold(r, size) for r in raw]).view(np.uint64)
+    u, v = i[u], j[v]
+    good = []
+    for s in range(0, len(u), 50_000):
+        a, b = u[s : s + 50_000], v[s : s + 50_000]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+        good.append(apart <= n[a] + n[b] - 2 * needed(n[a], n[b], percent))
+    kept = np.concatenate(good)
+    out: tuple[list[bytes], list[bytes]] = [], []
+    before = [set(p) for p in t["before"].take(of_group).to_pylist()]
+    first: dict[tuple[int, int], bool] = {}
+    for a, b in zip(u[kept].tolist(), v[kept].tolist(), strict=True):
+        g, h = int(group[a]), int(group[b])
+        if g != h and (g, h) not in first:
+            first[g, h] = before[g].isdisjoint(before[h])
+        if g == h or first[g, h]:
+            out[0].append(min(node[a], node[b]))
+            out[1].append(max(node[a], node[b]))
+    return out
 
 
 @arrow_udf(LongType())
@@ -241,15 +313,15 @@ def _apart(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs that the bitmaps leave."""
-    side = lambda k: bits.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     least = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
     return both.where(_apart("a_bits", "b_bits") <= F.col("a_n") + F.col("b_n") - 2 * least).select("a", "b")
 
 
-def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs that are similar, from the whole sets of their nodes."""
 
     @arrow_udf(BinaryType())
@@ -266,24 +338,45 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, n: int, perce
         return pa.array(out, pa.bool_())
 
     pairs = stage(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    one = stage(signed.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("k")).select("node", F.col("k.doc_id").alias("one_id"), F.col("k.tie").alias("one_tie")), "nodes")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = stage(nodes.join(wanted, "node", "left_semi").select("node", F.col("one.doc_id").alias("one_id"), F.col("one.tie").alias("one_tie")), "nodes")
     few = F.broadcast(one) if one.count() <= MOST_BROADCAST else one
     sets = _tied(docs).join(few, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("tie") == F.col("one_tie"))).select("node", set_of("text").alias("members"))
     sets = stage(sets, "sets")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("members").alias(f"{k}_set"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(similar("a_set", "b_set")).select("a", "b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(similar("a_set", "b_set")).select("a", "b")
 
 
-def joined(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
+def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures, and (node, component) of the nodes that have a link."""
     signed = stage(signatures(docs, n, percent), "signed")
-    rows = stage(lists(signed), "lists")
-    bits = stage(signed.join(rows.select("node").distinct(), "node").select("node", "n", "bits").dropDuplicates(["node"]), "bits")
-    first = stage(verified(docs, signed, _bounded(star_pairs(rows, percent), bits, percent), n, percent), "links")
-    more = _bounded(rest_pairs(rows, bits, components(first), percent), bits, percent)
-    links = first.unionByName(verified(docs, signed, more, n, percent))
-    names = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = names.select("node", "component").join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    nodes = stage(distinct_nodes(signed), "distinct")
+    rows = stage(lists(groups(nodes)), "lists")
+    first = stage(verified(docs, nodes, _bounded(star_pairs(rows, nodes, percent), nodes, percent), n, percent), "links")
+    known = components(first)
+    more = verified(docs, nodes, rest_pairs(rows, nodes, known, percent), n, percent)
+    return signed, components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document."""
+    signed, found = _linked(docs, n, percent)
+    names = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     both = signed.select("doc_id", "n", "node").join(named, "node", "left")
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the least doc_id, nulls last; of several texts
+    of one doc_id the one with the smallest hash, of repeated rows one. Rows without a word all stay. Winners are found
+    on keys; the rows themselves move once."""
+    signed, found = _linked(docs, n, percent)
+    row_id = F.coalesce("doc_id", F.lit(NO_ID))
+    worded = signed.where("n > 0").select("node", F.struct(F.col("doc_id").isNull().alias("last"), row_id.alias("_nj_id"), F.col("tie").alias("_nj_tie")).alias("k")).distinct()
+    winners = worded.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("k").alias("k")).select("k._nj_id", "k._nj_tie", F.lit(False).alias("_nj_all"))
+    empty = signed.where("n = 0").select(row_id.alias("_nj_id"), F.col("tie").alias("_nj_tie"), F.lit(True).alias("_nj_all")).distinct()
+    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_nj_id"), F.xxhash64(F.col("text").cast("string")).alias("_nj_tie"), F.struct(*docs.columns).alias("_nj_row"))
+    hashed = F.xxhash64(*(F.col(f"_nj_row.{f.name}") for f in docs.schema if not isinstance(f.dataType, MapType)))
+    rows = given.join(winners.unionByName(empty), ["_nj_id", "_nj_tie"]).withColumn("_nj_no", F.row_number().over(Window.partitionBy("_nj_id", "_nj_tie").orderBy(hashed)))
+    return rows.where("_nj_all OR _nj_no = 1").select("_nj_row.*")

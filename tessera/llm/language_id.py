@@ -4,6 +4,9 @@ Each word's script (from its letters' code ranges) leaves the languages that use
 word's byte trigrams. Viterbi over the words of a document, with a penalty for a switch, labels spans; the
 document's language is that of most letters' bytes, and `score` the share of them that its words have.
 
+Words are compared in lower case. A text with any letter gets a learned language, whatever its script: a word without a
+letter of a known script doesn't sway the path and weighs nothing, unless the text has no others.
+
 `train` counts hashed trigrams and scripts of all training rows with Spark; the model has TABLE cells for each
 learned language at most. Null texts and texts without a letter are `und` with score 0 and no spans. With no
 training rows every document is `und`. Ties go to the language first in alphabetical order. Repeated rows are
@@ -26,7 +29,7 @@ SWITCH = 12.0
 #: A script counts as a language's own from this share of its words.
 SCRIPT_SHARE = 0.01
 #: Scripts by first byte of a character in UTF-8 (0: no letter).
-SCRIPTS = {1: [range(65, 91), range(97, 123), range(0xC3, 0xCA)], 2: [range(0xCD, 0xD0)], 3: [range(0xD0, 0xD4)], 4: [range(0xD6, 0xD8)], 5: [range(0xD8, 0xDC)], 6: [range(0xE0, 0xE1)], 7: [range(0xE3, 0xE4)], 8: [range(0xE4, 0xEA)], 9: [range(0xEA, 0xEE)], 10: [range(0xE1, 0xE3), range(0xEE, 0xF5), range(0xCA, 0xCD), range(0xD4, 0xD6)]}
+SCRIPTS = {1: [range(65, 91), range(97, 123), range(0xC3, 0xCA)], 2: [range(0xCD, 0xD0)], 3: [range(0xD0, 0xD4)], 4: [range(0xD6, 0xD8)], 5: [range(0xD8, 0xE0)], 6: [range(0xE0, 0xE1)], 7: [range(0xE3, 0xE4)], 8: [range(0xE4, 0xEA)], 9: [range(0xEA, 0xEE)], 10: [range(0xE1, 0xE3), range(0xEE, 0xF5), range(0xCA, 0xCD), range(0xD4, 0xD6)]}
 _script = np.zeros(256, np.int8)
 for _s, _ranges in SCRIPTS.items():
     for _r in _ranges:
@@ -46,7 +49,7 @@ def _rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def split(text: bytes) -> list[bytes]:
-    return text.lower().split()
+    return text.decode().lower().encode().split()
 
 
 def train(docs: DataFrame) -> Model:
@@ -175,9 +178,11 @@ def label(model: Model, texts: list[bytes | None]) -> list[tuple[str, float, lis
         if n:
             share = np.bincount(own, weight[at : at + n], len(model.langs))
         at += n
-        if not share.any() or not any(c.isalpha() for c in text.decode()):
+        if not n or not any(c.isalpha() for c in text.decode()):
             out.append(("und", 0.0, []))
             continue
+        if not share.any():  # letters whose first bytes SCRIPTS doesn't know
+            share = np.bincount(own, minlength=len(model.langs))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [n]]).tolist()
         spans = [{"lang": model.langs[own[a]], "start": a, "stop": b} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         out.append((model.langs[int(share.argmax())], float(share.max() / share.sum()), spans))

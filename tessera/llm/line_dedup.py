@@ -1,22 +1,25 @@
 """Operator 7: delete later copies of repeated line runs.
 
-Each text is a sequence of line ids (hashes of its lines). Prefix doubling names the run of 2^k lines at every
-position by the names of its halves, as in the construction of a suffix array; runs of any length are equal where
-the names of the two (overlapping) runs of the next smaller power of two at their ends are. Suffixes with equal
-names at a length form the longest-common-prefix interval of that length. Names are hashes, the same in all
-tasks, so doubling itself needs no exchange (and no total order of unequal suffixes, which nothing here asks
-for); one exchange by name then finds each interval's first member, with partial aggregation.
-
-A run counts if it has `min_words` words or more. Every repeated run that counts is a union of runs that are just
-long enough, taken from each of its lines forwards or backwards; those are looked up, two a line at most. Where
-such a run also occurs before (by doc_id with nulls first, then position), its lines are deleted, so the maximal
-repeated runs go and their first copy stays whole. Lines are compared exactly; lines without a word belong to no
-run, stay, and don't part one.
-
-Rows of a frequent run are joined to one row of its interval, which Spark splits where it is hot. Null and empty
-texts stay as they are. Rows with equal doc_id and text count as one and get the same result each; of rows with
-equal doc_id and other texts, the one with the smaller hash comes first. Empty tables give empty results. All
-columns of the input are kept, inside one struct on the way, so their names can't clash.
+Each text is a sequence of line ids. A line that occurs once can't be part of a repeated run, so it only parts the
+sequences, and what is left is a small part of most tables. Over all suffixes of these sequences, distributed prefix
+doubling makes the ranks of a suffix array: at level k a suffix has the rank of its first 2^k lines among those of all
+suffixes. Level 0 ranks the distinct repeated lines; each further level ranks the distinct pairs (rank here, rank 2^k
+lines on; -1 beyond the sequence) by a sort over range partitions. A rank is a position in that order, so ranks keep
+the order of the suffixes and are equal just for equal runs.
+
+A run counts if it has `min_words` words or more. The suffixes that share their first n lines, 2^k <= n < 2^(k+1), are
+a longest-common-prefix interval of the suffix array: those with equal ranks of level k at their first line and n - 2^k
+lines on. Every repeated run that counts is a union of runs that are just long enough, taken from each of its lines
+forwards or backwards; the intervals of those are looked up, two a line at most, and none is longer than `min_words`
+lines, which bounds the levels. Where an interval also has an earlier member (by doc_id with nulls first, then
+position), the lines are deleted: so maximal repeated runs go and their first copy stays whole. Lines without a word
+belong to no run, stay, and don't part one.
+
+Lines are told apart by digests of 128 bits; all else is exact. Rows of a frequent line, pair or run are joined to one
+row, which Spark splits where it is hot. Null and empty texts stay as they are. Rows with equal doc_id and text count as
+one and get the same result each; of rows with equal doc_id and other texts, the one with the smaller hash comes
+first. Empty tables give empty results. All columns of the input are kept, inside one struct on the way, so their names
+can't clash.
 """
 
 from __future__ import annotations
@@ -24,84 +27,124 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
+
+from .common import SPACE_CHARS, stage
 
 MIN_WORDS = 50
+KEY = ["_td_id", "_td_tie"]
+LINES = "_td_id long, _td_tie long, line int, p int, words int, name binary"
+SEQUENCES = "_td_id long, _td_tie long, line array<int>, stop array<int>, r array<long>, a array<int>, n array<int>"
+
 
+def keyed(docs: DataFrame) -> list[Column]:
+    """_td_id and _td_tie, by which rows are told apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_td_id"), F.xxhash64(F.col("text").cast("string")).alias("_td_tie")]
 
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Name of two names in a row."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(30))
 
+def lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each line with a word of texts that have enough words: its number, its number among such lines, words and digest."""
 
-def runs(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, starts and stops (exclusive) of the runs of just min_words words; lines with a word are counted."""
-    lines = [(line, n) for line in text.split(b"\n") if (n := len(line.split()))]
-    sums = np.cumsum([0] + [n for _, n in lines])
-    none = np.zeros(0, np.int64)
-    if sums[-1] < min_words:
-        return none.astype(np.uint64), none, none
-    n = len(lines)
+    def run(batches):
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            at, line, p, words, names = [], [], [], [], []
+            for row, text in enumerate(batch.column(2).cast(pa.binary())):
+                found = [(i, n, x) for i, x in enumerate((text.as_py() or b"").split(b"\n")) if (n := len(x.split()))]
+                if sum(n for _, n, _ in found) >= min_words:
+                    at += [row] * len(found)
+                    line += [i for i, _, _ in found]
+                    p += range(len(found))
+                    words += [n for _, n, _ in found]
+                    names += [xxhash.xxh3_128_digest(x) for _, _, x in found]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[at], pa.int64()) for k in keys), *(pa.array(c, pa.int32()) for c in (line, p, words)), pa.array(names, pa.binary())], names=[*KEY, "line", "p", "words", "name"])
+
+    return docs.select(*keyed(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, LINES)
+
+
+def ranked(distinct: DataFrame, *order: str) -> DataFrame:
+    """The rows with r, their place in a total order, which is written down: increasing, with gaps."""
+    placed = distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("r", F.monotonically_increasing_id())
+    return stage(placed, "ranks")
+
+
+def windows(p: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines at p: where the sequence of each stops, and start and length of the runs of just min_words words."""
+    n = len(p)
+    cuts = np.flatnonzero(np.diff(p) != 1) + 1
+    begins, ends = np.append(0, cuts), np.append(cuts, n)
+    own = np.searchsorted(begins, np.arange(n), side="right") - 1
+    sums = np.concatenate([[0], np.cumsum(words)])
     stop = np.searchsorted(sums, sums[:-1] + min_words)
     start = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
-    a = np.concatenate([np.arange(n), start])
-    b = np.concatenate([stop, np.arange(1, n + 1)])
-    a, b = np.unique(np.stack([a, b])[:, (a >= 0) & (b <= n)], axis=1)
-    levels = [np.fromiter((xxhash.xxh64_intdigest(line) for line, _ in lines), np.uint64, n)]
-    while 2 << len(levels) <= (b - a).max() * 2:
-        half = 1 << (len(levels) - 1)
-        levels.append(mix(levels[-1][:-half], levels[-1][half:]))
-    names = np.zeros(len(a), np.uint64)
-    level = np.frexp((b - a).astype(float))[1] - 1
-    for k in range(len(levels)):
-        at = level == k
-        names[at] = mix(mix(levels[k][a[at]], levels[k][b[at] - (1 << k)]), (b - a)[at].astype(np.uint64))
-    return names, a, b
-
-
-def without(text: str, spans: list[dict]) -> str:
-    """The text without the lines (with a word) of the spans."""
-    lines = text.split("\n")
-    own = [i for i, line in enumerate(lines) if line.encode().split()]
-    gone = {own[i] for s in spans for i in range(s["start"], s["stop"])}
-    return "\n".join(line for i, line in enumerate(lines) if i not in gone)
-
+    a, b = np.concatenate([np.arange(n), start]), np.concatenate([stop, np.arange(1, n + 1)])
+    begin, end = np.tile(begins[own], 2), np.tile(ends[own], 2)
+    runs = np.unique(np.stack([a, b - a])[:, (a >= begin) & (b <= end)], axis=1)
+    return ends[own], runs[0], runs[1]
 
-@arrow_udf(StringType())
-def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([t if t is None or not s else without(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans to delete: _td_id, _td_tie (as in `keyed`) and _td_spans, an array of (start, stop)."""
+def sequences(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each text that has a run of repeated lines with enough words: its repeated lines, where the sequence of
+    each stops, their ranks of level 0, and starts a and lengths n of the runs to look up. All are bounded by the text."""
 
     def run(batches):
         for batch in batches:
-            ids, ties, texts = (batch.column(i) for i in range(3))
-            found = [runs(t or b"", min_words) for t in texts.cast(pa.binary()).to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            names, a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.uint64).view(np.int64)), ids.take(pa.array(at)), ties.take(pa.array(at)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["name", "_td_id", "_td_tie", "start", "stop"])
+            rows = []
+            for own in batch.to_pylist():
+                found = sorted(own["own"], key=lambda x: x["p"])
+                stop, a, n = windows(np.array([x["p"] for x in found]), np.array([x["words"] for x in found]), min_words)
+                if len(a):
+                    rows.append({"_td_id": own["_td_id"], "_td_tie": own["_td_tie"], "line": [x["line"] for x in found], "stop": stop.tolist(), "r": [x["r"] for x in found], "a": a.tolist(), "n": n.tolist()})
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    out = pa.schema([("_td_id", pa.int64()), ("_td_tie", pa.int64()), ("line", pa.list_(pa.int32())), ("stop", pa.list_(pa.int32())), ("r", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+    every = stage(lines(docs, min_words), "lines")
+    names = ranked(every.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name"), "name")
+    own = every.join(names, "name").groupBy(*KEY).agg(F.collect_set(F.struct("p", "line", "words", "r")).alias("own"), F.sum("words").alias("words"))
+    return own.where(F.col("words") >= min_words).drop("words").mapInArrow(run, SEQUENCES)
+
+
+def doubled(found: DataFrame, half: int) -> DataFrame:
+    """The sequences that have longer runs to look up, with ranks of twice as many lines."""
+    longer = found.where(F.exists("n", lambda x: x >= 2 * half))
+    pairs = longer.selectExpr(*KEY, f"inline(transform(r, (v, i) -> struct(i, v AS x, if(i + {half} < stop[i], r[i + {half}], -1L) AS y)))").toDF(*KEY, "i", "x", "y")
+    names = ranked(pairs.select("x", "y").distinct(), "x", "y")
+    new = pairs.join(names, ["x", "y"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "r"))).alias("own"))
+    return longer.drop("r").join(new.select(*KEY, F.col("own.r").alias("r")), KEY)
+
+
+def intervals(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each run to look up: its text, first and last line, and the interval it belongs to (n, x, y)."""
+    found, half, every = stage(sequences(docs, min_words), "sequences"), 1, None
+    while every is None or not found.isEmpty():
+        runs = f"filter(arrays_zip(a, n), w -> w.n >= {half} AND w.n < {2 * half})"
+        of_level = found.selectExpr(*KEY, f"inline(transform({runs}, w -> struct(line[w.a] AS first, line[w.a + w.n - 1] AS last, w.n AS n, r[w.a] AS x, r[w.a + w.n - {half}] AS y)))")
+        of_level = of_level.toDF(*KEY, "first", "last", "n", "x", "y")
+        every = of_level if every is None else every.unionByName(of_level)
+        found, half = stage(doubled(found, half), "sequences"), 2 * half
+    return every
 
-    windows = keyed(docs).select("_td_id", "_td_tie", F.col("text").cast("string").alias("text")).mapInArrow(run, "name long, _td_id long, _td_tie long, start int, stop int")
-    place = F.struct("_td_id", "_td_tie", "start")
-    first = windows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("name", "first")
-    later = windows.join(first, "name").where(place > F.col("first"))
-    return later.groupBy("_td_id", "_td_tie").agg(F.collect_set(F.struct("start", "stop")).alias("_td_spans"))
 
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Lines to delete: _td_id, _td_tie and _td_spans, an array of (first, last) line."""
+    runs = stage(intervals(docs, min_words), "intervals")
+    place = F.struct(*KEY, "first")
+    earliest = runs.groupBy("n", "x", "y").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("n", "x", "y", "least")
+    later = runs.join(earliest, ["n", "x", "y"]).where(place > F.col("least"))
+    return later.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("_td_spans"))
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """_td_id and _td_tie, by which rows are told apart, and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_td_id"), F.xxhash64("text").alias("_td_tie"), "text", F.struct(*docs.columns).alias("_td_row"))
+
+def without(text: Column, spans: Column) -> Column:
+    """The text without the lines (with a word) of the spans."""
+    has_word = lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0
+    gone = lambda x, i: has_word(x) & F.exists(spans, lambda s: (i >= s["first"]) & (i <= s["last"]))
+    return F.when(spans.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~gone(x, i)), "\n"))
 
 
 def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated runs gone from `text`; all columns stay."""
-    both = keyed(docs).join(repeated(docs, min_words), ["_td_id", "_td_tie"], "left")
-    return both.select(F.col("_td_row").withField("text", _without(F.col("text"), F.col("_td_spans"))).alias("_td_row")).select("_td_row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    row = docs.select(*keyed(docs), F.col("text").cast("string").alias("_td_text"), F.struct(*rest).alias("_td_row"))
+    both = row.join(repeated(docs, min_words), KEY, "left").select("_td_row", without(F.col("_td_text"), F.col("_td_spans")).alias("_td_text"))
+    return both.select(*(F.col("_td_text" if c == "text" else f"_td_row.{c}").alias(c) for c in docs.columns))

@@ -39,24 +39,30 @@ def default_tokenizer() -> str:
 
 @functools.lru_cache(2)
 def encoder(path: str):
-    """Function from text to ids: for a tokenizers file whose ranks lie beside it, tiktoken on the same
-    vocabulary, which gives the same ids in a quarter of the time; else the tokenizers library itself."""
+    """Function from text to the ids that the tokenizers library gives without special tokens around the text; added
+    tokens within it, such as `<|endoftext|>`, get their own ids. For a tokenizers file whose ranks lie beside it,
+    tiktoken on the same vocabulary gives these in a quarter of the time."""
     import base64
+    import json
     import os
 
     import public_tokenizers
 
     ranks = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks):
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+    if os.path.exists(ranks) and plain:
         import tiktoken
 
         with open(ranks, "rb") as f:
             vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
+        special = {t["content"]: t["id"] for t in added}
+        t = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens=special)
+        return lambda text: t.encode(text, allowed_special="all") if any(x in text for x in special) else t.encode_ordinary(text)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 

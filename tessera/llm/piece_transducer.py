@@ -1,15 +1,19 @@
 """Operator 9: SentencePiece encoding and decoding by weighted transducers.
 
-Three transducers are composed: the normaliser (a space becomes U+2581, one is put in front), the pieces (a trie
-from characters to piece ids) and byte fallback (a character without a piece becomes its UTF-8 bytes). The
-composition with an input is a lattice over its positions; its tropical shortest path is the encoding.
+Three transducers are compiled from a model: the normaliser (a space becomes U+2581, one is put in front), the pieces (a
+trie from characters to piece ids, each piece with a weight) and byte fallback (a character without a piece becomes its
+UTF-8 bytes). They are composed with an input lazily, and `shortest` relaxes the arcs of each position from left to right, with costs added along a path and the least kept at a state (the
+tropical semiring), so the work grows with the length of the text times that of the longest piece.
 
-For a BPE model the score of a path isn't a sum of piece scores: a piece may follow another only if merging the
-two together gives these two again, and a sequence whose neighbours all satisfy this is the one that merging
-the whole text gives. So states are the last pieces, arcs weigh 0 where the pair is stable and infinity where it
-isn't, and just one path of finite weight reaches each position. Pairs are tried once and remembered. No piece
-of such a model has a space mark after another character, nor a character without a piece, so the input is cut
-there and each different segment is composed once per worker. Models of any other kind are refused.
+The states at a position differ by kind of model. For a unigram model an arc weighs its piece's negative score, and a
+position has one state. For a BPE model the score of a path isn't a sum of piece scores: a piece may follow another only
+if merging the two together gives these two again, and a sequence whose neighbours all satisfy this is the one that
+merging the whole text gives. So a state is the last piece, and an arc weighs 0 where the pair is stable and infinity
+where it isn't. Pairs are tried once and remembered.
+
+No piece has a space mark after another character, so the input is cut before such marks and each short segment
+is composed once per worker and remembered, within a bound in bytes. Models with another normalisation than the
+identity, without byte fallback or with a space inside a piece are refused.
 
 Null and empty texts have no ids. Repeated rows are encoded each. Only doc_id and text are read, so further
 columns can't clash. Empty tables give empty results.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import re
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 SPACE = "▁"
 END = ""
+#: Bytes that remembered segments take, and pairs that are remembered, until they are forgotten; longer segments aren't remembered.
+KNOWN_BYTES, KNOWN_PAIRS, SHORT = 96 << 20, 400_000, 48
+#: How much worse than the worst piece a character without one is, in a unigram model.
+UNKNOWN = 10.0
 
 
 def default_model() -> str:
@@ -36,14 +45,15 @@ def default_model() -> str:
 
 
 class Transducer:
-    """Pieces with their scores, compiled."""
+    """Normaliser, pieces and byte fallback, compiled."""
 
-    def __init__(self, pieces: list[tuple[str, float]], bytes_from: int):
+    def __init__(self, pieces: list[tuple[str, float]], bytes_from: int, bpe: bool = True):
         """pieces: (text, score) by id; ids bytes_from to bytes_from + 255 are the bytes; control pieces are empty."""
-        self.raw, self.bytes_from = [p.encode() for p, _ in pieces], bytes_from
+        self.raw, self.bytes_from, self.bpe = [p.encode() for p, _ in pieces], bytes_from, bpe
         self.raw[bytes_from : bytes_from + 256] = [bytes([b]) for b in range(256)]
         self.score = {p: s for p, s in pieces if p}
         self.id = {p: i for i, (p, _) in enumerate(pieces) if p}
+        self.fallback = 0.0 if bpe else UNKNOWN - min(self.score.values(), default=0.0)
         self.trie: dict = {}
         for p in self.id:
             node = self.trie
@@ -52,12 +62,16 @@ class Transducer:
             node[END] = p
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("pieces with a space after another character aren't handled")
-        if any(c not in self.id for p in self.id for c in p if len(p) > 1 and c != SPACE):
-            raise ValueError("each character of a piece must be a piece")
-        self.stable: dict[str, dict[str, bool]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        inside = "".join(sorted({c for p in self.id for c in p} - {SPACE}))
-        self.segment = re.compile(f"{SPACE}*[{re.escape(inside)}]+|{SPACE}+|.", re.DOTALL)
+        if bpe and any(c not in self.id for p in self.id for c in p if len(p) > 1 and c != SPACE):
+            raise ValueError("each character of a BPE piece must be a piece")
+        self.stable: dict[str, dict[str, float]] = {}
+        self.pairs, self.known, self.known_bytes = 0, {}, 0
+        self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+    @staticmethod
+    def normalised(text: str) -> str:
+        """The first transducer: one state that puts a mark in front, then maps spaces to marks and the rest to itself."""
+        return SPACE + text.replace(" ", SPACE) if text else ""
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge neighbours, best score first, leftmost of equals, until no more pieces result."""
@@ -71,63 +85,70 @@ class Transducer:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether the arc from last piece a (empty: none) to b has weight 0; remembered."""
-        self.stable[a][b] = found = self.merge([*a, *b]) == ([a, b] if a else [b])
-        return found
-
-    def arcs(self, segment: str, i: int) -> list[str]:
-        """Pieces that begin at a position, the longest last."""
-        node, found = self.trie, []
-        for c in segment[i:]:
-            if (node := node.get(c)) is None:
-                break
-            if (b := node.get(END)) is not None:
-                found.append(b)
+    def follows(self, a: str, row: dict[str, float], b: str) -> float:
+        """Weight of the arc from last piece a (empty: none, or a character without a piece) to b in a BPE model; remembered in a's row."""
+        self.pairs += 1
+        if self.pairs > KNOWN_PAIRS:
+            self.stable.clear()
+            self.pairs = 0
+        row[b] = found = 0.0 if self.merge([*a, *b]) == ([a, b] if a else [b]) else inf
         return found
 
-    def shortest(self, segment: str) -> tuple[int, ...]:
-        """The path of finite weight through the lattice of one segment, as ids: long pieces are tried first,
-        and a position from which no path leads on is left for good, for only one path reaches it."""
-        n, i, a, path, dead = len(segment), 0, "", [], set()
-        options = [self.arcs(segment, 0)]
-        while i < n:
-            row = self.stable.get(a)
-            if row is None:
-                row = self.stable[a] = {}
-            ways = options[-1]
-            while ways:
-                b = ways.pop()
-                if i + len(b) not in dead:
-                    ok = row.get(b)
-                    if ok or ok is None and self.follows(a, b):
-                        path.append(b)
-                        i, a = i + len(b), b
-                        options.append(self.arcs(segment, i))
-                        break
+    def shortest(self, text: str) -> list[str]:
+        """Labels of the least path through the composition of pieces and fallback with a normalised text. From each
+        position that a path of finite cost reaches, its arcs are expanded: the pieces that begin there and, where its
+        character has no piece, that character."""
+        n, score, stable, bpe, trie = len(text), self.score, self.stable, self.bpe, self.trie
+        cost, label = [0.0] + [inf] * n, [""] * (n + 1)
+        for i in range(n):
+            here = cost[i]
+            if here == inf:
+                continue
+            if bpe:
+                last = label[i] if label[i] in score else ""
+                row = stable.get(last)
+                if row is None:
+                    row = stable[last] = {}
+            node, j = trie, i
+            while j < n and (node := node.get(text[j])) is not None:
+                j += 1
+                b = node.get(END)
+                if b is not None:
+                    if bpe:
+                        weight = row.get(b)
+                        if weight is None:
+                            weight = self.follows(last, row, b)
+                    else:
+                        weight = -score[b]
+                    if here + weight < cost[j]:
+                        cost[j], label[j] = here + weight, b
+            if text[i] not in score and (weight := here + self.fallback) < cost[i + 1]:
+                cost[i + 1], label[i + 1] = weight, text[i]
+        path = []
+        while n:
+            path.append(label[n])
+            n -= len(label[n])
+        return path[::-1]
+
+    def compose(self, segment: str) -> list[int]:
+        """Ids of a normalised segment; remembered where it is short."""
+        ids: list[int] = []
+        for b in self.shortest(segment):
+            if (known := self.id.get(b)) is not None:
+                ids.append(known)
             else:
-                dead.add(i)
-                options.pop()
-                i -= len(path.pop())
-                a = path[-1] if path else ""
-        return tuple(map(self.id.__getitem__, path))
-
-    def compose(self, segment: str) -> tuple[int, ...]:
-        if len(segment) == 1 and segment not in self.id:
-            found = tuple(self.bytes_from + b for b in segment.encode("utf-8", "surrogatepass"))
-        else:
-            found = self.shortest(segment)
-        if len(self.known) > 800_000:
-            self.known.clear()
-        self.known[segment] = found
-        return found
+                ids += (self.bytes_from + x for x in b.encode("utf-8", "surrogatepass"))
+        if len(segment) <= SHORT:
+            self.known_bytes += 240 + 2 * len(segment) + 8 * len(ids)
+            if self.known_bytes > KNOWN_BYTES:
+                self.known, self.known_bytes = {}, 0
+            self.known[segment] = tuple(ids)
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        known, compose, ids = self.known, self.compose, []
-        for segment in self.segment.findall(SPACE + text.replace(" ", SPACE)):
-            ids += known.get(segment) or compose(segment)
+        ids: list[int] = []
+        for segment in self.segment.findall(self.normalised(text)):
+            ids += self.known.get(segment) or self.compose(segment)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -146,7 +167,10 @@ def transducer(path: str) -> Transducer:
     if sp.normalize("ﬁ  a ") != f"{SPACE}ﬁ{SPACE}{SPACE}a{SPACE}" or not any(sp.is_byte(i) for i in range(n)):
         raise ValueError("a model with identity normalisation and byte fallback is needed")
     silent = lambda i: sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)
-    return Transducer([("" if silent(i) else sp.id_to_piece(i), sp.get_score(i)) for i in range(n)], next(i for i in range(n) if sp.is_byte(i)))
+    pieces = [("" if silent(i) else sp.id_to_piece(i), sp.get_score(i)) for i in range(n)]
+    scores = [s for p, s in pieces if p]
+    bpe = all(s <= 0 and float(s).is_integer() for s in scores)  # a BPE model numbers its merges; the scores of others are logarithms
+    return Transducer(pieces, next(i for i in range(n) if sp.is_byte(i)), bpe)
 
 
 def encoder(model: str | None = None):

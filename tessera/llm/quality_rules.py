@@ -1,10 +1,13 @@
 """Operator 6: quality rules whose thresholds follow each language and source.  DataFrame functions only.
 
-`base_stats` counts, in one row-local expression, words, symbols, repeated lines and repeated five-word windows.
-`sketches` holds each rule's distribution per (language, source) as counts on a fixed grid of per-mille values:
-a quantile sketch that merges by adding counts, has at most 1001 cells and errs by at most 1/1000. Sources with
-few documents use the merged sketch of their language, languages with few that of all documents. A document
-passes a rule if its value is at most Q3 + 3 (Q3 - Q1) + slack of its sketch, and is kept if it passes all.
+`base_stats` counts, in one row-local expression, words, marks, repeated lines and repeated five-word windows.
+`sketches` holds each rule's distribution per (language, source) over the documents that pass the base rule, as counts
+on a fixed grid: a quantile sketch that merges by adding counts, has at most 1001 cells and errs by at most one cell.
+A rule's fence is read off the sketch: from its upper quantile, which most documents stay below, the distance to the
+median is stepped off a few times more, and one cell for the grid. Every source's fence is drawn towards that of its
+language, and a language's towards that of all documents, as if SHRINK further documents had that one: so a small
+source has nearly its language's fence, a large one its own, and no size switches between them. The small table of
+fences is joined to the documents by language and source; one is kept if it passes all its fences and the base rule.
 
 Null text has no words and fails the base rule, as do empty texts; null lang and source are groups of their
 own. Repeated rows are kept apart and counted as often as they occur. Only doc_id, text, lang and source are
@@ -20,16 +23,18 @@ from pyspark.sql.window import Window
 from .common import SPACE_CHARS, let, stage, words
 
 WINDOW = 5
-#: Rule, its numerator and denominator, and the slack in per mille above the fence.
+#: Rule, its value on the grid (SQL of both engines, but for the division), upper quantile in percent, and the steps of
+#: the distance from the median to it that a document may lie beyond it.
 RULES = {
-    "symbols": ("n_symbols", "word_chars", 20),
-    "capitals": ("n_capitals", "word_chars", 100),
-    "exclamations": ("n_exclamations", "word_chars", 20),
-    "dup_lines": ("n_dup_lines", "n_lines", 350),
-    "repeats": ("n_repeat_words", "n_words", 200),
+    "marks": ("n_marks * 1000", "word_chars", 90, 5),
+    "capitals": ("n_capitals * 1000", "word_chars", 90, 6),
+    "long_words": ("word_chars * 10", "n_words", 90, 6),
+    "dup_lines": ("n_dup_lines * 1000", "n_lines", 99, 4),
+    "repeats": ("n_repeat_words * 1000", "n_words", 95, 8),
 }
-MIN_GROUP = 200
+SHRINK = 200
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -74,52 +79,62 @@ def base_stats(docs: DataFrame, *more: Column) -> DataFrame:
         _without(text, SPACE_CHARS).cast("long").alias("word_chars"),
         (F.length(text) - _without(text, "#*$%&|<>")).cast("long").alias("n_symbols"),
         (F.length(text) - _without(text, CAPITALS)).cast("long").alias("n_capitals"),
-        (F.length(text) - _without(text, "!")).cast("long").alias("n_exclamations"),
+        (F.length(text) - _without(text, MARKS)).cast("long").alias("n_marks"),
         let(words(text), of_words).alias("w"), let(lines, of_lines).alias("l"),
     )
     return counted.select(*(c for c in counted.columns if c not in "wl"), "w.*", "l.*")
 
 
-def per_mille(rule: str) -> Column:
-    top, bottom, _ = RULES[rule]
-    return F.expr(f"{top} * 1000 div greatest({bottom}, 1)")
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+
+
+def on_grid(rule: str) -> Column:
+    top, bottom, *_ = RULES[rule]
+    return F.expr(f"least({top} div greatest({bottom}, 1), 1000)")
 
 
 def sketches(stats: DataFrame) -> DataFrame:
     """Counts per level, lang, source, rule and value; level 0 has lang and source, 1 lang only, 2 neither."""
-    cells = stats.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), per_mille(r).alias("value")) for r in RULES))).alias("c"))
+    cells = stats.where(~base_failed()).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), on_grid(r).alias("value")) for r in RULES))).alias("c"))
     fine = cells.groupBy("lang", "source", "c.rule", "c.value").agg(F.count(F.lit(1)).alias("n"))
     merged = lambda level, *keys: fine.groupBy(*keys, "rule", "value").agg(F.sum("n").alias("n")).withColumn("level", F.lit(level))
     return fine.withColumn("level", F.lit(0)).unionByName(merged(1, "lang"), allowMissingColumns=True).unionByName(merged(2), allowMissingColumns=True)
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """The highest value that passes, per level, lang, source and rule."""
+    """The highest value that passes by its own sketch, per level, lang, source and rule, and the sketch's total."""
     group = Window.partitionBy("level", "lang", "source", "rule")
     ranked = sketch.withColumn("below", F.sum("n").over(group.orderBy("value"))).withColumn("total", F.sum("n").over(group))
-    at = ranked.groupBy("level", "lang", "source", "rule").agg(F.max("total").alias("total"), *(F.min(F.when(F.col("below") * 4 >= F.col("total") * q, F.col("value"))).alias(f"q{q}") for q in (1, 3)))
-    slack = F.create_map(*(F.lit(x) for r, v in RULES.items() for x in (r, v[2])))
-    return at.select("level", "lang", "source", "rule", "total", (F.col("q3") * 4 - F.col("q1") * 3 + slack[F.col("rule")]).alias("fence"))
+    of_rule = lambda i: F.create_map(*(F.lit(x) for r, v in RULES.items() for x in (r, v[i])))[F.col("rule")]
+    quantile = lambda percent: F.min(F.when(F.col("below") * 100 >= F.col("total") * percent, F.col("value")))
+    at = ranked.groupBy("level", "lang", "source", "rule").agg(F.max("total").alias("total"), quantile(of_rule(2)).alias("upper"), quantile(F.lit(50)).alias("middle"))
+    return at.select("level", "lang", "source", "rule", "total", (F.col("upper") + of_rule(3) * (F.col("upper") - F.col("middle")) + 1).alias("fence"))
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
-    """A row for each language and source: the fence of each rule, from the finest sketch with MIN_GROUP rows."""
-    found = fences(sketches(stats)).groupBy("level", "lang", "source").agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"))
+    """A row for each language and source: the fence of each rule, drawn towards those of the merged sketches."""
+    found = fences(sketches(stats))
     level = lambda n: found.where(F.col("level") == n)
-    enough = lambda n: F.when(F.col(f"t{n}") >= MIN_GROUP, F.col(f"f{n}"))
-    a = level(0).select("lang", "source", F.col("total").alias("t0"), F.col("fences").alias("f0"))
-    b = level(1).select(F.col("lang").alias("lang1"), F.col("total").alias("t1"), F.col("fences").alias("f1"))
-    c = level(2).select(F.col("fences").alias("f2"))
-    return a.join(b, F.col("lang").eqNullSafe(F.col("lang1")), "left").crossJoin(F.broadcast(c)).select("lang", "source", F.coalesce(enough(0), enough(1), F.col("f2")).alias("fences"))
+    a = level(0).select("lang", "source", "rule", F.col("total").alias("n0"), F.col("fence").alias("f0"))
+    b = level(1).select(F.col("lang").alias("lang1"), F.col("rule").alias("rule1"), F.col("total").alias("n1"), F.col("fence").alias("f1"))
+    c = level(2).select(F.col("rule").alias("rule2"), F.col("fence").alias("f2"))
+    both = a.join(b, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("rule") == F.col("rule1"))).join(c, F.col("rule") == F.col("rule2"))
+    drawn = both.withColumn("f1", F.expr(f"(n1 * f1 + {SHRINK} * f2) div (n1 + {SHRINK})")).withColumn("fence", F.expr(f"(n0 * f0 + {SHRINK} * f1) div (n0 + {SHRINK})"))
+    return drawn.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"))
 
 
 def judged(docs: DataFrame, *more: Column) -> DataFrame:
     """Counts and verdict of each document, and further columns asked for."""
     stats = stage(base_stats(docs, *more), "stats")
-    limit = thresholds(stats).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fences")
+    limit = stage(thresholds(stats).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fences"), "fences")
     both = stats.join(limit, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     passes = F.lit(True)
     for rule in RULES:
-        passes &= per_mille(rule) <= F.col("fences")[rule]
-    return both.select(*stats.columns, failed.alias("base_failed"), (~failed & passes).alias("kept"))
+        passes &= on_grid(rule) <= F.col("fences")[rule]
+    return both.select(*stats.columns, base_failed().alias("base_failed"), (~base_failed() & passes).alias("kept"))
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that are kept. Each row goes beside its counts, so none is looked up again."""
+    return judged(docs, F.struct(*docs.columns).alias("_qr_row")).where("kept").select("_qr_row.*")

@@ -26,7 +26,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+    return jaccard_join.joined(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,31 +96,33 @@ SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def op6_sql() -> str:
-    rules = " UNION ALL ".join(f"SELECT lang, source, doc_id, '{r}' AS rule, {a} * 1000 // greatest({b}, 1) AS value, {s} AS slack FROM stats" for r, (a, b, s) in quality_rules.RULES.items())
-    least = quality_rules.MIN_GROUP
+    rules = " UNION ALL ".join(f"SELECT lang, source, doc_id, base_failed, '{r}' AS rule, least({a} // greatest({b}, 1), 1000) AS value, {q} AS q, {k} AS k FROM stats" for r, (a, b, q, k) in quality_rules.RULES.items())
+    drawn = lambda n, own, to: f"({n} * {own} + {quality_rules.SHRINK} * {to}) // ({n} + {quality_rules.SHRINK})"
+    marks = quality_rules.MARKS.replace("'", "''")
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {SQL_WORDS} AS words FROM documents),
 grams AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
 twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams JOIN twice USING (doc_id, g), (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: len(translate(x, {SQL_BLANKS}, '')) > 0) AS ls FROM w),
-stats AS (
+counted AS (
   SELECT w.doc_id, lang, source, len(words) AS n_words, len(translate(text, {SQL_BLANKS}, '')) AS word_chars,
     len(text) - len(translate(text, '#*$%&|<>', '')) AS n_symbols, len(text) - len(translate(text, '{quality_rules.CAPITALS}', '')) AS n_capitals,
-    len(text) - len(replace(text, '!', '')) AS n_exclamations, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    len(text) - len(translate(text, '{marks}', '')) AS n_marks, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM w JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN covered ON covered.doc_id = w.doc_id),
+stats AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM counted),
 cells AS ({rules}),
-sketch AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, rule, value, any_value(slack) AS slack, count(*) AS n FROM cells
+sketch AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, rule, value, any_value(q) AS q, any_value(k) AS k, count(*) AS n FROM cells WHERE NOT base_failed
   GROUP BY GROUPING SETS ((lang, source, rule, value), (lang, rule, value), (rule, value))),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY value) AS below, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM sketch),
-fences AS (SELECT level, lang, source, rule, max(total) AS total,
-    4 * min(CASE WHEN below * 4 >= total * 3 THEN value END) - 3 * min(CASE WHEN below * 4 >= total THEN value END) + max(slack) AS fence
-  FROM ranked GROUP BY ALL),
-verdict AS (SELECT c.doc_id, bool_and(c.value <= CASE WHEN a.total >= {least} THEN a.fence WHEN b.total >= {least} THEN b.fence ELSE g.fence END) AS passes
-  FROM cells c JOIN fences a ON a.level = 0 AND a.rule = c.rule AND a.lang IS NOT DISTINCT FROM c.lang AND a.source IS NOT DISTINCT FROM c.source
-  JOIN fences b ON b.level = 1 AND b.rule = c.rule AND b.lang IS NOT DISTINCT FROM c.lang JOIN fences g ON g.level = 2 AND g.rule = c.rule GROUP BY c.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passes AS kept
-FROM (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM stats) JOIN verdict USING (doc_id)"""
+spread AS (SELECT level, lang, source, rule, max(k) AS k, max(total) AS total, min(CASE WHEN below * 100 >= total * q THEN value END) AS upper, min(CASE WHEN below * 100 >= total * 50 THEN value END) AS middle FROM ranked GROUP BY level, lang, source, rule),
+own AS (SELECT *, upper + k * (upper - middle) + 1 AS fence FROM spread),
+fences AS (SELECT a.lang, a.source, a.rule, {drawn("a.total", "a.fence", "(" + drawn("b.total", "b.fence", "g.fence") + ")")} AS fence
+  FROM own a JOIN own b ON a.level = 0 AND b.level = 1 AND a.rule = b.rule AND a.lang IS NOT DISTINCT FROM b.lang JOIN own g ON g.level = 2 AND g.rule = a.rule),
+verdict AS (SELECT c.doc_id, bool_and(c.value <= f.fence) AS passes FROM cells c
+  LEFT JOIN fences f ON f.rule = c.rule AND f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source GROUP BY c.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(passes, false) AS kept
+FROM stats JOIN verdict USING (doc_id)"""
 
 
 

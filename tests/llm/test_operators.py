@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -61,13 +62,13 @@ def random_texts(seed, families=5, size=120):
     return [" ".join(w) for w in out]
 
 
-def shingle_set(text):
+def shingle_set(text, n=3):
     w = (text or "").encode().lower().split()
-    return set(zip(w, w[1:], w[2:])) if len(w) > 2 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def brute_components(texts):
-    sets, parent = [shingle_set(t) for t in texts], list(range(len(texts)))
+def brute_components(texts, n=3, percent=90):
+    sets, parent = [shingle_set(t, n) for t in texts], list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
@@ -78,7 +79,7 @@ def brute_components(texts):
         for j in range(i):
             if sets[i] and sets[j]:
                 both = len(sets[i] & sets[j])
-                if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     a, b = find(i), find(j)
                     parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
@@ -86,13 +87,14 @@ def brute_components(texts):
 
 def test_jaccard_join_finds_the_components(spark):
     texts = random_texts(1) + ["", None, "a", "A", "a b", "a  B\n"]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(table(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(table(spark, texts), n=3, percent=90).collect()}
     assert got == brute_components(texts)
 
 
 def test_jaccard_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHORT", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "CENTRES", 1)
     monkeypatch.setattr(jaccard_join, "MOST_BROADCAST", 3)
     rng = random.Random(5)
     base = [f"w{rng.randrange(900)}" for _ in range(150)]
@@ -102,12 +104,46 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
         for _ in range(rng.randrange(0, 7)):
             w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
         texts.append(" ".join(w))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(table(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(table(spark, texts), n=3, percent=90).collect()}
     assert got == brute_components(texts)
 
 
+def test_jaccard_join_looks_at_group_pairs_first(spark, monkeypatch):
+    """Equal prefixes and sizes make one group; texts that differ beyond the prefix are told apart when it is expanded."""
+    rare = " ".join(f"rare{i}" for i in range(12))
+    texts = [f"{rare} " + " ".join(f"often{(i * k) % 7}" for i in range(40)) for k in range(1, 7)] + [" ".join(f"often{i % 7}" for i in range(40 + j)) for j in range(30)]
+    signed = jaccard_join.signatures(table(spark, texts), 5, 80)
+    nodes = jaccard_join.distinct_nodes(signed)
+    grouped = jaccard_join.groups(nodes)
+    assert grouped.agg(F.sum("m")).first()[0] == nodes.count()
+    for r in grouped.collect():
+        assert nodes.where(F.col("grp") == F.lit(r.grp)).count() == r.m
+    rows = jaccard_join.lists(grouped).collect()
+    assert rows and len({(r.key, r.grp) for r in rows}) == len(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(table(spark, texts)).collect()}
+    assert got == brute_components(texts, 5, 80)
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_jaccard_join_of_families_without_a_centre(spark, monkeypatch, seed):
+    """Copies of copies: hardly any is close to all; groups of several nodes and blocks of few rows."""
+    monkeypatch.setattr(jaccard_join, "SHORT", seed % 2 * 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(seed)
+    texts = []
+    for f in range(3):
+        own = [f"f{f}w{rng.randrange(400)}" for _ in range(80)]
+        for _ in range(40):
+            own = list(rng.choice([own, own, texts[-1].split() if texts and texts[-1].startswith(f"f{f}") else own]))
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(1, len(own))] = f"v{rng.randrange(30)}"
+            texts.append(" ".join(own))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(table(spark, texts)).collect()}
+    assert got == brute_components(texts, 5, 80)
+
+
 def test_jaccard_join_edges(spark):
-    rows = jaccard_join.joined(messy(spark)).collect()
+    rows = jaccard_join.joined(messy(spark), n=3, percent=90).collect()
     assert len(rows) == messy(spark).count()
     assert {r.component_id for r in rows if r.doc_id in (6, 7) or r.doc_id is None} == {6}
     assert all(r.n_shingles == 0 and r.component_id == r.doc_id for r in rows if r.doc_id in (0, 1, 2, 9))
@@ -121,35 +157,44 @@ def test_components_of_a_long_chain(spark):
 
 def brute_winnow(hashes, window):
     out = []
-    for s in range(max(1, len(hashes) - window + 1)):
-        part = hashes[s : s + window]
-        at = max(j for j, x in enumerate(part) if x == min(part)) + s
+    for s in range(1 - window, len(hashes)):
+        part = [(hashes[j], -j) for j in range(max(s, 0), min(s + window, len(hashes)))]
+        at = -min(part)[1]
         if not out or out[-1] != at:
             out.append(at)
-    return out if hashes else []
+    return out
 
 
 def test_winnowing_selects_rightmost_minima(spark):
     rng = random.Random(2)
-    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, 4, 5, 6, 20, 21, 60)] + random_texts(3)[:10]
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, 2, 3, 4, 10, 11, 60)] + random_texts(3)[:10] + ["日本語のテキスト abc", "x" * 100]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [x.pos for x in r.p] for r in df.select("doc_id", winnowing.positions(winnowing.selected(F.col("text"))).alias("p")).collect()}
+    pair = lambda a, b: F.xxhash64(F.xxhash64(a), F.xxhash64(b))
     for i, t in enumerate(texts):
-        w = t.split()
-        grams = [tuple(w[j : j + 5]) for j in range(len(w) - 4)] if len(w) >= 5 else []
+        w = [u for x in re.findall(r"[\u3040-\u9fff]|[^\s\u3040-\u9fff]+", t) for u in ([x[j : j + 24] for j in range(0, len(x), 24)])]
+        grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
         if grams:
-            hashed = spark.createDataFrame([(j, *g) for j, g in enumerate(grams)], "j int, a string, b string, c string, d string, e string").select("j", F.xxhash64("a", "b", "c", "d", "e").alias("h")).orderBy("j").collect()
-            assert got[i] == brute_winnow([r.h >> 24 for r in hashed], 16)
+            hashed = spark.createDataFrame([(j, *g) for j, g in enumerate(grams)], "j int, a string, b string, c string").select("j", F.xxhash64(pair("a", "b"), pair("b", "c")).alias("h")).orderBy("j").collect()
+            assert got[i] == brute_winnow([r.h >> 30 for r in hashed], 8), t
         else:
             assert got[i] == ([0] if w else [])
 
 
+def test_edited_short_and_unspaced_texts_stay_alike(spark):
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in range(7, 60)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in range(7, 60)] + ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in range(160, 400, 40)]
+    for r in winnowing.compared(table(spark, texts)).collect():
+        assert r.near_edited > 0 and r.near_next < 1, texts[r.doc_id]
+
+
 def test_winnowing_finds_shared_runs(spark):
     rng = random.Random(4)
     for _ in range(5):
-        shared = [f"s{rng.randrange(10**6)}" for _ in range(20)]
+        shared = [f"s{rng.randrange(10**6)}" for _ in range(10)]
         a, b = ([f"{p}{rng.randrange(10**6)}" for _ in range(50)] for p in "ab")
-        df = spark.createDataFrame([(" ".join(a + shared), " ".join(shared + b))], "a string, b string")
+        df = spark.createDataFrame([(" ".join(a + shared + a), " ".join(b + shared + b))], "a string, b string")
         assert df.select(winnowing.likeness(winnowing.selected(F.col("a")), winnowing.selected(F.col("b")))).first()[0] > 0
 
 
@@ -202,7 +247,6 @@ def test_packing_keeps_every_token_once(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     texts = [*EDGE, "word and <|endoftext|> " * 900, *random_texts(8)[:30]]
     rows = packing.pack(packing.pieces(table(spark, texts))).collect()
     by_doc, by_sequence = {}, {}
@@ -222,6 +266,7 @@ def test_packing_keeps_every_token_once(spark):
             assert r.offset == at
             at += r.length
         assert at <= 2048
+    assert len(by_sequence) <= 1.02 * sum(r.length for r in rows) / 2048 + 1
     assert packing.pack(packing.pieces(empty(spark))).collect() == []
     assert packing.pack(packing.pieces(messy(spark))).where("doc_id = 6").count() == 2
 
@@ -269,6 +314,36 @@ def test_quality_rules_follow_language_and_source(spark):
     assert all(kept[i] for i in range(260, 520))  # and usual in de
 
 
+def test_fences_follow_their_own_distribution(spark):
+    """Moving one group's values moves its fence and hardly any other; a small group has nearly its language's."""
+    rng = random.Random(23)
+    plain = lambda commas: " ".join(f"w{i}" + "," * (rng.random() < commas) for i in range(60))
+    groups = [("en", "a", 400, 0.1), ("en", "b", 400, 0.1), ("de", "a", 400, 0.1), ("en", "tiny", 3, 0.9)]
+
+    def fence_of(groups):
+        rows = [(lang, source, plain(c)) for lang, source, n, c in groups for _ in range(n)]
+        df = spark.createDataFrame([(i, t, lang, source, 0) for i, (lang, source, t) in enumerate(rows)], DOCS)
+        return {(r.lang, r.source): r.fences for r in quality_rules.thresholds(quality_rules.base_stats(df)).collect()}
+
+    before = fence_of(groups)
+    after = fence_of([groups[0], ("en", "b", 400, 0.6), *groups[2:]])
+    assert after["en", "b"]["marks"] > 1.3 * before["en", "b"]["marks"]
+    moved = {g: after[g]["marks"] - before[g]["marks"] for g in before}
+    assert abs(moved["de", "a"]) < 0.5 * moved["en", "b"]
+    assert abs(before["en", "tiny"]["marks"] - before["en", "a"]["marks"]) < 0.2 * before["en", "a"]["marks"]
+
+
+def test_no_size_switches_between_thresholds(spark):
+    """199, 200 and 201 documents of a source give nearly the same fence."""
+    found = []
+    for n in (199, 200, 201):
+        rng = random.Random(24)
+        rows = [("en", "big", 0.05)] * 500 + [("en", "own", 0.5)] * n
+        df = spark.createDataFrame([(i, " ".join(f"w{k}" + "!" * (rng.random() < c) for k in range(50)), lang, s, 0) for i, (lang, s, c) in enumerate(rows)], DOCS)
+        found.append({r.source: r.fences["marks"] for r in quality_rules.thresholds(quality_rules.base_stats(df)).collect()}["own"])
+    assert max(found) - min(found) <= 0.05 * max(found)
+
+
 def brute_line_dedup(texts, least=50):
     """Delete lines of runs of at least `least` words that also start earlier, found by comparing all pairs."""
     lines = [(t or "").split("\n") for t in texts]
@@ -300,6 +375,43 @@ def test_line_dedup_like_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_line_dedup(texts)
 
 
+def test_ranks_are_those_of_a_suffix_array(spark):
+    rng = random.Random(20)
+    texts = ["\n".join(rng.choice(["a b", "c d", "e f", "g h"]) for _ in range(rng.randrange(3, 30))) for _ in range(12)]
+    found, lines = line_dedup.sequences(table(spark, texts), 6).persist(), {i: t.split("\n") for i, t in enumerate(texts)}
+    level0 = {(r._td_id, p): x for r in found.collect() for p, x in zip(r.line, r.r)}
+    name = {}
+    for (d, p), x in level0.items():
+        assert name.setdefault(lines[d][p], x) == x
+    assert len(set(name.values())) == len(name)
+    for half in (1, 2):
+        longer = line_dedup.doubled(found, half).persist()
+        ranks = {(r._td_id, p): x for r in longer.collect() for p, x in zip(r.line, r.r)}
+        key = {(d, p): [name[x] for x in lines[d][p : p + 2 * half]] for d, p in ranks}
+        order = sorted(ranks, key=ranks.get)
+        assert all(key[a] <= key[b] and (key[a] == key[b]) == (ranks[a] == ranks[b]) for a, b in zip(order, order[1:]))
+        found = longer
+    intervals = line_dedup.intervals(table(spark, texts), 6).collect()
+    same = {}
+    for r in intervals:
+        run = tuple(lines[r._td_id][r.first : r["last"] + 1])
+        assert len(run) == r.n == 3
+        assert same.setdefault((r.n, r.x, r.y), run) == run
+    assert len(set(same.values())) == len(same)
+
+
+def test_windows_stay_within_sequences():
+    rng = np.random.default_rng(21)
+    for _ in range(200):
+        p = np.cumsum(rng.choice([1, 1, 1, 2], 12))
+        words = rng.integers(1, 9, 12)
+        stop, a, n = line_dedup.windows(p, words, 10)
+        runs = {(i, j - i) for i in range(12) for j in range(i + 1, 13) if (np.diff(p[i:j]) == 1).all() and words[i:j].sum() >= 10}
+        least = {(i, k) for i, k in runs if (i, k - 1) not in runs or (i + 1, k - 1) not in runs}
+        assert set(zip(a.tolist(), n.tolist())) == {(i, k) for i, k in least}
+        assert all((np.diff(p[i : stop[i]]) == 1).all() and (stop[i] == 12 or p[stop[i]] != p[stop[i] - 1] + 1) for i in range(12))
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.deduped(messy(spark)).count() == messy(spark).count()
     assert line_dedup.deduped(empty(spark)).collect() == []
@@ -316,6 +428,42 @@ def test_pieces_are_those_of_sentencepiece():
         assert ids == sp.encode(text) and t.decode(ids) == sp.decode(ids), text
 
 
+def test_tropical_shortest_path_of_a_unigram_model():
+    rng = random.Random(18)
+    pieces = [(p, -rng.uniform(1, 12)) for p in ["a", "b", "c", "ab", "bc", "abc", "ca", "aa", "▁", "▁a", "▁ab", "bb", "cab", "bca"]]
+    t = piece_transducer.Transducer([*[("", 0.0)] * 256, *pieces], 0, bpe=False)
+    score = dict(pieces)
+
+    def brute(text):
+        if not text:
+            return 0.0
+        ways = [-score[text[:k]] + brute(text[k:]) for k in range(1, min(4, len(text)) + 1) if text[:k] in score]
+        return min([*ways, *([t.fallback + brute(text[1:])] if text[0] not in score else [])])
+
+    for _ in range(300):
+        text = "".join(rng.choice("abc é") for _ in range(rng.randrange(12)))
+        path = t.shortest(t.normalised(text))
+        assert "".join(path) == t.normalised(text)
+        assert sum(-score[p] if p in score else t.fallback for p in path) == pytest.approx(brute(t.normalised(text)))
+        assert t.decode(t.encode(text)) == text
+
+
+def test_pieces_of_long_texts_without_spaces_take_linear_time():
+    t = piece_transducer.transducer(piece_transducer.default_model())
+    text = "".join(random.Random(19).choice("abcdefghij") for _ in range(200_000))
+    began = time.perf_counter()
+    assert t.decode(t.encode(text)) == text
+    assert time.perf_counter() - began < 5
+    assert t.known_bytes <= piece_transducer.KNOWN_BYTES
+
+
+def test_models_of_other_kinds_are_refused():
+    with pytest.raises(ValueError, match="space"):
+        piece_transducer.Transducer([*[("", 0.0)] * 256, ("a▁b", -1.0)], 0)
+    with pytest.raises(ValueError, match="each character"):
+        piece_transducer.Transducer([*[("", 0.0)] * 256, ("ab", -1.0), ("a", -2.0)], 0)
+
+
 def test_piece_columns(spark):
     df = messy(spark).select("doc_id", "text", piece_transducer.encoder()("text").alias("ids")).withColumn("back", piece_transducer.decoder()("ids"))
     for r in df.collect():
@@ -323,6 +471,14 @@ def test_piece_columns(spark):
     assert empty(spark).select(piece_transducer.encoder()("text")).collect() == []
 
 
+def test_every_letter_has_a_language(spark):
+    docs = table(spark, ["the cat and the dog", "der Hund und die Katze"] * 10, langs=["en", "de"] * 10)
+    odd = ["ދިވެހި", "ܣܘܪܝܝܐ", "ߒߞߏ", "µ", "ª", "12 º", "𐍈", "ⴰⴱ", "Ꭰ", "١٢", "§ ©", "12 %", ""]
+    got = [r.lang_pred for r in language_id.identified(table(spark, odd), language_id.train(docs)).orderBy("doc_id").collect()]
+    assert got == ["en" if g == "en" else "de" if any(c.isalpha() for c in t) else "und" for g, t in zip(got, odd)]
+    assert language_id.split("É é".encode()) == ["é".encode()] * 2
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(20):
@@ -371,6 +527,63 @@ def test_quality_classifier(spark):
     assert quality_classifier.scored(empty(spark), model).collect() == []
 
 
+def test_pair_gradient_of_the_quality_classifier():
+    """Weights end where the gradient of the pairs' logistic loss, taken over all pairs by differences, is about 0."""
+    rng = np.random.default_rng(25)
+    n = quality_classifier.N_FEATURES
+    label = (np.arange(300) % 3 > 0).astype(int)
+    x = rng.normal(0, 1, (300, n)) + 0.5 * label[:, None] * (np.arange(n) < 3)
+    model = quality_classifier.fit_arrays(x, label)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    apart = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, n)
+    loss = lambda w: np.log1p(np.exp(-apart @ w)).mean() + 5e-4 * w @ w
+    slopes = [(loss(model.weights + 1e-4 * e) - loss(model.weights - 1e-4 * e)) / 2e-4 for e in np.eye(n)]
+    assert np.abs(slopes).max() < 0.02 and loss(model.weights) < 0.8 * loss(np.zeros(n))
+    s = z @ model.weights  # the threshold is a quantile that parts the labels as well as any
+    right = lambda c: (s[label == 1] >= c).mean() + (s[label == 0] < c).mean()
+    assert right(model.threshold) >= max(map(right, np.quantile(s, np.linspace(0, 1, 401)))) - 0.02
+
+
+def test_features_of_quality_by_hand():
+    text = "Aa bb bb\ncc!\ncc!"
+    f = dict(enumerate(quality_classifier.features(text.encode())))
+    k = len(quality_classifier._groups) + 2
+    words, pairs = ["Aa", "bb", "bb", "cc!", "cc!"], 4
+    assert f[0] == pytest.approx((1 / 16) ** 0.5) and f[3] == pytest.approx((2 / 16) ** 0.5)
+    assert f[k] == pytest.approx(np.log1p(5) / 5) and f[k + 1] == pytest.approx(16 / 5 / 10) and f[k + 2] == pytest.approx(3 / 5**0.9)
+    assert f[k + 3] == pytest.approx((2 / 5) ** 0.5) and f[k + 4] == pytest.approx((2 / 5) ** 0.5)
+    assert f[k + 5] == pytest.approx((1 - len(set(zip(words, words[1:]))) / pairs) ** 0.5) and f[k + 6] == pytest.approx((1 / 3) ** 0.5)
+    assert not quality_classifier.features(b" \n").any()
+
+
+def small_network(seed):
+    rng = np.random.default_rng(seed)
+    texts = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 2, 3, 9, 40)]
+    model = toxicity._start(texts, np.array([0, 1, 0, 1, 0, 1.0]), rng)
+    model.embedding = rng.normal(0, 1, model.embedding.shape).astype(np.float32)
+    model.embedding[toxicity.PAD] = 0
+    return texts, model
+
+
+def test_convolution_by_brute_force():
+    texts, model = small_network(26)
+    top, _ = model.pooled(texts)
+    for t, row in zip(texts, top):
+        padded = np.concatenate([np.zeros((2, toxicity.DIM)), model.embedding[t], np.zeros((2, toxicity.DIM))])
+        for j, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                values = [sum(padded[i + k] @ model.filters[w][k][:, f] for k in range(w)) + model.bias[w][f] for i in range(len(t) + 2)]
+                assert row[j * toxicity.FILTERS + f] == pytest.approx(max(0, *values), abs=1e-4)
+
+
+def test_best_cut_errs_least():
+    rng = np.random.default_rng(27)
+    for _ in range(50):
+        z, y = rng.normal(0, 1, 30), rng.integers(0, 2, 30)
+        wrong = lambda c: ((z >= c) != y).sum()
+        assert wrong(toxicity.best_cut(z, y)) == min(map(wrong, [*z, z.max() + 1]))
+
+
 def test_toxicity(spark):
     rng = random.Random(14)
     plain = [" ".join(f"word{rng.choice('abcdefghij')}{rng.choice('klmnop')}" for _ in range(40)) for _ in range(300)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ def test_stages_take_effect(spark, sf):
             assert out.columns == columns
         if name == "quality_rules":
             kept = {r.doc_id for r in quality_rules.judged(docs).where("kept").collect()}
+            assert 0.8 * len(before) < len(kept) < len(before)
             assert {r.doc_id for r in after} == kept and len(after) == len(kept)
         if name == "line_dedup":
             order = sorted(before)
@@ -30,7 +35,7 @@ def test_stages_take_effect(spark, sf):
             assert all(r.n_chars == len(r.text) for r in after)
         if name == "ngram_jaccard_join":
             order = sorted(before)
-            found = brute_components([before[i].text for i in order])
+            found = brute_components([before[i].text for i in order], 5, 80)
             assert {r.doc_id for r in after} == {order[c] for _, c in found.values()}
         if name == "best_fit_packing":
             assert {r.doc_id for r in after} == set(before)
@@ -71,6 +76,62 @@ def test_near_copies_share_four_fifths_of_five_words(spark, sf):
     assert len(expected) < len({c for _, c in old.values()})
 
 
+SCHEMAS = {
+    "op1_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op3_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op5_best_fit_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_sentencepiece": "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean",
+    "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+}
+
+
+@pytest.mark.parametrize("name", SCHEMAS)
+def test_registered_queries(spark, sf, name):
+    """Columns and types; a row for each document; held-out rows by the rule; and what brute force says."""
+    out, docs = queries.QUERIES[name](spark, sf), {r.doc_id: r for r in table(spark, sf, "documents").collect()}
+    assert dict(out.dtypes) == dict(x.split() for x in SCHEMAS[name].split(", "))
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == set(docs) and (name == "op5_best_fit_packing" or len(rows) == len(docs))
+    held = {"op1_quality_classifier": (3, 1), "op8_toxicity": (5, 0), "op10_language_id": (4, 2)}.get(name)
+    for r in rows if held else []:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % held[0] == held[1]) and 0 <= r.score <= 1
+        assert name == "op10_language_id" or r.predicted == int(r.score >= 0.5)
+    labels = {r.doc_id: r for r in table(spark, sf, "labels").collect()}
+    if name in ("op1_quality_classifier", "op8_toxicity"):
+        right = [r.predicted == (labels[r.doc_id].quality if name[2] == "1" else labels[r.doc_id].toxic) for r in rows if r.held_out and r.doc_id in labels]
+        assert sum(right) >= 0.85 * len(right)
+    if name == "op10_language_id":
+        right = [r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out and (docs[r.doc_id].text or "").strip()]
+        assert sum(right) >= 0.95 * len(right)
+    if name == "op9_sentencepiece":
+        import sentencepiece
+
+        from tessera.llm import piece_transducer
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=piece_transducer.default_model())
+        for r in rows[:60]:
+            text = docs[r.doc_id].text or ""
+            ids = np.array(sp.encode(text), "<u4")
+            assert (r.n_ids, r.ids_crc32, r.decoded_sha256, r.round_trip) == (len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(text.encode()).hexdigest(), True)
+    if name == "op3_fingerprints":
+        order = sorted(docs, reverse=True)
+        for i, d in enumerate(order):
+            text, after = docs[d].text or "", docs[order[(i + 1) % len(order)]].text or ""
+            edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+            r = next(x for x in rows if x.doc_id == d)
+            assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
+def test_near_copies_leave_one_row_of_each_component(spark, sf):
+    """Null ids and repeated rows too: nulls come last, rows without a word stay."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long, 1), (None, long + " x", 2), (5, long + " y", 3), (5, long + " y", 3), (5, long + " y", 4), (7, "other words", 5), (7, "quite another text", 6), (8, "", 7), (8, "", 7), (None, None, 8), (None, "lone text", 9), (None, "lone text", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()), key=str)
+    assert out == sorted([(5, long + " y"), (7, "other words"), (7, "quite another text"), (8, ""), (8, ""), (None, None), (None, "lone text")], key=str)
+
+
 def test_queries_are_all_there():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
