@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     _small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+#: Where the tables that stage() made lie, by id of the DataFrame.
+_paths: dict[int, str] = {}
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that stage() made, once all that was made of them is staged itself."""
+    for df in staged:
+        if path := _paths.get(id(df)):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            where.getFileSystem(conf).delete(where, True)
 
 
 def let(value: Column, body) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -36,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
     the edges are stars; each is written to the shared folder. Null ends are left out."""
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     while _open(now):
-        now = stage(_round(now), "edges")
+        before, now = now, stage(_round(now), "edges")
+        discard(before)
     return now.unionByName(now.select(F.col("b").alias("a"), "b").distinct()).toDF("node", "component")

@@ -37,14 +37,14 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, BooleanType, LongType, MapType
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import discard, stage
 from .components import components
 
 SKETCH = 1 << 16
 #: Lists of up to SHORT nodes are joined to themselves; longer ones are cut into blocks of about BLOCK nodes.
 SHORT, BLOCK = 32, 128
 #: Different centres that lists with the same groups take.
-CENTRES = 4
+CENTRES = 2
 #: Nodes, of 32 bytes each, whose texts are found by a broadcast join; more are shuffled.
 MOST_BROADCAST = 500_000
 #: Stands for a null doc_id in keys.
@@ -165,20 +165,25 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def distinct_nodes(signed: DataFrame) -> DataFrame:
-    """A row for each set: node, grp, n, prefix, bits, and one document that has it."""
+    """A row for each set, written down: its number id, node, grp, n, prefix, bits, its least doc_id and one document that has it."""
     same = (F.any_value(c).alias(c) for c in ("grp", "n", "prefix", "bits"))
-    return signed.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("one"), *same)
+    found = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tie")).alias("one"), *same)
+    return stage(found.withColumn("id", F.monotonically_increasing_id()), "distinct")
 
 
-def groups(nodes: DataFrame) -> DataFrame:
-    """A row for each group of nodes with the same prefix and size: one of its nodes stands for it; m is their number."""
-    return nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+def grouped(nodes: DataFrame) -> DataFrame:
+    """(id, g) of each node, written down: g is the least number in its group, and the node of that number stands for it."""
+    return stage(nodes.select("id", "grp").join(nodes.groupBy("grp").agg(F.min("id").alias("g")), "grp").select("id", "g"), "members")
 
 
-def lists(grouped: DataFrame) -> DataFrame:
-    """(key, grp, node, m, n, pos): the lists in which similar groups must meet; keys that only one group has are dropped."""
-    rows = grouped.select("grp", "node", "m", "n", F.posexplode("prefix").alias("pos", "key"))
-    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "key")
+def lists(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, g, n, pos): the lists in which similar groups must meet; keys that only one group has are dropped. Rows
+    are three numbers until then, for there are many."""
+    others = stage(members.where("id <> g").select("id"), "others")
+    rows = nodes.select("id", "n", "prefix").join(others, "id", "left_anti").select(F.col("id").alias("g"), "n", F.posexplode("prefix").alias("pos", "key"))
+    packed = rows.select("key", "g", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    shared = packed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    return packed.join(shared, "key").select("key", "g", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
 
 
 def _may(n: tuple, p: tuple, percent: int) -> F.Column:
@@ -186,41 +191,43 @@ def _may(n: tuple, p: tuple, percent: int) -> F.Column:
     return F.least(n[0] - p[0], n[1] - p[1]) * (100 + percent) >= (n[0] + n[1]) * percent
 
 
-def star_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def star_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Group pairs of each list's centre with its other groups, as pairs of the nodes that stand for them, and such
     pairs within groups. Lists take one of CENTRES orders, so a family that shares many lists has several centres."""
     turn = F.pmod("key", F.lit(CENTRES))
-    order = F.when(turn == 0, F.col("pos").cast("long")).otherwise(F.xxhash64("node", turn))
-    centre = rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n", "pos")).alias("c"))
-    across = rows.join(centre, "key").where(_may((F.col("n"), F.col("c.n")), (F.col("pos"), F.col("c.pos")), percent)).select("node", F.col("c.node").alias("other"))
-    several = nodes.groupBy("grp").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last").select("grp", "other").join(nodes, "grp").select("node", "other")
-    both = across.unionByName(several).where("node <> other")
-    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
-def rest_pairs(rows: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that the bounds leave, from lists with several components. A group is also
-    a list of its own."""
-    light = nodes.select("node", "grp").join(found, "node", "left").select("node", "grp", F.coalesce("component", "node").alias("comp"))
-    ends = light.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"))
-    ended = stage(rows.select("key", "grp", "n", "pos").join(ends, "grp"), "ended")
+    order = F.when(turn == 0, F.col("pos")).otherwise(F.xxhash64("g", turn))
+    centre = rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "g", "n", "pos")).alias("c"))
+    across = rows.join(centre, "key").where(_may((F.col("n"), F.col("c.n")), (F.col("pos"), F.col("c.pos")), percent)).select("g", F.col("c.g").alias("other"))
+    both = across.unionByName(members.select("g", F.col("id").alias("other"))).where("g <> other")
+    return both.select(F.least("g", "other").alias("a"), F.greatest("g", "other").alias("b")).distinct()
+
+
+def rest_pairs(rows: DataFrame, members: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that the bounds leave, from lists with several components, written down. A
+    group is also a list of its own."""
+    light = stage(members.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "g", F.coalesce("component", "id").alias("comp")), "light")
+    ends = light.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"))
+    ended = stage(rows.join(ends, "g"), "ended")
     open_ = ended.groupBy("key").agg(F.sum("size").alias("total"), F.min("c0").alias("least"), F.max("c1").alias("most")).where("total > 2 AND least < most").select("key", "total")
     left = stage(ended.join(open_, "key"), "open")
-    own = ends.where("size > 2 AND c0 < c1").select(F.xxhash64("grp").alias("key"), "grp", F.lit(-1).alias("pos"), F.col("size").alias("total"))
-    long = left.where(F.col("total") > SHORT).select("key", "grp", "pos", "total").unionByName(own)
+    discard(ended)
+    own = ends.where("size > 2 AND c0 < c1").select(F.xxhash64("g").alias("key"), "g", F.lit(-1).cast("long").alias("pos"), F.col("size").alias("total"))
+    long = left.where(F.col("total") > SHORT).select("key", "g", "pos", "total").unionByName(own)
     short = _bounded(_short_pairs(left.where(F.col("total") <= SHORT), light, percent), nodes, percent)
-    return short.unionByName(_long_pairs(long, light, nodes, percent)).distinct()
+    pairs = stage(short.unionByName(_long_pairs(long, light, nodes, percent)).distinct(), "pairs")
+    discard(left, light)
+    return pairs
 
 
 def _short_pairs(left: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups of short lists that the bounds on size and position leave, expanded to pairs of nodes; few, for
     SHORT bounds the nodes of a list."""
-    side = lambda k: left.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("grp", "n", "pos", "c0", "c1")))
-    apart = (F.least("a_c0", "b_c0") < F.greatest("a_c1", "b_c1")) & (F.col("a_grp") < F.col("b_grp"))
-    groups_ = side("a").join(side("b"), "key").where(apart & _may((F.col("a_n"), F.col("b_n")), (F.col("a_pos"), F.col("b_pos")), percent)).select("a_grp", "b_grp").distinct()
-    member = lambda k: light.select(F.col("grp").alias(f"{k}_grp"), F.col("node").alias(f"{k}_node"), F.col("comp").alias(f"{k}_comp"))
-    both = groups_.join(member("a"), "a_grp").join(member("b"), "b_grp").where("a_comp <> b_comp")
-    return both.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    side = lambda k: left.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("g", "n", "pos", "c0", "c1")))
+    apart = (F.least("a_c0", "b_c0") < F.greatest("a_c1", "b_c1")) & (F.col("a_g") < F.col("b_g"))
+    groups = side("a").join(side("b"), "key").where(apart & _may((F.col("a_n"), F.col("b_n")), (F.col("a_pos"), F.col("b_pos")), percent)).select("a_g", "b_g").distinct()
+    member = lambda k: light.select(F.col("g").alias(f"{k}_g"), F.col("id").alias(f"{k}_id"), F.col("comp").alias(f"{k}_comp"))
+    both = groups.join(member("a"), "a_g").join(member("b"), "b_g").where("a_comp <> b_comp")
+    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def _long_pairs(left: DataFrame, light: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -228,17 +235,17 @@ def _long_pairs(left: DataFrame, light: DataFrame, nodes: DataFrame, percent: in
     blocks: pairs of groups are filtered by size and position first, then those left are expanded to pairs of nodes, which
     bitmaps filter. A pair is kept only in the list of the first prefix member that both have."""
     blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    each = left.withColumn("blocks", blocks).join(light, "grp").join(nodes.select("node", "n", "prefix", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    before = F.slice("prefix", F.lit(1), F.greatest("pos", F.lit(0)))
-    dealt = each.select("key", (F.col("pos") < 0).cast("int").alias("alone"), "pos", "own", "node", "grp", "comp", "n", before.alias("before"), "bits", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = left.withColumn("blocks", blocks).join(light, "g").join(nodes.select("id", "n", "prefix", "bits"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    before = F.slice("prefix", F.lit(1), F.greatest(F.col("pos"), F.lit(0)).cast("int"))
+    dealt = each.select("key", (F.col("pos") < 0).cast("int").alias("alone"), "pos", "own", "id", "g", "comp", "n", before.alias("before"), "bits", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
 
     def run(batches):
         for t in unit_tables(batches, ("key", "alone", "x", "y")):
             a, b = unit_pairs(t, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.repartition("key", "alone", "x", "y").sortWithinPartitions("key", "alone", "x", "y").mapInArrow(run, "a binary, b binary")
+    return dealt.repartition("key", "alone", "x", "y").sortWithinPartitions("key", "alone", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def unit_tables(batches, keys):
@@ -260,25 +267,21 @@ def unit_tables(batches, keys):
         yield pa.Table.from_batches(held)
 
 
-def unit_pairs(t: pa.Table, percent: int) -> tuple[list[bytes], list[bytes]]:
+def unit_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes of one pair of blocks: filter pairs of groups, expand them, filter pairs of nodes."""
-    node, grp = t["node"].to_pylist(), t["grp"].to_pylist()
-    code = lambda values: np.unique(np.array(values, dtype="S16"), return_inverse=True)[1]
-    name, comp, group = code(node), code(t["comp"].to_pylist()), code(grp)
-    n, pos, own = (t[c].to_numpy() for c in ("n", "pos", "own"))
+    node, g, comp, n, pos, own = (t[c].to_numpy() for c in ("id", "g", "comp", "n", "pos", "own"))
     x, y, alone = t["x"][0].as_py(), t["y"][0].as_py(), pos[0] < 0
-    of_group = np.unique(group, return_index=True)[1]
+    _, of_group, group = np.unique(g, return_index=True, return_inverse=True)
     gn, gpos = n[of_group], pos[of_group]
-    least = needed(gn[:, None], gn[None], percent)
-    may = np.minimum(gn[:, None] - gpos[:, None], gn[None] - gpos[None]) >= least
+    may = np.minimum(gn[:, None] - gpos[:, None], gn[None] - gpos[None]) >= needed(gn[:, None], gn[None], percent)
     may = np.eye(len(gn), dtype=bool) if alone else may & ~np.eye(len(gn), dtype=bool)  # pairs within a group belong to its own list
     i, j = np.flatnonzero(own == x), np.flatnonzero(own == y)
     ok = may[group[i][:, None], group[j][None]] & (comp[i][:, None] != comp[j][None])
     if x == y:
-        ok &= name[i][:, None] < name[j][None]
+        ok &= node[i][:, None] < node[j][None]
     u, v = np.nonzero(ok)
     if not len(u):
-        return [], []
+        return u, v
     raw = [np.frombuffer(b, np.uint8) for b in t["bits"].to_pylist()]
     size = min(map(len, raw))
     bits = np.stack([fold(r, size) for r in raw]).view(np.uint64)
@@ -289,17 +292,13 @@ def unit_pairs(t: pa.Table, percent: int) -> tuple[list[bytes], list[bytes]]:
         apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
         good.append(apart <= n[a] + n[b] - 2 * needed(n[a], n[b], percent))
     kept = np.concatenate(good)
-    out: tuple[list[bytes], list[bytes]] = [], []
-    before = [set(p) for p in t["before"].take(of_group).to_pylist()]
-    first: dict[tuple[int, int], bool] = {}
-    for a, b in zip(u[kept].tolist(), v[kept].tolist(), strict=True):
-        g, h = int(group[a]), int(group[b])
-        if g != h and (g, h) not in first:
-            first[g, h] = before[g].isdisjoint(before[h])
-        if g == h or first[g, h]:
-            out[0].append(min(node[a], node[b]))
-            out[1].append(max(node[a], node[b]))
-    return out
+    u, v = u[kept], v[kept]
+    if not alone:
+        before = [set(p) for p in t["before"].take(of_group).to_pylist()]
+        pairs, each = np.unique(np.stack([group[u], group[v]]), axis=1, return_inverse=True)
+        first = np.array([before[a].isdisjoint(before[b]) for a, b in pairs.T.tolist()], bool)[each.ravel()]
+        u, v = u[first], v[first]
+    return np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
 
 
 @arrow_udf(LongType())
@@ -315,14 +314,14 @@ def _apart(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs that the bitmaps leave."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
+    side = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.col("bits").alias(f"{k}_bits"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     least = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
     return both.where(_apart("a_bits", "b_bits") <= F.col("a_n") + F.col("b_n") - 2 * least).select("a", "b")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs that are similar, from the whole sets of their nodes."""
+    """Those of the (written) pairs that are similar, from the whole sets of their nodes, written down."""
 
     @arrow_udf(BinaryType())
     def set_of(text: pa.Array) -> pa.Array:
@@ -337,32 +336,37 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percen
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = stage(nodes.join(wanted, "node", "left_semi").select("node", F.col("one.doc_id").alias("one_id"), F.col("one.tie").alias("one_tie")), "nodes")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    one = stage(nodes.select("id", "one").join(wanted, "id", "left_semi").select("id", F.col("one.doc_id").alias("one_id"), F.col("one.tie").alias("one_tie")), "nodes")
     few = F.broadcast(one) if one.count() <= MOST_BROADCAST else one
-    sets = _tied(docs).join(few, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("tie") == F.col("one_tie"))).select("node", set_of("text").alias("members"))
+    sets = _tied(docs).join(few, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("tie") == F.col("one_tie"))).select("id", set_of("text").alias("members"))
     sets = stage(sets, "sets")
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("members").alias(f"{k}_set"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(similar("a_set", "b_set")).select("a", "b")
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("members").alias(f"{k}_set"))
+    links = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(similar("a_set", "b_set")).select("a", "b"), "links")
+    discard(one, sets, pairs)
+    return links
 
 
 def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Signatures, and (node, component) of the nodes that have a link."""
+    """Signatures, and (node, least, component) of each set: its least doc_id and the number of its component."""
     signed = stage(signatures(docs, n, percent), "signed")
-    nodes = stage(distinct_nodes(signed), "distinct")
-    rows = stage(lists(groups(nodes)), "lists")
-    first = stage(verified(docs, nodes, _bounded(star_pairs(rows, nodes, percent), nodes, percent), n, percent), "links")
+    nodes = distinct_nodes(signed)
+    inside = grouped(nodes)
+    rows = stage(lists(nodes, inside), "lists")
+    first = verified(docs, nodes, stage(_bounded(star_pairs(rows, inside, percent), nodes, percent), "pairs"), n, percent)
     known = components(first)
-    more = verified(docs, nodes, rest_pairs(rows, nodes, known, percent), n, percent)
-    return signed, components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    more = verified(docs, nodes, rest_pairs(rows, inside, nodes, known, percent), n, percent)
+    discard(rows, inside)
+    found = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    named = stage(nodes.select("id", "node", "least").join(found.withColumnRenamed("node", "id"), "id", "left").select("node", "least", F.coalesce("component", "id").alias("component")), "named")
+    discard(nodes, first, more)
+    return signed.select("doc_id", "tie", "n", "node"), named
 
 
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each document."""
     signed, found = _linked(docs, n, percent)
-    names = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    named = found.join(found.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     both = signed.select("doc_id", "n", "node").join(named, "node", "left")
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -374,7 +378,7 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     signed, found = _linked(docs, n, percent)
     row_id = F.coalesce("doc_id", F.lit(NO_ID))
     worded = signed.where("n > 0").select("node", F.struct(F.col("doc_id").isNull().alias("last"), row_id.alias("_nj_id"), F.col("tie").alias("_nj_tie")).alias("k")).distinct()
-    winners = worded.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("k").alias("k")).select("k._nj_id", "k._nj_tie", F.lit(False).alias("_nj_all"))
+    winners = worded.join(found, "node").groupBy("component").agg(F.min("k").alias("k")).select("k._nj_id", "k._nj_tie", F.lit(False).alias("_nj_all"))
     empty = signed.where("n = 0").select(row_id.alias("_nj_id"), F.col("tie").alias("_nj_tie"), F.lit(True).alias("_nj_all")).distinct()
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_nj_id"), F.xxhash64(F.col("text").cast("string")).alias("_nj_tie"), F.struct(*docs.columns).alias("_nj_row"))
     hashed = F.xxhash64(*(F.col(f"_nj_row.{f.name}") for f in docs.schema if not isinstance(f.dataType, MapType)))

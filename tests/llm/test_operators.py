@@ -114,12 +114,13 @@ def test_jaccard_join_looks_at_group_pairs_first(spark, monkeypatch):
     texts = [f"{rare} " + " ".join(f"often{(i * k) % 7}" for i in range(40)) for k in range(1, 7)] + [" ".join(f"often{i % 7}" for i in range(40 + j)) for j in range(30)]
     signed = jaccard_join.signatures(table(spark, texts), 5, 80)
     nodes = jaccard_join.distinct_nodes(signed)
-    grouped = jaccard_join.groups(nodes)
-    assert grouped.agg(F.sum("m")).first()[0] == nodes.count()
-    for r in grouped.collect():
-        assert nodes.where(F.col("grp") == F.lit(r.grp)).count() == r.m
-    rows = jaccard_join.lists(grouped).collect()
-    assert rows and len({(r.key, r.grp) for r in rows}) == len(rows)
+    inside = jaccard_join.grouped(nodes)
+    of = {r.id: r.g for r in inside.collect()}
+    known = {r.id: (tuple(r.prefix), r.n) for r in nodes.collect()}
+    assert set(of) == set(known) and all((known[a] == known[b]) == (of[a] == of[b]) for a in of for b in of)
+    rows = jaccard_join.lists(nodes, inside).collect()
+    assert rows and len({(r.key, r.g) for r in rows}) == len(rows)
+    assert all(known[r.g][0][r.pos] == r.key and known[r.g][1] == r.n for r in rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.joined(table(spark, texts)).collect()}
     assert got == brute_components(texts, 5, 80)
 
