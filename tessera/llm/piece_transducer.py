@@ -2,8 +2,9 @@
 
 Three transducers are compiled from a model: the normaliser (a space becomes U+2581, one is put in front), the pieces (a
 trie from characters to piece ids, each piece with a weight) and byte fallback (a character without a piece becomes its
-UTF-8 bytes). They are composed with an input lazily, and `shortest` relaxes the arcs of each position from left to right, with costs added along a path and the least kept at a state (the
-tropical semiring), so the work grows with the length of the text times that of the longest piece.
+UTF-8 bytes). They are composed with an input lazily: `arcs` expands the arcs of one position, and `shortest` finds the
+least path in the tropical semiring: weights add up along a path, and a state keeps the least. So the work grows with
+the length of the text times that of the longest piece.
 
 The states at a position differ by kind of model. For a unigram model an arc weighs its piece's negative score, and a
 position has one state. For a BPE model the score of a path isn't a sum of piece scores: a piece may follow another only
@@ -11,9 +12,10 @@ if merging the two together gives these two again, and a sequence whose neighbou
 merging the whole text gives. So a state is the last piece, and an arc weighs 0 where the pair is stable and infinity
 where it isn't. Pairs are tried once and remembered.
 
-No piece has a space mark after another character, so the input is cut before such marks and each short segment
-is composed once per worker and remembered, within a bound in bytes. Models with another normalisation than the
-identity, without byte fallback or with a space inside a piece are refused.
+No piece has a space mark after another character, nor certain other marks after a character that isn't one (which ones
+is read off the pieces), so the input is cut before such marks, and each short segment is composed once per worker
+and remembered, within a bound in bytes. Models with another normalisation than the identity, without byte fallback or
+with a space inside a piece are refused.
 
 Null and empty texts have no ids. Repeated rows are encoded each. Only doc_id and text are read, so further
 columns can't clash. Empty tables give empty results.
@@ -33,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 SPACE = "▁"
 END = ""
 #: Bytes that remembered segments take, and pairs that are remembered, until they are forgotten; longer segments aren't remembered.
-KNOWN_BYTES, KNOWN_PAIRS, SHORT = 96 << 20, 400_000, 48
+KNOWN_BYTES, KNOWN_PAIRS, SHORT = 224 << 20, 400_000, 48
 #: How much worse than the worst piece a character without one is, in a unigram model.
 UNKNOWN = 10.0
 
@@ -66,7 +68,12 @@ class Transducer:
             raise ValueError("each character of a BPE piece must be a piece")
         self.stable: dict[str, dict[str, float]] = {}
         self.pairs, self.known, self.known_bytes = 0, {}, 0
-        self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        after = {(a, b) for p in self.id for a, b in zip(p, p[1:]) if a != SPACE}
+        marks = set("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\n\t")
+        while crossed := {b for a, b in after if b in marks and a not in marks}:
+            marks -= crossed
+        any_ = "".join(map(re.escape, sorted(marks)))
+        self.segment = re.compile(f"{SPACE}*[^{SPACE}{any_}]+|{SPACE}*[{any_}]+[^{SPACE}{any_}]*|{SPACE}+" if marks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     @staticmethod
     def normalised(text: str) -> str:
@@ -94,42 +101,67 @@ class Transducer:
         row[b] = found = 0.0 if self.merge([*a, *b]) == ([a, b] if a else [b]) else inf
         return found
 
-    def shortest(self, text: str) -> list[str]:
-        """Labels of the least path through the composition of pieces and fallback with a normalised text. From each
-        position that a path of finite cost reaches, its arcs are expanded: the pieces that begin there and, where its
+    def arcs(self, text: str, i: int) -> list[str]:
+        """Labels of the composition's arcs from a position, shortest first: the pieces that begin there and, where its
         character has no piece, that character."""
-        n, score, stable, bpe, trie = len(text), self.score, self.stable, self.bpe, self.trie
+        node, found, n, j = self.trie, [], len(text), i
+        while j < n and (node := node.get(text[j])) is not None:
+            if (b := node.get(END)) is not None:
+                found.append(b)
+            j += 1
+        return found if found and len(found[0]) == 1 else [text[i], *found]
+
+    def shortest(self, text: str) -> list[str]:
+        """Labels of the least path through the composition of pieces and fallback with a normalised text."""
+        return self.finite(text) if self.bpe else self.least(text)
+
+    def least(self, text: str) -> list[str]:
+        """By costs: from each position, left to right, its arcs are relaxed."""
+        n, score = len(text), self.score
         cost, label = [0.0] + [inf] * n, [""] * (n + 1)
         for i in range(n):
-            here = cost[i]
-            if here == inf:
-                continue
-            if bpe:
-                last = label[i] if label[i] in score else ""
-                row = stable.get(last)
-                if row is None:
-                    row = stable[last] = {}
-            node, j = trie, i
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                b = node.get(END)
-                if b is not None:
-                    if bpe:
-                        weight = row.get(b)
-                        if weight is None:
-                            weight = self.follows(last, row, b)
-                    else:
-                        weight = -score[b]
-                    if here + weight < cost[j]:
-                        cost[j], label[j] = here + weight, b
-            if text[i] not in score and (weight := here + self.fallback) < cost[i + 1]:
-                cost[i + 1], label[i + 1] = weight, text[i]
+            for b in self.arcs(text, i):
+                total = cost[i] + (-score[b] if b in score else self.fallback)
+                if total < cost[i + len(b)]:
+                    cost[i + len(b)], label[i + len(b)] = total, b
         path = []
         while n:
             path.append(label[n])
             n -= len(label[n])
         return path[::-1]
 
+    def finite(self, text: str) -> list[str]:
+        """Where arcs weigh 0 or infinity, any finite path is a least one: the search goes on from the furthest position
+        reached. A position that no finite path leads on from is left for good, as just one path reaches it."""
+        n, i, last, path, dead, score, stable = len(text), 0, "", [], set(), self.score, self.stable
+        options = [self.arcs(text, 0)] if n else []
+        while i < n:
+            row = stable.get(last)
+            if row is None:
+                row = stable[last] = {}
+            ways = options[-1]
+            while ways:
+                b = ways.pop()
+                if i + len(b) not in dead:
+                    if b in score:
+                        weight = row.get(b)
+                        if weight is None:
+                            weight = self.follows(last, row, b)
+                    else:
+                        weight = 0.0
+                    if not weight:
+                        path.append(b)
+                        i, last = i + len(b), b if b in score else ""
+                        if i < n:
+                            options.append(self.arcs(text, i))
+                        break
+            else:
+                dead.add(i)
+                options.pop()
+                i -= len(path.pop())
+                last = path[-1] if path and path[-1] in score else ""
+        return path
+
     def compose(self, segment: str) -> list[int]:
         """Ids of a normalised segment; remembered where it is short."""
         ids: list[int] = []

@@ -33,7 +33,7 @@ UNIT = rf"[{ALONE}]|[^{ALONE}\x20\x09-\x0D]{{1,24}}"
 MASK = (1 << 30) - 1
 NOTHING = (1 << 63) - 1
 #: Documents that one group of neighbouring ids should have, and groups at most, found in two steps of STEP.
-GROUP, STEP = 2000, 256
+GROUP, STEP = 500, 256
 
 
 def _neighbours(values: Column, apart: int, f) -> Column:
