@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import weakref
@@ -51,6 +52,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)
+    for tables in _open[-1:]:
+        tables.append(out)
     return out
 
 
@@ -58,6 +61,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 _paths: dict[int, str] = {}
 
 
+#: Of the scratch() blocks that are open, the tables made in them.
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that stage() makes in this block are deleted at its end, but for those taken off the list it gives."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        discard(*_open.pop())
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete tables that stage() made, once all that was made of them is staged itself."""
     for df in staged:

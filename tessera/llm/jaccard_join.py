@@ -349,8 +349,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percen
 
 def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Signatures, and (node, least, component) of each set: its least doc_id and the number of its component."""
-    signed = stage(signatures(docs, n, percent), "signed")
-    nodes = distinct_nodes(signed)
+    whole = stage(signatures(docs, n, percent), "signatures")
+    nodes, signed = distinct_nodes(whole), stage(whole.select("doc_id", "tie", "n", "node"), "signed")
+    discard(whole)
     inside = grouped(nodes)
     rows = stage(lists(nodes, inside), "lists")
     first = verified(docs, nodes, stage(_bounded(star_pairs(rows, inside, percent), nodes, percent), "pairs"), n, percent)
@@ -360,7 +361,7 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     found = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = stage(nodes.select("id", "node", "least").join(found.withColumnRenamed("node", "id"), "id", "left").select("node", "least", F.coalesce("component", "id").alias("component")), "named")
     discard(nodes, first, more)
-    return signed.select("doc_id", "tie", "n", "node"), named
+    return signed, named
 
 
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, stage
+from .common import SPACE_CHARS, scratch, stage
 
 MIN_WORDS = 50
 KEY = ["_td_id", "_td_tie"]
@@ -128,7 +128,9 @@ def intervals(docs: DataFrame, min_words: int) -> DataFrame:
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Lines to delete: _td_id, _td_tie and _td_spans, an array of (first, last) line."""
-    runs = stage(intervals(docs, min_words), "intervals")
+    with scratch() as made:
+        runs = stage(intervals(docs, min_words), "intervals")
+        made.pop()  # all else was only on the way to it
     place = F.struct(*KEY, "first")
     earliest = runs.groupBy("n", "x", "y").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("n", "x", "y", "least")
     later = runs.join(earliest, ["n", "x", "y"]).where(place > F.col("least"))
