@@ -85,36 +85,76 @@ def render_entry(uri: Column, tier: Column, score: Column, body: Column) -> Colu
     return F.when(F.coalesce(F.trim(body), F.lit("")) == "", F.concat(head, F.lit("/>"))).otherwise(F.concat(head, F.lit(">\n"), safe, F.lit("\n</entry>")))
 
 
-#: Function words and letters by language that tell Latin-script languages apart.
+def render_context(entries: Column) -> Column:
+    """Rendered entries, an array in order, as one context."""
+    return F.array_join(entries, "\n")
+
+
+#: Words and letters that tell Latin-script languages apart, ties to the earlier.
 STOP_WORDS = {
-    "en": "the of and to in is that for it was with as be by on at this from or an are not",
-    "de": "der die und das ist nicht ein eine zu von mit den im für auf dem sich des auch es",
-    "fr": "le la les de des et un une du que qui dans pour par sur pas au est elle ce",
-    "es": "el la los las de del que en y un una por con para su al se lo como es",
+    "en": "a an and are as be document for from in is of on please project that the this to user with",
+    "it": "che con da del della di documento e il la le non per preferenze progetto questo questa un una utente",
+    "fr": "avec ce cette de des document du et la le les pour préférences projet que un une utilisateur",
+    "es": "con de del documento el esta este la las los para preferencias proyecto que un una usuario y",
+    "de": "benutzer das der die diese dieser dokument ein eine für ist mit nicht projekt und zu",
+    "pt": "a as com da de do documento e este esta o os para preferências preferencias projeto que um uma usuário usuario",
 }
-ACCENTS = {"de": "[äöüß]", "fr": "[àâçèéêëîïôœùû]", "es": "[áíñóú¿¡]"}
+ACCENTS = {"it": "[àèéìòù]", "fr": "[àâæçéèêëîïôœùûüÿ]", "es": "[áéíóúüñ¿¡]", "de": "[äöüß]", "pt": "[áâãàçéêíóôõú]"}
+#: Letters of scripts; `grammar` are the kana that Chinese doesn't borrow.
+LETTERS = {"zh": r"[\x{4E00}-\x{9FFF}]", "kana": r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}]", "ko": r"[\x{AC00}-\x{D7AF}]", "ru": r"[\x{0400}-\x{04FF}]", "ar": r"[\x{0600}-\x{06FF}]", "latin": r"[A-Za-z\x{00C0}-\x{024F}]"}
+GRAMMAR = r"[\x{3041}-\x{306D}\x{306F}-\x{3096}]"
+#: Uris and bare domains with a path, which don't count.
+NOISE = r"\b(?:\w+://|(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}/)[^\s<>\])\"'`]+"
 
 
-def detect_language(text: Column, fallback: str = "en") -> Column:
-    """Language by scripts (uris left out): zh, ja, ko, ru or ar where the script has 2 letters and a fifth of all,
-    ja where kana are among the Chinese characters; else a Latin-script language by function words and accents."""
-    clean = F.lower(F.regexp_replace(text, r"\w+://\S+", " "))
+def language_evidence(text: Column) -> Column:
+    """Counts of a text, as a map, from which `decided_language` tells its language; those of several texts add up."""
 
-    def decide(t: Column) -> Column:
+    def counts(t: Column) -> Column:
         n = lambda r: F.regexp_count(t, F.lit(r))
-        total = F.greatest(n(r"\p{L}"), F.lit(1))
-        kana, han, hangul, cyrillic, arabic = n(r"[\x{3040}-\x{30FF}]"), n(r"[\x{4E00}-\x{9FFF}]"), n(r"[\x{AC00}-\x{D7AF}]"), n(r"[\x{0400}-\x{04FF}]"), n(r"[\x{0600}-\x{06FF}]")
-        enough = lambda c: (c >= 2) & (c * 5 >= total)
-        words = F.split(t, r"[^\p{L}]+")
-        known = lambda v: F.size(F.filter(words, lambda w: w.isin(*v.split())))
-        score = {k: known(v) * 2 + (n(ACCENTS[k]) if k in ACCENTS else 0) for k, v in STOP_WORDS.items()}
-        best = F.greatest(*score.values())
-        latin = F.lit(fallback)
-        for k in reversed(list(STOP_WORDS)):
-            latin = F.when((score[k] == best) & (best > 0), k).otherwise(latin)
-        return F.when(enough(kana) | (kana >= 2) & enough(han + kana), "ja").when(enough(han), "zh").when(enough(hangul), "ko").when(enough(cyrillic), "ru").when(enough(arabic), "ar").otherwise(latin)
+        words = F.regexp_extract_all(t, F.lit(r"[a-z\x{00C0}-\x{024F}]+"), F.lit(0))
+        among = lambda v: F.size(F.filter(words, lambda x: x.isin(*v.split())))
+        known = {f"stop_{k}": among(v) for k, v in STOP_WORDS.items()}
+        found = {**{k: n(v) for k, v in LETTERS.items()}, "grammar": n(GRAMMAR), "words": F.size(words), **known, **{f"accent_{k}": n(v) for k, v in ACCENTS.items()}}
+        return F.create_map(*(x for k, v in found.items() for x in (F.lit(k), v.cast("long"))))
+
+    return _let(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), NOISE, " ")), counts)
+
+
+def decided_language(evidence: Column, fallback: str = "en") -> Column:
+    """The language that counts speak for: ja with 3 kana, if it is the fallback or grammar or their share say so; zh-CN,
+    ko, ru or ar with 2 letters and a fifth of all, of which only zh-CN or the fallback need no 95 percent of 10
+    letters at least; else a Latin-script language, which is en unless another has clearly more words and accents."""
+
+    def decide(e: Column) -> Column:
+        c = lambda k: e[k]
+        total = sum((c(k) for k in LETTERS), F.lit(0))
+        allowed = lambda k: F.lit(k in ("zh-CN", "en", fallback))
+        dominant = lambda n: (n >= 10) & (n * 100 >= total * 95)
+        japanese = c("zh") + c("kana")
+        strong = (c("kana") >= 10) & (japanese * 100 >= total * 95) & (c("kana") * 10 >= japanese * 3)
+        grammar = (c("grammar") >= 2) & (c("grammar") * 10 >= japanese)
+        most = F.greatest(*(c(k) for k in ("zh", "ko", "ru", "ar")))
+        other = F.lit(None).cast("string")
+        for k, name in (("ar", "ar"), ("ru", "ru"), ("ko", "ko"), ("zh", "zh-CN")):
+            clear = (c(k) >= 2) & (c(k) * 5 >= total) & (allowed(name) | dominant(c(k)))
+            other = F.when(c(k) == most, F.when(clear, name)).otherwise(other)
+        score = {k: c(f"stop_{k}") + (c(f"accent_{k}") if k in ACCENTS else 0) for k in STOP_WORDS}
+        best, latin = F.greatest(*score.values()), F.lit("en")
+        for k in reversed([k for k in STOP_WORDS if k != "en"]):
+            hint = (c(f"accent_{k}") > 0) | (c(f"stop_{k}") >= 4)
+            many = (c("words") >= 20) & (best >= 6) & (best >= score["en"] + 4)
+            latin = F.when(score[k] == best, F.when((c("words") >= 6) & hint & (best >= 3) & (best >= score["en"] + 2) & (allowed(k) | many), k).otherwise("en")).otherwise(latin)
+        latin = F.when((c("words") < 3) | (score["en"] == best), "en").otherwise(latin)
+        ja = (c("kana") >= 3) & (allowed("ja") | strong | grammar)
+        return F.when(ja, "ja").when(other.isNotNull(), other).when(c("latin") > 0, latin).otherwise(F.lit(fallback))
+
+    return _let(evidence, decide)
+
 
-    return F.coalesce(_let(clean, decide), F.lit(fallback))
+def detect_language(text: Column, fallback: str = "en") -> Column:
+    """Language of a text, uris left out; fallback where there are no letters."""
+    return decided_language(language_evidence(text), fallback)
 
 
 def normalize_answer(text: Column) -> Column:
@@ -123,7 +163,8 @@ def normalize_answer(text: Column) -> Column:
     return F.array_join(F.filter(F.split(plain, r"\s+"), lambda w: ~w.isin("a", "an", "the", "and", "")), " ")
 
 
-REFUSALS = ("not mentioned", "no information", "cannot be answered", "can't answer", "don't know", "do not know", "not enough information", "unable to answer")
+#: Fixed values.
+REFUSALS = ("not mentioned", "no information", "cannot be answered", "none", "unknown", "don't know")
 
 
 def is_refusal(text: Column) -> Column:
@@ -183,6 +224,12 @@ def outcome_norm(value: Column) -> Column:
     return F.when(own.isin(*OUTCOMES), own).otherwise("unknown")
 
 
+def query_kind(value: Column, kinds: tuple[str, ...]) -> Column:
+    """One of the kinds, unknown if none."""
+    own = F.lower(F.trim(value))
+    return F.when(own.isin(*kinds), own).otherwise("unknown")
+
+
 def message_tokens(parts: Column) -> Column:
     """Estimated tokens of a message's parts (type, text, abstract, tool_id, tool_name, tool_input, tool_output); images count 0."""
     some = lambda *names: lambda p: F.concat(*(F.coalesce(p[n], F.lit("")) for n in names))

@@ -117,6 +117,15 @@ def session_key(prefix: str, harness: Column, native: Column) -> Column:
     return F.concat_ws("__", F.lit(prefix), _safe(harness), _safe(native))
 
 
+def peer_key(harness: Column, model: Column, provider: Column | None = None) -> Column:
+    """P10: id of the assistant on the other side, harness__provider__model: components lose what isn't safe, runs of `-`
+    and `-` or `.` at their ends; empty ones are left out, a missing model is `unknown`."""
+    part = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), "[^A-Za-z0-9_.@-]+", "-"), "-{2,}", "-"), "^[-.]+|[-.]+$", "")
+    named = lambda c: F.when(part(c) != "", part(c))
+    last = F.when(F.coalesce(model, F.lit("")) == "", "unknown").otherwise(named(model))
+    return F.concat_ws("__", named(harness), *([] if provider is None else [named(provider)]), last)
+
+
 def usage_event_id(*parts: Column) -> Column:
     """Idempotent key of an event: the sha256 of the JSON array of its identity."""
     return F.concat(F.lit("ue_"), F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts))), 256))

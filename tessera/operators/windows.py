@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import squeeze
+from ..functions.text import ACCENTS, LETTERS, STOP_WORDS, decided_language, language_evidence, squeeze
 from .project import skill_root
 
 
@@ -158,3 +158,11 @@ def limited(df: DataFrame, *order, limit: int = 10, offset: int = 0) -> DataFram
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def conversation_language(turns: DataFrame, fallback: str = "en") -> DataFrame:
+    """(conv_id, value), the language of a conversation's user messages (conv_id, role, text), or of all where no user said
+    anything. Each message is counted by itself and counts are added up, so no conversation is gathered."""
+    kinds = [*LETTERS, "grammar", "words", *(f"stop_{k}" for k in STOP_WORDS), *(f"accent_{k}" for k in ACCENTS)]
+    told = turns.select("conv_id", (F.coalesce(F.col("role"), F.lit("")) == "user").alias("own"), (F.coalesce(F.trim("text"), F.lit("")) != "").alias("said"), language_evidence(F.col("text")).alias("e"))
+    sums = lambda of: F.create_map(*(x for k in kinds for x in (F.lit(k), F.coalesce(F.sum(of(F.col("e")[k])), F.lit(0).cast("long")))))
+    found = told.groupBy("conv_id").agg(F.max(F.col("own") & F.col("said")).alias("own"), sums(lambda c: F.when(F.col("own"), c)).alias("user"), sums(lambda c: c).alias("every"))
+    return found.select("conv_id", decided_language(F.when(F.col("own"), F.col("user")).otherwise(F.col("every")), fallback).alias("value"))

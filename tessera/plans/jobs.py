@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -31,67 +32,118 @@ def find(records: DataFrame, queries: DataFrame, k: int = 10, where: Column | No
     return hits.select("qid", F.col("id").alias("uri"), "score", "rank").join(rows.select("uri", *(fields or [])), "uri")
 
 
-def _fill(budget: int, tiers: tuple[str, ...]):
-    """Over rows sorted by request, best first. What isn't placed is sent on at once; a placed row costs a token at
-    least, so no more than `budget` rows are held for the upgrades."""
-    upgrades = (("overview", "abstract"), ("full", "overview"), ("full", "abstract"), ("abstract", "uri"), ("overview", "abstract"))  # what is left upgrades the best first
-
-    def upgraded(held: list[list], used: int) -> list[tuple]:
-        for to, from_ in upgrades:
-            for e in held:
-                cost = e[0][to]
-                if e[1] == from_ and cost is not None and used - e[0][from_] + cost <= budget:
-                    used += cost - e[0][from_]
-                    e[1] = to
-        return [(r["qid"], r["uri"], tier, r[tier]) for r, tier in held]
+#: Tiers from least to most; a text longer than an entry's share is kept from all but the bare URI.
+TIERS = ("uri", "abstract", "overview", "full")
+#: Upgrades once all are placed, in order: the tier aimed at, and whether an entry must stay within its share.
+UPGRADES = (("overview", True), ("full", True), ("full", False), ("abstract", False), ("overview", False))
+
+
+class _Request:
+    """Entries of one request that are placed, at most one a token of the budget."""
+
+    def __init__(self, budget: int, candidates: int):
+        self.budget, self.share, self.used = budget, max(1, budget // max(1, candidates) * 2), 0
+        self.held: list[dict] = []
+        self.bodies: set = set()
+
+    def fits(self, row: dict, tier: str) -> bool:
+        return row[tier] is not None and (tier == "uri" or row[tier] <= self.share)
+
+    def place(self, row: dict) -> str:
+        """What becomes of a candidate: at its start tier or the first below that fits its share and what is left."""
+        start = TIERS.index(row["start_tier"])
+        order = list(TIERS[start::-1])
+        if row["start_tier"] == "abstract" and row["whole_abstract"]:
+            order.insert(1, "overview")  # its abstract is the whole body, so an overview is less
+        separator = 1 if self.held else 0
+        tier = next((t for t in order if self.fits(row, t) and self.used + row[t] + separator <= self.budget), None)
+        if tier is None:
+            return "dropped"
+        if row[f"{tier}_key"] in self.bodies:
+            return "deduped"
+        self.bodies.add(row[f"{tier}_key"])
+        self.held.append(row | {"tier": tier, "upgrades": 0})
+        self.used += row[tier] + separator
+        return "placed"
+
+    def upgrade(self) -> list[dict]:
+        for to, within in UPGRADES:
+            for e in self.held:
+                now = e["tier"]
+                if not TIERS.index(now) < TIERS.index(to) <= TIERS.index(e["ceiling"]) or e[to] is None or within and not self.fits(e, to):
+                    continue
+                old, new = e[f"{now}_key"], e[f"{to}_key"]
+                if new != old and new in self.bodies or self.used + e[to] - e[now] > self.budget:
+                    continue
+                self.bodies.discard(old)
+                self.bodies.add(new)
+                self.used += e[to] - e[now]
+                e["tier"], e["upgrades"] = to, e["upgrades"] + 1
+        return self.held
+
+
+def _fill(budget: int, schema: pa.Schema):
+    """Over rows sorted by request, best first. What isn't placed is sent on at once."""
 
     def fill(batches):
-        qid, held, used, started, schema = None, [], 0, False, None
-        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (schema.field("qid").type, pa.string(), pa.string(), pa.int64()))], names=["qid", "uri", "tier", "tokens"])
+        request, qid, started = None, None, False
+        table = lambda rows: pa.RecordBatch.from_pylist(rows, schema=schema)
+        out_row = lambda r, outcome, tier=None, upgrades=0: {"qid": r["qid"], "uri": r["id"], "tier": tier, "tokens": r[tier] if tier else 0, "outcome": outcome, "upgrades": upgrades}
+        done = lambda q: [out_row(e, "placed", e["tier"], e["upgrades"]) for e in q.upgrade()] if q else []
         for batch in batches:
-            out, schema = [], batch.schema
+            out = []
             for r in batch.to_pylist():
                 if not started or r["qid"] != qid:
-                    out += upgraded(held, used)
-                    qid, held, used, started = r["qid"], [], 0, True
-                share = 2 * budget // r["n"]
-                for tier in tiers[tiers.index(r["start_tier"]) :]:  # each at its start tier or the first below that fits its share and what is left
-                    cost = r[tier]
-                    if cost is not None and (cost <= share or tier == tiers[-1]) and used + cost + 1 <= budget:
-                        held.append([r, tier])
-                        used += cost + 1
-                        break
-                else:
-                    out.append((r["qid"], r["uri"], None, 0))
+                    out += done(request)
+                    request, qid, started = _Request(budget, r["n"]), r["qid"], True
+                if (outcome := request.place(r)) != "placed":
+                    out.append(out_row(r, outcome))
             if out:
                 yield table(out)
-        if held:
-            yield table(upgraded(held, used))
+        if request:
+            yield table(done(request))
 
     return fill
 
 
 def fill_budget(candidates: DataFrame, max_tokens: int) -> DataFrame:
-    """(qid, uri, tier, tokens) of all candidates of a request (qid, uri, score, start_tier, body_hash, and the
-    costs full, overview, abstract, uri_cost; null where a tier has no text): each is placed at its start tier or below,
-    a body once (its best row, the others are left out), then what is left upgrades; tier is null for what is dropped,
-    a separator costs one token. Rows are placed in one pass over the sorted candidates, of any number."""
+    """(qid, uri, tier, tokens, outcome, upgrades) of all candidates of a request (qid, uri, score, start_tier,
+    body_hash, and the costs full, overview, abstract, uri_cost; null where a tier has no text; optionally ceiling, the
+    highest tier it may take, whole_abstract, whether its abstract is its body, and full_hash, overview_hash and
+    abstract_hash of the tiers' texts). Best first, each is placed at its start tier or below; an entry's share is twice
+    the even part of the budget, and a separator costs a token between entries. Of entries that would show the same
+    text the best one stays, the others are `deduped`; bare URIs differ. Then what is left upgrades the best first.
+    tier is null for what is deduped or dropped. Rows are placed in one pass over the sorted candidates, of any number."""
     cost = lambda c: F.col(c).cast("long")
+    has = lambda c, default: F.col(c) if c in candidates.columns else default
+    own = F.concat_ws(":", F.lit("uri"), F.col("uri").cast("string"))
+    key = lambda tier: F.coalesce(F.concat(F.lit(f"{tier}:") if f"{tier}_hash" not in candidates.columns else F.lit("text:"), has(f"{tier}_hash", F.col("body_hash")).cast("string")), F.concat(F.lit(f"{tier}:"), own))
     late = F.col("score").isNull() | F.isnan("score")
-    row = F.struct(late.alias("late"), (-F.col("score")).alias("order"), "uri", "start_tier", cost("full").alias("full"), cost("overview").alias("overview"), cost("abstract").alias("abstract"), cost("uri_cost").alias("uri_")).alias("row")
-    rows = candidates.select("qid", "body_hash", row)
-    once = rows.where("body_hash IS NOT NULL").groupBy("qid", "body_hash").agg(F.min("row").alias("row")).select("qid", "row").unionByName(rows.where("body_hash IS NULL").select("qid", "row"))
-    counts = once.groupBy(F.col("qid").alias("of")).agg(F.count(F.lit(1)).alias("n"))
-    known = once.join(counts, F.col("qid").eqNullSafe(F.col("of"))).select("qid", "n", "row.*")
-    kind = candidates.schema["qid"].dataType.simpleString()
-    out = known.repartition("qid").sortWithinPartitions("qid", "late", "order", "uri").drop("late", "order").mapInArrow(_fill(max_tokens, ("full", "overview", "abstract", "uri_")), f"qid {kind}, uri string, tier string, tokens long")
-    return out.withColumn("tier", F.when(F.col("tier") == "uri_", "uri").otherwise(F.col("tier")))
+    rows = candidates.select(
+        "qid", F.col("uri").alias("id"), "start_tier", late.alias("late"), (-F.col("score")).alias("order"), has("ceiling", F.lit("full")).alias("ceiling"), has("whole_abstract", F.lit(False)).alias("whole_abstract"),
+        cost("full").alias("full"), cost("overview").alias("overview"), cost("abstract").alias("abstract"), cost("uri_cost").alias("uri"), key("full").alias("full_key"), key("overview").alias("overview_key"), key("abstract").alias("abstract_key"), own.alias("uri_key"),
+    )
+    counts = rows.groupBy(F.col("qid").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    known = rows.join(counts, F.col("qid").eqNullSafe(F.col("of"))).drop("of")
+    fields = f"qid {candidates.schema['qid'].dataType.simpleString()}, uri string, tier string, tokens long, outcome string, upgrades long"
+    schema = to_arrow_schema(candidates.sparkSession.createDataFrame([], fields).schema)
+    return known.repartition("qid").sortWithinPartitions("qid", "late", "order", "id", "full_key").mapInArrow(_fill(max_tokens, schema), fields)
+
+
+def plan_stats(filled: DataFrame, max_tokens: int) -> DataFrame:
+    """Of each request in the result of fill_budget: tokens used with separators, an entry's share, entries returned, dropped and
+    deduped, upgrades, and entries by tier."""
+    placed = F.col("outcome") == "placed"
+    of_tier = [F.count_if(placed & (F.col("tier") == t)).alias(t) for t in TIERS]
+    found = filled.groupBy("qid").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.count_if(placed).alias("returned"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("dropped", "deduped")), F.sum("upgrades").alias("upgrades"), *of_tier)
+    used, share = F.col("tokens") + F.greatest(F.col("returned") - 1, F.lit(0)), F.greatest(F.lit(1), F.floor(F.lit(max_tokens) / F.col("n")).cast("long") * 2)
+    return found.select("qid", used.alias("used_tokens"), share.cast("long").alias("per_entry_cap"), "returned", "dropped", "deduped", "upgrades", F.struct(*TIERS).alias("tier_counts"))
 
 
 def tier_costs(rows: DataFrame) -> DataFrame:
     """Costs of each tier of rows (uri, abstract, content)."""
     cost = lambda c: F.when(F.coalesce(c, F.lit("")) != "", T.token_estimate(c))
-    return rows.withColumns({"full": cost(F.col("content")), "overview": cost(T.doc_overview(F.col("content"))), "abstract_cost": cost(F.col("abstract")), "uri_cost": T.token_estimate(F.col("uri")), "body_hash": F.xxhash64("content")})
+    return rows.withColumns({"full": cost(F.col("content")), "overview": cost(T.doc_overview(F.col("content"))), "abstract_cost": cost(F.col("abstract")), "uri_cost": T.token_estimate(F.col("uri")), "body_hash": F.xxhash64("content"), "full_hash": F.xxhash64("content"), "overview_hash": F.xxhash64(T.doc_overview(F.col("content"))), "abstract_hash": F.xxhash64("abstract")})
 
 
 def assemble_context(requests: DataFrame, records: DataFrame, ledger: DataFrame, turn: int, max_tokens: int, quotas: dict[str, int], origin: Column, k: int = 50, dedup_turns: int = 3, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -101,10 +153,10 @@ def assemble_context(requests: DataFrame, records: DataFrame, ledger: DataFrame,
     fresh = time_decay(hits, origin, 7, limit=k).drop("rank").withColumn("session", F.col("qid").cast("string"))
     left = exclude_served(fresh, ledger, turn, dedup_turns).withColumn("category", F.col("context_type"))
     chosen = tier_costs(quota_select(left, quotas, k))
-    plan = fill_budget(chosen.select("qid", "uri", "score", F.lit("overview").alias("start_tier"), "body_hash", "full", "overview", F.col("abstract_cost").alias("abstract"), "uri_cost"), max_tokens).where("tier IS NOT NULL")
+    plan = fill_budget(chosen.select("qid", "uri", "score", F.lit("overview").alias("start_tier"), "body_hash", "full_hash", "overview_hash", "abstract_hash", "full", "overview", F.col("abstract_cost").alias("abstract"), "uri_cost"), max_tokens).where("tier IS NOT NULL")
     body = F.when(F.col("tier") == "full", F.col("content")).when(F.col("tier") == "overview", T.doc_overview(F.col("content"))).when(F.col("tier") == "abstract", F.col("abstract"))
     entries = plan.join(chosen.select("qid", "uri", "score", "content", "abstract"), ["qid", "uri"]).select("qid", "uri", "tier", "tokens", F.struct((-F.col("score")).alias("s"), "uri", T.render_entry(F.col("uri"), F.col("tier"), F.col("score"), body).alias("text")).alias("e"))
-    contexts = entries.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"]), "\n").alias("context"), F.count(F.lit(1)).alias("entries"), F.sum("tokens").alias("tokens"))
+    contexts = entries.groupBy("qid").agg(T.render_context(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["text"])).alias("context"), F.count(F.lit(1)).alias("entries"), F.sum("tokens").alias("tokens"))
     return contexts, update_ledger(ledger, plan.select(F.col("qid").cast("string").alias("session"), "uri", "tier"), turn, dedup_turns)
 
 

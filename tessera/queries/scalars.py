@@ -25,7 +25,7 @@ def _doc(name: str, column, sql: str) -> None:
 
 _doc("x01_token_estimate", lambda: X.token_estimate(F.col("text")), rf"((len(text) + 5 * len(regexp_extract_all(text, '{WIDE}')) + 7 * len(regexp_extract_all(text, '[\x{{10000}}-\x{{10FFFF}}]')) + 3) // 4)::BIGINT")
 _doc("x20_normalize_answer", lambda: F.sha2(X.normalize_answer(F.col("text")), 256), f"sha256({NORMAL})")
-_doc("x21_is_refusal", lambda: X.is_refusal(F.col("text")), "regexp_matches(lower(text), '" + "|".join(X.REFUSALS).replace("'", "''") + "')")
+_doc("x21_is_refusal", lambda: X.is_refusal(F.col("text")), "regexp_matches(lower(text), 'not mentioned|no information|cannot be answered|none|unknown|don''t know')")
 _doc("x23_sha256", lambda: F.sha2("text", 256), "sha256(text)")
 _doc("x25_resource_uris", lambda: F.size(X.resource_uris(F.concat("text", F.lit(" see ctx://a/b. and ctx://a/b, or ctx://c"), F.col("lang")))), "2")
 _doc("x26_strip_markup", lambda: F.length(X.strip_markup_noise(F.concat(F.lit("[](x)![a](data:image/png;base64,AA)\n\n\n\n\n\n"), F.col("text")))), r"len(regexp_replace(chr(10)||chr(10)||chr(10)||text, '\n{4,}', chr(10)||chr(10)||chr(10), 'g'))")
@@ -39,7 +39,6 @@ _doc("x19_masked", lambda: X.mask(F.concat(F.lit("mail a.b@example.org "), F.col
 _doc("x24_conflict_tags", lambda: X.conflict_tags(F.concat(F.lit('<!-- CONFLICT [{"id":"1","text":"a"},{"id":"2","text":"b"}] -->'), F.col("lang")))["conflict_num"], "2")
 _doc("x13_render_entry", lambda: X.render_entry(F.concat(F.lit('a"<'), F.col("lang")), F.lit("full"), F.lit(0.126).cast("double"), F.col("source")), """'<entry uri="a&quot;&lt;' || lang || '" tier="full" score="0.13">' || chr(10) || source || chr(10) || '</entry>'""")
 
-
 @query("x02_hotness", f"{RECORDS} SELECT doc_id, round(1 / (1 + exp(-ln(1 + active_count))) * pow(2, -greatest((epoch_us(TIMESTAMP '2024-01-20') - epoch_us(updated_at)) / 86400e6, 0) / 7), 6) AS value FROM records")
 def _(t):
     return t.records.select("doc_id", F.round(G.hotness(F.col("active_count"), F.col("updated_at"), F.lit(datetime(2024, 1, 20, tzinfo=UTC))), 6).alias("value"))
@@ -73,15 +72,41 @@ def _(t):
     return t.documents.select("doc_id", X.apply_blocks(F.lit("a b gone c"), blocks)["text"].alias("value"))
 
 
-@query("x14_detect_language", None)
+def _language_sql(table: str) -> str:
+    """Rows (id, text) of a table with their language, fallback en, in DuckDB."""
+    n = lambda r: f"len(regexp_extract_all(t, '{r}'))"
+    words = {k: "', '".join(v.split()) for k, v in X.STOP_WORDS.items()}
+    score = {k: f"len(list_filter(w, lambda x: x IN ('{v}')))" + (f" + {n(X.ACCENTS[k])}" if k in X.ACCENTS else "") for k, v in words.items()}
+    hint = {k: f"({n(X.ACCENTS[k])} > 0 OR len(list_filter(w, lambda x: x IN ('{words[k]}'))) >= 4)" for k in X.ACCENTS}
+    latin = " ".join(f"WHEN s_{k} = best THEN CASE WHEN len(w) >= 6 AND h_{k} AND best >= 3 AND best >= s_en + 2 AND len(w) >= 20 AND best >= 6 AND best >= s_en + 4 THEN '{k}' ELSE 'en' END" for k in X.ACCENTS)
+    noise = X.NOISE.replace("'", "''")
+    dominant = lambda c: f"{c} >= 10 AND {c} * 100 >= total * 95"
+    return rf"""
+WITH a AS (SELECT id, lower(regexp_replace(coalesce(text, ''), '{noise}', ' ', 'g')) AS t FROM {table}),
+b AS (SELECT *, regexp_extract_all(t, '[a-z\x{{00C0}}-\x{{024F}}]+') AS w, {", ".join(f"{n(v)} AS n_{k}" for k, v in X.LETTERS.items())}, {n(X.GRAMMAR)} AS grammar FROM a),
+c AS (SELECT *, n_zh + n_kana + n_ko + n_ru + n_ar + n_latin AS total, greatest(n_zh, n_ko, n_ru, n_ar) AS most, {", ".join(f"{v} AS s_{k}" for k, v in score.items())}, {", ".join(f"{v} AS h_{k}" for k, v in hint.items())} FROM b),
+d AS (SELECT *, greatest({", ".join(f"s_{k}" for k in score)}) AS best FROM c)
+SELECT id, CASE WHEN total = 0 THEN 'en'
+  WHEN n_kana >= 3 AND ((n_kana >= 10 AND (n_zh + n_kana) * 100 >= total * 95 AND n_kana * 10 >= (n_zh + n_kana) * 3) OR (grammar >= 2 AND grammar * 10 >= n_zh + n_kana)) THEN 'ja'
+  WHEN n_zh = most AND n_zh >= 2 AND n_zh * 5 >= total THEN 'zh-CN'
+  WHEN n_zh < most AND n_ko = most AND {dominant("n_ko")} THEN 'ko' WHEN n_zh < most AND n_ko < most AND n_ru = most AND {dominant("n_ru")} THEN 'ru'
+  WHEN n_zh < most AND n_ko < most AND n_ru < most AND n_ar = most AND {dominant("n_ar")} THEN 'ar'
+  WHEN n_latin = 0 OR len(w) < 3 OR s_en = best THEN 'en' {latin} ELSE 'en' END AS value FROM d"""
+
+
+@query("x14_detect_language", "SELECT id AS doc_id, value FROM (" + _language_sql("(SELECT doc_id AS id, text FROM documents)") + ")")
 def _(t):
     return t.documents.select("doc_id", X.detect_language(F.col("text")).alias("value"))
 
 
-@query("x15_conversation_language", None)
+SAID = "(SELECT conv_id AS id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user' AND trim(text) <> ''), string_agg(text, chr(10) ORDER BY turn)) AS text FROM conversations GROUP BY conv_id)"
+
+
+@query("x15_conversation_language", "SELECT id AS conv_id, value FROM (" + _language_sql(SAID) + ")")
 def _(t):
-    said = t.conversations.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.col("text")))), " ").alias("own"), F.array_join(F.array_sort(F.collect_list("text")), " ").alias("every"))
-    return said.select("conv_id", X.detect_language(F.when(F.col("own") != "", F.col("own")).otherwise(F.col("every"))).alias("value"))
+    from ..operators.windows import conversation_language
+
+    return conversation_language(t.conversations)
 
 
 @query("x22_epoch_to_ts", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_ms(date_trunc('second', ts)) END AS value FROM events")

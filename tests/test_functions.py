@@ -62,11 +62,27 @@ def test_blocks(spark):
 
 
 @pytest.mark.parametrize(
-    ("text", "language"),
-    [("这是一个关于数据的测试", "zh"), ("これはテストです", "ja"), ("한국어 문장입니다", "ko"), ("это русский текст", "ru"), ("هذا نص عربي", "ar"), ("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et la maison", "fr"), ("el perro y la casa", "es"), ("12 34", "xx"), (None, "xx"), ("ctx://the/and/of", "xx")],
-)
-def test_detect_language(spark, text, language):
-    assert value(spark, X.detect_language(F.lit(text).cast("string"), "xx")) == language
+    ("text", "fallback", "language"),
+    [
+        ("这是一个关于数据的测试", "xx", "zh-CN"), ("これはテストです", "xx", "ja"), ("テストデータ", "xx", "xx"), ("テストデータ", "ja", "ja"),
+        ("한국어 문장입니다", "xx", "xx"), ("한국어 문장입니다", "ko", "ko"), ("한국어 문장입니다 그리고 더 많은 글자", "xx", "ko"), ("это русский текст", "xx", "ru"), ("это русский текст with some Latin words", "xx", "en"), ("هذا نص عربي طويل جدا", "xx", "ar"),
+        ("the cat and the dog", "xx", "en"), ("der Hund und die Katze", "de", "en"), ("der Benutzer und die Katze ist nicht für das Projekt", "de", "de"), ("der Benutzer und die Katze ist nicht für das Projekt", "xx", "en"),
+        ("le document du projet et la préférences pour utilisateur", "fr", "fr"), ("che il documento della preferenze non per questo progetto è", "it", "it"), ("o documento do projeto para um usuário não é uma preferências", "pt", "pt"),
+        ("12 34", "xx", "xx"), (None, "xx", "xx"), ("ctx://the/and/of", "xx", "xx"), ("example.com/com com", "pt", "en"),
+    ],
+)
+def test_detect_language(spark, text, fallback, language):
+    assert value(spark, X.detect_language(F.lit(text).cast("string"), fallback)) == language
+
+
+def test_names_and_kinds(spark):
+    from tessera.operators.project import peer_key
+
+    assert value(spark, peer_key(F.lit("my tool!"), F.lit("m/1.5."), F.lit(" acme  co"))) == "my-tool__acme-co__m-1.5"
+    assert value(spark, peer_key(F.lit("tool"), F.lit(None).cast("string"))) == "tool__unknown"
+    assert value(spark, X.query_kind(F.lit(" Quick "), ("quick", "deep"))) == "quick" and value(spark, X.query_kind(F.lit(None).cast("string"), ("quick",))) == "unknown"
+    assert value(spark, X.render_context(F.array(F.lit("<a/>"), F.lit("<b/>")))) == "<a/>\n<b/>"
+    assert value(spark, X.is_refusal(F.lit("I DON'T know"))) and value(spark, X.is_refusal(F.lit("None of these"))) and not value(spark, X.is_refusal(F.lit("unable to answer")))
 
 
 def test_privacy(spark):

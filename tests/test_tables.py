@@ -180,13 +180,71 @@ def test_similar_drafts_are_grouped_over_all_pairs(spark, sf, tmp_path, monkeypa
 
 def test_fill_budget_takes_all_candidates(spark):
     columns = "qid long, uri string, score double, start_tier string, body_hash long, full long, overview long, abstract long, uri_cost long"
-    copies = [(1, f"a{i:04}", 9.0, "overview", 7, 30, 5, 3, 1) for i in range(1500)]  # one body, before all others
+    copies = [(1, f"a{i:04}", 9.0, "overview", 7, 30, 1, 3, 900) for i in range(1500)]  # one body, before all others
     dear = [(2, f"d{i:04}", 9.0, "overview", i, 900, 900, 900, 900) for i in range(1500)]
-    late = [(q, f"z{i}", 1.0 - i, "overview", 5000 + i, 30, 5, 3, 1) for q in (1, 2) for i in range(3)]
+    late = [(q, f"z{i}", 1.0 - i, "overview", 5000 + i, 30, 1, 3, 1) for q in (1, 2) for i in range(3)]
     none = [(None, "n1", 1.0, "overview", None, 40, 5, 3, 1), (None, "n2", None, "overview", None, 40, 5, 3, 1)]
-    got = {(r.qid, r.uri): (r.tier, r.tokens) for r in G.fill_budget(spark.createDataFrame(copies + dear + late + none, columns), 100).collect()}
-    assert {k for k in got if k[0] == 1} == {(1, "a0000"), (1, "z0"), (1, "z1"), (1, "z2")}
-    assert [got[1, u] for u in ("a0000", "z0", "z1", "z2")] == [("full", 30), ("full", 30), ("full", 30), ("overview", 5)]
-    assert len([k for k in got if k[0] == 2]) == 1503 and all(got[2, f"d{i:04}"] == (None, 0) for i in range(1500))
-    assert all(got[2, f"z{i}"][0] for i in range(3))
-    assert got[None, "n1"] == got[None, "n2"] == ("full", 40)
+    rows = G.fill_budget(spark.createDataFrame(copies + dear + late + none, columns), 100).collect()
+    got = {(r.qid, r.uri): (r.tier, r.tokens, r.outcome) for r in rows}
+    assert len(rows) == len(got) == 1500 + 1500 + 6 + 2
+    assert got[1, "a0000"] == ("full", 30, "placed") and all(got[1, f"a{i:04}"] == (None, 0, "deduped") for i in range(1, 1500))
+    assert [got[1, f"z{i}"][0] for i in range(3)] == ["full", "full", "overview"]
+    assert all(got[2, f"d{i:04}"] == (None, 0, "dropped") for i in range(1500)) and all(got[2, f"z{i}"][0] for i in range(3))
+    assert got[None, "n1"] == got[None, "n2"] == ("full", 40, "placed")
+
+
+def brute_fill(rows, budget):
+    """Placement by the rules, step by step: rows in order, each with costs, texts by tier and limits."""
+    rank, placed, state = {"uri": 0, "abstract": 1, "overview": 2, "full": 3}, [], {}
+    share, shown = max(1, budget // max(1, len(rows)) * 2), lambda r, t: ("uri", r["uri"]) if t == "uri" else (t, r["body"])
+    spent = lambda: sum(r["cost"][t] for r, t in placed) + max(0, len(placed) - 1)
+    for r in rows:
+        down = [t for t in ("full", "overview", "abstract", "uri") if rank[t] <= rank[r["start"]]]
+        if r["start"] == "abstract" and r["whole"]:
+            down = ["abstract", "overview", "uri"]
+        state[r["uri"]] = "dropped"
+        for t in down:
+            c = r["cost"][t]
+            if c is not None and (t == "uri" or c <= share) and spent() + c + bool(placed) <= budget:
+                if shown(r, t) in [shown(*p) for p in placed]:
+                    state[r["uri"]] = "deduped"
+                else:
+                    placed.append((r, t))
+                    state[r["uri"]] = "placed"
+                break
+    for to, capped in (("overview", 1), ("full", 1), ("full", 0), ("abstract", 0), ("overview", 0)):
+        for i, (r, t) in enumerate(placed):
+            c = r["cost"][to]
+            ok = rank[t] < rank[to] <= rank[r["ceiling"]] and c is not None and not (capped and c > share)
+            if ok and spent() - r["cost"][t] + c <= budget and shown(r, to) not in [shown(*p) for p in placed]:
+                placed[i] = (r, to)
+    tiers = {r["uri"]: t for r, t in placed}
+    return {u: (s, tiers.get(u)) for u, s in state.items()}
+
+
+def test_fill_budget_like_brute_force(spark):
+    import random
+
+    rng, requests, rows = random.Random(31), {}, []
+    for q in range(500):
+        own = []
+        for i in range(rng.randrange(1, 9)):
+            some = lambda a, b: rng.choice([rng.randrange(a, b)] * 5 + [None])
+            own.append({"uri": f"u{i}", "body": rng.randrange(6), "start": rng.choice(["full", "overview", "abstract", "uri"]), "ceiling": rng.choice(["full", "full", "overview", "abstract"]), "whole": rng.random() < 0.3, "cost": {"full": some(5, 60), "overview": some(3, 25), "abstract": some(2, 12), "uri": rng.randrange(1, 6)}})
+        requests[q] = own
+        rows += [(q, r["uri"], -float(i), r["start"], r["body"], r["cost"]["full"], r["cost"]["overview"], r["cost"]["abstract"], r["cost"]["uri"], r["ceiling"], r["whole"]) for i, r in enumerate(own)]
+    df = spark.createDataFrame(rows, "qid long, uri string, score double, start_tier string, body_hash long, full long, overview long, abstract long, uri_cost long, ceiling string, whole_abstract boolean").repartition(7)
+    filled = G.fill_budget(df, 60).persist()
+    got = {(r.qid, r.uri): (r.outcome, r.tier) for r in filled.collect()}
+    for q, own in requests.items():
+        assert {u: got[q, u] for u in (r["uri"] for r in own)} == brute_fill(own, 60), own
+    for r in G.plan_stats(filled, 60).collect():
+        state = brute_fill(requests[r.qid], 60)
+        of = lambda s, state=state: sum(x == s for x, _ in state.values())
+        assert (r.returned, r.dropped, r.deduped, r.per_entry_cap) == (of("placed"), of("dropped"), of("deduped"), max(1, 60 // len(state) * 2)) and r.used_tokens <= 60
+
+
+def test_conversation_language_counts_messages(spark):
+    rows = [(1, "assistant", "это русский текст"), (1, "user", "这是一个关于数据的测试"), (2, "user", " "), (2, "assistant", "это русский текст"), (3, None, None)]
+    got = dict(map(tuple, W.conversation_language(spark.createDataFrame(rows, "conv_id long, role string, text string")).collect()))
+    assert got == {1: "zh-CN", 2: "ru", 3: "en"}
