@@ -77,12 +77,14 @@ def normal_path(field: str | Column) -> Column:
 
 def path_scope(field: str, path: str, depth: int = -1) -> Column:
     """the node (depth 0), its children too (1) or more levels, or all below it (-1); slashes at the end and
-    empty segments don't count. The scheme's `//` is such an empty segment. A plain prefix test comes first where
-    the path is written in normal form, so that it reaches the scan."""
+    empty segments don't count. The scheme's `//` is such an empty segment. Prefix tests of the first segment, in any way
+    it may be written, come first and reach the scan; uri_scope tests the whole prefix of uris in normal form."""
     parts = segments(path)
     base = "/" + "/".join(parts)
     own = normal_path(field)
-    inside = F.lit(True) if not parts else (own == base) | own.startswith(base + "/")
+    c = _col(field)
+    written = c.startswith(parts[0]) | c.startswith("/" + parts[0]) | c.startswith("//") if parts else F.lit(True)
+    inside = F.lit(True) if not parts else written & ((own == base) | own.startswith(base + "/"))
     if depth >= 0:
         inside &= F.size(F.filter(F.split(own, "/"), lambda s: s != "")) - len(parts) <= depth
     return inside

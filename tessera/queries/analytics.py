@@ -135,6 +135,15 @@ def _(t):
     return E.run_summary(runs, ["price", "key"]).withColumns({c: F.round(c, 6) for c in ("median", "mad")})
 
 
+@query("a15_partition_grade", """WITH f AS (SELECT user_id AS c, event_type AS e, event_id % 2 AS a, count(*) AS n FROM events WHERE event_id % 7 <> 0 GROUP BY ALL),
+ b AS (SELECT x.c, max(x.n + coalesce(y.n, 0)) AS best FROM f x LEFT JOIN f y ON x.c = y.c AND x.e <> y.e AND x.a <> y.a GROUP BY x.c)
+ SELECT user_id AS case_id, round(count(*) FILTER (event_id % 7 <> 0) / count(*), 9) AS recall, count(*) FILTER (event_id % 7 = 0) AS missing,
+ count(*) FILTER (event_id % 7 <> 0) - coalesce(any_value(best), 0) AS misplaced FROM events LEFT JOIN b ON c = user_id GROUP BY user_id""")
+def _(t):
+    facts = lambda grp: t.events.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("fact"), grp.alias("grp"))
+    return E.partition_grade(facts(F.col("event_type")), facts(F.col("event_id") % 2).where("fact % 7 <> 0")).select("case_id", F.round("recall", 9).alias("recall"), "missing", "misplaced")
+
+
 @query("a16_paired_outcomes", """WITH r AS (SELECT c_custkey AS c, c_acctbal > 1000 AS a, c_nationkey < 12 AS b FROM customer), n AS (SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS left_only, count(*) FILTER (NOT a AND b) AS right_only, count(*) FILTER (NOT a AND NOT b) AS neither FROM r)
  SELECT n."both", left_only, right_only, neither FROM n""".replace("AS both", 'AS "both"'))
 def _(t):

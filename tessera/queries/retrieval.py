@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as R
+from ..operators.evaluation import recall_at_k
 from ..plans import jobs as J
 from . import RECORDS, query
 
@@ -63,6 +64,23 @@ def _(t):
     return _rounded(R.knn_approx(_vectors(t), _asked(t)))
 
 
+def _recall(found, exact):
+    """Mean recall at 10 over the queries, and whether it reaches 0.9."""
+    ids = lambda df, name: df.groupBy("qid").agg(F.array_agg("id").alias(name))
+    each = ids(exact, "expected").join(ids(found, "found"), "qid", "left").select(recall_at_k(F.coalesce("found", F.array().cast("array<long>")), F.col("expected"), 10).alias("r"))
+    return each.agg(F.count(F.lit(1)).alias("asked"), (F.avg("r") >= 0.9).alias("enough"))
+
+
+@query("a12_recall_int8", "SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def _(t):
+    return _recall(R.knn_int8(_vectors(t), _asked(t)), R.knn(_vectors(t), _asked(t), metric="ip"))
+
+
+@query("a12_recall_approx", "SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def _(t):
+    return _recall(R.knn_approx(_vectors(t), _asked(t)), R.knn(_vectors(t), _asked(t)))
+
+
 TERMS = r"SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM documents"
 
 

@@ -1,5 +1,7 @@
 from datetime import UTC, datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,40 @@ def test_int8_and_approximate_recall(spark, sf):
     assert len(ip & {(h.qid, h.id) for h in R.knn_int8(rows, asked).collect()}) >= 0.9 * len(ip)
 
 
+def test_other_ways_of_search_find_the_same(spark, sf):
+    """Blocks of both sides and joined terms, the ways beyond the sizes that are broadcast; small tiles; missing values."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None), (-2, [0.0] * 64), (-3, [float("nan")] * 64)], "id long, vector array<float>")).unionByName(rows.select(F.col("id") + 100_000, "vector").toDF("id", "vector"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector")
+    plain = lambda df: sorted((r.qid, r.id, r.rank, round(r.score, 6)) for r in df.collect())
+    assert plain(R.knn(rows, asked)) == plain(R.knn(rows, asked, most_broadcast=0))
+    assert plain(R.knn_int8(rows, asked)) == plain(R.knn_int8(rows, asked, most_broadcast=0))
+    assert plain(R.knn(rows, asked, k=5, offset=5)) == [(q, i, r, s) for q, i, r, s in plain(R.knn(rows, asked)) if r > 5]
+    assert {r.id % 2 for r in R.knn_approx(rows, asked, where=F.col("id") % 2 == 0).collect()} == {0}
+    assert R.knn(rows.limit(0), asked).isEmpty() and R.knn(rows, asked.limit(0)).isEmpty() and R.knn_approx(rows.limit(0), asked).isEmpty()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, "")], "id long, content string"))
+    wanted = docs.where("id % 20 = 0").select(F.col("id").alias("qid"), F.substring("content", 1, 200).alias("query"))
+    assert plain(R.keyword_search(docs, wanted)) == plain(R.keyword_search(docs, wanted, most_terms=0))
+    assert R.keyword_search(docs.limit(0), wanted).isEmpty() and R.keyword_search(docs, wanted.limit(0)).isEmpty()
+    terms = wanted.select("qid", F.explode(R.tokens(F.col("query"))).alias("term"), F.lit(0.5).alias("w"))
+    postings = docs.select("id", F.explode(R.tokens(F.col("content"))).alias("term"), F.lit(2.0).alias("w"))
+    assert plain(R.sparse_knn(postings, terms)) == plain(R.sparse_knn(postings, terms, most_terms=0))
+
+
+def test_best_in_small_tiles(monkeypatch):
+    scores = np.random.default_rng(3).integers(0, 5, (6, 40)).astype(float)
+    q, c, s = R._best(scores, 7)
+    assert [(a, b) for a, b in zip(q, c, strict=True)] == [(i, j) for i in range(6) for j in sorted(range(40), key=lambda j: (-scores[i, j], j))[:7]]
+    asked = R._Asked(pa.table({"qid": [1, 1, 2, 2], "term": ["a", "b", "a", "c"], "w": [1.0, 2.0, 3.0, 1.0]}))
+    rng = np.random.default_rng(4)
+    row, term = map(np.array, zip(*((r, t) for r in range(50) for t in range(3) if rng.random() < 0.7), strict=True))
+    once = lambda: R._best_of(asked.best(pa.array(range(50)), row, term, np.ones(len(row)), 5), 5)
+    whole = once()
+    monkeypatch.setattr(R, "TILE", 12)
+    assert once().equals(whole)
+
+
 def test_time_decay_on_the_fixture(spark):
     day = lambda d: datetime(2026, 1, d, tzinfo=UTC)
     rows = [(1, str(i), s, t) for i, (s, t) in enumerate([(1.0, day(1)), (0.9, day(1)), (0.8, day(1)), (0.7, day(9)), (0.6, day(9)), (0.5, None)])]

@@ -1,3 +1,4 @@
+import itertools
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
@@ -108,6 +109,11 @@ def test_evaluation(spark):
     a = spark.createDataFrame([("c", "f1", "x"), ("c", "f2", "x"), ("c", "f3", "y"), ("c", "f9", "y"), ("c", "f1", "x")], "case_id string, fact string, grp string")
     r = E.partition_grade(e, a).first()
     assert (r.recall, r.duplicates, r.missing, r.unexpected, r.misplaced, r.exact_groups) == (0.75, 1, 1, 1, 0, 0.5)
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        m = rng.integers(0, 6, (rng.integers(1, 6), rng.integers(1, 7)))
+        v = m if m.shape[0] <= m.shape[1] else m.T
+        assert E.best_assignment(m) == max(sum(v[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(v.shape[1]), v.shape[0]))
     pairs = spark.createDataFrame([(i, 0, p, ok) for i, (x, y) in enumerate([(1, 0)] * 6 + [(0, 1)] + [(1, 1)] * 3) for p, ok in (("l", x), ("r", y))], "case_id int, repeat int, protocol string, success int")
     p = E.paired_outcomes(pairs, "l", "r").first()
     assert (p.both, p.left_only, p.right_only, p.neither) == (3, 6, 1, 0) and p.p == pytest.approx(0.125)
@@ -248,3 +254,10 @@ def test_conversation_language_counts_messages(spark):
     rows = [(1, "assistant", "это русский текст"), (1, "user", "这是一个关于数据的测试"), (2, "user", " "), (2, "assistant", "это русский текст"), (3, None, None)]
     got = dict(map(tuple, W.conversation_language(spark.createDataFrame(rows, "conv_id long, role string, text string")).collect()))
     assert got == {1: "zh-CN", 2: "ru", 3: "en"}
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [2.0, 1.0], [5.0] * 50, [float(i * i % 997) for i in range(3000)]])
+def test_quantiles_are_exact(spark, values):
+    df = spark.createDataFrame([(g, v) for g in ("a", "b") for v in values] + [("a", None)], "g string, v double")
+    got = {(r.g, r.share): r.value for r in A.quantiles(df, "v", [0.0, 0.5, 0.99, 1.0], ("g",)).collect()}
+    assert got == pytest.approx({(g, q): float(np.quantile(values, q)) for g in "ab" for q in (0.0, 0.5, 0.99, 1.0)} if values else {})
