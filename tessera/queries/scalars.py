@@ -27,16 +27,16 @@ _doc("x01_token_estimate", lambda: X.token_estimate(F.col("text")), rf"((len(tex
 _doc("x20_normalize_answer", lambda: F.sha2(X.normalize_answer(F.col("text")), 256), f"sha256({NORMAL})")
 _doc("x21_is_refusal", lambda: X.is_refusal(F.col("text")), "regexp_matches(lower(text), 'not mentioned|no information|cannot be answered|none|unknown|don''t know')")
 _doc("x23_sha256", lambda: F.sha2("text", 256), "sha256(text)")
-_doc("x25_resource_uris", lambda: F.size(X.resource_uris(F.concat("text", F.lit(" see ctx://a/b. and ctx://a/b, or ctx://c"), F.col("lang")))), "2")
+_doc("x25_resource_uris", lambda: F.size(X.resource_uris(F.replace("text", F.lit(" a"), F.lit(" ctx://a")))), r"len(list_distinct(list_transform(regexp_extract_all(replace(text, ' a', ' ctx://a'), 'ctx://[^\s<>\"''`\)\]\}，。；！？、]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))))")
 _doc("x26_strip_markup", lambda: F.length(X.strip_markup_noise(F.concat(F.lit("[](x)![a](data:image/png;base64,AA)\n\n\n\n\n\n"), F.col("text")))), r"len(regexp_replace(chr(10)||chr(10)||chr(10)||text, '\n{4,}', chr(10)||chr(10)||chr(10), 'g'))")
 _doc("x27_portable_segment", lambda: X.portable_segment(F.concat(F.col("lang"), F.lit("/ "), F.col("source"))), "lang || '_' || source || '_' || substr(sha256(lang || '/ ' || source), 1, 16)")
 _doc("x28_outcome_norm", lambda: X.outcome_norm(F.when(F.col("lang") == "en", " Success ").otherwise(F.col("lang"))), "CASE WHEN lang = 'en' THEN 'success' ELSE 'unknown' END")
 _doc("x31_preview_id", lambda: X.preview_id(F.when(F.col("lang") == "en", F.col("source")), F.col("text")), "CASE WHEN lang = 'en' THEN 'tr_' || source || '_' || substr(sha256(text), 1, 16) ELSE 'tr_' || substr(sha256(text), 1, 24) END")
-_doc("x12_doc_overview", lambda: F.length(X.doc_overview(F.concat(F.lit("# A\n## B\n\nBody.\n\n"), F.col("text")))), "len('- A' || chr(10) || '  - B' || chr(10) || 'Body.')")
-_doc("x11_summary_section", lambda: X.summary_section(F.concat(F.lit("# T\n## Summary\nshort\n text\n# Next\n"), F.col("text"))), "'short text'")
+_doc("x12_doc_overview", lambda: F.sha2(X.doc_overview(F.concat(F.lit("# A\n## B\n\nBody. "), F.translate("text", "\n", " "))), 256), r"sha256('- A' || chr(10) || '  - B' || chr(10) || substr(trim(regexp_replace('Body. ' || text, '\s+', ' ', 'g')), 1, 400))")
+_doc("x11_summary_section", lambda: F.sha2(X.summary_section(F.concat(F.lit("# T\n## Summary\nshort\n "), F.translate("text", "\n", " "), F.lit("\n# Next\n"))), 256), r"sha256(trim(regexp_replace('short ' || text, '\s+', ' ', 'g')))")
 _doc("x10_finite_or", lambda: G.finite_or(F.when(F.col("lang") == "en", "NaN").when(F.col("lang") == "de", "x").otherwise("1.5"), -1.0), "CASE WHEN lang IN ('en', 'de') THEN -1.0 ELSE 1.5 END")
-_doc("x19_masked", lambda: X.mask(F.concat(F.lit("mail a.b@example.org "), F.col("lang")), {"email": X.PRIVACY["email"]}), "'mail [MASKED] ' || lang")
-_doc("x24_conflict_tags", lambda: X.conflict_tags(F.concat(F.lit('<!-- CONFLICT [{"id":"1","text":"a"},{"id":"2","text":"b"}] -->'), F.col("lang")))["conflict_num"], "2")
+_doc("x19_masked", lambda: F.sha2(X.mask(F.col("text"), {"email": X.PRIVACY["email"]}), 256), r"sha256(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[MASKED]', 'g'))")
+_doc("x24_conflict_tags", lambda: X.conflict_tags(F.replace("text", F.lit("\n"), F.lit('<!-- CONFLICT [{"id":"1","text":"a"},{"id":"2","text":"b"}] -->')))["conflict_num"], "(2 * (len(text) - len(replace(text, chr(10), ''))))::INTEGER")
 _doc("x13_render_entry", lambda: X.render_entry(F.concat(F.lit('a"<'), F.col("lang")), F.lit("full"), F.lit(0.126).cast("double"), F.col("source")), """'<entry uri="a&quot;&lt;' || lang || '" tier="full" score="0.13">' || chr(10) || source || chr(10) || '</entry>'""")
 
 @query("x02_hotness", f"{RECORDS} SELECT doc_id, round(1 / (1 + exp(-ln(1 + active_count))) * pow(2, -greatest((epoch_us(TIMESTAMP '2024-01-20') - epoch_us(updated_at)) / 86400e6, 0) / 7), 6) AS value FROM records")
