@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from . import chat, jaccard_join, language_id, line_dedup, packing, piece_transducer, quality_classifier, quality_rules, toxicity, winnowing
+from . import chat, filter_audit, jaccard_join, language_id, line_dedup, packing, piece_transducer, quality_classifier, quality_rules, toxicity, winnowing
 from .common import crc_mod, table
 
 DIGEST = StructType().add("n_ids", LongType()).add("ids_crc32", LongType()).add("decoded_sha256", StringType()).add("round_trip", BooleanType())
@@ -90,6 +90,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(docs, model, held_out.alias("held_out")).drop("spans")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Words of a text, in DuckDB.
 SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -166,5 +170,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
-QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
-ORACLES = {"op4_chat_format": OP4_SQL, "op2_jaccard_join": OP2_SQL, "op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
+OP11_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {SQL_WORDS} AS words FROM documents),
+f AS (SELECT w.doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (len(text) - len(translate(text, '{filter_audit.CAPITALS}', ''))) > 10 * len(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bs FROM letters p, letters q, letters r, letters s, letters t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND len(list_distinct([p.b, q.b, r.b, s.b, t.b])) = 5),
+steps AS (SELECT filter_order, step, bs[step] AS bit, coalesce(list_sum(list_slice(bs, 1, step - 1)), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+a AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM m, steps GROUP BY ALL)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM a"""
+
+
+QUERIES = {"op11_filter_audit": op11_filter_audit, "op2_jaccard_join": op2_jaccard_join, "op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+ORACLES = {"op11_filter_audit": OP11_SQL, "op4_chat_format": OP4_SQL, "op2_jaccard_join": OP2_SQL, "op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
