@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from . import chat, filter_audit, jaccard_join, language_id, line_dedup, packing, piece_transducer, quality_classifier, quality_rules, toxicity, winnowing
+from . import chat, filter_audit, jaccard_join, language_id, line_dedup, packing, piece_transducer, prefix_trie, quality_classifier, quality_rules, toxicity, winnowing
 from .common import crc_mod, table
 
 DIGEST = StructType().add("n_ids", LongType()).add("ids_crc32", LongType()).add("decoded_sha256", StringType()).add("round_trip", BooleanType())
@@ -94,6 +94,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 #: Words of a text, in DuckDB.
 SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -187,5 +191,23 @@ a AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | before)
 SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM a"""
 
 
-QUERIES = {"op11_filter_audit": op11_filter_audit, "op2_jaccard_join": op2_jaccard_join, "op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
-ORACLES = {"op11_filter_audit": OP11_SQL, "op4_chat_format": OP4_SQL, "op2_jaccard_join": OP2_SQL, "op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
+#: crc32 of a decimal number c, bit by bit.
+SQL_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(c::VARCHAR) + 1), lambda i: [ascii((c::VARCHAR)[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+OP12_SQL = rf"""
+WITH m AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, list((role, text) ORDER BY p) AS turns FROM m GROUP BY c),
+h AS (SELECT *, {SQL_CRC32} % 9 AS h FROM s),
+r AS (SELECT h.c, coalesce(list_slice(b.turns, 1, h), []) || list_slice(h.turns, h + 1, len(h.turns)) AS turns FROM h LEFT JOIN s b ON b.c = h.c - h.c % 5),
+e AS (SELECT c, d, list_slice(turns, 1, d) AS node, len(turns) AS n FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+v AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM e GROUP BY node, d),
+k AS (SELECT p.node, count(*) AS n FROM v JOIN v p ON v.d = p.d + 1 AND list_slice(v.node, 1, p.d) = p.node GROUP BY p.node),
+below AS (SELECT list_slice(node, 1, a) AS node, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(CASE WHEN d > 0 THEN (n_convs - 1) * octet_length(encode(node[d][2])) ELSE 0 END) AS saved
+  FROM (SELECT v.*, k.n, unnest(range(0, d + 1)) AS a FROM v LEFT JOIN k USING (node)) k GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM v LEFT JOIN v p ON v.d = p.d + 1 AND list_slice(v.node, 1, p.d) = p.node LEFT JOIN k ON k.node = v.node JOIN below ON below.node = v.node"""
+
+
+QUERIES = {"op12_prefix_trie": op12_prefix_trie, "op11_filter_audit": op11_filter_audit, "op2_jaccard_join": op2_jaccard_join, "op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+ORACLES = {"op12_prefix_trie": OP12_SQL, "op11_filter_audit": OP11_SQL, "op4_chat_format": OP4_SQL, "op2_jaccard_join": OP2_SQL, "op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
