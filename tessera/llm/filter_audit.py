@@ -51,7 +51,7 @@ def flags(text: Column) -> Column:
 
 def blocks_for(rows: int) -> int:
     """Blocks of the sketch, a power of two: 8 to 16 counters a row."""
-    return max(1, 1 << (max(1, 8 * rows) - 1).bit_length() - (BLOCK - 1).bit_length())
+    return 1 << max(0, (max(1, 8 * rows) - 1).bit_length() - (BLOCK - 1).bit_length())
 
 
 def slots(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
