@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from . import chat, filter_audit, jaccard_join, language_id, line_dedup, packing, piece_transducer, prefix_trie, quality_classifier, quality_rules, toxicity, winnowing
+from . import chat, filter_audit, jaccard_join, language_id, line_dedup, max_entropy, packing, piece_transducer, prefix_trie, quality_classifier, quality_rules, toxicity, winnowing
 from .common import crc_mod, table
 
 DIGEST = StructType().add("n_ids", LongType()).add("ids_crc32", LongType()).add("decoded_sha256", StringType()).add("round_trip", BooleanType())
@@ -98,6 +98,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2
+    train = docs.where(~held_out)
+    counts = max_entropy.vocabulary_of(train)
+    found = max_entropy.scored(docs, max_entropy.fit(train, counts), counts)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: Words of a text, in DuckDB.
 SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -209,5 +217,5 @@ SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce
 FROM v LEFT JOIN v p ON v.d = p.d + 1 AND list_slice(v.node, 1, p.d) = p.node LEFT JOIN k ON k.node = v.node JOIN below ON below.node = v.node"""
 
 
-QUERIES = {"op12_prefix_trie": op12_prefix_trie, "op11_filter_audit": op11_filter_audit, "op2_jaccard_join": op2_jaccard_join, "op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op13_lm_scoring": op13_lm_scoring, "op12_prefix_trie": op12_prefix_trie, "op11_filter_audit": op11_filter_audit, "op2_jaccard_join": op2_jaccard_join, "op7_line_dedup": op7_line_dedup, "op3_fingerprints": op3_fingerprints, "op1_quality_classifier": op1_quality_classifier, "op8_toxicity": op8_toxicity, "op9_sentencepiece": op9_sentencepiece, "op10_language_id": op10_language_id, "op4_chat_format": op4_chat_format, "op5_best_fit_packing": op5_best_fit_packing, "op6_quality_rules": op6_quality_rules}
 ORACLES = {"op12_prefix_trie": OP12_SQL, "op11_filter_audit": OP11_SQL, "op4_chat_format": OP4_SQL, "op2_jaccard_join": OP2_SQL, "op7_line_dedup": op7_sql(), "op6_quality_rules": op6_sql()}
