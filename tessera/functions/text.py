@@ -24,10 +24,12 @@ def token_estimate(text: Column) -> Column:
     return F.coalesce(F.ceil(quarter_tokens(text) / 4), F.lit(0)).cast("long")
 
 
-def truncate_to_tokens(text: Column, budget: int, marker: str = "\n...\n", head: float = 0.75) -> Column:
+def truncate_to_tokens(text: Column, budget: int | Column, marker: str = "\n...\n", head: float = 0.75) -> Column:
     """The text, or where it is estimated above the budget its beginning (head of what the marker leaves) and end."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
     room = budget * 4 - (len(marker) + 3)
-    first, last = int(room * head), room - int(room * head)
+    first = F.floor(room * head)
+    last = room - first
 
     def cut(chars: Column) -> Column:
         weigh = lambda c: F.when(c.rlike(WIDE), 6).when(c.rlike(ASTRAL), 8).otherwise(1)
@@ -35,9 +37,7 @@ def truncate_to_tokens(text: Column, budget: int, marker: str = "\n...\n", head:
         return F.concat(F.array_join(F.slice(chars, F.lit(1), fits(chars, first)), ""), F.lit(marker), _let(fits(F.reverse(chars), last), lambda n: F.array_join(F.slice(chars, F.size(chars) - n + 1, n), "")))
 
     over = token_estimate(text) > budget
-    if room <= 0:
-        return F.when(over, F.substring(text, 1, budget)).otherwise(text)
-    return F.when(over, _let(F.filter(F.split(text, ""), lambda c: c != ""), cut)).otherwise(text)
+    return F.when(over & (room <= 0), F.substring(text, F.lit(1), budget.cast("int"))).when(over, _let(F.filter(F.split(text, ""), lambda c: c != ""), cut)).otherwise(text)
 
 
 def apply_blocks(text: Column, blocks: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import ACCENTS, LETTERS, STOP_WORDS, decided_language, language_evidence, squeeze
@@ -52,17 +53,8 @@ def quota_select(candidates: DataFrame, quotas: dict[str, int], total: int, peer
     return chosen.withColumnRenamed("_in", "by_quota").drop("_rn")
 
 
-def turns(messages: DataFrame) -> DataFrame:
-    """Turn and step numbers of messages (conv_id, pos, role, is_tool): a user message that isn't tool transport
-    opens a turn, an assistant message a step; tool results stay with the step before."""
-    w = Window.partitionBy("conv_id").orderBy("pos")
-    opens = (F.col("role") == "user") & ~F.col("is_tool")
-    out = messages.withColumn("turn_no", F.sum(opens.cast("int")).over(w))
-    return out.withColumn("step_no", F.sum((F.col("role") == "assistant").cast("int")).over(Window.partitionBy("conv_id", "turn_no").orderBy("pos")))
-
-
 def pack_batches(units: DataFrame, max_tokens: int, max_messages: int) -> DataFrame:
-    """Greedy batches of a session's units (session, pos, tokens, messages) in order: `batch` from 0, `oversized`
+    """W7's fold: greedy batches of a session's units (session, pos, tokens, messages and others) in order: `batch` from 0, `oversized`
     for a unit that alone is too large. Sessions are packed apart, each as a stream of its sorted rows, so a long one
     needs no more memory than a short one."""
 
@@ -82,24 +74,8 @@ def pack_batches(units: DataFrame, max_tokens: int, max_messages: int) -> DataFr
                 over.append(bool(large))
             yield pdf.assign(batch=pd.Series(numbers, index=pdf.index, dtype="int64"), oversized=pd.Series(over, index=pdf.index, dtype=bool))
 
-    rows = units.select("session", "pos", "tokens", "messages").repartition("session").sortWithinPartitions("session", "pos")
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInPandas(run, f"session {kind['session']}, pos {kind['pos']}, tokens {kind['tokens']}, messages {kind['messages']}, batch long, oversized boolean")
-
-
-def retain(messages: DataFrame, keep_turns: int, token_budget: int) -> DataFrame:
-    """`keep` or `archive` for messages with turn_no, step_no, tokens, pos: the last keep_turns turns stay. If the
-    last turn alone is above the budget, of it only its first message and the last whole steps that fit stay (the step
-    at the end always does)."""
-    last = F.max("turn_no").over(Window.partitionBy("conv_id"))
-    rows = messages.withColumn("last_turn", last)
-    size = F.sum(F.when(F.col("turn_no") == F.col("last_turn"), F.col("tokens"))).over(Window.partitionBy("conv_id"))
-    after = F.sum("tokens").over(Window.partitionBy("conv_id", "turn_no").orderBy(F.desc("step_no")).rangeBetween(Window.unboundedPreceding, 0))
-    anchor = F.col("pos") == F.min("pos").over(Window.partitionBy("conv_id", "turn_no"))
-    end = F.col("step_no") == F.max("step_no").over(Window.partitionBy("conv_id", "turn_no"))
-    rows = rows.withColumns({"last_size": size, "after": after, "anchor": anchor, "end": end})
-    keep = F.when(F.col("last_size") <= token_budget, F.col("turn_no") > F.col("last_turn") - keep_turns).otherwise((F.col("turn_no") == F.col("last_turn")) & (F.col("anchor") | F.col("end") | (F.col("after") <= token_budget)))
-    return rows.withColumn("fate", F.when(keep, "keep").otherwise("archive")).drop("last_turn", "last_size", "after", "anchor", "end")
+    rows = units.repartition("session").sortWithinPartitions("session", "pos")
+    return rows.mapInPandas(run, StructType([*rows.schema, StructField("batch", LongType()), StructField("oversized", BooleanType())]))
 
 
 def grep(files: DataFrame, pattern: str, before: int = 0, after: int = 0, limit: int | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.text import token_estimate
 from ..operators import joins as J
+from ..operators import sessions as Z
 from ..operators import windows as W
 from ..operators.chunks import chunk_ranges, pack_ranges, section_chunks
 from ..plans import jobs as G
@@ -143,23 +145,50 @@ def _(t):
 @query("w06_turns", """WITH t AS (SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations)
  SELECT conv_id, turn AS pos, turn_no::BIGINT AS turn_no, (sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn_no ORDER BY turn))::BIGINT AS step_no FROM t""")
 def _(t):
-    return W.turns(t.conversations.select("conv_id", F.col("turn").alias("pos"), "role", F.lit(False).alias("is_tool"))).select("conv_id", "pos", "turn_no", "step_no")
+    return Z.turns(t.conversations.select("conv_id", F.col("turn").alias("pos"), "role", F.lit(False).alias("is_tool"))).select("conv_id", "pos", "turn_no", "step_no")
 
 
-@query("w07_pack_batches", None)
+#: Messages with turns, steps and tokens, for DuckDB.
+TURNS = """m AS (SELECT conv_id, turn AS pos, role, coalesce(text, '') AS text, ceil(len(coalesce(text, '')) / 4)::BIGINT AS tokens, role = 'user' AS anchor, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations),
+ s AS (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id, turn_no ORDER BY pos) AS step_no FROM m)"""
+
+
+def _messages(t):
+    text = F.coalesce("text", F.lit(""))
+    return Z.turns(t.conversations.select("conv_id", F.col("turn").alias("pos"), "role", F.lit(False).alias("is_tool"), text.alias("text"), token_estimate(text).alias("tokens")))
+
+
+@query("w07_pack_batches", f"""WITH RECURSIVE {TURNS},
+ o AS (SELECT *, CASE WHEN anchor THEN -1 ELSE step_no END AS part, sum(tokens) OVER t > 300 OR count(*) OVER t > 2 AS opened FROM s WINDOW t AS (PARTITION BY conv_id, turn_no)),
+ l AS (SELECT *, CASE WHEN NOT opened THEN 'turn' WHEN part = -1 OR sum(tokens) OVER p > 300 OR count(*) OVER p > 2 THEN 'message' ELSE 'step' END AS level FROM o WINDOW p AS (PARTITION BY conv_id, turn_no, part)),
+ u AS (SELECT conv_id, min(pos) AS pos, level, sum(tokens)::BIGINT AS tokens, count(*) AS messages FROM l GROUP BY conv_id, turn_no, level, CASE WHEN level <> 'turn' THEN part END, CASE WHEN level = 'message' THEN pos END),
+ n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS i, tokens > 300 OR messages > 2 AS oversized FROM u),
+ f AS (SELECT *, 0 AS batch, tokens AS held, messages AS many FROM n WHERE i = 1
+  UNION ALL SELECT n.*, CASE WHEN cut THEN batch + 1 ELSE batch END, CASE WHEN cut THEN n.tokens ELSE held + n.tokens END, CASE WHEN cut THEN n.messages ELSE many + n.messages END
+   FROM (SELECT f.conv_id AS c, f.i AS prev, f.batch, f.held, f.many FROM f) JOIN n ON n.conv_id = c AND n.i = prev + 1, LATERAL (SELECT n.oversized OR held + n.tokens > 300 OR many + n.messages > 2 AS cut))
+ SELECT conv_id AS session, pos, level, tokens, messages, batch::BIGINT AS batch, oversized FROM f""")
 def _(t):
-    return W.pack_batches(t.conversations.select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.length("text").cast("long").alias("tokens"), F.lit(1).cast("long").alias("messages")), 800, 3)
+    return Z.extraction_batches(_messages(t), 300, 2)
 
 
-@query("w08_retain", None)
+@query("w08_retain", f"""WITH {TURNS},
+ t AS (SELECT conv_id, turn_no, sum(tokens) AS size, sum(CASE WHEN anchor THEN tokens END) AS anchor_tokens, max(CASE WHEN NOT anchor THEN step_no END) AS last_step FROM s GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER w AS back, sum(size) OVER w AS upto FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn_no DESC)),
+ f AS (SELECT *, CASE WHEN back <= 2 AND upto <= 250 THEN 'keep' WHEN back > 1 OR anchor_tokens IS NULL THEN 'archive' WHEN last_step IS NULL THEN 'keep' ELSE 'split' END AS fate FROM k),
+ p AS (SELECT s.conv_id, s.turn_no, s.step_no, sum(s.tokens) AS step, greatest(250 - any_value(f.anchor_tokens), 0) AS room FROM s JOIN f USING (conv_id, turn_no) WHERE fate = 'split' AND NOT anchor GROUP BY ALL),
+ q AS (SELECT *, sum(step) OVER (PARTITION BY conv_id ORDER BY step_no DESC) AS behind, step_no = max(step_no) OVER (PARTITION BY conv_id) AS at_end FROM p),
+ r AS (SELECT s.conv_id, s.pos, s.text, s.tokens, s.anchor, f.fate, CASE WHEN q.step IS NULL THEN NULL WHEN behind <= room THEN 'keep' WHEN at_end THEN 'preview' ELSE 'archive' END AS own, floor(s.tokens * room / greatest(q.step, 1))::BIGINT AS share
+  FROM s JOIN f USING (conv_id, turn_no) LEFT JOIN q ON q.conv_id = s.conv_id AND q.turn_no = s.turn_no AND q.step_no = s.step_no AND NOT s.anchor),
+ g AS (SELECT *, 'archive' AS place, fate = 'split' AND NOT anchor AS checkpoint, NULL::BIGINT AS preview_tokens FROM r WHERE fate = 'archive' OR fate = 'split' AND (anchor OR own <> 'keep')
+  UNION ALL SELECT *, 'keep', false, CASE WHEN own = 'preview' THEN share END FROM r WHERE fate = 'keep' OR fate = 'split' AND (anchor OR own <> 'archive'))
+ SELECT conv_id, pos, place, checkpoint, preview_tokens, sha256(CASE WHEN preview_tokens IS NULL OR tokens <= preview_tokens THEN text WHEN preview_tokens <= 2 THEN left(text, preview_tokens)
+  ELSE left(text, floor((4 * preview_tokens - 8) * 0.75)::INT) || chr(10) || '...' || chr(10) || right(text, (4 * preview_tokens - 8 - floor((4 * preview_tokens - 8) * 0.75))::INT) END) AS text_sha256 FROM g""")
 def _(t):
-    return W.retain(W.turns(t.conversations.select("conv_id", F.col("turn").alias("pos"), "role", F.lit(False).alias("is_tool"), F.length("text").alias("tokens"))), 1, 600).select("conv_id", "pos", "fate")
+    return Z.retain(_messages(t), 2, 250).select("conv_id", "pos", "place", "checkpoint", "preview_tokens", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("w09_fill_budget", None)
 def _(t):
-    from ..functions.text import token_estimate
-
     rows = t.events.select(F.col("user_id").alias("qid"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("uri"), F.col("value").alias("score"), F.lit("overview").alias("start_tier"), F.xxhash64("event_id").alias("body_hash"), (F.col("event_id") % 90 + 20).alias("full"), (F.col("event_id") % 30 + 5).alias("overview"), F.lit(3).cast("long").alias("abstract"), token_estimate(F.col("event_type")).alias("uri_cost"))
     return G.fill_budget(rows, 400)
 

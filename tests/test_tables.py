@@ -64,13 +64,7 @@ def test_logs(spark, tmp_path):
     assert rows(T.read_turn_table(df, (1, "a")), "id") == [("b",)]
 
 
-def test_turns_batches_and_retention(spark):
-    kinds = [("user", False), ("assistant", False), ("user", True), ("assistant", False), ("user", False), ("assistant", False)]
-    df = W.turns(spark.createDataFrame([(1, i, r, t, 10) for i, (r, t) in enumerate(kinds)], "conv_id int, pos int, role string, is_tool boolean, tokens int"))
-    assert [(r.turn_no, r.step_no) for r in df.orderBy("pos").collect()] == [(1, 0), (1, 1), (1, 1), (1, 2), (2, 0), (2, 1)]
-    assert rows(W.retain(df, 1, 100).where("fate = 'archive'"), "pos") == [(0,), (1,), (2,), (3,)]
-    one = df.where("turn_no = 1")
-    assert rows(W.retain(one, 1, 15).where("fate = 'keep'"), "pos") == [(0,), (3,)]
+def test_units_are_packed(spark):
     units = spark.createDataFrame([("s", i, n, 1) for i, n in enumerate([5, 4, 9, 2, 2, 12, 1])] + [("t", 0, 3, 1)], "session string, pos int, tokens int, messages int")
     packed = [(r.session, r.batch, r.oversized) for r in W.pack_batches(units, 10, 100).orderBy("session", "pos").collect()]
     assert packed == [("s", 0, False), ("s", 0, False), ("s", 1, False), ("s", 2, False), ("s", 2, False), ("s", 3, True), ("s", 4, False), ("t", 0, False)]
