@@ -166,7 +166,8 @@ def masks(docs: DataFrame) -> DataFrame:
     found = stage(looked.select("doc_id", "part", flags(F.col("text")).alias("mask"), "h", F.when(F.col("possible"), F.col("text")).alias("text")), "flags")
     discard(sketch)
     repeats = found.where("text IS NOT NULL")
-    first = repeats.where("doc_id IS NOT NULL").groupBy("h", "text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    least = repeats.where("doc_id IS NOT NULL").groupBy("h", "text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = stage(least, "first")  # a plain table, so Spark can split the rows of one text that meet it
     later = repeats.join(first.withColumnsRenamed({"h": "h2", "text": "text2"}), (F.col("h") == F.col("h2")) & (F.col("text") == F.col("text2")), "left")
     failed = later.select("doc_id", "part", F.when(F.col("doc_id") > F.col("first"), F.col("mask") + 16).otherwise(F.col("mask")).alias("mask"))
     return found.where("text IS NULL").select("doc_id", "part", "mask").unionByName(failed)
