@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +84,12 @@ class Vocabulary:
         self.of = np.concatenate([np.arange(self.head) // WITHIN, self.head_classes + opened, [last]]).astype(np.int32)
         self.rest, self.rest_distinct = int(self.n - counts.sum()), self.distinct - size
         share = np.bincount(self.of, np.append(counts, self.rest + 1), self.classes)
-        self.class_share = np.log(np.maximum(share, 1e-3) / share.sum())
+        self.class_share = np.log(np.maximum(share, 1e-3) / share.sum()).astype(np.float32)
         with np.errstate(divide="ignore"):
             #: log of the share of its class; of the place after the last, what an unseen word has
             self.within = np.log(np.append(counts, 1) / np.append(share[self.of[:-1]], self.rest + self.rest_distinct + 1))
         self.base = np.log10((np.append(counts, 0) + 1) / (self.n + self.distinct + 1))
-        self.word_share = np.full((max(1, self.head_classes), WITHIN), -1e4, np.float32)
+        self.word_share = np.full((max(1, self.head_classes), WITHIN), -80, np.float32)  # no word: no odds
         self.word_share.ravel()[: self.head] = self.within[: self.head]
 
     def rest_log10(self, count):
@@ -121,27 +122,26 @@ class Model:
         self.v = vocabulary
         self.tables = [np.zeros((ROWS, vocabulary.classes), np.float32), np.zeros((ROWS, WITHIN), np.float32)]
 
-    def layer(self, which: int, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Probabilities of all outcomes from start (log shares) and the weights of rows (features, tokens)."""
+    def layer(self, which: int, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Odds of all outcomes from start (log shares) and the weights of rows (features, tokens), and their sums."""
         z = self.tables[which][rows[0]]
         z += start + self.tables[which][0]
         for r in rows[1:]:
             z += self.tables[which][r]
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -80, 80, out=z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z
+        return z, z @ np.ones(z.shape[1], np.float32)
 
     def both(self, ids: np.ndarray, hashes: np.ndarray):
-        """For classes, and for words in head classes: the tokens concerned, rows, outcomes and probabilities."""
+        """For classes, and for words in head classes: the tokens concerned, rows, outcomes, odds and their sums."""
         v = self.v
         of = v.of[ids]
         rows = rows_of(hashes)
-        yield slice(None), rows, of, self.layer(0, rows, v.class_share.astype(np.float32))
+        yield slice(None), rows, of, *self.layer(0, rows, v.class_share)
         at = np.flatnonzero(ids < v.head)
         if len(at):
             inner = rows_of(hashes[:2, at] + (of[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-            yield at, inner, ids[at] % WITHIN, self.layer(1, inner, v.word_share[of[at]])
+            yield at, inner, ids[at] % WITHIN, *self.layer(1, inner, v.word_share[of[at]])
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each token; of tokens outside the dictionary only that of the last class."""
@@ -150,8 +150,8 @@ class Model:
         for i in range(0, len(ids), BATCH):
             own = ids[i : i + BATCH]
             p = np.where((own >= self.v.head) & (own < len(self.v.words)), self.v.within[own], 0)
-            for at, _, y, q in self.both(own, hashes[:, i : i + BATCH]):
-                p[at] += np.log(np.maximum(q[np.arange(len(y)), y], 1e-30))
+            for at, _, y, odds, total in self.both(own, hashes[:, i : i + BATCH]):
+                p[at] += np.log(odds[np.arange(len(y)), y] / total)
             out[i : i + BATCH] = p
         return out / np.log(10)
 
@@ -169,7 +169,8 @@ class Trainer:
     def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
         hashes = contexts(ids, starts, len(self.m.v.words))
         for i in range(0, len(ids), STEP):
-            for which, (_, rows, y, g) in enumerate(self.m.both(ids[i : i + STEP], hashes[:, i : i + STEP])):
+            for which, (_, rows, y, g, total) in enumerate(self.m.both(ids[i : i + STEP], hashes[:, i : i + STEP])):
+                g /= total[:, None]
                 g[np.arange(len(y)), y] -= 1
                 self.step(which, slice(0, 1), g.sum(0, keepdims=True), len(y))
                 for r in rows:
@@ -250,23 +251,49 @@ def vocabulary_of(docs: DataFrame) -> Counts:
     return Counts(table, table.where(~short | (F.col("grid") < least)).select("word", "n"), v)
 
 
-def encoded(v: Vocabulary, texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Tokens of all texts, their places, and where each text starts."""
-    each = [tokens(t) for t in texts]
-    all_words = [w for one in each for w in one]
-    starts = np.cumsum([0, *map(len, each)])[:-1]
-    return all_words, np.fromiter(map(v.places.__getitem__, all_words), np.int64, len(all_words)), starts
+ENCODED = "row long, doc_id long, ids binary, n_tokens long, n_known long, base double, rare array<binary>, times array<long>"
+_ENCODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
 
 
-def fit(docs: DataFrame, counts: Counts) -> Model:
-    """Learns from all texts of docs, each in one of the rounds."""
-    spark, model = docs.sparkSession, Model(counts.vocabulary)
-    part, low = F.pmod(F.xxhash64("text"), F.lit(100)), 0
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Each row of docs (doc_id, text) once, staged (ENCODED): its tokens' places, dictionary tokens, their base score, and
+    the other words with how often they occur. What follows reads no text."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches):
+        v = shared.value
+        none, find = len(v.words), v.places.__getitem__
+        for batch in batches:
+            rows = []
+            for text in batch.column(2).to_pylist():
+                words = tokens(text)
+                ids = np.fromiter(map(find, words), np.int32, len(words))
+                rare = ids == none
+                others = Counter(compress(words, rare.tolist())) if rare.any() else {}
+                known = ids[~rare]
+                rows.append((ids.tobytes(), len(ids), len(known), float(v.base[known].sum()), list(others), list(others.values())))
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(_ENCODED)[2:]))], schema=_ENCODED)
+
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stage(given.mapInArrow(run, ENCODED), "encoded")
+
+
+def places(column) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all texts of a column of ENCODED, and where each text starts."""
+    each = [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+    return np.concatenate(each).astype(np.int64), np.cumsum([0, *map(len, each)])[:-1]
+
+
+def fit(rows: DataFrame, v: Vocabulary) -> Model:
+    """Learns from all texts of rows (ENCODED), each in one of the rounds; equal texts in the same."""
+    spark, model = rows.sparkSession, Model(v)
+    part, low = F.pmod(F.xxhash64("ids"), F.lit(100)), 0
     ddl = "which int, block int, rows binary, seen binary, moved binary"
     schema = pa.schema([("which", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("rows", "seen", "moved"))])
     for share in ROUNDS:
         shared = spark.sparkContext.broadcast(model)
-        changes = docs.where(part.between(low, low + share - 1)).select(F.col("text").cast("string")).mapInArrow(_learner(shared, schema), ddl)
+        changes = rows.where(part.between(low, low + share - 1)).select("ids").mapInArrow(_learner(shared, schema), ddl)
         merged = changes.repartition("which", "block").sortWithinPartitions("which", "block").mapInArrow(_merger([t.shape[1] for t in model.tables], schema), ddl).toArrow()
         for which, block, moved in zip(*(merged.column(c).to_pylist() for c in ("which", "block", "moved"))):
             model.tables[which][block * BLOCK : (block + 1) * BLOCK] += np.frombuffer(moved, np.float32).reshape(BLOCK, -1)
@@ -281,7 +308,7 @@ def _learner(shared, schema):
         for batch in batches:
             trainer = trainer or Trainer(shared.value)
             if batch.num_rows:
-                trainer.learn(*encoded(trainer.m.v, batch.column(0).to_pylist())[1:])
+                trainer.learn(*places(batch.column(0)))
         rows = []
         for row in trainer.changes() if trainer else ():
             rows.append(row)
@@ -319,35 +346,24 @@ def _merger(widths: list[int], schema):
     return merge
 
 
-OWN = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"
-
-
-def scored(docs: DataFrame, model: Model, counts: Counts) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
+def scored(rows: DataFrame, model: Model, counts: Counts) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of each of rows (ENCODED)."""
     v = model.v
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([*((c, pa.int64()) for c in ("row", "doc_id", "n_tokens", "n_known")), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words, ids, starts = encoded(m.v, batch.column(2).to_pylist())
-            out = m.log10(ids, starts)
-            known = ids < len(m.v.words)
-            ends, rare = np.append(starts[1:], len(ids)), np.flatnonzero(~known)
-            lists = [Counter([words[i] for i in rare[a:b]]) for a, b in zip(np.searchsorted(rare, starts), np.searchsorted(rare, ends))]
-            base = np.where(known, m.v.base[ids], 0)
-            columns = [batch.column(0), batch.column(1), ends - starts, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(out, starts), [list(x) for x in lists], [list(x.values()) for x in lists]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    own = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OWN), "own")
-    rare = own.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("rare"), F.col("t.times").alias("times"))
+            if batch.num_rows:
+                ids, starts = places(batch.column(5))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.add.reduceat(shared.value.log10(ids, starts), starts))], schema=schema)
+
+    own = rows.select("row", "doc_id", "n_tokens", "n_known", "base", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double")
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("rare"), F.col("t.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     share = lambda c, total: F.col("times") * F.log10((c + 1) / F.lit(float(total)))
     found = rare.join(counts.others, F.col("rare") == F.col("word"), "left").groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(share(n, v.n + v.distinct + 1)).alias("more_base"), F.sum(share(n, v.rest + v.rest_distinct + 1)).alias("more_score"),
     )
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias
-    return own.drop("rare", "times").join(found, "row", "left").select("doc_id", "n_tokens", plus("n_known", "more_known")("n_known"), F.lit(v.n).cast("long").alias("train_tokens"), plus("base", "more_base")("base_score"), plus("score", "more_score")("score"))
+    return own.join(found, "row", "left").select("doc_id", "n_tokens", plus("n_known", "more_known")("n_known"), F.lit(v.n).cast("long").alias("train_tokens"), plus("base", "more_base")("base_score"), plus("score", "more_score")("score"))

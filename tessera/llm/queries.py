@@ -100,9 +100,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2
-    train = docs.where(~held_out)
-    counts = max_entropy.vocabulary_of(train)
-    found = max_entropy.scored(docs, max_entropy.fit(train, counts), counts)
+    counts = max_entropy.vocabulary_of(docs.where(~held_out))
+    rows = max_entropy.encode(docs, counts.vocabulary)
+    found = max_entropy.scored(rows, max_entropy.fit(rows.where(~held_out), counts.vocabulary), counts)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

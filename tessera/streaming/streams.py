@@ -1,4 +1,5 @@
-"""Streaming operators (T1-T13, S9, S10, G10) for Structured Streaming, by event time."""
+"""Streaming operators (T1-T7, T10, T11, S9, S10, G10) for Structured Streaming, by event time; T8, T12 and T13, which write
+tables, are in tables.py."""
 
 from __future__ import annotations
 
@@ -87,39 +88,55 @@ def session_idle(messages: DataFrame, delay: str = "10 minutes", timeout: str =
 
 
 class Commit(StatefulProcessor):
-    """T5: counts pending tokens and messages of a session; emits a commit at either limit, or when idle."""
+    """T5: counts pending tokens and messages of a session; emits a commit at either limit, or when idle. A commit that
+    the interval holds back has a timer of its own, so it goes out without a further message."""
 
     def __init__(self, tokens: int, messages: int, idle_ms: int, keep: int, interval_ms: int):
         self.limits = (tokens, messages, idle_ms, keep, interval_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("pending", "tokens long, messages long, last_commit long")
+        self.state = handle.getValueState("pending", "tokens long, messages long, last_commit long, idle_at long, held_until long")
 
     def _now(self) -> list[int]:
-        return [*self.state.get()] if self.state.exists() else [0, 0, -(1 << 62)]
+        return [*self.state.get()] if self.state.exists() else [0, 0, -(1 << 62), 0, 0]
+
+    def _reached(self, tokens: int, messages: int) -> str | None:
+        return "tokens" if tokens >= self.limits[0] else "messages" if messages >= self.limits[1] else None
+
+    def _rest(self, tokens: int, messages: int, last: int, idle_at: int) -> None:
+        """Keep the state, with the timers it needs: 0 stands for none."""
+        held = last + self.limits[4] if self._reached(tokens, messages) else 0
+        idle_at = idle_at if messages else 0
+        self.state.update((tokens, messages, last, idle_at, held))
+        for t in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(t)
+        for t in {held, idle_at} - {0}:
+            self.handle.registerTimer(t)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        most_tokens, most_messages, idle, keep, interval = self.limits
-        tokens, messages, last = self._now()
-        out, newest = [], 0
+        idle, keep, interval = self.limits[2:]
+        tokens, messages, last, idle_at, _ = self._now()
+        out = []
         for pdf in rows:
             for t, n in sorted(zip((pdf["ts"].astype("int64") // 10**6 if str(pdf["ts"].dtype).endswith("[ns]") else pdf["ts"].map(lambda x: int(x.timestamp() * 1000))), pdf["tokens"])):
-                tokens, messages, newest = tokens + int(n), messages + 1, max(newest, int(t))
-                if (tokens >= most_tokens or messages >= most_messages) and t - last >= interval:
-                    out.append((key[0], "tokens" if tokens >= most_tokens else "messages", tokens, max(messages - keep, 0)))
+                tokens, messages, idle_at = tokens + int(n), messages + 1, max(idle_at, int(t) + idle)
+                why = self._reached(tokens, messages)
+                if why and t - last >= interval:
+                    out.append((key[0], why, tokens, max(messages - keep, 0)))
                     tokens, messages, last = 0, 0, int(t)
-        self.state.update((tokens, messages, last))
-        for t in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(t)
-        if messages:
-            self.handle.registerTimer(newest + idle)
+        self._rest(tokens, messages, last, idle_at)
         yield pd.DataFrame(out, columns=["session_id", "why", "tokens", "messages"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        tokens, messages, _ = self._now()
-        self.state.update((0, 0, expiredTimerInfo.getExpiryTimeInMs()))
-        if messages:
+        at, keep = expiredTimerInfo.getExpiryTimeInMs(), self.limits[3]
+        tokens, messages, last, idle_at, held = self._now()
+        why = self._reached(tokens, messages)
+        if messages and why and at == held:
+            self._rest(0, 0, at, 0)
+            yield pd.DataFrame([(key[0], why, tokens, max(messages - keep, 0))], columns=["session_id", "why", "tokens", "messages"])
+        elif messages and at == idle_at:
+            self._rest(0, 0, at, 0)
             yield pd.DataFrame([(key[0], "idle", tokens, messages)], columns=["session_id", "why", "tokens", "messages"])
 
     def close(self) -> None:
@@ -137,30 +154,45 @@ def pending_changes(stream: DataFrame) -> DataFrame:
 
 
 class Expiry(StatefulProcessor):
-    """An item (key, due, op) expires at its due time unless it is unregistered before."""
+    """An item (key, due, op) expires at its due time unless it is unregistered before. What expired is due again
+    after a back-off that doubles, until it is reported as done or was tried `most` times."""
+
+    def __init__(self, most: int, backoff_ms: int):
+        self.most, self.backoff_ms = most, backoff_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.tried = handle.getValueState("tried", "attempts int")
+
+    def _arm(self, at: int | None, attempts: int) -> None:
+        for t in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(t)
+        if at is None:
+            self.tried.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.tried.update((attempts,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for pdf in rows:
             for r in pdf.sort_values("ts").itertuples():
-                for t in [*self.handle.listTimers()]:
-                    self.handle.deleteTimer(t)
-                if r.op == "register":
-                    self.handle.registerTimer(int(r.due.timestamp() * 1000))
-        yield pd.DataFrame({"key": pd.Series(dtype=str), "expired_at": pd.Series(dtype="int64")})
+                self._arm(int(r.due.timestamp() * 1000) if r.op == "register" else None, 0)
+        yield pd.DataFrame({"key": pd.Series(dtype=str), "expired_at": pd.Series(dtype="int64"), "attempt": pd.Series(dtype="int32"), "last": pd.Series(dtype=bool)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield pd.DataFrame({"key": [key[0]], "expired_at": [expiredTimerInfo.getExpiryTimeInMs()]})
+        at, attempt = expiredTimerInfo.getExpiryTimeInMs(), (self.tried.get()[0] if self.tried.exists() else 0) + 1
+        self._arm(at + (self.backoff_ms << (attempt - 1)) if attempt < self.most else None, attempt)
+        yield pd.DataFrame({"key": [key[0]], "expired_at": [at], "attempt": pd.Series([attempt], dtype="int32"), "last": [attempt >= self.most]})
 
     def close(self) -> None:
         pass
 
 
-def expiry_stream(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """(key, expired_at in ms) of a stream (key, ts, due, op: register or unregister)."""
-    return stream.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(Expiry(), "key string, expired_at long", "append", "eventTime")
+def expiry_stream(stream: DataFrame, delay: str = "0 seconds", most_attempts: int = 1, backoff_seconds: int = 60) -> DataFrame:
+    """(key, expired_at in ms, attempt, last, bucket: its minute) of a stream (key, ts, due, op: register, or
+    unregister or done)."""
+    found = stream.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(Expiry(most_attempts, backoff_seconds * 1000), "key string, expired_at long, attempt int, last boolean", "append", "eventTime")
+    return found.withColumn("bucket", F.date_trunc("minute", F.timestamp_millis("expired_at")))
 
 
 def expiry_batch(records: DataFrame, now: Column, most_attempts: int = 5) -> DataFrame:
@@ -169,22 +201,6 @@ def expiry_batch(records: DataFrame, now: Column, most_attempts: int = 5) -> Dat
     return due.withColumn("bucket", F.date_trunc("minute", "expire_at"))
 
 
-def dedup_append(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("harness", "session_id", "position")) -> DataStreamWriter:
-    """Append a stream of turns to a table, each once: a batch overwrites its own partition `batch_id`, so one that
-    runs again after a crash leaves no second copy, and rows of keys written by other batches are left out."""
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark, new = df.sparkSession, df.dropDuplicates([*keys])
-        try:
-            new = new.join(spark.read.parquet(path).where(F.col("batch_id") != batch_id).select(*keys), [*keys], "left_anti")
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
 def reask_stream(answers: DataFrame, questions: DataFrame, minutes: int = 10, delay: str = "10 minutes") -> DataFrame:
     """Answers (conv_id, msg_id, ts) with the user's questions (conv_id, q_id, q_ts) up to `minutes` later, each pair
     a row; answers without one come with nulls once the watermark has passed."""
@@ -198,18 +214,6 @@ def stream_enrich(stream: DataFrame, records: DataFrame, key: str = "uri") -> Da
     return stream.join(records, key, "left")
 
 
-def late_rows(df: DataFrame, watermark: Column, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and rows older than the watermark, for a counted side table. For use in foreachBatch."""
-    late = F.coalesce(F.col(ts) < watermark, F.lit(False))
-    return df.where(~late), df.where(late)
-
-
-def stream_ingest(turns: DataFrame, on_commit: Callable[[DataFrame, int], None], checkpoint: str, **policy) -> DataStreamWriter:
-    """Turns (session_id, ts, tokens) become commits by T5, each micro-batch of which goes to on_commit, which packs
-    and applies them (W7, S13)."""
-    return auto_commit(turns, **policy).writeStream.outputMode("append").foreachBatch(on_commit).option("checkpointLocation", checkpoint)
-
-
 #: Names of usage events in the sink.
 EVENT_NAMES = {"memory.recalled": "experience.recall.count", "memory.extracted": "experience.extract.count", "search.completed": "retrieval.search.count", "resource.added": "resource.add.count"}
 

@@ -1,5 +1,6 @@
 """Streams against the same operators on tables."""
 
+import os
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -62,6 +63,36 @@ def test_expiry(spark, tmp_path):
     assert [r.key for r in got.collect()] == ["a"]
 
 
+def in_order(spark, batches, schema, tmp_path, name):
+    """A stream that reads one of the batches at a time."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/part={i}")
+    for i in range(len(batches)):
+        for f in os.listdir(f"{tmp_path}/{name}/part={i}"):
+            os.utime(f"{tmp_path}/{name}/part={i}/{f}", (1_700_000_000 + i * 60,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}")
+
+
+def test_a_commit_held_back_goes_out_without_a_message(spark, tmp_path):
+    at = lambda m: DAY + timedelta(minutes=m)
+    batches = [[("s", at(0), 100), ("s", at(1), 100)], [("s", at(2), 1), ("x", at(30), 1)], [("x", at(31), 1)]]
+    stream = in_order(spark, batches, "session_id string, ts timestamp, tokens int", tmp_path, "held")
+    found = run(S.auto_commit(stream, tokens=100, messages=50, idle_seconds=7200, min_interval_seconds=600), "append", tmp_path, "held_out")
+    # the first message commits; the second reaches the limit within 10 minutes, and waits with the third for their end
+    assert [(r.session_id, r.why, r.tokens, r.messages) for r in found.collect() if r.session_id == "s"] == [("s", "tokens", 100, 1), ("s", "tokens", 101, 2)]
+
+
+def test_expiry_is_tried_again_with_backoff(spark, tmp_path):
+    at = lambda m: DAY + timedelta(minutes=m)
+    batches = [[("a", at(0), at(10), "register"), ("b", at(0), at(10), "register"), ("c", at(0), at(10), "register")], [("z", at(11), at(999), "register")], [("z", at(11), at(999), "register")], [("b", at(11), None, "done"), ("z", at(11), at(999), "register")], [("z", at(90), at(999), "register")], [("z", at(91), at(999), "register")], [("z", at(92), at(999), "register")], [("z", at(93), at(999), "register")]]
+    stream = in_order(spark, batches, "key string, ts timestamp, due timestamp, op string", tmp_path, "tries")
+    got = run(S.expiry_stream(stream, most_attempts=3, backoff_seconds=120), "append", tmp_path, "tries_out").collect()
+    start = int(at(10).timestamp() * 1000)
+    tries = lambda key: sorted((r.attempt, r.expired_at - start, r.last) for r in got if r.key == key)
+    assert tries("a") == tries("c") == [(1, 0, False), (2, 120_000, False), (3, 360_000, True)]
+    assert tries("b") == [(1, 0, False)]
+
+
 def test_reask_join(spark, tmp_path):
     a = spark.createDataFrame([("c", 1, DAY), ("c", 2, DAY + timedelta(hours=5))], "conv_id string, msg_id int, ts timestamp")
     q = spark.createDataFrame([("c", 9, DAY + timedelta(minutes=3))], "conv_id string, q_id int, q_ts timestamp")
@@ -69,14 +100,6 @@ def test_reask_join(spark, tmp_path):
     assert (1, 9) in {(r.msg_id, r.q_id) for r in got.collect()}
 
 
-def test_appends_happen_once(spark, tmp_path):
-    df = spark.createDataFrame([("h", "s", i % 4, "x") for i in range(8)], "harness string, session_id string, position int, text string")
-    stream = streamed(spark, df, tmp_path, files=3)
-    for check in ("c1", "c2"):  # a second run with a lost checkpoint reads all again
-        S.dedup_append(stream, f"{tmp_path}/out", f"{tmp_path}/{check}").trigger(availableNow=True).start().awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
-
-
 def test_sinks_and_sources(spark, usage, tmp_path):
     ev = streamed(spark, usage.select("ts", F.lit("search.completed").alias("event_name")), tmp_path)
     S.event_sink_files(ev, f"{tmp_path}/json", f"{tmp_path}/cj").trigger(availableNow=True).start().awaitTermination(120)
@@ -91,5 +114,3 @@ def test_sinks_and_sources(spark, usage, tmp_path):
     logs.mkdir()
     (logs / "a.jsonl").write_text('{"role":"user","session_id":"s","content":"hi","created_at":"2026-01-01T00:00:00Z"}\n{nope\n')
     assert run(stream_turn_logs(spark, str(logs), "flat"), "append", tmp_path, "turns").count() == 1
-    late = S.late_rows(usage, F.lit(DAY + timedelta(days=1)))
-    assert late[0].count() + late[1].count() == usage.count()
