@@ -7,8 +7,8 @@ bytes, so the size is bounded); how often a rarer word occurs is found by a join
 The model predicts a token's class, then the token within its class. Words by falling frequency make classes of WITHIN
 words; those of the HEAD most frequent have weights, rarer dictionary words lie in a few open classes of about equal mass
 and follow their share of it, and the last class holds all rarer words, known or not, which share it by add-one counts.
-Features are the constant, the previous word, the previous two, and the word before the previous by itself (a skip, for
-classes only). A feature, for words a pair of feature and class, is hashed to a row of weights, one weight an outcome.
+Features are the constant and the previous word, for classes also the previous two and the word before the previous by
+itself (a skip). A feature, for words a pair of feature and class, is hashed to a row of weights, one weight an outcome.
 
 Training: weights start at the unigram shares. In each round tasks go over their share of the training texts in sparse
 batches and take adaptive gradient steps on a copy of the weights; the changes of each row are averaged over tasks by how often
@@ -23,6 +23,7 @@ further columns can't clash.
 from __future__ import annotations
 
 from collections import Counter
+from copy import copy
 from dataclasses import dataclass
 from itertools import compress
 
@@ -40,7 +41,7 @@ HEAD, WITHIN, OPEN, ROWS = 512, 32, 7, 1 << 16
 END = b""  # no word is empty
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Tokens of a gradient step, and of a batch that is scored.
-STEP, BATCH = 2048, 4096
+STEP, BATCH = 4096, 4096
 RATE = 0.25
 #: Share of the training texts that each round learns from, in hundredths; rows of weights that merge as one.
 ROUNDS, BLOCK = (20, 80), 64
@@ -50,7 +51,9 @@ HELD = 300_000
 
 def tokens(text: str | None) -> list[bytes]:
     """Lower-case words and the end; bytes split at the six ASCII blanks only."""
-    return [*(text or "").encode().translate(LOWER).split(), END]
+    words = (text or "").encode().translate(LOWER).split()
+    words.append(END)
+    return words
 
 
 class Places(dict):
@@ -72,7 +75,8 @@ class Vocabulary:
     def __post_init__(self):
         self.places = Places(zip(self.words, range(len(self.words))))
         self.places.none = len(self.words)
-        size, self.head = len(self.words), min(HEAD, len(self.words))
+        self.size = size = len(self.words)
+        self.head = min(HEAD, size)
         self.head_classes = -(-self.head // WITHIN)
         counts = self.counts.astype(float)
         below = np.cumsum(counts[self.head :])
@@ -92,6 +96,12 @@ class Vocabulary:
         self.word_share = np.full((max(1, self.head_classes), WITHIN), -80, np.float32)  # no word: no odds
         self.word_share.ravel()[: self.head] = self.within[: self.head]
 
+    def without_words(self) -> Vocabulary:
+        """What a model needs of it."""
+        own = copy(self)
+        own.words = own.places = None
+        return own
+
     def rest_log10(self, count):
         """log10 of the share of a word outside the dictionary in the last class."""
         return np.log10((count + 1) / (self.rest + self.rest_distinct + 1))
@@ -119,7 +129,7 @@ class Model:
     """Weights of classes and of words in a class, rows by hashed feature."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.v = vocabulary.without_words()
         self.tables = [np.zeros((ROWS, vocabulary.classes), np.float32), np.zeros((ROWS, WITHIN), np.float32)]
 
     def layer(self, which: int, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,16 +150,16 @@ class Model:
         yield slice(None), rows, of, *self.layer(0, rows, v.class_share)
         at = np.flatnonzero(ids < v.head)
         if len(at):
-            inner = rows_of(hashes[:2, at] + (of[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+            inner = rows_of(hashes[:1, at] + (of[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
             yield at, inner, ids[at] % WITHIN, *self.layer(1, inner, v.word_share[of[at]])
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each token; of tokens outside the dictionary only that of the last class."""
         out = np.empty(len(ids))
-        hashes = contexts(ids, starts, len(self.v.words))
+        hashes = contexts(ids, starts, self.v.size)
         for i in range(0, len(ids), BATCH):
             own = ids[i : i + BATCH]
-            p = np.where((own >= self.v.head) & (own < len(self.v.words)), self.v.within[own], 0)
+            p = np.where((own >= self.v.head) & (own < self.v.size), self.v.within[own], 0)
             for at, _, y, odds, total in self.both(own, hashes[:, i : i + BATCH]):
                 p[at] += np.log(odds[np.arange(len(y)), y] / total)
             out[i : i + BATCH] = p
@@ -160,14 +170,14 @@ class Trainer:
     """Gradient steps on a copy of a model's weights; knows how often each row was seen."""
 
     def __init__(self, model: Model):
-        self.m = Model(model.v)
+        self.m = copy(model)
         self.start = model.tables
         self.m.tables = [t.copy() for t in model.tables]
         self.seen = [np.zeros(ROWS, np.int64) for _ in self.start]
         self.squares = [np.full(ROWS, 1e-2, np.float32) for _ in self.start]
 
     def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
-        hashes = contexts(ids, starts, len(self.m.v.words))
+        hashes = contexts(ids, starts, self.m.v.size)
         for i in range(0, len(ids), STEP):
             for which, (_, rows, y, g, total) in enumerate(self.m.both(ids[i : i + STEP], hashes[:, i : i + STEP])):
                 g /= total[:, None]
@@ -262,7 +272,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     def run(batches):
         v = shared.value
-        none, find = len(v.words), v.places.__getitem__
+        none, find = v.size, v.places.__getitem__
         for batch in batches:
             rows = []
             for text in batch.column(2).to_pylist():
