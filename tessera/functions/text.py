@@ -37,7 +37,8 @@ def truncate_to_tokens(text: Column, budget: int | Column, marker: str = "\n...\
         return F.concat(F.array_join(F.slice(chars, F.lit(1), fits(chars, first)), ""), F.lit(marker), _let(fits(F.reverse(chars), last), lambda n: F.array_join(F.slice(chars, F.size(chars) - n + 1, n), "")))
 
     over = token_estimate(text) > budget
-    return F.when(over & (room <= 0), F.substring(text, F.lit(1), budget.cast("int"))).when(over, _let(F.filter(F.split(text, ""), lambda c: c != ""), cut)).otherwise(text)
+    light = F.concat(F.substring(text, F.lit(1), first.cast("int")), F.lit(marker), F.right(text, last.cast("int")))  # every character weighs 1
+    return F.when(over & (room <= 0), F.substring(text, F.lit(1), budget.cast("int"))).when(over & ~text.rlike(WIDE) & ~text.rlike(ASTRAL), light).when(over, _let(F.filter(F.split(text, ""), lambda c: c != ""), cut)).otherwise(text)
 
 
 def apply_blocks(text: Column, blocks: Column) -> Column:

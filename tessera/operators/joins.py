@@ -1,16 +1,13 @@
-"""Joins over records, links, messages and snapshots (J1-J14) and set operations."""
+"""Joins over records, links, messages and snapshots (J1-J12, J14) and set operations."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vectors as V
 from ..functions.filters import any_of, uri_scope, url_filter
-from .retrieve import _matrix, keep_best
+from .retrieve import keep_best
 
 TEXT_FILES = r"(?i)\.(md|txt|rst|json|ya?ml|csv|html?|py|js|ts|go|rs|java|c|cc|cpp|h|sh|toml|ini|sql)$"
 
@@ -130,86 +127,6 @@ def target_collisions(drafts: DataFrame) -> DataFrame:
     return drafts.groupBy("path").agg(F.count(F.lit(1)).alias("drafts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources")).where("drafts > 1")
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    out = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """Components (node, component: least node) of edges (a, b): neighbours' least labels are followed until nothing
-    changes, each round checkpointed to spark.checkpoint.dir where that is set."""
-    spark = edges.sparkSession
-    kept = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-    now, sign = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), None
-    while (new := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != sign:
-        sign, now = new, kept(_star(now))
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-#: Distinct vectors of a block of drafts.
-DRAFT_BLOCK = 2048
-
-
-def _tied(mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that tie the linked ids of both sides (mask: which pairs are) to the least id of their component, so a
-    block sends on one link an id at most. Each row and column is visited once."""
-    rows, cols, a, b = mask.any(1), mask.any(0), [], []
-    for start in range(len(left)):
-        if not rows[start]:
-            continue
-        i, part = np.array([start]), []
-        rows[start] = False
-        while len(i):
-            part.append(left[i])
-            j = np.flatnonzero(mask[i].any(0) & cols)
-            cols[j] = False
-            part.append(right[j])
-            i = np.flatnonzero(mask[:, j].any(1) & rows)
-            rows[i] = False
-        part = np.unique(np.concatenate(part))
-        a.append(part[1:])
-        b.append(np.repeat(part[:1], len(part) - 1))
-    return tuple(np.concatenate(x) if x else left[:0] for x in (a, b))
-
-
-def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between distinct vectors (id, vector) that give the components of all pairs with a cosine at or
-    above the threshold: each pair of blocks is one task's work, so every pair is scored."""
-    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b")).first()
-    if size.n and size.a != size.b:
-        raise ValueError("drafts have vectors of several dimensions")
-    n = -(-max(size.n, 1) // DRAFT_BLOCK)
-    own = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-
-    def run(t: pa.Table) -> pa.Table:
-        x, y, of = t["x"][0].as_py(), t["y"][0].as_py(), t["own"].to_numpy()
-        ids, m = t["id"].to_numpy(), _matrix(t["vector"], "cosine")
-        i, j = np.flatnonzero(of == x), np.flatnonzero(of == y)
-        mask = m[i] @ m[j].T >= threshold
-        if x == y:
-            np.fill_diagonal(mask, True)
-        a, b = _tied(mask, ids[i], ids[j])
-        kind = t.schema.field("id").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
-
-    kind = vectors.schema["id"].dataType.simpleString()
-    return dealt.groupBy("x", "y").applyInArrow(run, f"a {kind}, b {kind}")
-
-
-def similar_drafts(drafts: DataFrame, threshold: float) -> DataFrame:
-    """(id, component) of drafts (id, vector): groups to handle together, components of all pairs with a cosine at
-    or above the threshold (1 at most); equal vectors are one node. A draft without such a pair, a vector or a length
-    is a group of its own."""
-    norm = V.l2_norm(F.col("vector"))
-    nodes = drafts.where((norm > 0) & ~F.isnan(norm)).groupBy("vector").agg(F.min("id").alias("node"))
-    found = connected(near_links(nodes.select(F.col("node").alias("id"), "vector"), threshold)).groupBy("node").agg(F.min("component").alias("component"))
-    names = nodes.join(found, "node", "left").select("vector", F.coalesce("component", "node").alias("component"))
-    return drafts.join(names, "vector", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
 def absolute_url(base: Column, href: Column) -> Column:
     """A link's target without fragment, resolved against its page."""
     clean = F.regexp_replace(F.trim(href), "#.*$", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,20 +17,20 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators.chunks import chunk_ranges
 from ..operators.joins import exclude_served, publish_plan, target_collisions, update_ledger
-from ..operators.retrieve import fused, keyword_search, knn, time_decay
+from ..operators.retrieve import hybrid_search, keyword_search, knn, time_decay
 from ..operators.windows import pack_batches, quota_select
+from ..staging import Staging
 
 
 def find(records: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, fields: list[str] | None = None, alpha: float = 0.3) -> DataFrame:
     """G1: hits of queries (qid, query and/or vector) among records (uri, content, vector, ...): vector and keyword
-    search under one filter, fused where both are asked for; the fields are joined to the final hits only."""
+    search under one filter; where both are asked for, each row is scored by both, so no hit is lost to a cut of either
+    side. The fields are joined to the final hits only."""
     rows = (records if where is None else records.where(where)).withColumn("id", F.col("uri"))
-    sides = []
-    if "vector" in queries.columns:
-        sides.append(knn(rows, queries, 5 * k if "query" in queries.columns else k))
-    if "query" in queries.columns:
-        sides.append(keyword_search(rows, queries, 5 * k if sides else k))
-    hits = fused(*sides, k, alpha) if len(sides) == 2 else sides[0]
+    if {"vector", "query"} <= set(queries.columns):
+        hits = hybrid_search(rows, queries, k, alpha)
+    else:
+        hits = (knn if "vector" in queries.columns else keyword_search)(rows, queries, k)
     return hits.select("qid", F.col("id").alias("uri"), "score", "rank").join(rows.select("uri", *(fields or [])), "uri")
 
 
@@ -183,9 +185,54 @@ def score(df: DataFrame, columns: list[str], fn: Callable[..., pd.Series], to: s
     return df.withColumn(to, run(*columns)).withColumn(to, F.when(F.isnan(to) | (F.abs(to) == float("inf")), None).otherwise(F.col(to)))
 
 
-def reduce_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A user's function merges each group's rows into any number of rows. Groups must fit a task."""
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+def _tried(fn: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame, attempts: int) -> tuple[pd.DataFrame | None, str | None]:
+    """fn(rows), or what it raised at the last attempt."""
+    for n in range(1, attempts + 1):
+        try:
+            return fn(rows), None
+        except Exception as e:  # noqa: BLE001 - whatever a user's function raises is that group's failure
+            if n == attempts:
+                return None, f"{type(e).__name__}: {e}"[:1000]
+
+
+def reduce_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None, partial: str | None = None, most_rows: int = 100_000, attempts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A user's function merges each group's rows into any number of rows (schema). A group for which it raises, at
+    each of its attempts, gives no rows; it is a row of the second result (keys and error).
+
+    With `combine` groups may have any size: parts of about most_rows rows are first combined into rows of the schema
+    `partial` (keys among them), each part in a task of its own, and fn merges the combined rows of a group. Without it
+    a group must fit a task. The functions run once; results are staged."""
+    spark = df.sparkSession
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+
+    def guarded(step: Callable, out: list[str]):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            broken = rows["_error"].dropna() if "_error" in rows else ()
+            made, error = (None, broken.iloc[0]) if len(broken) else _tried(step, rows.drop(columns=[c for c in ("_error", "_part") if c in rows]), attempts)
+            if error is None and (lost := [c for c in out if c not in made]):
+                error = f"columns are missing: {lost}"
+            if error is None:
+                return made[out].assign(_error=None, **{f"_key_{k}": None for k in keys})
+            return pd.DataFrame({c: [None] for c in out} | {"_error": [error]} | {f"_key_{k}": [rows[k].iloc[0]] for k in keys})
+
+        return run
+
+    key_types = ", ".join(f"_key_{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    rows = df
+    with Staging(spark) as staged:
+        if combine is not None:
+            sizes = df.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.ceil(F.count(F.lit(1)) / most_rows).alias("_parts"))
+            large = sizes.where("_parts > 1")
+            same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+            parts = df.join(large, same, "left").withColumn("_part", F.when(F.col("_parts") > 1, F.floor(F.rand(7) * F.col("_parts"))).otherwise(F.lit(0).cast("long"))).drop("_parts", *(f"_of_{k}" for k in keys))
+            parts = staged(parts)  # so that a part is the same rows however often a task runs
+            own = [f.name for f in spark.createDataFrame([], partial).schema]
+            if missing := [k for k in keys if k not in own]:
+                raise ValueError(f"partial rows lack keys: {missing}")
+            combined = parts.groupBy(*keys, "_part").applyInPandas(guarded(combine, own), f"{partial}, _error string, {key_types}")
+            rows = staged(combined.select(*(F.coalesce(k, f"_key_{k}").alias(k) if k in keys else F.col(k) for k in own), "_error"))
+        done = staged(rows.groupBy(*keys).applyInPandas(guarded(fn, names), f"{schema}, _error string, {key_types}"), keep=True)
+    return done.where("_error IS NULL").select(*names), done.where("_error IS NOT NULL").select(*(F.col(f"_key_{k}").alias(k) for k in keys), F.col("_error").alias("error"))
 
 
 def field_merge_agg(patches: DataFrame, key: str, ops: dict[str, str]) -> DataFrame:
@@ -199,38 +246,57 @@ def field_merge_agg(patches: DataFrame, key: str, ops: dict[str, str]) -> DataFr
     return patches.groupBy(key).agg(*(merged(c, op) for c, op in ops.items()))
 
 
-def corpus_build(docs: DataFrame, draft: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], target: DataFrame, read_set: DataFrame, most_chars: int = 8000) -> tuple[DataFrame, DataFrame]:
+def corpus_build(docs: DataFrame, draft: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], target: DataFrame, read_set: DataFrame, most_chars: int = 8000, attempts: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Map (ranges of each text to drafts: path, content, source), group by path, reduce by a user's function (path,
-    content, sources) and plan the publication. `draft` gets (doc_id, range_no, text). The second result has the paths
-    several sources went into."""
+    content, sources) and plan the publication. `draft` gets (doc_id, range_no, text) and runs once; where it raises for
+    a batch, ranges are tried one by one. The second result has the paths several sources went into, the third the
+    status of each source: failed (a range of it, or a group it went into, failed; none of such a group is published),
+    unreferenced (nothing was made of it) or published."""
     parts = chunk_ranges(docs, most_chars).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "range_no", F.substr(F.coalesce("text", F.lit("")), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("text"))
+    columns = ["path", "content", "source"]
 
     def run(batches):
         for b in batches:
-            yield draft(b)
-
-    drafts = parts.mapInPandas(run, "path string, content string, source string")
-    outputs = reduce_groups(drafts, ["path"], merge, "path string, content string")
-    return publish_plan(outputs, target, read_set), target_collisions(drafts.select("path", F.array("source").alias("sources")))
+            made, error = _tried(draft, b, 1)
+            if error is None:
+                yield made[columns].assign(error=None)
+                continue
+            for i in range(len(b)):
+                one, error = _tried(draft, b.iloc[i : i + 1].reset_index(drop=True), attempts)
+                yield one[columns].assign(error=None) if error is None else pd.DataFrame({"path": [None], "content": [None], "source": [str(b.doc_id.iloc[i])], "error": [error]})
+
+    with Staging(docs.sparkSession) as staged:
+        drafts = staged(parts.mapInPandas(run, "path string, content string, source string, error string"), keep=True)
+    good = drafts.where("error IS NULL")
+    outputs, failed = reduce_groups(good.select(*columns), ["path"], merge, "path string, content string", attempts=attempts)
+    sources = docs.select(F.col("doc_id").cast("string").alias("source")).unionByName(drafts.select("source")).distinct()
+    broken = drafts.where("error IS NOT NULL").select("source").unionByName(good.join(failed, "path", "left_semi").select("source")).distinct().withColumn("broken", F.lit(True))
+    used = good.join(outputs.select("path").distinct(), "path", "left_semi").select("source").distinct().withColumn("used", F.lit(True))
+    status = F.when(F.col("broken"), "failed").when(F.col("used"), "published").otherwise("unreferenced")
+    return publish_plan(outputs, target, read_set), target_collisions(good.select("path", F.array("source").alias("sources"))), sources.join(broken, "source", "left").join(used, "source", "left").select("source", status.alias("status"))
 
 
 def rollup_hierarchy(files: DataFrame, depth: int, sample: int = 32, max_chars: int = 40_000, summarise: Callable[[Column], Column] = T.doc_overview) -> DataFrame:
     """Summaries (uri, summary, batches) of directories, from the deepest up: a directory sees the texts of its files
     (uri, content) and its child directories' summaries only, a fixed sample of `sample` children where it has more,
-    packed into batches of max_chars."""
-    level = files.select("uri", F.regexp_replace("uri", "/[^/]*$", "").alias("parent"), F.coalesce("content", F.lit("")).alias("text"))
-    out, waiting = None, level.withColumn("depth", F.size(F.split("parent", "/")))
-    deepest = waiting.agg(F.max("depth")).first()[0] or 0
-    for d in range(deepest, max(deepest - depth, 3), -1):
-        rows = waiting.where(F.col("depth") == d)
-        few = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("parent").orderBy(F.xxhash64("uri"), "uri"))).where(F.col("_rn") <= sample)
-        packed = pack_batches(few.select(F.col("parent").alias("session"), F.col("_rn").cast("long").alias("pos"), F.length("text").cast("long").alias("tokens"), F.lit(1).cast("long").alias("messages")), max_chars, 1 << 31).groupBy(F.col("session").alias("parent")).agg((F.max("batch") + 1).alias("batches"))
-        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("uri", "text"))), lambda x: x["text"]), "\n\n")  # `sample` texts at most
-        made = few.groupBy("parent").agg(summarise(body).alias("summary")).join(packed, "parent").select(F.col("parent").alias("uri"), "summary", "batches")
-        out = made if out is None else out.unionByName(made)
-        up = F.regexp_replace("uri", "/[^/]*$", "")
-        waiting = waiting.where(F.col("depth") < d).unionByName(made.select("uri", up.alias("parent"), F.col("summary").alias("text"), F.size(F.split(up, "/")).alias("depth")))
-    return out
+    packed into batches of max_chars. Each level is written before the next reads it, so plans don't grow with the
+    depth; a task sends on at most `sample` children of a directory."""
+    up = lambda uri: F.regexp_replace(uri, "/[^/]*$", "")
+    with Staging(files.sparkSession) as staged:
+        level = staged(files.select("uri", up("uri").alias("parent"), F.coalesce("content", F.lit("")).alias("text")).withColumn("depth", F.size(F.split("parent", "/"))))
+        out, made = None, None
+        deepest = level.agg(F.max("depth")).first()[0] or 0
+        for d in range(deepest, max(deepest - depth, 3), -1):
+            rows = level.where(F.col("depth") == d).select("uri", "parent", "text")
+            if made is not None:
+                rows = rows.unionByName(made.select("uri", up("uri").alias("parent"), F.col("summary").alias("text")))
+            few = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("parent").orderBy(F.xxhash64("uri"), "uri"))).where(F.col("_rn") <= sample)
+            few = staged(few)
+            packed = pack_batches(few.select(F.col("parent").alias("session"), F.col("_rn").cast("long").alias("pos"), F.length("text").cast("long").alias("tokens"), F.lit(1).cast("long").alias("messages")), max_chars, 1 << 31).groupBy(F.col("session").alias("parent")).agg((F.max("batch") + 1).alias("batches"))
+            body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("uri", "text"))), lambda x: x["text"]), "\n\n")  # `sample` texts at most
+            made = staged(few.groupBy("parent").agg(summarise(body).alias("summary")).join(packed, "parent").select(F.col("parent").alias("uri"), "summary", "batches"), keep=True)
+            out = made if out is None else out.unionByName(made)
+        return files.sparkSession.createDataFrame([], "uri string, summary string, batches long") if out is None else out
 
 
 def register_sql(spark: SparkSession, **tables: DataFrame) -> None:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import evaluation as E
+from ..staging import fresh_path
 from ..streaming import streams as S
+from ..streaming import tables as ST
 from . import RECORDS, query
 
 NOW = datetime(2024, 1, 31, tzinfo=UTC)
@@ -120,6 +122,18 @@ def _(t):
     return A.request_health(usage(t), F.lit(datetime(2024, 1, 29, tzinfo=UTC)), 168).select("requests", *(F.round(c, 6).alias(c) for c in ("error_rate", "p50", "p95", "p99")))
 
 
+@query("a11_health_windows", f"""{USAGE} SELECT h AS hours, count(*) AS requests, round(count(*) FILTER (status >= 500) / count(*), 6) AS error_rate, true AS p50_near, true AS p99_near
+ FROM usage, (SELECT unnest([1, 6, 24, 168]) AS h) WHERE ts < TIMESTAMP '2024-01-29' AND ts >= TIMESTAMP '2024-01-29' - h * INTERVAL 1 HOUR GROUP BY h""")
+def _(t):
+    """Merged hourly sketches, whose quantiles' true ranks are looked up: they may be off by 2 percent of all ranks."""
+    now, rows = F.lit(datetime(2024, 1, 29, tzinfo=UTC)), usage(t)
+    found = A.health_windows(A.latency_sketches(rows), now)
+    each = rows.withColumn("hours", F.explode(F.array(*map(F.lit, A.HEALTH_HOURS)))).where((F.col("ts") < now) & (F.col("ts") >= now - F.make_interval(hours=F.col("hours"))))
+    both = each.join(F.broadcast(found.select("hours", "p50", "p99")), "hours").groupBy("hours")
+    near = lambda p, q: (F.avg((F.col("latency_ms") < F.col(p)).cast("int")) <= q + 0.02) & (F.avg((F.col("latency_ms") <= F.col(p)).cast("int")) >= q - 0.02)
+    return found.select("hours", "requests", F.round("error_rate", 6).alias("error_rate")).join(both.agg(near("p50", 0.5).alias("p50_near"), near("p99", 0.99).alias("p99_near")), "hours")
+
+
 @query("a13_judge_stats", """WITH r AS (SELECT (event_id % 6)::VARCHAR AS question_type, CASE event_id % 4 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'wrong' WHEN 2 THEN 'correct' ELSE 'unsure' END AS result, value FROM events WHERE event_id % 6 <> 5)
  SELECT question_type, count(*) FILTER (lower(result) = 'correct') AS correct, count(*) FILTER (result = 'wrong') AS wrong, count(*) FILTER (result = 'unsure') AS other, round(count(*) FILTER (lower(result) = 'correct') / nullif(count(*) FILTER (result <> 'unsure'), 0), 6) AS accuracy, round(avg(value), 6) AS avg_time, round(avg(floor(value)), 6) AS avg_tokens FROM r GROUP BY ROLLUP (question_type)""")
 def _(t):
@@ -181,6 +195,13 @@ def _(t):
     return A.metric_rollup(rows).select("name", "series", F.round("value", 4).alias("value"), F.aggregate(F.map_values("histogram"), F.lit(0).cast("long"), lambda s, x: s + x).alias("observed"))
 
 
+@query("a20_metric_rollup_bounded", """WITH e AS (SELECT 'hits' AS name, 'page=' || lpad((event_id % 97)::VARCHAR, 2, '0') AS series, value FROM events), k AS (SELECT series FROM e GROUP BY series ORDER BY series LIMIT 20)
+ SELECT series, round(sum(value) FILTER (value > 0), 4) AS value, 0 AS dropped FROM e WHERE series IN (FROM k) GROUP BY series UNION ALL SELECT NULL, NULL, count(*) FROM e WHERE series NOT IN (FROM k)""")
+def _(t):
+    rows = t.events.select(F.lit("hits").alias("name"), F.lit("counter").alias("kind"), F.create_map(F.lit("page"), F.lpad((F.col("event_id") % 97).cast("string"), 2, "0")).alias("labels"), "value", "ts")
+    return A.metric_rollup(rows, 20).select("series", F.round("value", 4).alias("value"), "dropped")
+
+
 @query("a21_tier_counts", f"{RECORDS} SELECT tier, count(*) AS entries, sum(tokens)::BIGINT AS tokens FROM (SELECT lang AS tier, active_count AS tokens FROM records) GROUP BY ROLLUP (tier)")
 def _(t):
     return A.tier_counts(t.records.select(F.col("lang").alias("tier"), F.col("active_count").alias("tokens")))
@@ -243,9 +264,20 @@ def _(t):
     return S.reask_stream(answers, questions).select("msg_id", "q_id")
 
 
+@query("t01_microbatch", "SELECT user_id::VARCHAR AS key, count(*) // 8 AS batches FROM events GROUP BY user_id HAVING count(*) >= 8")
+def _(t):
+    """Events by user in batches of eight, as far as they fill one."""
+    path, out, check = (fresh_path(t.spark) for _ in range(3))
+    rows = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("item"))
+    rows.coalesce(1).write.parquet(path)
+    stream = S.microbatch(t.spark.readStream.schema(rows.schema).parquet(path), 8, 10**8)
+    stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(out).where("why = 'count'").groupBy("key").agg(F.count(F.lit(1)).alias("batches"))
+
+
 @query("t12_late_rows", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-08'")
 def _(t):
-    return S.late_rows(usage(t), F.lit(datetime(2024, 1, 8, tzinfo=UTC)))[1].select("event_id")
+    return ST.late_rows(usage(t), F.lit(datetime(2024, 1, 8, tzinfo=UTC)))[1].select("event_id")
 
 
 @query("s09_sink_rows", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, CASE WHEN event_type = 'view' THEN 'retrieval.search.count' ELSE event_type END AS event_name FROM events")

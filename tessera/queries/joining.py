@@ -10,10 +10,12 @@ from ..functions.text import token_estimate
 from ..operators import joins as J
 from ..operators import sessions as Z
 from ..operators import windows as W
+from ..operators.similar import similar_drafts
 from ..operators.chunks import chunk_ranges, pack_ranges, section_chunks
 from ..plans import jobs as G
 from ..sources import records as S
 from ..sources import turns as C
+from ..staging import fresh_path
 from . import RECORDS, query
 
 D = "doc_id % 20"
@@ -99,9 +101,11 @@ def _(t):
     return J.target_collisions(t.documents.select(F.concat_ws("/", "lang", "source").alias("path"), F.array(F.col("doc_id").cast("string")).alias("sources")))
 
 
-@query("j13_similar_drafts", None)
+@query("j13_similar_drafts", """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.4),
+ reach(id, other) AS (SELECT a, b FROM links UNION SELECT id, b FROM reach JOIN links ON other = a)
+ SELECT vec_id AS id, least(vec_id, min(other)) AS component FROM embeddings LEFT JOIN reach ON id = vec_id GROUP BY vec_id""")
 def _(t):
-    return J.similar_drafts(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.5)
+    return similar_drafts(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.4)
 
 
 @query("j14_link_graph", r"""WITH h AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hs FROM pages),
@@ -251,7 +255,14 @@ def _(t):
     return pack_ranges(chunk_ranges(t.documents, 1000), 4000)
 
 
-@query("g04_rollup_hierarchy", None)
+@query("g04_rollup_hierarchy", f"""{RECORDS}, a AS (SELECT parent_uri AS uri, sha256(string_agg(coalesce(content, ''), chr(10) || chr(10) ORDER BY uri)) AS summary FROM records GROUP BY parent_uri),
+ b AS (SELECT regexp_replace(uri, '/[^/]*$', '') AS uri, sha256(string_agg(summary, chr(10) || chr(10) ORDER BY uri)) AS summary FROM a GROUP BY 1)
+ SELECT uri, summary FROM a UNION ALL SELECT uri, summary FROM b""")
+def _(t):
+    return G.rollup_hierarchy(t.records.select("uri", "content"), 2, sample=1 << 30, summarise=lambda body: F.sha2(body, 256)).select("uri", "summary")
+
+
+@query("g04_rollup_batches", None)
 def _(t):
     return G.rollup_hierarchy(t.records.select("uri", "content"), 3).select("uri", "batches")
 
@@ -261,6 +272,71 @@ def _(t):
     return G.field_merge_agg(t.events.select("user_id", F.col("event_id").alias("seq"), "value", F.col("event_type").alias("first_type"), "props"), "user_id", {"value": "sum", "first_type": "immutable", "props": "replace"}).withColumn("value", F.round("value", 3))
 
 
+@query("u01_union_best", "SELECT qid, id, max(score) AS score FROM (SELECT user_id AS qid, event_id % 100 AS id, value AS score FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, event_id % 100, 2 * value FROM events WHERE event_type <> 'view') GROUP BY ALL")
+def _(t):
+    side = lambda where, score: t.events.where(where).select(F.col("user_id").alias("qid"), (F.col("event_id") % 100).alias("id"), score.alias("score"))
+    return J.union_best(side("event_type = 'view'", F.col("value")), side("event_type <> 'view'", 2 * F.col("value"))).select("qid", "id", "score")
+
+
+@query("u04_tree_difference", "SELECT coalesce(a.doc_id, b.doc_id)::VARCHAR AS path, CASE WHEN a.doc_id IS NULL THEN 'delete' WHEN a.x IS NOT DISTINCT FROM b.x THEN 'unchanged' ELSE 'write' END AS change FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE upper(text) END AS x FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, text AS x FROM documents WHERE doc_id % 7 <> 0) b ON a.doc_id = b.doc_id")
+def _(t):
+    tree = lambda where, text: t.documents.where(where).select(F.col("doc_id").cast("string").alias("path"), F.sha2(text, 256).alias("oid"))
+    new = tree("doc_id % 5 <> 0", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.upper("text")))
+    return J.snapshot_diff(new, tree("doc_id % 7 <> 0", F.col("text"))).select("path", "change")
+
+
+@query("s01_read_records", f"{RECORDS} SELECT uri, level, content, active_count FROM records")
+def _(t):
+    path = fresh_path(t.spark)
+    S.write_records(t.records.drop("doc_id", "lang", "source"), path)
+    return S.read_records(t.spark, path).select("uri", "level", "content", "active_count")
+
+
+@query("s08_import_snapshot", f"{RECORDS} SELECT replace(uri, 'ctx://resources/en', 'ctx://resources/copy') AS uri, content FROM records WHERE lang = 'en'")
+def _(t):
+    path = fresh_path(t.spark)
+    records = t.records.where("lang = 'en'").drop("doc_id", "lang", "source").withColumn("vector", F.lit(None).cast("array<float>"))
+    S.export_snapshot(records, path)
+    return S.import_snapshot(t.spark, path, records.limit(0), "ctx://resources/en", "ctx://resources/copy").select("uri", "content")
+
+
+@query("s03_stream_turn_logs", "SELECT conv_id::VARCHAR AS session_id, role, text FROM conversations WHERE role IN ('user', 'assistant')")
+def _(t):
+    """Conversations as JSON lines, read by a stream in several files, written by a sink of ours."""
+    from ..streaming import streams as R
+
+    logs, out, check = (fresh_path(t.spark) for _ in range(3))
+    t.conversations.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"))).alias("value")).repartition(3).write.text(logs)
+    stream = C.stream_turn_logs(t.spark, logs, "flat", files_a_batch=2)
+    R.custom_sink(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), check).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select("session_id", "role", "text")
+
+
+@query("t08_dedup_append", "SELECT conv_id, turn, role FROM conversations")
+def _(t):
+    """Conversations in three overlapping batches, each row once."""
+    from ..streaming.tables import Appends
+
+    rows = t.conversations.select("conv_id", "turn", "role")
+    log = Appends(t.spark, fresh_path(t.spark), ("conv_id", "turn"))
+    for i, where in enumerate(("conv_id % 3 <> 0", "conv_id % 3 <> 1", "conv_id % 3 <> 0")):
+        log.append(rows.where(where), f"b{i}")
+    return log.read(rows.schema).drop("batch")
+
+
+@query("t13_stream_ingest", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) SELECT conv_id::VARCHAR AS session_id, count(*) AS messages, sum(coalesce(len(text), 0))::BIGINT AS tokens FROM p GROUP BY conv_id HAVING count(*) >= 4""")
+def _(t):
+    """Records of the conversations that reach four messages, by session."""
+    from ..streaming.tables import Ingest, stream_ingest
+
+    turns, path, check = (fresh_path(t.spark) for _ in range(3))
+    rows = t.conversations.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("pos"), "role", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("turn")).alias("ts"), F.length("text").cast("long").alias("tokens"))
+    rows.coalesce(1).write.parquet(turns)
+    stream = t.spark.readStream.schema(rows.schema).parquet(turns)
+    stream_ingest(stream, path, check, tokens=1 << 40, messages=4).trigger(availableNow=True).start().awaitTermination()
+    return Ingest(t.spark, path).records().groupBy("session_id").agg(F.sum("messages").alias("messages"), F.sum("tokens").alias("tokens"))
+
+
 @query("u03_exclude_uris", f"{RECORDS} SELECT uri FROM records WHERE uri NOT IN ('ctx://resources/en/src1/1.md', 'ctx://resources/en/src2/2.md')")
 def _(t):
     return J.exclude_uris(t.records.select("uri"), [" ctx://resources/en/src1/1.md", "ctx://resources/en/src2/2.md "])
@@ -343,10 +419,43 @@ def _(t):
 
 @query("g07_reduce_groups", "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_suppkey")
 def _(t):
-    def merge(p):
+    def part(p):
         return p.groupby("l_suppkey", as_index=False).agg(n=("l_quantity", "size"), quantity=("l_quantity", "sum"))
 
-    return G.reduce_groups(t.lineitem.select("l_suppkey", "l_quantity"), ["l_suppkey"], merge, "l_suppkey long, n long, quantity double").withColumn("quantity", F.round("quantity", 2))
+    def merge(p):
+        return p.groupby("l_suppkey", as_index=False).agg(n=("n", "sum"), quantity=("quantity", "sum"))
+
+    columns = "l_suppkey long, n long, quantity double"
+    return G.reduce_groups(t.lineitem.select("l_suppkey", "l_quantity"), ["l_suppkey"], merge, columns, part, columns, most_rows=500)[0].withColumn("quantity", F.round("quantity", 2))
+
+
+@query("g07_failed_groups", "SELECT l_suppkey, 'ValueError: group ' || l_suppkey AS error FROM lineitem WHERE l_suppkey % 10 = 3 GROUP BY l_suppkey")
+def _(t):
+    def merge(p):
+        if p.l_suppkey.iloc[0] % 10 == 3:
+            raise ValueError(f"group {p.l_suppkey.iloc[0]}")
+        return p.head(1)
+
+    return G.reduce_groups(t.lineitem.select("l_suppkey"), ["l_suppkey"], merge, "l_suppkey long")[1]
+
+
+@query("g03_source_status", "SELECT doc_id::VARCHAR AS source, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'unreferenced' ELSE 'published' END AS status FROM documents")
+def _(t):
+    import pandas as pd
+
+    def draft(p):
+        if (p.doc_id % 7 == 0).any():
+            raise ValueError("a range can't be read")
+        p = p[(p.doc_id % 3 != 0) | (p.doc_id % 5 == 0)]
+        return pd.DataFrame({"path": p.doc_id.astype(str), "content": p.text, "source": p.doc_id.astype(str)})
+
+    def merge(p):
+        if int(p.path.iloc[0]) % 5 == 0:
+            raise ValueError("a group can't be merged")
+        return pd.DataFrame({"path": [p.path.iloc[0]], "content": [" ".join(p.content)]})
+
+    none = t.spark.createDataFrame([], "path string, content string, sha string")
+    return G.corpus_build(t.documents.select("doc_id", "text"), draft, merge, none.select("path", "content"), none.select("path", "sha"))[2]
 
 
 @query("g09_sql_functions", f"{RECORDS} SELECT doc_id FROM records WHERE lang = 'en'")

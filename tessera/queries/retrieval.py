@@ -64,6 +64,21 @@ def _(t):
     return _rounded(R.knn_approx(_vectors(t), _asked(t)))
 
 
+def _signatures(t, **options):
+    """An index of all vectors, and what it finds."""
+    from ..operators import signatures as I
+    from ..staging import fresh_path
+
+    path = fresh_path(t.spark)
+    I.build_index(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), path, keep=("label",))
+    return I.search_index(t.spark, path, _asked(t), **options)
+
+
+@query("r04_knn_signatures", None)
+def _(t):
+    return _rounded(_signatures(t))
+
+
 def _recall(found, exact):
     """Mean recall at 10 over the queries, and whether it reaches 0.9."""
     ids = lambda df, name: df.groupBy("qid").agg(F.array_agg("id").alias(name))
@@ -81,6 +96,17 @@ def _(t):
     return _recall(R.knn_approx(_vectors(t), _asked(t)), R.knn(_vectors(t), _asked(t)))
 
 
+@query("a12_recall_signatures", "SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def _(t):
+    return _recall(_signatures(t), R.knn(_vectors(t), _asked(t)))
+
+
+@query("a12_recall_signatures_filtered", "SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def _(t):
+    exact = R.knn(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), _asked(t), where=F.col("label") == 1)
+    return _recall(_signatures(t, where=F.col("label") == 1), exact)
+
+
 TERMS = r"SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM documents"
 
 
@@ -88,6 +114,10 @@ def _postings(t):
     return t.documents.select(F.col("doc_id").alias("id"), F.explode(R.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
+def _term_rows(t):
+    return R.term_rows(t.documents.select(F.col("doc_id").alias("id"), R.tokens(F.coalesce("text", F.lit(""))).alias("words")))
+
+
 def _asked_terms(t):
     return t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term")).withColumn("w", F.lit(1.0))
 
@@ -98,20 +128,38 @@ SPARSE = f"""WITH p AS (SELECT id, term, count(*)::DOUBLE AS w FROM ({TERMS}) GR
 
 @query("r05_sparse_knn", f"{SPARSE} SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
 def _(t):
-    return R.sparse_knn(_postings(t), _asked_terms(t))
+    return R.sparse_knn(_term_rows(t), _asked_terms(t))
 
 
 @query("r06_sparse_l2", f"{SPARSE} SELECT qid, id, a.n + b.n - 2 * score AS distance2 FROM s JOIN (SELECT id, sum(w * w) AS n FROM p GROUP BY id) a USING (id) JOIN (SELECT qid, count(*) AS n FROM q GROUP BY qid) b USING (qid)")
 def _(t):
-    return R.sparse_l2(_postings(t), _asked_terms(t))
+    return R.sparse_l2(_term_rows(t), _asked_terms(t))
+
+
+@query("r05_sparse_knn_postings", f"{SPARSE} SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3")
+def _(t):
+    return R.sparse_knn(_postings(t), _asked_terms(t), 3)
+
+
+@query("r06_sparse_l2_nearest", f"""{SPARSE} SELECT qid, id, distance2, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance2, id) AS rank FROM
+ (SELECT qid, id, a.n + b.n - 2 * score AS distance2 FROM s JOIN (SELECT id, sum(w * w) AS n FROM p GROUP BY id) a USING (id) JOIN (SELECT qid, count(*) AS n FROM q GROUP BY qid) b USING (qid))) WHERE rank <= 5""")
+def _(t):
+    return R.sparse_l2(_term_rows(t), _asked_terms(t), 5)
+
 
+HYBRID = f"""{SPARSE}, d AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+ f AS (SELECT qid, id, 0.5 * coalesce(d.score, 0) + 0.5 * coalesce(s.score, 0) AS score FROM d FULL JOIN s USING (qid, id))"""
 
-@query("r07_hybrid", f"""{SPARSE}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 100),
- s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 100),
- f AS (SELECT qid, id, 0.5 * coalesce(d.score, 0) + 0.5 * coalesce(s2.score, 0) AS score FROM d FULL JOIN s2 USING (qid, id))
- SELECT qid, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10""")
+
+@query("r07_hybrid", f"{HYBRID} SELECT qid, id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 10")
 def _(t):
-    return _rounded(R.hybrid_knn(_vectors(t), _asked(t), _postings(t), _asked_terms(t)))
+    return _rounded(R.hybrid_knn(_vectors(t), _asked(t), _term_rows(t), _asked_terms(t)))
+
+
+@query("a12_recall_hybrid", "SELECT count(*) AS asked, true AS enough FROM (SELECT doc_id AS q FROM documents WHERE doc_id % 50 = 0 UNION SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0)")
+def _(t):
+    bounded = R.hybrid_knn(_vectors(t), _asked(t), _term_rows(t), _asked_terms(t), candidates=100)
+    return _recall(bounded, R.hybrid_knn(_vectors(t), _asked(t), _term_rows(t), _asked_terms(t)))
 
 
 @query("r08_knn_by_id", _knn_sql("list_cosine_similarity(q.x, c.x)", 3))
@@ -189,6 +237,17 @@ def flagship(t):
     return _rounded(J.find(records, _asked(t), 10, where, ["abstract"]))
 
 
+@query("g01_find_hybrid", f"""{BM25}, e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), a AS (SELECT item_id AS qid, x FROM benchmark JOIN e ON vec_id = item_id),
+ d AS (SELECT qid, vec_id AS id, list_cosine_similarity(a.x, e.x) AS score FROM a, e JOIN documents ON vec_id = doc_id),
+ f AS (SELECT qid, id, 0.7 * coalesce(d.score, 0) + 0.3 * coalesce(s.score, 0) AS score FROM d FULL JOIN s USING (qid, id))
+ SELECT qid, id AS doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, 'ctx://resources/' || lang || '/' || source || '/' || id || '.md') AS rank FROM f JOIN documents ON doc_id = id) WHERE rank <= 10""")
+def _(t):
+    from ..schema import records_from_documents
+
+    asked = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("query")).join(_vectors(t).withColumnRenamed("id", "qid"), "qid", "left")
+    return _rounded(J.find(records_from_documents(t.documents, t.embeddings), asked, 10, fields=["doc_id"])).drop("uri")
+
+
 @query("g02_assemble_context", None)
 def _(t):
     ledger = t.spark.createDataFrame([], "session string, uri string, tier string, turn int")

@@ -32,10 +32,15 @@ _doc("x26_strip_markup", lambda: F.length(X.strip_markup_noise(F.concat(F.lit("[
 _doc("x27_portable_segment", lambda: X.portable_segment(F.concat(F.col("lang"), F.lit("/ "), F.col("source"))), "lang || '_' || source || '_' || substr(sha256(lang || '/ ' || source), 1, 16)")
 _doc("x28_outcome_norm", lambda: X.outcome_norm(F.when(F.col("lang") == "en", " Success ").otherwise(F.col("lang"))), "CASE WHEN lang = 'en' THEN 'success' ELSE 'unknown' END")
 _doc("x31_preview_id", lambda: X.preview_id(F.when(F.col("lang") == "en", F.col("source")), F.col("text")), "CASE WHEN lang = 'en' THEN 'tr_' || source || '_' || substr(sha256(text), 1, 16) ELSE 'tr_' || substr(sha256(text), 1, 24) END")
-_doc("x12_doc_overview", lambda: F.sha2(X.doc_overview(F.concat(F.lit("# A\n## B\n\nBody. "), F.translate("text", "\n", " "))), 256), r"sha256('- A' || chr(10) || '  - B' || chr(10) || substr(trim(regexp_replace('Body. ' || text, '\s+', ' ', 'g')), 1, 400))")
-_doc("x11_summary_section", lambda: F.sha2(X.summary_section(F.concat(F.lit("# T\n## Summary\nshort\n "), F.translate("text", "\n", " "), F.lit("\n# Next\n"))), 256), r"sha256(trim(regexp_replace('short ' || text, '\s+', ' ', 'g')))")
+#: The first paragraph of texts that begin with `# `, and their headings.
+OVERVIEW = r"""array_to_string(list_transform(list_slice(list_filter(string_split('# ' || text, chr(10)), lambda x: regexp_matches(x, '^#{1,3}\s+\S')), 1, 24), lambda x: repeat('  ', len(regexp_extract(x, '^(#+)', 1)) - 1) || '- ' || regexp_replace(x, '^#+\s+', ''))
+ || list_transform(list_slice(list_filter(regexp_split_to_array('# ' || text, '\n\s*\n'), lambda p: NOT regexp_matches(p, '^\s*#') AND trim(p) <> ''), 1, 1), lambda p: substr(trim(regexp_replace(p, '\s+', ' ', 'g')), 1, 400)), chr(10))"""
+_doc("x12_doc_overview", lambda: F.sha2(X.doc_overview(F.concat(F.lit("# "), F.regexp_replace("text", r"\n", "\n\n"))), 256), f"sha256({OVERVIEW.replace("'# ' || text", "'# ' || replace(text, chr(10), chr(10) || chr(10))")})")
+_doc("x11_summary_section", lambda: F.sha2(X.summary_section(F.concat(F.lit("Summary: "), F.regexp_replace("text", r"\. ", ".\n\n"))), 256), r"sha256(trim(regexp_replace(regexp_split_to_array('Summary: ' || replace(text, '. ', '.' || chr(10) || chr(10)), '\n\s*\n')[1][9:], '\s+', ' ', 'g')))")
+_doc("x11_summary_heading", lambda: F.sha2(X.summary_section(F.concat(F.lit("# T\n## Summary\n"), F.col("text"), F.lit("\n# Next\nmore"))), 256), r"sha256(trim(regexp_replace(text, '\s+', ' ', 'g')))")
+_doc("x03_truncate", lambda: F.sha2(X.truncate_to_tokens(F.col("text"), 100), 256), "sha256(CASE WHEN ceil(len(text) / 4) <= 100 THEN text ELSE left(text, 294) || chr(10) || '...' || chr(10) || right(text, 98) END)")
 _doc("x10_finite_or", lambda: G.finite_or(F.when(F.col("lang") == "en", "NaN").when(F.col("lang") == "de", "x").otherwise("1.5"), -1.0), "CASE WHEN lang IN ('en', 'de') THEN -1.0 ELSE 1.5 END")
-_doc("x19_masked", lambda: F.sha2(X.mask(F.col("text"), {"email": X.PRIVACY["email"]}), 256), r"sha256(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[MASKED]', 'g'))")
+_doc("x19_masked", lambda: F.sha2(X.mask(F.col("text"), {k: X.PRIVACY[k] for k in ("email", "secret")}), 256), r"""sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[MASKED]', 'g'), '(?i)\b(?:api[_-]?key|token|password|secret)\s*[=:]\s*"?[A-Za-z0-9_\-]{8,}"?', '[MASKED]', 'g'))""")
 _doc("x24_conflict_tags", lambda: X.conflict_tags(F.replace("text", F.lit("\n"), F.lit('<!-- CONFLICT [{"id":"1","text":"a"},{"id":"2","text":"b"}] -->')))["conflict_num"], "(2 * (len(text) - len(replace(text, chr(10), ''))))::INTEGER")
 _doc("x13_render_entry", lambda: X.render_entry(F.concat(F.lit('a"<'), F.col("lang")), F.lit("full"), F.lit(0.126).cast("double"), F.col("source")), """'<entry uri="a&quot;&lt;' || lang || '" tier="full" score="0.13">' || chr(10) || source || chr(10) || '</entry>'""")
 
@@ -66,10 +71,25 @@ def _(t):
     return t.events.select("event_id", G.merge_field("sum", F.col("value"), F.lit(1.5)).alias("total"), G.merge_field("immutable", even, F.lit("set")).alias("once"), G.merge_field("replace", F.lit("old"), even).alias("latest"))
 
 
-@query("x09_apply_blocks", "SELECT doc_id, 'a ' || lang || ' c' AS value FROM documents")
+@query("x09_apply_blocks", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, substr(text, 6, 4) AS a, substr(text, 41, 30) AS b FROM documents),
+ n AS (SELECT *, CASE WHEN coalesce(a, '') = '' THEN -1 ELSE (len(text) - len(replace(text, a, ''))) // len(a) END AS na FROM d),
+ o AS (SELECT *, CASE WHEN na = 1 THEN replace(text, a, lang) ELSE text END AS once FROM (SELECT n.*, lang FROM n JOIN documents USING (doc_id))),
+ m AS (SELECT *, CASE WHEN coalesce(b, '') = '' THEN -1 ELSE (len(once) - len(replace(once, b, ''))) // len(b) END AS nb FROM o)
+ SELECT doc_id, sha256(CASE WHEN text = '' THEN lang WHEN na NOT IN (1, -1) THEN text WHEN nb = 1 THEN replace(once, b, '') ELSE once END) AS value,
+  CASE WHEN text = '' THEN NULL WHEN na NOT IN (1, -1) THEN 'found ' || na || ' times: ' || a WHEN nb NOT IN (1, -1) THEN 'found ' || nb || ' times: ' || b END AS error FROM m""")
 def _(t):
-    blocks = F.array(F.struct(F.lit("b").alias("search"), F.col("lang").alias("replace")), F.struct(F.lit(" gone").alias("search"), F.lit(None).cast("string").alias("replace")))
-    return t.documents.select("doc_id", X.apply_blocks(F.lit("a b gone c"), blocks)["text"].alias("value"))
+    """Two blocks cut from each text: a short one, which often occurs twice, is replaced, a long one deleted."""
+    block = lambda search, replace: F.struct(search.alias("search"), replace.alias("replace"))
+    blocks = F.array(block(F.substring("text", 6, 4), F.col("lang")), block(F.substring("text", 41, 30), F.lit(None).cast("string")))
+    done = t.documents.select("doc_id", X.apply_blocks(F.col("text"), blocks).alias("r"))
+    return done.select("doc_id", F.sha2("r.text", 256).alias("value"), F.col("r.error").alias("error"))
+
+
+@query("x04_time_score", f"{RECORDS} SELECT doc_id, round(pow(0.5, greatest((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(updated_at)) / 86400e6 - 3, 0) / 7), 6) AS value FROM records")
+def _(t):
+    from ..operators.retrieve import time_score
+
+    return t.records.select("doc_id", F.round(time_score(F.col("updated_at"), F.lit(datetime(2024, 2, 1, tzinfo=UTC)), 3), 6).alias("value"))
 
 
 def _language_sql(table: str) -> str:
@@ -130,15 +150,27 @@ def _(t):
     return t.conversations.select("conv_id", "turn", X.message_tokens(F.array(part("text", text=F.col("text")), part("tool", tool_id=F.lit("t1"), tool_name=F.lit("grep")), part("image", text=F.lit("xxxx")))).alias("value"))
 
 
-@query("a12_evidence_recall", "SELECT doc_id, true AS value FROM documents WHERE trim(text) <> ''")
+def _normal(of: str) -> str:
+    return NORMAL.replace("replace(text,", f"replace({of},")
+
+
+@query("a12_evidence_recall", f"""WITH n AS (SELECT doc_id, {_normal("substr(text, 1, 90)")} AS e, {_normal("substr(text, 31, 300)")} AS c FROM documents WHERE trim(text) <> ''),
+ w AS (SELECT *, list_filter(string_split(e, ' '), lambda x: x <> '') AS es, string_split(c, ' ') AS cs FROM n)
+ SELECT doc_id, contains(c, e) OR (len(es) >= 4 AND len(list_filter(es, lambda x: list_contains(cs, x))) >= 0.8 * len(es)) AS value FROM w""")
 def _(t):
+    """Whether a text's first 90 characters are found in its characters 31 to 330."""
     from ..operators.evaluation import evidence_recall
 
-    return t.documents.where(F.trim("text") != "").select("doc_id", evidence_recall(F.col("text"), F.col("text")).alias("value"))
+    return t.documents.where(F.trim("text") != "").select("doc_id", evidence_recall(F.substring("text", 1, 90), F.substring("text", 31, 300)).alias("value"))
 
 
-@query("a12_token_f1", f"SELECT doc_id, CASE WHEN {NORMAL} = '' THEN 0.0 ELSE 1.0 END AS f1 FROM documents")
+@query("a12_token_f1", f"""WITH p AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split({_normal("text")}, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+ q AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split({_normal("left(text, len(text) // 2)")}, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+ f AS (SELECT doc_id, sum(least(coalesce(p.n, 0), coalesce(q.n, 0))) AS same, sum(coalesce(p.n, 0)) + sum(coalesce(q.n, 0)) AS total FROM p FULL JOIN q USING (doc_id, w) GROUP BY doc_id)
+ SELECT doc_id, round(coalesce(2.0 * same / total, 0), 9) AS f1 FROM documents LEFT JOIN f USING (doc_id)""")
 def _(t):
+    """Of each text and its first half."""
     from ..operators.evaluation import token_f1
 
-    return token_f1(t.documents.withColumn("other", F.concat(F.lit("the "), F.col("text"))), "doc_id", "text", "other")
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    return token_f1(t.documents.withColumn("other", half), "doc_id", "text", "other").withColumn("f1", F.round("f1", 9))

@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+
+
 class Staging:
     """Writes tables and reads them back; those of a `with` block are deleted at its end, but for the ones kept."""
 
@@ -37,7 +42,7 @@ class Staging:
             where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
     def __call__(self, df: DataFrame, keep: bool = False) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
+        path = fresh_path(self.spark)
         df.write.parquet(path)
         if not keep:
             self.paths.append(path)

@@ -11,6 +11,7 @@ from tessera.operators import chunks as C
 from tessera.operators import evaluation as E
 from tessera.operators import joins as J
 from tessera.operators import maintain as M
+from tessera.operators import similar as K
 from tessera.operators import windows as W
 from tessera.plans import jobs as G
 from tessera.sources import records as S
@@ -93,7 +94,7 @@ def test_links_and_ledger(spark):
     cands = spark.createDataFrame([("s", x) for x in "uvwz"], "session string, uri string")
     assert rows(J.exclude_served(cands, ledger, 10, 3), "uri") == [("u",), ("v",), ("z",)]
     assert rows(J.update_ledger(ledger, cands.where("uri = 'u'").withColumn("tier", F.lit("full")), 10, 2), "uri", "turn") == [("u", 10), ("v", 9), ("w", 8)]
-    assert {r.node: r.component for r in J.connected(spark.createDataFrame([(1, 2), (2, 3), (7, 8), (3, 4)], "a int, b int")).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7}
+    assert {r.node: r.component for r in K.connected(spark.createDataFrame([(1, 2), (2, 3), (7, 8), (3, 4)], "a int, b int")).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7}
     urls = spark.createDataFrame([(1, "http://h.io/a/b?x#y", '<a href="c.html#z">1</a><A class=q HREF=\'/d\'>2</A><a href="mailto:x@y">3</a><a href="//o.io/e">4</a><a href="#top">5</a><a href="./c.html">6</a>')], "page_id int, url string, html string")
     assert [r.to_url for r in J.link_graph(urls).orderBy("pos").collect()] == ["http://h.io/a/c.html", "http://h.io/d", "http://o.io/e"]
 
@@ -125,11 +126,36 @@ def test_rollups(spark):
     ev = spark.createDataFrame([("hits", "counter", {"a": "1"}, 2.0, 1), ("hits", "counter", {"a": "1"}, -5.0, 2), ("hits", "counter", {"a": "2"}, 1.0, 3), ("lat", "histogram", {}, 0.3, 1)], "name string, kind string, labels map<string,string>, value double, ts int")
     got = {(r.name, r.series): (r.value, r.dropped) for r in A.metric_rollup(ev, 1).collect()}
     assert got[("hits", "a=1")] == (2.0, 0) and got[("hits", None)][1] == 1
+    heavy = spark.createDataFrame([("hits", "counter", {"a": str(i % 3 if i % 2 else i)}, 1.0, i) for i in range(400)], "name string, kind string, labels map<string,string>, value double, ts int")
+    got = {r.series: (r.value, r.dropped) for r in A.metric_rollup(heavy, 3, approx=True).collect()}
+    assert got == {"a=0": (67.0, 0), "a=1": (67.0, 0), "a=2": (67.0, 0), None: (None, 199)} or set(got) == {"a=0", "a=1", "a=2", None}
     assert A.BOUNDS[:4] == [0.01, 0.02, 0.05, 0.1] and A.BOUNDS[-1] == 5e6
     log = spark.createDataFrame([], "context_type string, n_results int, scores array<double>, reranked boolean, latency_ms double")
     assert A.retrieval_stats(log).count() <= 1
 
 
+def test_latency_sketches_merge(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a" if i % 3 else "b", DAY + timedelta(minutes=int(m)), 500 if i % 10 == 0 else 200, float(x)) for i, (m, x) in enumerate(zip(rng.integers(0, 7 * 1440, 6000), rng.exponential(50, 6000)))] + [("a", None, 200, 1.0), ("a", DAY, 200, None), ("a", DAY, 200, float("nan")), ("c", DAY, 500, None)]
+    df = spark.createDataFrame(rows, "acc string, ts timestamp, status int, latency_ms double")
+    hourly = A.latency_sketches(df, ("acc",))
+    days = [hourly.where(F.date_trunc("day", "hour") == F.lit(DAY + timedelta(days=d))) for d in range(7)]
+    put = days[0]
+    for d in days[1:]:
+        put = put.unionByName(d)
+    got = {(r.acc, r.hours): r for r in A.health_windows(put, F.lit(DAY + timedelta(days=7)), keys=("acc",)).collect()}
+    for (acc, hours), r in got.items():
+        own = [x for x in rows if x[0] == acc and x[1] is not None and DAY + timedelta(days=7, hours=-hours) <= x[1]]
+        assert r.requests == len(own) and r.error_rate == pytest.approx(sum(x[2] >= 500 for x in own) / len(own))
+        values = np.sort([x[3] for x in own if x[3] is not None and x[3] == x[3]])
+        if not len(values):
+            assert r.p50 is None
+            continue
+        for q, v in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
+            assert np.searchsorted(values, v, "left") / len(values) - 0.02 <= q <= np.searchsorted(values, v, "right") / len(values) + 0.02
+    assert {h for _, h in got} >= {24, 168} and got["c", 168].requests == 1
+
+
 def test_jobs(spark):
     recs = spark.createDataFrame([(f"ctx://r/d/{i}.md", f"# T{i}\n\nalpha beta {'gamma ' * i}", f"abstract {i}", DAY, "resource") for i in range(6)], "uri string, content string, abstract string, updated_at timestamp, context_type string")
     req = spark.createDataFrame([(1, "alpha gamma"), (2, "nothing")], "qid long, query string")
@@ -142,7 +168,8 @@ def test_jobs(spark):
         G.embed(recs.select("uri"), "uri", lambda s: s.map(lambda x: [1.0]), 2).collect()
     assert G.score(recs, ["uri"], lambda s: s.str.len() * float("nan")).where("new_score IS NULL").count() == 6
     docs = spark.createDataFrame([(1, "# x\nbody"), (2, "# x\nother")], "doc_id long, text string")
-    plan, several = G.corpus_build(docs, lambda p: pd.DataFrame({"path": ["out.md"] * len(p), "content": p.text, "source": p.doc_id.astype(str)}), lambda p: pd.DataFrame({"path": [p.path.iloc[0]], "content": ["\n".join(sorted(p.content))]}), spark.createDataFrame([], "path string, content string"), spark.createDataFrame([], "path string, sha string"))
+    plan, several, status = G.corpus_build(docs, lambda p: pd.DataFrame({"path": ["out.md"] * len(p), "content": p.text, "source": p.doc_id.astype(str)}), lambda p: pd.DataFrame({"path": [p.path.iloc[0]], "content": ["\n".join(sorted(p.content))]}), spark.createDataFrame([], "path string, content string"), spark.createDataFrame([], "path string, sha string"))
+    assert rows(status, "source", "status") == [("1", "published"), ("2", "published")]
     assert rows(plan, "path", "action") == [("out.md", "created")] and several.first().sources == ["1", "2"]
     tree = G.rollup_hierarchy(recs.select("uri", "content"), 3)
     assert {r.uri for r in tree.collect()} >= {"ctx://r/d"}
@@ -162,7 +189,7 @@ def test_similar_drafts_are_grouped_over_all_pairs(spark, sf, tmp_path, monkeypa
     spark.createDataFrame(few, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     expected = {7: 1, 1: 1, 3: 1, 51: 51, 52: 51, 8: 8, 9: 9}  # ids that 50 doesn't divide
     for block in (2048, 1):
-        monkeypatch.setattr(J, "DRAFT_BLOCK", block)
+        monkeypatch.setattr(K, "DRAFT_BLOCK", block)
         assert dict(map(tuple, __spark_entry__.queries()["j13_similar_drafts"](spark, str(tmp_path)).collect())) == expected
 
     d = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
@@ -173,9 +200,78 @@ def test_similar_drafts_are_grouped_over_all_pairs(spark, sf, tmp_path, monkeypa
         if head[i] != head[j]:
             head[np.isin(head, (head[i], head[j]))] = min(head[i], head[j])
     assert len(set(head)) < len(head)
-    monkeypatch.setattr(J, "DRAFT_BLOCK", 200)
+    monkeypatch.setattr(K, "DRAFT_BLOCK", 200)
     drafts = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
-    assert dict(map(tuple, J.similar_drafts(drafts, 0.42).collect())) == dict(zip(d.vec_id, map(int, head)))
+    assert dict(map(tuple, K.similar_drafts(drafts, 0.42).collect())) == dict(zip(d.vec_id, map(int, head)))
+
+
+def test_groups_of_any_size_are_reduced(spark):
+    df = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 40}", i) for i in range(3000)] + [(None, 1), (None, 2)], "k string, v long").repartition(3)
+    sizes = []
+
+    def part(p):
+        if len(p) > 400:
+            raise ValueError("too many rows at once")
+        return pd.DataFrame({"k": [p.k.iloc[0]], "n": [len(p)], "total": [p.v.sum()]})
+
+    def merge(p):
+        if p.k.iloc[0] == "k1":
+            raise KeyError("k1")
+        return pd.DataFrame({"k": [p.k.iloc[0]], "n": [p.n.sum()], "total": [p.total.sum()], "parts": [len(p)]})
+
+    done, failed = G.reduce_groups(df, ["k"], merge, "k string, n long, total long, parts long", part, "k string, n long, total long", most_rows=200)
+    got = {r.k: (r.n, r.total) for r in done.collect()}
+    expected = {r.k: (r.n, r.t) for r in df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("t")).collect()}
+    assert got == {k: v for k, v in expected.items() if k != "k1"} and rows(failed, "k", "error") == [("k1", "KeyError: 'k1'")]
+    assert done.where("k = 'hot'").first().parts >= 4 and sizes == []
+    # a part that fails fails its group, and a function that lacks a column too
+    done, failed = G.reduce_groups(df, ["k"], merge, "k string, n long, total long, parts long", part, "k string, n long, total long", most_rows=2000)
+    assert failed.where("k = 'hot' AND error LIKE 'ValueError%'").count() == 1 and done.where("k = 'hot'").count() == 0
+    done, failed = G.reduce_groups(df.limit(5), ["k"], lambda p: p[["k"]].head(1), "k string, n long")
+    assert done.count() == 0 and failed.where("error LIKE 'columns are missing%'").count() > 0
+
+
+def test_rollup_plans_are_flat_and_take_a_sample(spark):
+    files = spark.createDataFrame([(f"ctx://r/a/{i % 3}/{i % 5}/{'x' * (i % 2)}{i}.md", f"# T{i}") for i in range(400)], "uri string, content string")
+    size = lambda depth: len(G.rollup_hierarchy(files, depth)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(3) < 4 * size(1)
+    found = {r.uri: r.summary for r in G.rollup_hierarchy(files, 3, sample=4, summarise=lambda body: F.size(F.split(body, "\n\n")).cast("string")).collect()}
+    assert found["ctx://r/a/0/0"] == "4" and found["ctx://r/a/0"] == "4" and found["ctx://r/a"] == "3"
+
+
+def brute_groups(ids, v, threshold):
+    v = v / np.sqrt((v * v).sum(1, keepdims=True))
+    head = np.array(ids).copy()
+    for i, j in zip(*np.nonzero(v @ v.T >= threshold)):
+        if head[i] != head[j]:
+            head[np.isin(head, (head[i], head[j]))] = min(head[i], head[j])
+    return dict(zip(ids, map(int, head)))
+
+
+@pytest.mark.parametrize(("threshold", "block"), [(0.95, 2048), (0.95, 30), (0.8, 100), (0.3, 50), (-0.2, 50), (1.0, 2048)])
+def test_similar_drafts_prune_and_find_all(spark, monkeypatch, threshold, block):
+    monkeypatch.setattr(K, "DRAFT_BLOCK", block)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    v = np.concatenate([centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 8)) * rng.choice([0.01, 0.2, 0.5], (300, 1)), np.tile(centres[:1], (150, 1)) + rng.normal(size=(150, 8)) * 0.05, rng.normal(size=(50, 8))])
+    v = np.round(v, 3)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(rng.permutation(500), v)], "id long, vector array<double>").repartition(4)
+    rows = df.toPandas()
+    # cosines next to the threshold would depend on rounding
+    unit = np.array([*rows.vector]) / np.linalg.norm(np.array([*rows.vector]), axis=1, keepdims=True)
+    edge = threshold if threshold < 1 else 1 - 1e-9
+    assert np.abs(unit @ unit.T - edge).min() > 1e-12
+    assert dict(map(tuple, K.similar_drafts(df, edge).collect())) == brute_groups(rows.id.tolist(), np.array([*rows.vector]), edge)
+
+
+def test_clustered_drafts_are_compared_with_few(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.05
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    pivots = v[:54] / np.linalg.norm(v[:54], axis=1, keepdims=True)
+    pairs = K.pairs_compared(K.dealt(K.filed(df, pivots), pivots, 0.95))
+    assert pairs < 0.15 * 3000 * 2999 / 2
 
 
 def test_fill_budget_takes_all_candidates(spark):
