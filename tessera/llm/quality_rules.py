@@ -4,7 +4,9 @@
 `sketches` holds each rule's distribution per (language, source) over the documents that pass the base rule, as counts
 on a fixed grid: a quantile sketch that merges by adding counts, has at most 1001 cells and errs by at most one cell.
 A rule's fence is read off the sketch: from its upper quantile, which most documents stay below, the distance to the
-median is stepped off a few times more, and one cell for the grid. Every source's fence is drawn towards that of its
+median is stepped off a few times more, and one cell for the grid. Shares of repeated lines and words, most of which
+are 0 and few of which spread as far as they can, have no steps: their fence is the quantile itself, so it never lies
+beyond what the group's documents reach, nor beyond the base rule. Every source's fence is drawn towards that of its
 language, and a language's towards that of all documents, as if SHRINK further documents had that one: so a small
 source has nearly its language's fence, a large one its own, and no size switches between them. The small table of
 fences is joined to the documents by language and source; one is kept if it passes all its fences and the base rule.
@@ -23,14 +25,14 @@ from pyspark.sql.window import Window
 from .common import SPACE_CHARS, let, stage, words
 
 WINDOW = 5
-#: Rule, its value on the grid (SQL of both engines, but for the division), upper quantile in percent, and the steps of
-#: the distance from the median to it that a document may lie beyond it.
+#: Rule, its value on the grid (SQL of both engines, but for the division), upper quantile in thousandths, and the steps
+#: of the distance from the median to it that a document may lie beyond it.
 RULES = {
-    "marks": ("n_marks * 1000", "word_chars", 90, 5),
-    "capitals": ("n_capitals * 1000", "word_chars", 90, 6),
-    "long_words": ("word_chars * 10", "n_words", 90, 6),
-    "dup_lines": ("n_dup_lines * 1000", "n_lines", 99, 4),
-    "repeats": ("n_repeat_words * 1000", "n_words", 95, 8),
+    "marks": ("n_marks * 1000", "word_chars", 900, 5),
+    "capitals": ("n_capitals * 1000", "word_chars", 900, 6),
+    "long_words": ("word_chars * 10", "n_words", 900, 6),
+    "dup_lines": ("n_dup_lines * 1000", "n_lines", 996, 0),
+    "repeats": ("n_repeat_words * 1000", "n_words", 996, 0),
 }
 SHRINK = 200
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -107,8 +109,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     group = Window.partitionBy("level", "lang", "source", "rule")
     ranked = sketch.withColumn("below", F.sum("n").over(group.orderBy("value"))).withColumn("total", F.sum("n").over(group))
     of_rule = lambda i: F.create_map(*(F.lit(x) for r, v in RULES.items() for x in (r, v[i])))[F.col("rule")]
-    quantile = lambda percent: F.min(F.when(F.col("below") * 100 >= F.col("total") * percent, F.col("value")))
-    at = ranked.groupBy("level", "lang", "source", "rule").agg(F.max("total").alias("total"), quantile(of_rule(2)).alias("upper"), quantile(F.lit(50)).alias("middle"))
+    quantile = lambda share: F.min(F.when(F.col("below") * 1000 >= F.col("total") * share, F.col("value")))
+    at = ranked.groupBy("level", "lang", "source", "rule").agg(F.max("total").alias("total"), quantile(of_rule(2)).alias("upper"), quantile(F.lit(500)).alias("middle"))
     return at.select("level", "lang", "source", "rule", "total", (F.col("upper") + of_rule(3) * (F.col("upper") - F.col("middle")) + 1).alias("fence"))
 
 

@@ -131,7 +131,7 @@ cells AS ({rules}),
 sketch AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, rule, value, any_value(q) AS q, any_value(k) AS k, count(*) AS n FROM cells WHERE NOT base_failed
   GROUP BY GROUPING SETS ((lang, source, rule, value), (lang, rule, value), (rule, value))),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY value) AS below, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM sketch),
-spread AS (SELECT level, lang, source, rule, max(k) AS k, max(total) AS total, min(CASE WHEN below * 100 >= total * q THEN value END) AS upper, min(CASE WHEN below * 100 >= total * 50 THEN value END) AS middle FROM ranked GROUP BY level, lang, source, rule),
+spread AS (SELECT level, lang, source, rule, max(k) AS k, max(total) AS total, min(CASE WHEN below * 1000 >= total * q THEN value END) AS upper, min(CASE WHEN below * 1000 >= total * 500 THEN value END) AS middle FROM ranked GROUP BY level, lang, source, rule),
 own AS (SELECT *, upper + k * (upper - middle) + 1 AS fence FROM spread),
 fences AS (SELECT a.lang, a.source, a.rule, {drawn("a.total", "a.fence", "(" + drawn("b.total", "b.fence", "g.fence") + ")")} AS fence
   FROM own a JOIN own b ON a.level = 0 AND b.level = 1 AND a.rule = b.rule AND a.lang IS NOT DISTINCT FROM b.lang JOIN own g ON g.level = 2 AND g.rule = a.rule),

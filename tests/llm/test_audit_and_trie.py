@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, prefix_trie
+from tessera.llm import filter_audit, prefix_trie, quality_rules
 
 from .test_operators import CLASHES, empty, messy, table
 
@@ -183,3 +183,38 @@ def test_only_whole_turns_become_nodes():
     assert sorted((r[0], r[1], r[3], r[4], r[5]) for r in rows) == [(1, 2, 2, 1, 1), (2, 3, 1, 0, 1)]
     assert sorted(beside[0]) == [0, 4, 8] and sorted(beside[1]) == [4]
     assert beside[0][4][0].tops == 1 and beside[0][0][0].n == 0 and beside[1][4][0].n == 1
+
+JUNK = ("marks", "capitals", "long_words", "dup_lines", "repeats")
+
+
+def test_every_quality_rule_rejects_junk_of_each_language(spark):
+    rng = random.Random(9)
+    rows, junk = [], {}
+    for lang in ("en", "de", "fr", "es"):
+        word = lambda n=5, lang=lang: lang[0] + "".join(rng.choice("abcdefghij") for _ in range(n + rng.choice((-1, 0, 1))))
+        for i in range(400):
+            lines = [" ".join(word() for _ in range(10)) + "." for _ in range(8)]
+            if i % 40 == 1:
+                lines.append(lines[0][:20])
+            kind = JUNK[i % 5] if i >= 395 else None
+            if kind == "marks":
+                lines = [x.replace(" ", " #!? ") for x in lines]
+            elif kind == "capitals":
+                lines = [x.upper() for x in lines]
+            elif kind == "long_words":
+                lines = [" ".join(word(18) for _ in range(10)) for _ in range(8)]
+            elif kind == "dup_lines":
+                lines = [y for x in lines for y in (x, "so it is", word())]
+            elif kind == "repeats":
+                lines.append(" ".join(lines[2].split()[:8]))
+            if kind:
+                junk[len(rows)] = (lang, kind)
+            rows.append((len(rows), "\n".join(lines), lang, f"s{i % 3}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
+    assert not any(found[i].base_failed for i in junk), [junk[i] for i in junk if found[i].base_failed]
+    assert [junk[i] for i in junk if found[i].kept] == []
+    clean = [r.kept for i, r in found.items() if i not in junk]
+    assert sum(clean) >= 0.98 * len(clean)
+    limits = {r: max(x.fences[r] for x in quality_rules.thresholds(quality_rules.base_stats(docs)).collect()) for r in JUNK}
+    assert limits["repeats"] < 200 and limits["dup_lines"] < 500
