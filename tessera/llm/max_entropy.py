@@ -88,7 +88,7 @@ class Vocabulary:
         self.of = np.concatenate([np.arange(self.head) // WITHIN, self.head_classes + opened, [last]]).astype(np.int32)
         self.rest, self.rest_distinct = int(self.n - counts.sum()), self.distinct - size
         share = np.bincount(self.of, np.append(counts, self.rest + 1), self.classes)
-        self.class_share = np.log(np.maximum(share, 1e-3) / share.sum()).astype(np.float32)
+        self.class_share = np.log(np.maximum(share, 1e-30) / share.sum()).astype(np.float32)
         with np.errstate(divide="ignore"):
             #: log of the share of its class; of the place after the last, what an unseen word has
             self.within = np.log(np.append(counts, 1) / np.append(share[self.of[:-1]], self.rest + self.rest_distinct + 1))
