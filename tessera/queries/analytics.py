@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import evaluation as E
+from ..session import SETTINGS
 from ..staging import fresh_path
 from ..streaming import streams as S
 from ..streaming import tables as ST
@@ -270,7 +271,9 @@ def _(t):
     path, out, check = (fresh_path(t.spark) for _ in range(3))
     rows = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("item"))
     rows.coalesce(1).write.parquet(path)
-    stream = S.microbatch(t.spark.readStream.schema(rows.schema).parquet(path), 8, 10**8)
+    own = t.spark.newSession()  # timers need another state store than the default one
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
+    stream = S.microbatch(own.readStream.schema(rows.schema).parquet(path), 8, 10**8)
     stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(out).where("why = 'count'").groupBy("key").agg(F.count(F.lit(1)).alias("batches"))
 
