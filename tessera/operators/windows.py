@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import AtomicType, BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import ACCENTS, LETTERS, STOP_WORDS, decided_language, language_evidence, squeeze
@@ -103,14 +103,16 @@ def freshness(children: DataFrame, ratio: float = 0.2, small: int = 5) -> DataFr
     return by.withColumn("action", action)
 
 
-def sort(df: DataFrame, fields: list[str], orders: list[str] | None = None, topk: int = 10) -> DataFrame:
-    """O1: by fields, each `desc` (also the default) or `asc`, missing values last, the first topk."""
+def sort(df: DataFrame, fields: list[str], orders: list[str] | None = None, topk: int = 10, key: str | None = None) -> DataFrame:
+    """O1: by fields, each `desc` (also the default) or `asc`, missing values last, then by key, the first topk. Without
+    a key, rows that are equal so far are ordered by all their columns that have an order, so the same rows come always."""
     orders = orders or ["desc"] * len(fields)
     if len(orders) != len(fields):
         raise ValueError("as many orders as fields are needed")
     if bad := [o for o in orders if not re.fullmatch("asc|desc", o)]:
         raise ValueError(f"unknown orders: {bad}")
-    return df.orderBy(*(F.col(f).desc_nulls_last() if o == "desc" else F.col(f).asc_nulls_last() for f, o in zip(fields, orders, strict=True))).limit(topk)
+    ties = [key] if key else [c.name for c in df.schema if c.name not in fields and isinstance(c.dataType, AtomicType)]
+    return df.orderBy(*(F.col(f).desc_nulls_last() if o == "desc" else F.col(f).asc_nulls_last() for f, o in zip(fields, orders, strict=True)), *(F.col(c).asc_nulls_last() for c in ties)).limit(topk)
 
 
 def sort_center1d(df: DataFrame, field: str, center: float, topk: int = 10, key: str = "id") -> DataFrame:

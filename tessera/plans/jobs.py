@@ -36,8 +36,10 @@ def find(records: DataFrame, queries: DataFrame, k: int = 10, where: Column | No
 
 #: Tiers from least to most; a text longer than an entry's share is kept from all but the bare URI.
 TIERS = ("uri", "abstract", "overview", "full")
-#: Upgrades once all are placed, in order: the tier aimed at, and whether an entry must stay within its share.
-UPGRADES = (("overview", True), ("full", True), ("full", False), ("abstract", False), ("overview", False))
+#: Upgrades once all are placed, in order: the tier aimed at, whether an entry must stay within its share, and as what
+#: they are counted.
+UPGRADES = (("overview", True, "overview_upgrades"), ("full", True, "full_upgrades"), ("full", False, "spare_upgrades"), ("abstract", False, "spare_upgrades"), ("overview", False, "spare_upgrades"))
+COUNTED = ("overview_upgrades", "full_upgrades", "spare_upgrades")
 
 
 class _Request:
@@ -52,24 +54,20 @@ class _Request:
         return row[tier] is not None and (tier == "uri" or row[tier] <= self.share)
 
     def place(self, row: dict) -> str:
-        """What becomes of a candidate: at its start tier or the first below that fits its share and what is left."""
-        start = TIERS.index(row["start_tier"])
-        order = list(TIERS[start::-1])
-        if row["start_tier"] == "abstract" and row["whole_abstract"]:
-            order.insert(1, "overview")  # its abstract is the whole body, so an overview is less
+        """What becomes of a candidate: the first of its tiers that fits its share and what is left."""
         separator = 1 if self.held else 0
-        tier = next((t for t in order if self.fits(row, t) and self.used + row[t] + separator <= self.budget), None)
+        tier = next((t for t in row["tiers"] if self.fits(row, t) and self.used + row[t] + separator <= self.budget), None)
         if tier is None:
             return "dropped"
         if row[f"{tier}_key"] in self.bodies:
             return "deduped"
         self.bodies.add(row[f"{tier}_key"])
-        self.held.append(row | {"tier": tier, "upgrades": 0})
+        self.held.append(row | {"tier": tier, "floor_tokens": row[tier], "upgrades": 0} | dict.fromkeys(COUNTED, 0))
         self.used += row[tier] + separator
         return "placed"
 
     def upgrade(self) -> list[dict]:
-        for to, within in UPGRADES:
+        for to, within, kind in UPGRADES:
             for e in self.held:
                 now = e["tier"]
                 if not TIERS.index(now) < TIERS.index(to) <= TIERS.index(e["ceiling"]) or e[to] is None or within and not self.fits(e, to):
@@ -80,7 +78,7 @@ class _Request:
                 self.bodies.discard(old)
                 self.bodies.add(new)
                 self.used += e[to] - e[now]
-                e["tier"], e["upgrades"] = to, e["upgrades"] + 1
+                e["tier"], e["upgrades"], e[kind] = to, e["upgrades"] + 1, e[kind] + 1
         return self.held
 
 
@@ -90,8 +88,8 @@ def _fill(budget: int, schema: pa.Schema):
     def fill(batches):
         request, qid, started = None, None, False
         table = lambda rows: pa.RecordBatch.from_pylist(rows, schema=schema)
-        out_row = lambda r, outcome, tier=None, upgrades=0: {"qid": r["qid"], "uri": r["id"], "tier": tier, "tokens": r[tier] if tier else 0, "outcome": outcome, "upgrades": upgrades}
-        done = lambda q: [out_row(e, "placed", e["tier"], e["upgrades"]) for e in q.upgrade()] if q else []
+        out_row = lambda r, outcome, tier=None: {"qid": r["qid"], "uri": r["id"], "tier": tier, "tokens": r[tier] if tier else 0, "outcome": outcome} | {c: r.get(c, 0) for c in ("upgrades", "floor_tokens", *COUNTED)}
+        done = lambda q: [out_row(e, "placed", e["tier"]) for e in q.upgrade()] if q else []
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -109,7 +107,7 @@ def _fill(budget: int, schema: pa.Schema):
 
 
 def fill_budget(candidates: DataFrame, max_tokens: int) -> DataFrame:
-    """(qid, uri, tier, tokens, outcome, upgrades) of all candidates of a request (qid, uri, score, start_tier,
+    """(qid, uri, tier, tokens, outcome, upgrades in all and by kind, tokens before upgrades) of all candidates of a request (qid, uri, score, start_tier,
     body_hash, and the costs full, overview, abstract, uri_cost; null where a tier has no text; optionally ceiling, the
     highest tier it may take, whole_abstract, whether its abstract is its body, and full_hash, overview_hash and
     abstract_hash of the tiers' texts). Best first, each is placed at its start tier or below; an entry's share is twice
@@ -121,25 +119,30 @@ def fill_budget(candidates: DataFrame, max_tokens: int) -> DataFrame:
     own = F.concat_ws(":", F.lit("uri"), F.col("uri").cast("string"))
     key = lambda tier: F.coalesce(F.concat(F.lit(f"{tier}:") if f"{tier}_hash" not in candidates.columns else F.lit("text:"), has(f"{tier}_hash", F.col("body_hash")).cast("string")), F.concat(F.lit(f"{tier}:"), own))
     late = F.col("score").isNull() | F.isnan("score")
+    down = F.array(*map(F.lit, TIERS[::-1]))
+    below = F.slice(down, F.array_position(down, F.col("start_tier")).cast("int"), len(TIERS))
+    short = (F.col("start_tier") == "abstract") & has("whole_abstract", F.lit(False))  # its overview says less than its abstract
+    tiers = F.when(short, F.array(*map(F.lit, ("abstract", "overview", "uri")))).otherwise(below)
     rows = candidates.select(
-        "qid", F.col("uri").alias("id"), "start_tier", late.alias("late"), (-F.col("score")).alias("order"), has("ceiling", F.lit("full")).alias("ceiling"), has("whole_abstract", F.lit(False)).alias("whole_abstract"),
+        "qid", F.col("uri").alias("id"), tiers.alias("tiers"), late.alias("late"), (-F.col("score")).alias("order"), has("ceiling", F.lit("full")).alias("ceiling"),
         cost("full").alias("full"), cost("overview").alias("overview"), cost("abstract").alias("abstract"), cost("uri_cost").alias("uri"), key("full").alias("full_key"), key("overview").alias("overview_key"), key("abstract").alias("abstract_key"), own.alias("uri_key"),
     )
     counts = rows.groupBy(F.col("qid").alias("of")).agg(F.count(F.lit(1)).alias("n"))
     known = rows.join(counts, F.col("qid").eqNullSafe(F.col("of"))).drop("of")
-    fields = f"qid {candidates.schema['qid'].dataType.simpleString()}, uri string, tier string, tokens long, outcome string, upgrades long"
+    fields = f"qid {candidates.schema['qid'].dataType.simpleString()}, uri string, tier string, tokens long, outcome string, upgrades long, floor_tokens long, " + ", ".join(f"{c} long" for c in COUNTED)
     schema = to_arrow_schema(candidates.sparkSession.createDataFrame([], fields).schema)
     return known.repartition("qid").sortWithinPartitions("qid", "late", "order", "id", "full_key").mapInArrow(_fill(max_tokens, schema), fields)
 
 
 def plan_stats(filled: DataFrame, max_tokens: int) -> DataFrame:
-    """Of each request in the result of fill_budget: tokens used with separators, an entry's share, entries returned, dropped and
-    deduped, upgrades, and entries by tier."""
+    """Of each request in the result of fill_budget: tokens used with separators, now and before any upgrade, an
+    entry's share, entries returned, dropped and deduped, upgrades in all and by kind, and entries by tier."""
     placed = F.col("outcome") == "placed"
     of_tier = [F.count_if(placed & (F.col("tier") == t)).alias(t) for t in TIERS]
-    found = filled.groupBy("qid").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.count_if(placed).alias("returned"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("dropped", "deduped")), F.sum("upgrades").alias("upgrades"), *of_tier)
-    used, share = F.col("tokens") + F.greatest(F.col("returned") - 1, F.lit(0)), F.greatest(F.lit(1), F.floor(F.lit(max_tokens) / F.col("n")).cast("long") * 2)
-    return found.select("qid", used.alias("used_tokens"), share.cast("long").alias("per_entry_cap"), "returned", "dropped", "deduped", "upgrades", F.struct(*TIERS).alias("tier_counts"))
+    found = filled.groupBy("qid").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.count_if(placed).alias("returned"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("dropped", "deduped")), *(F.sum(c).alias(c) for c in ("upgrades", *COUNTED)), F.sum("floor_tokens").alias("floor"), *of_tier)
+    between = F.greatest(F.col("returned") - 1, F.lit(0))
+    used, share = F.col("tokens") + between, F.greatest(F.lit(1), F.floor(F.lit(max_tokens) / F.col("n")).cast("long") * 2)
+    return found.select("qid", used.alias("used_tokens"), (F.col("floor") + between).alias("floor_tokens"), share.cast("long").alias("per_entry_cap"), "returned", "dropped", "deduped", "upgrades", *COUNTED, F.struct(*TIERS).alias("tier_counts"))
 
 
 def tier_costs(rows: DataFrame) -> DataFrame:

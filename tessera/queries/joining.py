@@ -6,6 +6,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.filters import ASSETS
 from ..functions.text import token_estimate
 from ..operators import joins as J
 from ..operators import sessions as Z
@@ -108,16 +109,20 @@ def _(t):
     return similar_drafts(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.4)
 
 
-@query("j14_link_graph", r"""WITH h AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hs FROM pages),
+#: Targets u of the anchors of pages, for DuckDB.
+LINKS = r"""WITH h AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hs FROM pages),
  e AS (SELECT page_id, url, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS i FROM h), c AS (SELECT page_id, url, i, regexp_replace(trim(h), '#.*$', '') AS h FROM e WHERE NOT regexp_matches(h, '(?i)^\s*(mailto|javascript|tel|data):')),
  a AS (SELECT page_id, i, CASE WHEN h = '' THEN NULL WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN h WHEN h LIKE '//%' THEN regexp_extract(url, '^([a-z]+:)', 1) || h WHEN h LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/]*)', 1) || h
-  ELSE CASE WHEN regexp_matches(url, '^[a-z]+://[^/]*$') THEN url || '/' ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') END || regexp_replace(h, '^(\./)+', '') END AS u FROM c)
- SELECT page_id, u AS to_url FROM a WHERE u IS NOT NULL GROUP BY ALL""")
+  ELSE CASE WHEN regexp_matches(url, '^[a-z]+://[^/]*$') THEN url || '/' ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') END || regexp_replace(h, '^(\./)+', '') END AS u FROM c)"""
+
+
+@query("j14_link_graph", f"{LINKS} SELECT page_id, u AS to_url FROM a WHERE u IS NOT NULL GROUP BY ALL")
 def _(t):
     return J.link_graph(t.pages).select("page_id", "to_url")
 
 
-@query("j14_crawl_frontier", None)
+@query("j14_crawl_frontier", rf"""{LINKS} SELECT DISTINCT u AS url, 1 AS depth FROM a WHERE regexp_matches(u, '^(?i:https?)://[^/?#]')
+ AND NOT regexp_matches(regexp_extract(u, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '{ASSETS}') AND u NOT IN (SELECT url FROM pages) ORDER BY url LIMIT 1000""")
 def _(t):
     return J.crawl_frontier(t.pages.select("url", F.lit(0).alias("depth")), J.link_graph(t.pages), 2, 1000)
 

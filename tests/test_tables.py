@@ -337,6 +337,7 @@ def test_fill_budget_like_brute_force(spark):
     for r in G.plan_stats(filled, 60).collect():
         state = brute_fill(requests[r.qid], 60)
         of = lambda s, state=state: sum(x == s for x, _ in state.values())
+        assert r.overview_upgrades + r.full_upgrades + r.spare_upgrades == r.upgrades and r.floor_tokens <= 60 and (r.upgrades > 0 or r.floor_tokens == r.used_tokens)
         assert (r.returned, r.dropped, r.deduped, r.per_entry_cap) == (of("placed"), of("dropped"), of("deduped"), max(1, 60 // len(state) * 2)) and r.used_tokens <= 60
 
 
