@@ -245,7 +245,21 @@ def _(t):
     return S.inventory(customer=t.customer, nation=t.nation).groupBy("kind", "marker").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x16_chunk_ranges", None)
+def _last(of: str, what: str, size: int) -> str:
+    """Place (from 0) of the last occurrence of `what`, whose characters are written backwards, in a text; null if none."""
+    return f"CASE WHEN strpos(reverse({of}), {what}) > 0 THEN len({of}) - strpos(reverse({of}), {what}) + 1 - {size} END"
+
+
+#: Cuts of texts into ranges of 1,000 characters, for DuckDB: the parts of a range in which headings, blank lines and
+#: line ends are looked for, the last of each, and where the range stops.
+CUTS = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ r(doc_id, range_no, start, stop) AS (SELECT doc_id, -1, 0, 0 FROM d
+  UNION ALL SELECT doc_id, range_no + 1, stop, CASE WHEN len(text) - stop <= 1000 THEN len(text) ELSE coalesce(greatest(h + 1, b + 2), CASE WHEN l IS NOT NULL THEN stop + 1 + l + 1 END, stop + 1000) END FROM
+   (SELECT *, stop + 500 + {_last("s1", "'#' || chr(10)", 2)} AS h, stop + 500 + {_last("s2", "chr(10) || chr(10)", 2)} AS b, {_last("s3", "chr(10)", 1)} AS l FROM
+    (SELECT r.*, text, substr(text, stop + 501, 500) AS s1, substr(text, stop + 501, 499) AS s2, substr(text, stop + 2, 999) AS s3 FROM r JOIN d USING (doc_id) WHERE range_no < 0 OR stop < len(text))))"""
+
+
+@query("x16_chunk_ranges", f"{CUTS} SELECT doc_id, range_no::BIGINT AS range_no, start::BIGINT AS start, stop::BIGINT AS stop FROM r WHERE range_no >= 0")
 def _(t):
     return chunk_ranges(t.documents, 1000).select("doc_id", "range_no", "start", "stop")
 
