@@ -104,7 +104,7 @@ ACCENTS = {"it": "[àèéìòù]", "fr": "[àâæçéèêëîïôœùûüÿ]", "
 #: Letters of scripts; `grammar` are the kana that Chinese doesn't borrow.
 LETTERS = {"zh": r"[\x{4E00}-\x{9FFF}]", "kana": r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}]", "ko": r"[\x{AC00}-\x{D7AF}]", "ru": r"[\x{0400}-\x{04FF}]", "ar": r"[\x{0600}-\x{06FF}]", "latin": r"[A-Za-z\x{00C0}-\x{024F}]"}
 GRAMMAR = r"[\x{3041}-\x{306D}\x{306F}-\x{3096}]"
-#: Uris and bare domains with a path, which don't count.
+#: Fixed value: uris and bare domains with a path, which don't count for the language.
 NOISE = r"\b(?:\w+://|(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}/)[^\s<>\])\"'`]+"
 
 
