@@ -84,7 +84,7 @@ def test_a_commit_held_back_goes_out_without_a_message(spark, tmp_path):
 
 def test_expiry_is_tried_again_with_backoff(spark, tmp_path):
     at = lambda m: DAY + timedelta(minutes=m)
-    batches = [[("a", at(0), at(10), "register"), ("b", at(0), at(10), "register"), ("c", at(0), at(10), "register")], [("z", at(11), at(999), "register")], [("z", at(11), at(999), "register")], [("b", at(11), None, "done"), ("z", at(11), at(999), "register")], [("z", at(90), at(999), "register")], [("z", at(91), at(999), "register")], [("z", at(92), at(999), "register")], [("z", at(93), at(999), "register")]]
+    batches = [[("a", at(0), at(10), "register"), ("b", at(0), at(10), "register"), ("c", at(0), at(10), "register")], [("z", at(11), at(999), "register")], [("z", at(11), at(999), "register")], [("b", at(11.5), None, "done"), ("z", at(11.5), at(999), "register")], [("z", at(90), at(999), "register")], [("z", at(91), at(999), "register")], [("z", at(92), at(999), "register")], [("z", at(93), at(999), "register")]]
     stream = in_order(spark, batches, "key string, ts timestamp, due timestamp, op string", tmp_path, "tries")
     got = run(S.expiry_stream(stream, most_attempts=3, backoff_seconds=120), "append", tmp_path, "tries_out").collect()
     start = int(at(10).timestamp() * 1000)
