@@ -134,5 +134,5 @@ def test_near_copies_leave_one_row_of_each_component(spark, sf):
 
 def test_queries_are_all_there():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "line_dedup", "ngram_jaccard_join", "best_fit_packing"]
