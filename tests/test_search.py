@@ -1,6 +1,7 @@
 """Hybrid search, sparse rows and the signature index against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,32 @@ def test_signature_index_with_filters_and_odd_rows(spark, tmp_path):
     assert I.search_index(spark, path, queries.limit(0), 10).count() == 0
     with pytest.raises(ValueError, match="bits"):
         I.build_index(vectors(spark, m), path, n_bits=40)
+
+
+def test_sparse_queries_beyond_a_broadcast_are_scanned_in_groups(spark, world):
+    """No join of terms, whose pairs grow with the product of both sides."""
+    _, _, postings, asked = world
+    corpus = spark.createDataFrame(postings, "id long, term string, w double")
+    queries = spark.createDataFrame(asked, "qid long, term string, w double")
+    rows = corpus.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
+    for found in (R.sparse_knn(rows, queries, 5, most_terms=3), R.sparse_knn(corpus, queries, 5, most_terms=3), R.sparse_l2(rows, queries, most_terms=3), R.sparse_l2(rows, queries, 5, most_terms=3)):
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tiles_bound_the_products_of_terms_that_many_queries_ask_for(monkeypatch):
+    rng = np.random.default_rng(2)
+    n, terms = 400, 30
+    entries = [(q, f"t{t:02}", 1.0 + q % 3) for q in range(n) for t in range(terms) if rng.random() < 0.5 or t == q % terms]
+    asked = R._Asked(pa.table(dict(zip(("qid", "term", "w"), map(list, zip(*entries)), strict=True))))
+    row, term = map(np.array, zip(*((r, t) for r in range(300) for t in range(terms) if rng.random() < 0.6)))
+    for weight in (rng.integers(1, 9, len(row)).astype(float), rng.random(len(row))):
+        dense, by_row = np.zeros((n, terms)), np.zeros((terms, 300))
+        dense[[e[0] for e in entries], [int(e[1][1:]) for e in entries]] = [e[2] for e in entries]
+        by_row[term, row] = weight
+        dense = dense[asked.qids.to_pylist()]
+        assert np.allclose(asked.scores(row, term, weight, 300), dense @ by_row, rtol=1e-12)
+        monkeypatch.setattr(R, "TILE", 20_000)
+        parts = list(asked.tiles(row, term, weight, 300, n))
+        single = np.where(asked.by_matrix(term, weight), 0, np.diff(asked.start)[term])
+        assert [lo for lo, _, _ in parts[1:]] == [hi for _, hi, _ in parts[:-1]] and parts[-1][1] == 300
+        assert max(single[at].sum() + (hi - lo) * n for lo, hi, at in parts) <= 2 * R.TILE
