@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegralType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -198,6 +201,73 @@ def _tried(fn: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame, attem
                 return None, f"{type(e).__name__}: {e}"[:1000]
 
 
+#: Rows of results that a task sends on at a time.
+OUT_ROWS = 10_000
+
+
+def _joined(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Small frames of the same columns and types put together; columns that they lack are null."""
+    held: dict = {}
+
+    def out(parts):
+        whole = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        return whole.assign(**{c: None for c in columns if c not in whole})[columns]
+
+    for f in frames:
+        parts = held.setdefault((tuple(f.columns), tuple(f.dtypes)), [])
+        parts.append(f)
+        if len(parts) >= OUT_ROWS or len(f) >= OUT_ROWS or len(parts) % 256 == 0 and sum(map(len, parts)) >= OUT_ROWS:
+            yield out(held.pop((tuple(f.columns), tuple(f.dtypes))))
+    yield from map(out, held.values())
+
+
+def _group_frames(frames: Iterator[tuple[np.ndarray, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    """The rows of each group, from frames with the ascending numbers of their rows' groups."""
+    held, last = [], None  # of the group that the frames end in so far
+    for group, f in frames:
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        for lo, hi in itertools.pairwise([0, *cuts, len(f)]):
+            if held and group[lo] != last:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+                held = []
+            held.append(f.iloc[lo:hi])
+            last = group[lo]
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+
+
+def _apply_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """As groupBy(keys).applyInPandas(fn, schema), but many small groups share a batch, in and out. Spark marks where a
+    group begins, so keys of any type will do, nulls among them. Whole numbers and booleans travel without nulls, which
+    would make floats or objects of a whole batch."""
+    own = Window.partitionBy(*keys).orderBy(F.lit(0))
+    strict = {f.name: "object" if isinstance(f.dataType, BooleanType) else "float64" for f in df.schema if isinstance(f.dataType, (BooleanType, IntegralType))}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small rows that take long aren't put together
+    marked = df.repartition(parts, *keys).select("*", (F.row_number().over(own) == 1).alias("_first"))
+    rows = marked.select(*(F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)).alias(c) if c in strict else F.col(c) for c in df.columns), "_first", *(F.isnull(c).alias(f"_null_{c}") for c in strict))
+    columns = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+
+    def run(frames):
+        def numbered():
+            started = 0
+            for f in (f for f in frames if len(f)):
+                group = started + f["_first"].to_numpy().cumsum()
+                started = group[-1]
+                yield group, f.drop(columns=["_first", *(f"_null_{c}" for c in strict if not f[f"_null_{c}"].any())])
+
+        def with_nulls(g: pd.DataFrame) -> pd.DataFrame:
+            for c, kind in strict.items():
+                if f"_null_{c}" in g:
+                    gone = g.pop(f"_null_{c}").eq(True).to_numpy()
+                    if gone.any():
+                        g[c] = g[c].astype(kind).mask(gone, None if kind == "object" else np.nan)
+            return g
+
+        yield from _joined((fn(with_nulls(g)) for g in _group_frames(numbered())), columns)
+
+    return rows.mapInPandas(run, schema)
+
+
 def reduce_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None, partial: str | None = None, most_rows: int = 100_000, attempts: int = 1) -> tuple[DataFrame, DataFrame]:
     """A user's function merges each group's rows into any number of rows (schema). A group for which it raises, at
     each of its attempts, gives no rows; it is a row of the second result (keys and error).
@@ -211,11 +281,12 @@ def reduce_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], p
     def guarded(step: Callable, out: list[str]):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             broken = rows["_error"].dropna() if "_error" in rows else ()
-            made, error = (None, broken.iloc[0]) if len(broken) else _tried(step, rows.drop(columns=[c for c in ("_error", "_part") if c in rows]), attempts)
+            given = rows.drop(columns=extra) if (extra := [c for c in ("_error", "_part") if c in rows]) else rows
+            made, error = (None, broken.iloc[0]) if len(broken) else _tried(step, given, attempts)
             if error is None and (lost := [c for c in out if c not in made]):
                 error = f"columns are missing: {lost}"
             if error is None:
-                return made[out].assign(_error=None, **{f"_key_{k}": None for k in keys})
+                return made[out]
             return pd.DataFrame({c: [None] for c in out} | {"_error": [error]} | {f"_key_{k}": [rows[k].iloc[0]] for k in keys})
 
         return run
@@ -232,9 +303,9 @@ def reduce_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], p
             own = [f.name for f in spark.createDataFrame([], partial).schema]
             if missing := [k for k in keys if k not in own]:
                 raise ValueError(f"partial rows lack keys: {missing}")
-            combined = parts.groupBy(*keys, "_part").applyInPandas(guarded(combine, own), f"{partial}, _error string, {key_types}")
+            combined = _apply_groups(parts, [*keys, "_part"], guarded(combine, own), f"{partial}, _error string, {key_types}")
             rows = staged(combined.select(*(F.coalesce(k, f"_key_{k}").alias(k) if k in keys else F.col(k) for k in own), "_error"))
-        done = staged(rows.groupBy(*keys).applyInPandas(guarded(fn, names), f"{schema}, _error string, {key_types}"), keep=True)
+        done = staged(_apply_groups(rows, keys, guarded(fn, names), f"{schema}, _error string, {key_types}"), keep=True)
     return done.where("_error IS NULL").select(*names), done.where("_error IS NOT NULL").select(*(F.col(f"_key_{k}").alias(k) for k in keys), F.col("_error").alias("error"))
 
 
@@ -252,21 +323,24 @@ def field_merge_agg(patches: DataFrame, key: str, ops: dict[str, str]) -> DataFr
 def corpus_build(docs: DataFrame, draft: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], target: DataFrame, read_set: DataFrame, most_chars: int = 8000, attempts: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Map (ranges of each text to drafts: path, content, source), group by path, reduce by a user's function (path,
     content, sources) and plan the publication. `draft` gets (doc_id, range_no, text) and runs once; where it raises for
-    a batch, ranges are tried one by one. The second result has the paths several sources went into, the third the
+    a batch, its halves are tried, down to single ranges. The second result has the paths several sources went into, the third the
     status of each source: failed (a range of it, or a group it went into, failed; none of such a group is published),
     unreferenced (nothing was made of it) or published."""
     parts = chunk_ranges(docs, most_chars).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "range_no", F.substr(F.coalesce("text", F.lit("")), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("text"))
     columns = ["path", "content", "source"]
 
+    def drafted(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        made, error = _tried(draft, b, 1 if len(b) > 1 else attempts)
+        if error is None:
+            yield made[columns]
+        elif len(b) == 1:
+            yield pd.DataFrame({"path": [None], "content": [None], "source": [str(b.doc_id.iloc[0])], "error": [error]})
+        else:
+            for half in (b.iloc[: len(b) // 2], b.iloc[len(b) // 2 :]):
+                yield from drafted(half.reset_index(drop=True))
+
     def run(batches):
-        for b in batches:
-            made, error = _tried(draft, b, 1)
-            if error is None:
-                yield made[columns].assign(error=None)
-                continue
-            for i in range(len(b)):
-                one, error = _tried(draft, b.iloc[i : i + 1].reset_index(drop=True), attempts)
-                yield one[columns].assign(error=None) if error is None else pd.DataFrame({"path": [None], "content": [None], "source": [str(b.doc_id.iloc[i])], "error": [error]})
+        yield from _joined((x for b in batches if len(b) for x in drafted(b)), [*columns, "error"])
 
     with Staging(docs.sparkSession) as staged:
         drafts = staged(parts.mapInPandas(run, "path string, content string, source string, error string"), keep=True)

@@ -352,3 +352,37 @@ def test_quantiles_are_exact(spark, values):
     df = spark.createDataFrame([(g, v) for g in ("a", "b") for v in values] + [("a", None)], "g string, v double")
     got = {(r.g, r.share): r.value for r in A.quantiles(df, "v", [0.0, 0.5, 0.99, 1.0], ("g",)).collect()}
     assert got == pytest.approx({(g, q): float(np.quantile(values, q)) for g in "ab" for q in (0.0, 0.5, 0.99, 1.0)} if values else {})
+
+
+def test_small_groups_share_batches_and_keep_their_types(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None if i % 50 == 0 else i % 50, big + i, None if i == 7 else i % 2 == 0, f"x{i}") for i in range(2000)], "k int, n long, b boolean, s string")
+
+    def fn(p):
+        if (p.k == 3).any():
+            raise ValueError("three")
+        assert list(p.columns) == ["k", "n", "b", "s"] and p.n.dtype == "int64" and list(p.index) == list(range(len(p)))
+        assert p.b.dtype == ("object" if p.b.isna().any() else "bool") and p.k.dtype == ("float64" if p.k.isna().any() else "int32")
+        return pd.DataFrame({"n": [p.n.max()], "c": [len(p)]})
+
+    done, failed = G.reduce_groups(df, ["k"], fn, "n long, c long")
+    assert rows(failed, "k", "error") == [(3, "ValueError: three")]
+    assert sorted(r.n for r in done.collect()) == sorted(big + 1950 + i for i in range(50) if i != 3) and {r.c for r in done.collect()} == {40}
+    frames = list(G._joined((pd.DataFrame({"a": [i]}) if i % 9 else pd.DataFrame({"a": [None], "e": ["x"]}) for i in range(1000)), ["a", "e"]))
+    assert len(frames) == 2 and sum(map(len, frames)) == 1000
+
+
+def test_failing_ranges_are_found_by_halves(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(1, 65)], "doc_id long, text string").coalesce(1)
+    none = spark.createDataFrame([], "path string, content string, sha string")
+    counted = spark.sparkContext.accumulator(0)
+
+    def draft(p):
+        counted.add(1)
+        if (p.doc_id == 37).any():
+            raise ValueError("unreadable")
+        return pd.DataFrame({"path": p.doc_id.astype(str), "content": p.text, "source": p.doc_id.astype(str)})
+
+    status = G.corpus_build(df, draft, lambda p: p[["path", "content"]], none.select("path", "content"), none.select("path", "sha"))[2]
+    assert {r.source for r in status.where("status = 'failed'").collect()} == {"37"} and status.where("status = 'published'").count() == 63
+    assert counted.value <= 40  # one by one: 64 and more
