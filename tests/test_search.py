@@ -178,3 +178,19 @@ def test_tiles_bound_the_products_of_terms_that_many_queries_ask_for(monkeypatch
         single = np.where(asked.by_matrix(term, weight), 0, np.diff(asked.start)[term])
         assert [lo for lo, _, _ in parts[1:]] == [hi for _, hi, _ in parts[:-1]] and parts[-1][1] == 300
         assert max(single[at].sum() + (hi - lo) * n for lo, hi, at in parts) <= 2 * R.TILE
+
+
+def test_approximate_search_shuffles_only_the_best_of_a_partition(spark, monkeypatch):
+    m, rng = clustered(1500)
+    corpus, queries = vectors(spark, m).repartition(3), vectors(spark, m[:60] + rng.normal(size=(60, 24)) * 0.05).withColumnRenamed("id", "qid")
+    plain = lambda df: sorted((r.qid, r.id, r["rank"], round(r.score, 9)) for r in df.collect())
+    found = R.knn_approx(corpus, queries, 10, n_lists=30, n_probe=30)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert plain(found) == plain(R.knn(corpus, queries, 10))  # all lists
+    few = plain(R.knn_approx(corpus, queries, 10, n_lists=30, n_probe=2))
+    centroids = R.fit_centroids(R._sample(corpus), 30)
+    own, q = (unit(m) @ centroids.T).argmax(1), unit(np.array([r.vector for r in queries.orderBy("qid").collect()]))
+    scores = np.where((np.argsort(np.argsort(-(q @ centroids.T), axis=1), axis=1) < 2)[:, own], q @ unit(m).T, -np.inf)
+    assert {(a, b) for a, b, *_ in few} == {(i, int(j)) for i in range(60) for j in np.argsort(-scores[i], kind="stable")[:10] if scores[i, j] > -np.inf}
+    monkeypatch.setattr(R, "MOST_BROADCAST", 300)
+    assert plain(R.knn_approx(corpus, queries, 10, n_lists=30, n_probe=2)) == few
