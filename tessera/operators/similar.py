@@ -10,6 +10,7 @@ pivot are near each other for certain and need no comparison.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,14 @@ def filed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.select("id", F.col("vector").cast("array<double>")).mapInArrow(run, StructType([vectors.schema["id"], StructField("vector", ArrayType(DoubleType())), StructField("own", IntegerType()), StructField("far", DoubleType())]))
 
 
+def _copies(b: pa.RecordBatch, at: np.ndarray, cell: np.ndarray, block: np.ndarray, probe: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows `at` of b with where they go, `most` at a time."""
+    for lo in range(0, len(at), most):
+        part = slice(lo, lo + most)
+        own = pa.array(at[part])
+        yield pa.RecordBatch.from_arrays([pa.array(cell[part].astype(np.int32)), pa.array(block[part].astype(np.int32)), pa.array(probe[part]), b.column("id").take(own), b.column("vector").take(own)], names=["cell", "block", "probe", "id", "vector"])
+
+
 def dealt(rows: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
     """(cell, block, probe, id, vector): each row of filed() as a member of a block of its cell, and as one that streams
     past (probe) the blocks before its own and the blocks of cells of smaller number that it may have neighbours in."""
@@ -105,7 +114,7 @@ def dealt(rows: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
     def run(batches):
         pivots, radius, blocks = shared.value
         for whole in batches:
-            step = max(1, TILE // len(pivots))
+            step = max(1, TILE // max(len(pivots), blocks.sum()))  # a row may go to each block
             for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 own, far = b.column("own").to_numpy(), b.column("far").to_numpy()
                 angles = _angles(_matrix(b.column("vector"), "cosine"), pivots)
@@ -118,8 +127,7 @@ def dealt(rows: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
                     cell.append(np.repeat(cells_of, n))
                     block.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                     probe.append(np.ones(n.sum(), bool))
-                at = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(probe)), b.column("id").take(at), b.column("vector").take(at)], names=["cell", "block", "probe", "id", "vector"])
+                yield from _copies(b, *(np.concatenate(x) for x in (at, cell, block, probe)), max(1, TILE // pivots.shape[1]))
 
     return hashed.mapInArrow(run, StructType([StructField("cell", IntegerType()), StructField("block", IntegerType()), StructField("probe", BooleanType()), rows.schema["id"], rows.schema["vector"]]))
 

@@ -3,6 +3,7 @@ from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +387,13 @@ def test_failing_ranges_are_found_by_halves(spark):
     status = G.corpus_build(df, draft, lambda p: p[["path", "content"]], none.select("path", "content"), none.select("path", "sha"))[2]
     assert {r.source for r in status.where("status = 'failed'").collect()} == {"37"} and status.where("status = 'published'").count() == 63
     assert counted.value <= 40  # one by one: 64 and more
+
+
+def test_copies_for_near_cells_are_sent_in_bounded_batches():
+    """Without pruning each row goes to half of all blocks; a task holds so many copies only."""
+    b = pa.RecordBatch.from_pydict({"id": list(range(20)), "vector": [[float(i)] for i in range(20)]})
+    at, to = np.repeat(np.arange(20), 30), np.tile(np.arange(30), 20)
+    parts = [*K._copies(b, at, to, to, to > 0, 64)]
+    assert max(p.num_rows for p in parts) == 64
+    whole = pa.Table.from_batches(parts)
+    assert whole["id"].to_pylist() == at.tolist() and whole["cell"].to_pylist() == to.tolist() and whole["vector"].to_pylist() == [[float(i)] for i in at]
