@@ -46,6 +46,23 @@ def brute_hybrid(world, k, alpha):
     return out
 
 
+def test_rows_that_cannot_reach_the_best_are_not_scored(monkeypatch):
+    """Of 2,000 rows of one word beside 20 of many words, most are never scored, and nothing is lost, ties included."""
+    monkeypatch.setattr(R, "TILE", 400)
+    rng = np.random.default_rng(3)
+    asked = R._Asked(pa.table({"qid": [q for q in range(10) for _ in range(30)], "term": [f"t{t:02}" for _ in range(10) for t in range(30)], "w": [1.0] * 300}))
+    n = rng.permutation(np.r_[np.full(20, 25), np.ones(2000, int)])
+    row, term = np.repeat(np.arange(2020), n), np.concatenate([rng.choice(30, i, replace=False) for i in n])
+    weight, scored, scores = rng.integers(1, 3, len(row)).astype(float), [], R._Asked.scores
+    monkeypatch.setattr(R._Asked, "scores", lambda self, *a: scored.append(a[-1]) or scores(self, *a))
+    floor = np.full(10, -np.inf)
+    found = R._best_of(asked.best(pa.array(range(2020)), row, term, weight, 5, floor), 5, floor)
+    total = np.bincount(row, weights=weight)
+    best = sorted(range(2020), key=lambda i: (-total[i], i))[:5]
+    assert found["id"].to_pylist() == best * 10 and found["score"].to_pylist() == [*total[best]] * 10
+    assert sum(scored) < 100
+
+
 @pytest.mark.parametrize(("most", "form"), [(R.MOST_BROADCAST, "postings"), (20, "postings"), (R.MOST_BROADCAST, "rows"), (20, "rows")])
 def test_hybrid_loses_no_row(spark, world, most, form, monkeypatch):
     monkeypatch.setattr(R, "TILE", 500)
