@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .windows import pack_batches
 
+#: Characters of texts that are cut at a time; one text may have more.
+MOST_CHARS = 1_000_000
+
 RANGES = "range_no long, start long, stop long, continued boolean, continues boolean, context string"
 
 
@@ -39,16 +47,28 @@ def ranges(text: str, most: int) -> list[tuple[int, int, bool, bool, str]]:
         start, cut_inside = stop, inside
 
 
+def _pieces(batches):
+    """Columns of (key, text) as lists, for texts of about MOST_CHARS characters at a time; null texts are empty."""
+    for b in batches:
+        texts = pc.fill_null(b.column(1), "")
+        part = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // MOST_CHARS
+        for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]):
+            if hi > lo:
+                yield b.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo).to_pylist()
+
+
 def chunk_ranges(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     """The ranges of each text (null counts as empty): key, range_no, start, stop, continued, continues, context."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for pdf in batches:
-            rows = [(k, i, *r) for k, t in zip(pdf[key], pdf.text) for i, r in enumerate(ranges(t or "", most))]
-            yield pd.DataFrame(rows, columns=[key, "range_no", "start", "stop", "continued", "continues", "context"])
+        for keys, texts in _pieces(batches):
+            rows = [(j, i, *r) for j, t in enumerate(texts) for i, r in enumerate(ranges(t, most))]
+            own, number, start, stop, continued, continues, context = zip(*rows)
+            columns = [keys.take(pa.array(own)), pa.array(number, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(continued), pa.array(continues), pa.array(context, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "range_no", "start", "stop", "continued", "continues", "context"])
 
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, {RANGES}")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, {RANGES}")
 
 
 def sections(text: str, most: int) -> list[str]:

@@ -397,3 +397,14 @@ def test_copies_for_near_cells_are_sent_in_bounded_batches():
     assert max(p.num_rows for p in parts) == 64
     whole = pa.Table.from_batches(parts)
     assert whole["id"].to_pylist() == at.tolist() and whole["cell"].to_pylist() == to.tolist() and whole["vector"].to_pylist() == [[float(i)] for i in at]
+
+
+def test_ranges_of_few_texts_at_a_time(spark, monkeypatch):
+    """Texts of a batch are cut some at a time; none is lost, nulls and long ones included."""
+    texts = ["a" * 30, None, "", "# x\n" + "b c\n" * 40, "é" * 7]
+    pieces = [t for _, t in C._pieces([pa.record_batch({"k": range(5), "text": texts})])]
+    monkeypatch.setattr(C, "MOST_CHARS", 20)
+    few = [t for _, t in C._pieces([pa.record_batch({"k": range(5), "text": texts})])]
+    assert pieces == [[t or "" for t in texts]] and len(few) > 2 and sum(few, []) == pieces[0]
+    found = C.chunk_ranges(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 25)
+    assert sorted(map(tuple, found.collect())) == sorted((i, n, *r) for i, t in enumerate(texts) for n, r in enumerate(C.ranges(t or "", 25)))
