@@ -120,8 +120,8 @@ class Appends:
         if not intent or landed != intent["rows"]:  # it didn't land, or in part
             with Staging(self.spark) as staged:
                 new = staged(self.hashed(df.dropDuplicates([*self.keys])))
-                for block, batch in self.candidates(new):
-                    old = self.spark.read.schema(df.select(*self.keys).schema).parquet(f"{self.path}/batch={batch}/block={block}")
+                if there := self.candidates(new):  # one join for all of them: each would hold memory of its own in the same task
+                    old = self.spark.read.schema(df.select(*self.keys).schema).parquet(*(f"{self.path}/batch={batch}/block={block}" for block, batch in there))
                     same = functools.reduce(operator.and_, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in self.keys))
                     new = new.alias("a").join(old.alias("b"), same, "left_anti")
                 new = staged(new)

@@ -132,3 +132,15 @@ def test_turns_become_records_once(spark, tmp_path, monkeypatch):
     assert sorted((r.session_id, r.pos) for r in tables.pending().collect()) == [("a", 6), ("c", 0)]
     batch = Z.extraction_batches(Z.turns(spark.createDataFrame([("a", p, "user" if p % 2 == 0 else "assistant", False, 10) for p in range(6)], "conv_id string, pos long, role string, is_tool boolean, tokens long")), 50, 4)
     assert sorted((r.pos, r.batch) for r in batch.collect()) == [(0, 0), (2, 0), (4, 1)]
+
+
+def test_append_joins_all_blocks_at_once(spark, tmp_path, monkeypatch):
+    """Old rows of all batches and blocks that may have a key meet new ones in one join, not one for each."""
+    rows = lambda a, b: spark.range(a, b).select((F.col("id") % 40).alias("s"), "id")
+    log, calls = ST.Appends(spark, f"{tmp_path}/once", ("s", "id")), []
+    assert (log.append(rows(0, 200), "a"), log.append(rows(100, 300), "b")) == (200, 100)
+    kind = type(rows(0, 1))
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, *a: calls.append(a) or join(self, *a))
+    assert log.append(rows(50, 400), "c") == 100 and len(calls) == 1
+    assert sorted(r.id for r in log.read(rows(0, 1).schema).collect()) == [*range(400)]
