@@ -211,3 +211,30 @@ def test_approximate_search_shuffles_only_the_best_of_a_partition(spark, monkeyp
     assert {(a, b) for a, b, *_ in few} == {(i, int(j)) for i in range(60) for j in np.argsort(-scores[i], kind="stable")[:10] if scores[i, j] > -np.inf}
     monkeypatch.setattr(R, "MOST_BROADCAST", 300)
     assert plain(R.knn_approx(corpus, queries, 10, n_lists=30, n_probe=2)) == few
+
+
+@pytest.mark.parametrize("most", [R.MOST_KEPT, 2])
+def test_texts_are_counted_in_the_worker_that_scores_them(spark, most, monkeypatch):
+    """Texts find what their postings find, in one Python step for each group of queries, whose kept rows are bounded."""
+    monkeypatch.setattr(R, "MOST_KEPT", most)
+    texts = spark.createDataFrame([(1, "a b, B"), (2, None), (3, "c a!"), (4, ""), (5, "d d b"), (6, "z z a b c")], "id long, text string")
+    asked = spark.createDataFrame([(8, "a", 1.0), (8, "b", 2.0), (9, "c", 1.0), (7, "d", 0.5), (7, "a", 1.0)], "qid long, term string, w double")
+    postings = texts.select("id", F.explode(R.tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    found = R.sparse_knn(texts, asked, 2)
+    assert rows(found) == rows(R.sparse_knn(postings, asked, 2)) and len(rows(found)) == 6
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == (1 if most > 2 else 3)
+    for k in (None, 2):
+        assert rows(R.sparse_l2(texts, asked, k)) == rows(R.sparse_l2(postings, asked, k))
+    m = vectors(spark, [[1.0, 0.0], [0.5, 1.0], [0.0, 1.0]])
+    assert rows(R.hybrid_knn(m, m.withColumnRenamed("id", "qid"), texts, asked, 2)) == rows(R.hybrid_knn(m, m.withColumnRenamed("id", "qid"), postings, asked, 2))
+
+
+def test_kept_rows_are_not_sorted_for_a_few_new_ones(monkeypatch):
+    """A hundred tables of one row beside 1,000 kept ones are one more merge, and the best are the same."""
+    rng, merges, concat = np.random.default_rng(2), [], pa.concat_tables
+    tables = [pa.table({"q": pa.array(np.repeat(np.arange(100), n)), "id": pa.array(rng.permutation(100 * n) + 10_000 * i), "score": pa.array(rng.random(100 * n))}) if n > 1 else pa.table({"q": [i], "id": [i], "score": [0.99]}) for i, n in enumerate([10] + [1] * 99)]
+    monkeypatch.setattr(pa, "concat_tables", lambda ts: merges.append(len(ts)) or concat(ts))
+    found = R._best_of(iter(tables), 10).to_pylist()
+    every = sorted((r for t in tables for r in t.to_pylist()), key=lambda r: (r["q"], -r["score"], r["id"]))
+    assert found == [r for q in range(100) for r in [x for x in every if x["q"] == q][:10]] and len(merges) == 2
