@@ -270,8 +270,8 @@ def _(t):
     """Events by user in batches of eight, as far as they fill one."""
     path, out, check = (fresh_path(t.spark) for _ in range(3))
     rows = t.events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("item"))
-    rows.coalesce(1).write.parquet(path)
-    own = t.spark.newSession()  # timers need another state store than the default one
+    rows.write.parquet(path)
+    own = t.spark.newSession()  # state is held outside the heap
     own.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     stream = S.microbatch(own.readStream.schema(rows.schema).parquet(path), 8, 10**8)
     stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()

@@ -9,51 +9,47 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.aggregates import HOURLY
 
 
-class CountOrAge(StatefulProcessor):
-    """Buffers rows (key, ts, item) of a key; a batch goes out at `most` rows or when its oldest is `age` old."""
-
-    def __init__(self, most: int, age_ms: int):
-        self.most, self.age_ms = most, age_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.items = handle.getListState("items", "item string, ts timestamp")
-
-    def _flush(self, key, why: str) -> Iterator[pd.DataFrame]:
-        rows = [*self.items.get()]
-        self.items.clear()
-        for t in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(t)
-        if rows:
-            yield pd.DataFrame({"key": [key], "items": [[r[0] for r in rows]], "why": [why]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = len([*self.items.get()])
-        for pdf in rows:
-            for item, ts in zip(pdf["item"], pdf["ts"]):
-                if not held:
-                    self.handle.registerTimer(int(ts.timestamp() * 1000) + self.age_ms)
-                self.items.appendValue((item, ts.to_pydatetime()))
-                held += 1
-                if held >= self.most:
-                    yield from self._flush(key[0], "count")
-                    held = 0
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._flush(key[0], "age")
-
-    def close(self) -> None:
-        pass
+def count_or_age(most: int, age_ms: int) -> Callable[..., Iterator[pd.DataFrame]]:
+    """Buffers rows (item, ms) of a key; a batch goes out at `most` rows or when its oldest is `age_ms` old. A key's state
+    comes and goes with its rows, once for each micro-batch."""
+
+    def run(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
+        items, due, out = [], None, []
+        if state.exists:
+            items, due = [*state.get[0]], state.get[1]
+        for pdf in () if state.hasTimedOut else rows:
+            for item, ms in zip(pdf["item"], pdf["ms"]):
+                items.append(item)
+                if ms == ms:  # a row without a time doesn't age
+                    due = int(ms) + age_ms if due is None else min(due, int(ms) + age_ms)
+                if len(items) >= most:
+                    out.append((items, "count"))
+                    items, due = [], None
+        if items and (state.hasTimedOut or due is not None and due <= state.getCurrentWatermarkMs()):
+            out.append((items, "age"))
+            items = []
+        if items:
+            state.update((items, due))
+            if due is not None:
+                state.setTimeoutTimestamp(due)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"key": key[0], "items": [i for i, _ in out], "why": [w for _, w in out]})
+
+    return run
 
 
 def microbatch(stream: DataFrame, most: int = 8, age_seconds: int = 10, delay: str = "0 seconds") -> DataFrame:
     """Batches (key, items, why) of a stream (key, ts, item)."""
-    return stream.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(CountOrAge(most, age_seconds * 1000), "key string, items array<string>, why string", "append", "eventTime")
+    rows = stream.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")).groupBy("key")
+    return rows.applyInPandasWithState(count_or_age(most, age_seconds * 1000), "key string, items array<string>, why string", "items array<string>, due long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def usage_rollup_stream(events: DataFrame, grain: str = "1 hour", delay: str = "10 minutes", keys: tuple[str, ...] = HOURLY) -> DataFrame:

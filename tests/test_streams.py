@@ -114,3 +114,19 @@ def test_sinks_and_sources(spark, usage, tmp_path):
     logs.mkdir()
     (logs / "a.jsonl").write_text('{"role":"user","session_id":"s","content":"hi","created_at":"2026-01-01T00:00:00Z"}\n{nope\n')
     assert run(stream_turn_logs(spark, str(logs), "flat"), "append", tmp_path, "turns").count() == 1
+
+
+def test_microbatch_ages_by_its_oldest_row(spark, tmp_path):
+    """Rows that come out of order go out by the oldest one's age; state is handed over once a key, not row by row."""
+    at = lambda s: DAY + timedelta(seconds=s)
+    stream = in_order(spark, [[("k", at(20), "a"), ("k", at(0), "b")], [("z", at(40), "c")]], "key string, ts timestamp, item string", tmp_path, "aged")
+    df = S.microbatch(stream, most=3, age_seconds=30)
+    assert "FlatMapGroupsInPandasWithState" in df._jdf.queryExecution().logical().toString()
+    assert [(r.key, sorted(r["items"]), r.why) for r in run(df, "append", tmp_path, "aged_out").collect()] == [("k", ["a", "b"], "age")]
+
+
+def test_microbatches_of_many_keys_keep_what_is_left_over(spark, tmp_path):
+    """Rows that don't fill a batch wait in the state for the next micro-batch."""
+    rows = lambda n: [(f"k{k}", DAY + timedelta(days=n, seconds=i), f"{n}-{i}") for k in range(50) for i in range(5)]
+    got = run(S.microbatch(in_order(spark, [rows(0), rows(1)], "key string, ts timestamp, item string", tmp_path, "many"), most=4, age_seconds=10**8), "append", tmp_path, "many_out").collect()
+    assert sorted((r.key, len(r["items"]), r.why) for r in got) == sorted((f"k{k}", 4, "count") for k in range(50) for _ in range(2))
