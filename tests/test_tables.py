@@ -408,3 +408,18 @@ def test_ranges_of_few_texts_at_a_time(spark, monkeypatch):
     assert pieces == [[t or "" for t in texts]] and len(few) > 2 and sum(few, []) == pieces[0]
     found = C.chunk_ranges(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 25)
     assert sorted(map(tuple, found.collect())) == sorted((i, n, *r) for i, t in enumerate(texts) for n, r in enumerate(C.ranges(t or "", 25)))
+
+
+def test_tokens_of_rows_are_counted_without_a_shuffle(spark, monkeypatch):
+    """Rows of their own key aren't shuffled; those that share one are pooled; null and empty texts count nothing."""
+    from tessera.operators import evaluation as E
+
+    monkeypatch.setattr(E, "MOST_CHARS", 30)
+    rows = [(1, "The cat, the cat sat!", "cat sat sat"), (2, None, "x"), (3, "", ""), (4, "a an", None), (5, "x " * 40, "x y"), (None, "x", "x")]
+    once = spark.createDataFrame(rows, "id long, p string, t string")
+    expected = {1: 2 * 2 / 6, 2: 0.0, 3: 0.0, 4: 0.0, 5: 2 / 42, None: 0.0}
+    found = E.token_f1(once, "id", "p", "t")
+    assert dict(map(tuple, found.collect())) == pytest.approx(expected) and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    twice = once.unionByName(spark.createDataFrame([(1, "sat", "dog"), (7, "u v", "v")], once.schema))
+    pooled = sorted(map(tuple, E.token_f1(twice, "id", "p", "t").where("id IS NOT NULL").collect()))
+    assert pooled == [pytest.approx(x) for x in [(1, 2 * 3 / 8), (1, 2 * 3 / 8), (2, 0.0), (3, 0.0), (4, 0.0), (5, 2 / 42), (7, 2 / 3)]]
