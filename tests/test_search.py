@@ -238,3 +238,18 @@ def test_kept_rows_are_not_sorted_for_a_few_new_ones(monkeypatch):
     found = R._best_of(iter(tables), 10).to_pylist()
     every = sorted((r for t in tables for r in t.to_pylist()), key=lambda r: (r["q"], -r["score"], r["id"]))
     assert found == [r for q in range(100) for r in [x for x in every if x["q"] == q][:10]] and len(merges) == 2
+
+
+def test_scores_of_a_slice_take_bounded_memory():
+    """500 queries against 4,000 rows whose words many of them ask for: the arrays of a tile stay under 50 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    asked = R._Asked(pa.table({"qid": np.repeat(np.arange(500), 40), "term": [f"t{t:03}" for _ in range(500) for t in rng.choice(400, 40, replace=False)], "w": rng.random(20_000)}))
+    row, term = np.repeat(np.arange(4000), 50), np.concatenate([rng.choice(400, 50, replace=False) for _ in range(4000)])
+    weight, floor = rng.random(len(row)), np.full(500, -np.inf)
+    tracemalloc.start()
+    found = R._best_of(asked.best(pa.array(np.arange(4000)), row, term, weight, 10, floor), 10, floor)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 5000 and peak < 50e6
