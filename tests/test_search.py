@@ -253,3 +253,14 @@ def test_scores_of_a_slice_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 5000 and peak < 50e6
+
+
+@pytest.mark.parametrize("most", [R.MOST_TERMS, 3])
+def test_pairs_of_sparse_distances_are_neither_shuffled_nor_staged(spark, most):
+    """Texts are read, scored and sent on, also for several groups of queries, so that disk doesn't grow with the pairs."""
+    texts = spark.createDataFrame([(1, "a b, B"), (2, None), (3, "c a!"), (5, "d d b")], "id long, text string")
+    asked = spark.createDataFrame([(8, "a", 1.0), (8, "b", 2.0), (9, "c", 1.0), (7, "d", 0.5), (7, "a", 1.0)], "qid long, term string, w double")
+    found = R.sparse_l2(texts, asked, most_terms=most)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "parquet" not in plan and plan.count("MapInArrow") == (1 if most > 3 else 2)
+    assert sorted((r.qid, r.id, r.distance2) for r in found.collect()) == [(7, 1, 4.25), (7, 3, 1.25), (7, 5, 4.25), (8, 1, 0.0), (8, 3, 5.0), (8, 5, 6.0), (9, 3, 1.0)]
