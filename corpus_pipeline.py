@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over `documents`, each of which calls one operator of tessera.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. `run`
-writes each stage's rows to the shared folder and reads them again as the next one's docs. Null and empty texts,
+writes each stage's rows to the shared folder and reads them again as the next one's docs; what came before is deleted. Null and empty texts,
 repeated rows and empty tables are handled as the operators say; further columns of docs are carried through.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, line_dedup, packing, quality_classifier, quality_rules
-from tessera.llm.common import SPACE_CHARS, crc_mod, stage, table
+from tessera.llm.common import SPACE_CHARS, crc_mod, discard, scratch, stage, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch() as made:
+            before, docs = docs, stage(step(spark, docs, sf_dir), name)
+            made.pop()  # all else was only on the way to it
+        discard(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)  # its pieces are written
+    return out
 
 
 QUERIES = {"pipeline": run}

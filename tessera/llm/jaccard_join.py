@@ -1,9 +1,11 @@
 """Operator 2: Jaccard join on word n-grams by a grouped prefix join.
 
 A document's set holds hashes (64 bits) of its n-word shingles, A-Z in lower case. Sets are ordered by how rare a
-shingle's rarest word is, so that two sets can only be similar if they share one of their first n - ceil(tn) + 1
-members, their prefixes. Word counts come from a sketch of SKETCH cells over all documents, so what is sent to the
-tasks has a fixed size; any order gives the same result.
+shingle is, then by how rare its rarest word is, so that two sets can only be similar if they share one of their first
+n - ceil(tn) + 1 members, their prefixes. Counts come from sketches over all documents: SKETCH cells of words, and of
+OFTEN cells of shingles those that stand out in a task. So what is sent to the tasks has a fixed size; any order gives the
+same result. Shingles of a passage that a share of all documents quotes come last, so that such documents, whose number
+grows with the table, meet in lists only where little else is in them.
 
 1. Equal sets become one node. Nodes with the same prefix and size collapse into one group, for which one of its nodes
    stands. Only groups are listed by prefix members; a member that a single group has makes no list.
@@ -12,9 +14,9 @@ tasks has a fixed size; any order gives the same result.
 3. Links found so far give components. Lists whose nodes are in several components need more: pairs of their groups are
    filtered by size and position, then expanded to pairs of nodes of different components, and those that the bitmaps
    leave are verified on their whole sets. Short lists are joined to themselves; long ones are cut into blocks, and a
-   pair of blocks is one unit of work, so no list is gathered whole, and there each pair is looked at in one list only,
-   that of the first prefix member both have. So a family of copies costs a few links a copy, not one a pair, and no
-   link between components is lost.
+   pair of blocks is one unit of work, so no list is gathered whole. To that only numbers are sent. Pairs of a family are
+   many, so each is looked at in one unit of those that found it, and bitmaps and sets are sent to each unit once. So a
+   family of copies costs a few links a copy, not one a pair, and no link between components is lost.
 
 Bounds: 100 |A and B| >= t |A or B| asks for overlap >= t / (100 + t) of the sizes' sum. After a match at positions i and j
 with none before, overlap <= min(|A| - i, |B| - j). A bitmap sets a bit for each member's hash, so the number of
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +44,11 @@ from .common import discard, stage
 from .components import components
 
 SKETCH = 1 << 16
-#: Lists of up to SHORT nodes are joined to themselves; longer ones are cut into blocks of about BLOCK nodes.
-SHORT, BLOCK = 32, 128
+#: Cells of shingles, and of these the ones that a task reports at most.
+OFTEN, MOST_OFTEN = 1 << 20, 1 << 16
+#: Lists of up to SHORT nodes are joined to themselves; longer ones are cut into blocks of about BLOCK nodes, and of about
+#: BLOCK_WORDS members of their sets.
+SHORT, BLOCK, BLOCK_WORDS = 32, 512, 1 << 20
 #: Different centres that lists with the same groups take.
 CENTRES = 2
 #: Nodes, of 32 bytes each, whose texts are found by a broadcast join; more are shuffled.
@@ -114,21 +120,30 @@ def needed(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words by cell of their hash."""
+def standing_out(counts: np.ndarray) -> np.ndarray:
+    """Cells, MOST_OFTEN at most, with far more than the mean count, as shingles of one document each hardly make together."""
+    mean = counts.mean()
+    at = np.flatnonzero(counts > mean + 6 * mean**0.5 + 8)
+    return at if len(at) <= MOST_OFTEN else at[np.argsort(-counts[at], kind="stable")[:MOST_OFTEN]]
+
+
+def frequencies(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of words by cell of their hash, and of shingles by cell where they stand out, else 0."""
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.int64)
+        words, often = np.zeros(SKETCH, np.int64), np.zeros(OFTEN, np.int32)
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()):
-                counts += np.bincount((word_hashes(t.as_py()) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
+                h = word_hashes(t.as_py())
+                words += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                np.add.at(often, (shingles(h, n) % np.uint64(OFTEN)).astype(np.int64), 1)
+        at, more = np.flatnonzero(words), standing_out(often)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, SKETCH + more)), pa.array(np.append(words[at], often[more]))], names=["cell", "n"])
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SKETCH, np.int64)
+    out = np.zeros(SKETCH + OFTEN, np.int64)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
+    return out[:SKETCH], out[SKETCH:]
 
 
 def _tied(docs: DataFrame) -> DataFrame:
@@ -139,20 +154,22 @@ def _tied(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, tie (hash of the text), size n, node (hash of the set; null without words), grp (hash of prefix and
     size), prefix and bitmap of each document. Both hashes have 128 bits."""
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(docs))
+    counts = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n))
 
     def one(text: bytes | None):
         h = word_hashes(text)
         if not len(h):
             return 0, None, None, [], b""
-        rare = counts.value[(h % np.uint64(SKETCH)).astype(np.int64)]
+        words, often = counts.value
+        rare = words[(h % np.uint64(SKETCH)).astype(np.int64)]
         k = min(n, len(h))
         weight = rare[: len(h) - k + 1]
         for i in range(1, k):
             weight = np.minimum(weight, rare[i : len(h) - k + 1 + i])
         found, at = np.unique(shingles(h, n), return_index=True)
         size = len(found)
-        prefix = found[np.lexsort((found, weight[at]))[: size - -(-percent * size // 100) + 1]]
+        order = np.lexsort((found, weight[at], often[(found % np.uint64(OFTEN)).astype(np.int64)]))
+        prefix = found[order[: size - -(-percent * size // 100) + 1]]
         return size, xxhash.xxh3_128_digest(found), xxhash.xxh3_128_digest(prefix, seed=size), prefix.view(np.int64), bitmap(found).tobytes()
 
     def run(batches):
@@ -203,20 +220,24 @@ def star_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def rest_pairs(rows: DataFrame, members: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that the bounds leave, from lists with several components, written down. A
-    group is also a list of its own."""
+    """Pairs (unit, a, b) of nodes of different components that the bounds leave, from lists with several components, written
+    down; each in one of the units of work that found it. A group is also a list of its own."""
     light = stage(members.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "g", F.coalesce("component", "id").alias("comp")), "light")
     ends = light.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"))
     ended = stage(rows.join(ends, "g"), "ended")
-    open_ = ended.groupBy("key").agg(F.sum("size").alias("total"), F.min("c0").alias("least"), F.max("c1").alias("most")).where("total > 2 AND least < most").select("key", "total")
+    sums = [F.sum("size").alias("total"), F.sum(F.col("n") * F.col("size")).alias("words"), F.min("c0").alias("least"), F.max("c1").alias("most")]
+    open_ = ended.groupBy("key").agg(*sums).where("total > 2 AND least < most").select("key", "total", "words")
     left = stage(ended.join(open_, "key"), "open")
     discard(ended)
-    own = ends.where("size > 2 AND c0 < c1").select(F.xxhash64("g").alias("key"), "g", F.lit(-1).cast("long").alias("pos"), F.col("size").alias("total"))
-    long = left.where(F.col("total") > SHORT).select("key", "g", "pos", "total").unionByName(own)
-    short = _bounded(_short_pairs(left.where(F.col("total") <= SHORT), light, percent), nodes, percent)
-    pairs = stage(short.unionByName(_long_pairs(long, light, nodes, percent)).distinct(), "pairs")
+    own = ends.where("size > 2 AND c0 < c1").join(nodes.select(F.col("id").alias("g"), "n"), "g").select(F.xxhash64("g").alias("key"), "g", "n", F.lit(-1).cast("long").alias("pos"), F.col("size").alias("total"), (F.col("n") * F.col("size")).alias("words"))
+    long = left.where(F.col("total") > SHORT).select(*own.columns).unionByName(own)
+    both = _short_pairs(left.where(F.col("total") <= SHORT), light, percent).unionByName(_long_pairs(long, light, percent))
+    pairs = stage(both.groupBy("a", "b").agg(F.min("unit").alias("unit")), "candidates")
     discard(left, light)
-    return pairs
+    bits = nodes.select("id", "n", F.col("bits").alias("value"))
+    near = stage(met(pairs, bits, lambda n, value, a, b: alike(n, value, a, b, percent)), "pairs")
+    discard(pairs)
+    return near
 
 
 def _short_pairs(left: DataFrame, light: DataFrame, percent: int) -> DataFrame:
@@ -224,28 +245,29 @@ def _short_pairs(left: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     SHORT bounds the nodes of a list."""
     side = lambda k: left.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("g", "n", "pos", "c0", "c1")))
     apart = (F.least("a_c0", "b_c0") < F.greatest("a_c1", "b_c1")) & (F.col("a_g") < F.col("b_g"))
-    groups = side("a").join(side("b"), "key").where(apart & _may((F.col("a_n"), F.col("b_n")), (F.col("a_pos"), F.col("b_pos")), percent)).select("a_g", "b_g").distinct()
+    groups = side("a").join(side("b"), "key").where(apart & _may((F.col("a_n"), F.col("b_n")), (F.col("a_pos"), F.col("b_pos")), percent)).groupBy("a_g", "b_g").agg(F.min("key").alias("unit"))
     member = lambda k: light.select(F.col("g").alias(f"{k}_g"), F.col("id").alias(f"{k}_id"), F.col("comp").alias(f"{k}_comp"))
     both = groups.join(member("a"), "a_g").join(member("b"), "b_g").where("a_comp <> b_comp")
-    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    return both.select("unit", F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
-def _long_pairs(left: DataFrame, light: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """As _short_pairs for long lists, which are cut into blocks of about BLOCK nodes. The unit of work is a pair of
-    blocks: pairs of groups are filtered by size and position first, then those left are expanded to pairs of nodes, which
-    bitmaps filter. A pair is kept only in the list of the first prefix member that both have."""
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    each = left.withColumn("blocks", blocks).join(light, "g").join(nodes.select("id", "n", "prefix", "bits"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    before = F.slice("prefix", F.lit(1), F.greatest(F.col("pos"), F.lit(0)).cast("int"))
-    dealt = each.select("key", (F.col("pos") < 0).cast("int").alias("alone"), "pos", "own", "id", "g", "comp", "n", before.alias("before"), "bits", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+def _long_pairs(left: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """As _short_pairs for long lists, which are cut into blocks of about BLOCK nodes (fewer where sets are large). The unit
+    of work is a pair of blocks, to which a few numbers of each node are sent: pairs of groups are filtered by size and
+    position first, then those left are expanded to pairs of nodes."""
+    blocks = F.ceil(F.greatest(F.col("total") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    each = left.withColumn("blocks", blocks).join(light, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = each.select("key", (F.col("pos") < 0).cast("int").alias("alone"), "pos", "own", "id", "g", "comp", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
 
     def run(batches):
         for t in unit_tables(batches, ("key", "alone", "x", "y")):
             a, b = unit_pairs(t, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            unit = np.full(len(a), t["unit"][0].as_py(), np.int64)
+            yield from pa.table({"unit": unit, "a": a, "b": b}).to_batches(max_chunksize=10_000)
 
-    return dealt.repartition("key", "alone", "x", "y").sortWithinPartitions("key", "alone", "x", "y").mapInArrow(run, "a long, b long")
+    keys = ("key", "alone", "x", "y")
+    return dealt.withColumn("unit", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "unit long, a long, b long")
 
 
 def unit_tables(batches, keys):
@@ -280,25 +302,49 @@ def unit_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     if x == y:
         ok &= node[i][:, None] < node[j][None]
     u, v = np.nonzero(ok)
-    if not len(u):
-        return u, v
-    raw = [np.frombuffer(b, np.uint8) for b in t["bits"].to_pylist()]
-    size = min(map(len, raw))
-    bits = np.stack([fold(r, size) for r in raw]).view(np.uint64)
-    u, v = i[u], j[v]
-    good = []
-    for s in range(0, len(u), 50_000):
-        a, b = u[s : s + 50_000], v[s : s + 50_000]
-        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-        good.append(apart <= n[a] + n[b] - 2 * needed(n[a], n[b], percent))
-    kept = np.concatenate(good)
-    u, v = u[kept], v[kept]
-    if not alone:
-        before = [set(p) for p in t["before"].take(of_group).to_pylist()]
-        pairs, each = np.unique(np.stack([group[u], group[v]]), axis=1, return_inverse=True)
-        first = np.array([before[a].isdisjoint(before[b]) for a, b in pairs.T.tolist()], bool)[each.ravel()]
-        u, v = u[first], v[first]
-    return np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
+    a, b = node[i[u]], node[j[v]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def met(pairs: DataFrame, values: DataFrame, similar) -> DataFrame:
+    """Those of the (written) pairs (unit, a, b) for which similar(n, value, a, b) holds; a and b are places in the arrays n and
+    value. What a node has is sent to each of its units once, not with each of its pairs."""
+    given = values.select(F.col("id").alias("a"), "n", "value")
+    ends = pairs.select("unit", F.explode(F.array("a", "b")).alias("a")).distinct()
+    sent = ends.join(given, "a").select("unit", "a", F.lit(None).cast("long").alias("b"), "n", "value")
+    asked = pairs.select("unit", "a", "b", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("value"))
+
+    def run(batches):
+        for t in unit_tables(batches, ("unit",)):
+            asks = pc.is_valid(t["b"])
+            nodes, pairs = t.filter(pc.invert(asks)).sort_by("a"), t.filter(asks).select(["unit", "a", "b"])
+            a, b = (np.searchsorted(nodes["a"].to_numpy(), pairs[c].to_numpy()) for c in ("a", "b"))
+            good = similar(nodes["n"].to_numpy(), [np.frombuffer(v.as_buffer(), np.uint8) for v in nodes["value"]], a, b)
+            yield from pairs.filter(pa.array(good, pa.bool_())).to_batches(max_chunksize=10_000)
+
+    return sent.unionByName(asked).repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "unit long, a long, b long")
+
+
+def alike(n: np.ndarray, bits: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bitmaps leave pairs of sets of sizes n, each compared at the smaller length of its two."""
+    sizes, good = np.array([len(x) for x in bits]), np.zeros(len(a), bool)
+    least = np.minimum(sizes[a], sizes[b])
+    for size in np.unique(least):
+        own = np.flatnonzero(least == size)
+        used, place = np.unique(np.stack([a[own], b[own]]), return_inverse=True)
+        rows, (x, y) = np.stack([fold(bits[i], size) for i in used]).view(np.uint64), place.reshape(2, -1)
+        step = max(1, 4_000_000 // int(size))
+        for s in range(0, len(own), step):
+            at = own[s : s + step]
+            apart = np.bitwise_count(rows[x[s : s + step]] ^ rows[y[s : s + step]]).sum(1, dtype=np.int64)
+            good[at] = apart <= n[a[at]] + n[b[at]] - 2 * needed(n[a[at]], n[b[at]], percent)
+    return good
+
+
+def overlapping(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 @arrow_udf(LongType())
@@ -321,7 +367,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the (written) pairs that are similar, from the whole sets of their nodes, written down."""
+    """Those of the (written) pairs that are similar, from the whole sets of their nodes, written down. Sets are sent with each
+    pair, of which there are few for a node, or where pairs have units once to each of a node's units."""
 
     @arrow_udf(BinaryType())
     def set_of(text: pa.Array) -> pa.Array:
@@ -329,12 +376,12 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percen
 
     @arrow_udf(BooleanType())
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
+        sets = ((np.frombuffer(v.as_buffer(), np.uint64) for v in p) for p in zip(a, b, strict=True))
+        return pa.array([overlapping(*p, percent) for p in sets], pa.bool_())
+
+    def all_similar(n: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[bool]:
+        sets = [x.view(np.uint64) for x in sets]
+        return [overlapping(sets[i], sets[j], percent) for i, j in zip(a, b, strict=True)]
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     one = stage(nodes.select("id", "one").join(wanted, "id", "left_semi").select("id", F.col("one.doc_id").alias("one_id"), F.col("one.tie").alias("one_tie")), "nodes")
@@ -342,7 +389,11 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percen
     sets = _tied(docs).join(few, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("tie") == F.col("one_tie"))).select("id", set_of("text").alias("members"))
     sets = stage(sets, "sets")
     side = lambda k: sets.select(F.col("id").alias(k), F.col("members").alias(f"{k}_set"))
-    links = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(similar("a_set", "b_set")).select("a", "b"), "links")
+    if "unit" in pairs.columns:
+        found = met(pairs, sets.select("id", F.lit(0).cast("long").alias("n"), F.col("members").alias("value")), all_similar)
+    else:
+        found = pairs.join(side("a"), "a").join(side("b"), "b").where(similar("a_set", "b_set"))
+    links = stage(found.select("a", "b"), "links")
     discard(one, sets, pairs)
     return links
 

@@ -125,6 +125,31 @@ def test_jaccard_join_looks_at_group_pairs_first(spark, monkeypatch):
     assert got == brute_components(texts, 5, 80)
 
 
+def test_jaccard_join_orders_quoted_passages_last(spark):
+    """A passage that many documents quote makes no lists while there is enough else in them, however rare its words are."""
+    rng = random.Random(9)
+    passage = [f"q{i}" for i in range(60)]
+    texts = [" ".join(passage[:i] + [f"u{rng.randrange(200)}" for _ in range(60)] + passage[i:]) for i in range(0, 60)]
+    nodes = jaccard_join.distinct_nodes(jaccard_join.signatures(table(spark, texts).coalesce(1), 5, 80))
+    assert jaccard_join.lists(nodes, jaccard_join.grouped(nodes)).count() == 0
+
+
+def test_jaccard_join_sends_values_to_a_unit_once(spark, monkeypatch):
+    """Every node is in many pairs, of which few are similar; what is shuffled for them are numbers, and values once a node and unit."""
+    from tessera.llm.common import stage
+
+    rows = stage(spark.range(40).selectExpr("id", "id AS n", "unhex(repeat('00', 1000)) AS value"), "values")
+    pairs = stage(spark.range(40).crossJoin(spark.range(40).withColumnRenamed("id", "b")).where("id < b").selectExpr("7L AS unit", "id AS a", "b"), "pairs")
+    seen = spark.sparkContext.accumulator(0)
+
+    def similar(n, value, a, b):
+        seen.add(len(value))
+        return n[a] + 1 == n[b]
+
+    assert {(r.a, r.b) for r in jaccard_join.met(pairs, rows, similar).collect()} == {(i, i + 1) for i in range(39)}
+    assert seen.value == 40
+
+
 @pytest.mark.parametrize("seed", [21, 22])
 def test_jaccard_join_of_families_without_a_centre(spark, monkeypatch, seed):
     """Copies of copies: hardly any is close to all; groups of several nodes and blocks of few rows."""

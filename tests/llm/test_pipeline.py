@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import queries, quality_rules
+from tessera.llm import common, queries, quality_rules
 from tessera.llm.common import stage, table
 
 from .test_operators import brute_components, brute_line_dedup
@@ -43,6 +43,16 @@ def test_stages_take_effect(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "length").collect())) == sorted((r.doc_id, r.piece, r.length) for r in docs.collect())
 
 
+def test_stages_leave_no_copies_of_the_documents(spark, sf, tmp_path, monkeypatch):
+    """Of what stages write on the way, only what the result reads is left, and no whole texts stay beside kept rows."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    left = lambda: {p.name for p in tmp_path.glob("*/*")}
+    quality_rules.kept(table(spark, sf, "documents"))
+    assert left() == {"fences"}
+    corpus_pipeline.run(spark, sf).count()
+    assert not left() & {name for name, _ in corpus_pipeline.STAGES} | left() & {"stats", "distinct", "signed", "named"}
+
+
 @pytest.mark.parametrize("stage_no", range(4))
 def test_stages_with_odd_rows(spark, sf, stage_no):
     docs = table(spark, sf, "documents").limit(30)
