@@ -264,3 +264,33 @@ def test_pairs_of_sparse_distances_are_neither_shuffled_nor_staged(spark, most):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "parquet" not in plan and plan.count("MapInArrow") == (1 if most > 3 else 2)
     assert sorted((r.qid, r.id, r.distance2) for r in found.collect()) == [(7, 1, 4.25), (7, 3, 1.25), (7, 5, 4.25), (8, 1, 0.0), (8, 3, 5.0), (8, 5, 6.0), (9, 3, 1.0)]
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_nearest_rows_are_found_without_scoring_all(monkeypatch, whole):
+    """Long rows that repeat words are far from every query: they are hardly scored, and the nearest are those of all pairs."""
+    rng = np.random.default_rng(6)
+    n, q, terms = 3000, 200, 300
+    a = np.zeros((n, terms))
+    for i in range(n):
+        at = rng.choice(terms, rng.integers(1, 12) if i % 10 == 0 else 150, replace=False)
+        a[i, at] = rng.integers(1, 9, len(at)) if whole else rng.normal(size=len(at)) * 4
+    b = np.where(rng.random((q, terms)) < 0.05, 1.0 if whole else rng.normal(size=(q, terms)), 0.0)
+    b[:, 0] = 1.0
+    of_query, of_term = np.nonzero(b)
+    asked = R._Asked(pa.table({"qid": of_query, "term": of_term, "w": b[of_query, of_term]}))
+    row, term = np.nonzero(a)
+    code = np.searchsorted(asked.terms.to_numpy(), term)
+    scored, scores = [], R._Asked.scores
+    monkeypatch.setattr(R._Asked, "scores", lambda self, *args: scored.append(len(self.qids) * args[-1]) or scores(self, *args))
+    monkeypatch.setattr(R, "TILE", 20_000)
+    floor, b2, a2 = np.full(q, -np.inf), (b * b).sum(1), (a * a).sum(1)
+    cuts = np.searchsorted(row, [0, 1000, 2000, 3000])
+    slices = (t for s in range(3) for t in asked.nearest(pa.array(np.arange(1000 * s, 1000 * s + 1000)), row[cuts[s] : cuts[s + 1]] - 1000 * s, code[cuts[s] : cuts[s + 1]], a[row, term][cuts[s] : cuts[s + 1]], a2[1000 * s : 1000 * s + 1000], b2, 5, floor))
+    found = R._best_of(slices, 5, floor)
+    far = np.where(b @ a.T > 0, a2[None] + b2[:, None] - 2 * (b @ a.T), np.inf)
+    expected = np.sort(far, axis=1)[:, :5].ravel()
+    assert -found["score"].to_numpy() == pytest.approx(expected)
+    if whole:
+        assert found["id"].to_pylist() == [int(j) for i in range(q) for j in np.argsort(far[i], kind="stable")[:5]]
+    assert sum(scored) < 0.5 * n * q
